@@ -26,8 +26,8 @@ sql("order_search", f"""SELECT req_id, vendor, "grant", po_source FROM order_lin
 WHERE coalesce(regexp_matches(vendor, 'supplier#0000000[1-3]', 'i'), false)
   AND coalesce(regexp_matches("grant", 'build', 'i'), false)
   AND coalesce(po_source = 'ShopBlue', false) AND {PENDING}""")
-sql("order_search_counts", f"""SELECT count_if(coalesce(contains(lower(vendor), '0001'), false)
-  AND coalesce(po_source = 'Stock Room', false) AND NOT ({PENDING})) AS shown, count(*) AS total FROM order_lines""")
+sql("order_search_counts", f"""SELECT CAST(count_if(coalesce(contains(lower(vendor), '0001'), false)
+  AND coalesce(po_source = 'Stock Room', false) AND NOT ({PENDING})) AS BIGINT) AS shown, count(*) AS total FROM order_lines""")
 sql("positive_totals", "SELECT count(*) AS rows FROM order_lines WHERE total > 0")
 sql("min_support", "SELECT item, vendor, count(*) AS n_rows FROM order_lines GROUP BY item, vendor HAVING count(*) >= 2")
 sql("validate_orders", """SELECT reason, count(*) AS rows FROM (SELECT CASE
@@ -37,10 +37,10 @@ sql("validate_orders", """SELECT reason, count(*) AS rows FROM (SELECT CASE
   WHEN vendor IS NULL OR trim(vendor) = '' THEN 'Vendor name is required'
   ELSE 'OK' END AS reason FROM order_lines) GROUP BY reason""")
 
-sql("kpi_overview", f"""SELECT count(*) AS orders, {DSUM} AS spend, count_if({PENDING}) AS pending,
-  count_if(NOT ({PENDING})) AS received FROM order_lines""")
+sql("kpi_overview", f"""SELECT count(*) AS orders, {DSUM} AS spend, CAST(count_if({PENDING}) AS BIGINT) AS pending,
+  CAST(count_if(NOT ({PENDING})) AS BIGINT) AS received FROM order_lines""")
 sql("kpi_analytics", f"""SELECT count(*) AS orders, {DSUM} AS spend, count(DISTINCT vendor) AS vendors,
-  count_if({PENDING}) AS pending FROM order_lines""")
+  CAST(count_if({PENDING}) AS BIGINT) AS pending FROM order_lines""")
 sql("spend_by_grant", f"""SELECT "grant", {DSUM} AS total_spent, count(req_id) AS orders FROM order_lines
 WHERE "grant" IS NOT NULL AND "grant" <> '' GROUP BY "grant" ORDER BY total_spent DESC, "grant" """)
 sql("assigned_spend_total", f"""SELECT {DSUM} AS assigned_total FROM order_lines WHERE "grant" IS NOT NULL AND "grant" <> '' """)
@@ -50,7 +50,7 @@ GROUP BY rf_project, "grant" ORDER BY total_spent DESC, rf_project, "grant" """)
 sql("split_summary", """SELECT split_orders, total_orders,
   CASE WHEN total_orders > 0 THEN CAST(split_orders AS DOUBLE) / CAST(total_orders AS DOUBLE) * 100 ELSE 0.0 END AS split_share_pct,
   coalesce(split_total, 0.0) AS split_total
-FROM (SELECT count_if(split_pct IS NOT NULL AND split_pct <> '') AS split_orders, count(*) AS total_orders,
+FROM (SELECT CAST(count_if(split_pct IS NOT NULL AND split_pct <> '') AS BIGINT) AS split_orders, count(*) AS total_orders,
   CAST(sum(CASE WHEN split_pct IS NOT NULL AND split_pct <> '' THEN coalesce(total, 0) END) AS DOUBLE) AS split_total
   FROM order_lines)""")
 sql("top_items", "SELECT item, count(*) AS orders FROM order_lines WHERE item IS NOT NULL GROUP BY item ORDER BY orders DESC, item LIMIT 8")
@@ -60,8 +60,8 @@ FROM order_lines WHERE date_ordered IS NOT NULL AND total IS NOT NULL GROUP BY 1
 sql("grant_spend_all_time", """SELECT "grant", CAST(sum(total) AS DOUBLE) AS spend FROM order_lines
 WHERE date_ordered IS NOT NULL AND total IS NOT NULL AND "grant" IS NOT NULL GROUP BY "grant" """)
 sql("year_total", f"""SELECT year AS current_year, {DSUM} AS year_total FROM
-  (SELECT *, year(date_ordered) AS year FROM order_lines WHERE date_ordered IS NOT NULL)
-WHERE year = (SELECT max(year(date_ordered)) FROM order_lines WHERE date_ordered IS NOT NULL) GROUP BY year""")
+  (SELECT *, CAST(year(date_ordered) AS INTEGER) AS year FROM order_lines WHERE date_ordered IS NOT NULL)
+WHERE year = (SELECT max(CAST(year(date_ordered) AS INTEGER)) FROM order_lines WHERE date_ordered IS NOT NULL) GROUP BY year""")
 sql("missing_price_check", f"""SELECT rows, total_sum, (total_sum = 0 AND rows > 0) AS has_price_issue FROM
   (SELECT count(*) AS rows, {DSUM} AS total_sum FROM order_lines)""")
 sql("column_profile", """SELECT 'qty' AS column_name, 'double' AS dtype, count(qty) AS non_null, CAST(sum(qty) AS DOUBLE) AS col_sum FROM order_lines
@@ -80,7 +80,7 @@ sql("ranked_reports", f"""SELECT rf_project, "grant", {DSUM} AS total_spent, cou
 WHERE rf_project IS NOT NULL AND rf_project <> '' AND "grant" IS NOT NULL
 GROUP BY rf_project, "grant" ORDER BY total_spent DESC, rf_project, "grant" LIMIT 5""")
 
-YG = """yg AS (SELECT year(date_ordered) AS year, "grant", sum(coalesce(total, 0)) AS spend_dec FROM order_lines
+YG = """yg AS (SELECT CAST(year(date_ordered) AS INTEGER) AS year, "grant", sum(coalesce(total, 0)) AS spend_dec FROM order_lines
   WHERE date_ordered IS NOT NULL AND "grant" IS NOT NULL GROUP BY 1, 2)"""
 GRID = """grid AS (SELECT y.year, g."grant", coalesce(yg.spend_dec, 0) AS spend_dec
   FROM (SELECT DISTINCT year FROM yg) y CROSS JOIN (SELECT DISTINCT "grant" FROM yg) g
@@ -107,7 +107,7 @@ PROJ = """proj AS (
               (SELECT year, dense_rank() OVER (ORDER BY year) - 1 AS year_ordinal FROM (SELECT DISTINCT year FROM yg)) o
               ON o.year = grid.year)
         GROUP BY "grant"))))"""
-CUR = "cur AS (SELECT max(year(date_ordered)) AS current_year FROM order_lines WHERE date_ordered IS NOT NULL)"
+CUR = "cur AS (SELECT max(CAST(year(date_ordered) AS INTEGER)) AS current_year FROM order_lines WHERE date_ordered IS NOT NULL)"
 sql("yearly_projection", """SELECT "grant", CAST(current_year AS INTEGER) AS current_year, n_years, last_spend,
   round(projected, 6) AS projected, round(growth_pct, 6) AS growth_pct,
   CASE WHEN growth_pct > 5 THEN 'Up' WHEN growth_pct < -5 THEN 'Down' ELSE 'Stable' END AS trend
@@ -116,6 +116,111 @@ sql("projection_total", f"""SELECT CAST(cur.current_year AS INTEGER) AS current_
   round(p.total_projected, 6) AS total_projected,
   round(CASE WHEN t.total_current > 0 THEN (p.total_projected - t.total_current) / t.total_current * 100 ELSE 0.0 END, 6) AS change_pct
 FROM cur
-JOIN (SELECT year(date_ordered) AS year, {DSUM} AS total_current FROM order_lines WHERE date_ordered IS NOT NULL GROUP BY 1) t
+JOIN (SELECT CAST(year(date_ordered) AS INTEGER) AS year, {DSUM} AS total_current FROM order_lines WHERE date_ordered IS NOT NULL GROUP BY 1) t
   ON t.year = cur.current_year
 CROSS JOIN (SELECT sum(round(round(projected, 6), 2)) AS total_projected FROM proj) p""", YG, GRID, PROJ, CUR)
+
+# ---- forecasts ---------------------------------------------------------------
+def NPR(expr: str, d: int) -> str:
+    """rint(x * 10^d) / 10^d with ties to even, spelled out for DuckDB."""
+    y = f"(({expr}) * {float(10 ** d)})"
+    return f"((CASE WHEN {y} - floor({y}) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END) / {float(10 ** d)})"
+
+
+AS_OF_SQL = "DATE '2001-08-02'"
+DAYS = """d2 AS (SELECT item, date_ordered, first_req,
+  lag(date_ordered) OVER (PARTITION BY item ORDER BY date_ordered) AS prev
+  FROM (SELECT item, date_ordered, min(req_id) AS first_req FROM order_lines WHERE date_ordered IS NOT NULL GROUP BY 1, 2))"""
+sql("days_between_orders", """SELECT o.req_id, o.item, o.date_ordered,
+  CAST(CASE WHEN o.req_id = d2.first_req THEN date_diff('day', d2.prev, o.date_ordered) ELSE 0 END AS INTEGER) AS days_diff
+FROM order_lines o JOIN d2 ON o.item = d2.item AND o.date_ordered = d2.date_ordered""", DAYS)
+sql("item_order_gap", """SELECT item, count(*) AS n_rows, max(date_ordered) AS last_order,
+  CASE WHEN count(date_ordered) >= 2 THEN CAST(date_diff('day', min(date_ordered), max(date_ordered)) AS DOUBLE)
+       / CAST(count(date_ordered) - 1 AS DOUBLE) END AS mean_gap_days
+FROM order_lines GROUP BY item""")
+sql("usual_vendor", """SELECT item, first(vendor ORDER BY n DESC, vendor) AS usual_vendor FROM
+  (SELECT item, vendor, count(*) AS n FROM order_lines WHERE vendor IS NOT NULL GROUP BY 1, 2) GROUP BY item""")
+sql("reorder_predictions", f"""SELECT item,
+  CAST(last_order + whole AS DATE) AS predicted_reorder_date,
+  CAST(greatest(date_diff('day', {AS_OF_SQL}, last_order) + whole, 0) AS INTEGER) AS days_until_reorder,
+  {NPR('CAST(sum_qty AS DOUBLE) / CAST(n_qty AS DOUBLE)', 1)} AS avg_quantity,
+  coalesce(usual_vendor, 'Unknown') AS recommended_vendor,
+  {NPR('avg_days', 1)} AS order_frequency_days,
+  CASE WHEN greatest(date_diff('day', {AS_OF_SQL}, last_order) + whole, 0) <= 7 THEN 'Urgent'
+       WHEN greatest(date_diff('day', {AS_OF_SQL}, last_order) + whole, 0) <= 30 THEN 'Soon' ELSE 'Normal' END AS urgency
+FROM (SELECT *, CAST(floor(avg_days) AS INTEGER) AS whole FROM
+  (SELECT *, CAST(date_diff('day', first_order, last_order) AS DOUBLE) / CAST(n_dated - 1 AS DOUBLE) AS avg_days FROM
+    (SELECT item, sum(n) AS n_rows, sum(nd) AS n_dated, min(d0) AS first_order, max(d1) AS last_order,
+       sum(sq) AS sum_qty, sum(nq) AS n_qty,
+       first(vendor ORDER BY n DESC, vendor) FILTER (WHERE vendor IS NOT NULL) AS usual_vendor
+     FROM (SELECT item, vendor, count(*) AS n, count(date_ordered) AS nd, min(date_ordered) AS d0,
+             max(date_ordered) AS d1, sum(CAST(qty AS DECIMAL(24,4))) AS sq, count(qty) AS nq
+           FROM order_lines GROUP BY item, vendor)
+     GROUP BY item)
+   WHERE n_rows >= 2 AND n_dated >= 2))
+ORDER BY days_until_reorder, item""")
+MONTHS = """mm AS (SELECT date_trunc('month', date_ordered) AS month, sum(total) AS s FROM order_lines
+  WHERE date_ordered IS NOT NULL AND total IS NOT NULL GROUP BY 1)"""
+sql("spend_moving_avg", """SELECT strftime(month, '%Y-%m') AS month, CAST(s AS DOUBLE) AS spend,
+  CASE WHEN rn >= least(m, 3) THEN CAST(CASE least(m, 3) WHEN 1 THEN s WHEN 2 THEN s + lag1 ELSE s + lag1 + lag2 END AS DOUBLE)
+       / CAST(least(m, 3) AS DOUBLE) END AS moving_avg
+FROM (SELECT *, row_number() OVER (ORDER BY month) AS rn, lag(s, 1) OVER (ORDER BY month) AS lag1,
+             lag(s, 2) OVER (ORDER BY month) AS lag2 FROM mm), (SELECT count(*) AS m FROM mm)""", MONTHS)
+sql("spend_recent_trend", """SELECT n_months, CASE WHEN n_months >= 3 THEN (CAST(last AS DOUBLE) - CAST(third_last AS DOUBLE)) / 3 END AS trend
+FROM (SELECT count(*) AS n_months, sum(CASE WHEN rn = 1 THEN s END) AS last, sum(CASE WHEN rn = 3 THEN s END) AS third_last
+      FROM (SELECT *, row_number() OVER (ORDER BY month DESC) AS rn FROM mm))""", MONTHS)
+sql("spend_forecast", """SELECT m AS n_months, CAST(h.horizon AS INTEGER) AS horizon,
+  strftime(last_month + to_months(CAST(h.horizon AS INTEGER)), '%Y-%m') AS forecast_month,
+  round(avg + trend * CAST(h.horizon AS DOUBLE), 6) AS amount,
+  round(CASE WHEN m >= 2 THEN avg ELSE CAST(all_total AS DOUBLE) / CAST(n_orders AS DOUBLE) END, 6) AS monthly_avg,
+  round(CASE WHEN m >= 2 THEN avg * 3.0 + trend * 6.0 ELSE CAST(all_total AS DOUBLE) END, 6) AS total_forecast
+FROM (SELECT st.m, last_month, all_total, n_orders, CAST(s_win AS DOUBLE) / CAST(least(st.m, 3) AS DOUBLE) AS avg,
+        CASE WHEN st.m >= 3 THEN (CAST(s_last AS DOUBLE) - CAST(s_third AS DOUBLE)) / 3 ELSE 0.0 END AS trend
+      FROM (SELECT count(*) AS m, sum(CASE WHEN rn <= 3 THEN s END) AS s_win, sum(CASE WHEN rn = 1 THEN s END) AS s_last,
+              sum(CASE WHEN rn = 3 THEN s END) AS s_third, max(month) AS last_month
+            FROM (SELECT *, row_number() OVER (ORDER BY month DESC) AS rn FROM mm)) st,
+           (SELECT sum(total) AS all_total, count(*) AS n_orders FROM order_lines
+            WHERE date_ordered IS NOT NULL AND total IS NOT NULL) al) j
+LEFT JOIN (SELECT unnest(range(1, 4)) AS horizon) h ON j.m >= 2""", MONTHS)
+WEEKS = """wk AS (SELECT item, CAST(date_trunc('week', date_ordered) AS DATE) AS week FROM order_lines WHERE date_ordered IS NOT NULL)"""
+sql("weekly_order_count", "SELECT item, week, count(*) AS orders FROM wk GROUP BY item, week", WEEKS)
+SMOOTH = """sm AS (SELECT gid, item, CAST(len(ys) AS INTEGER) AS n_weeks,
+    list_reduce(ys, lambda acc, x: 0.3::DOUBLE * x + 0.7::DOUBLE * acc) AS level, ys[1] AS first
+  FROM (SELECT gid, item, list(CAST(y AS DOUBLE) ORDER BY week) AS ys FROM
+        (SELECT 0 AS gid, item, week, count(*) AS y FROM wk GROUP BY item, week
+         UNION ALL SELECT 1 AS gid, NULL AS item, week, count(*) AS y FROM wk GROUP BY week) GROUP BY gid, item))"""
+sql("demand_smoothing", f"""SELECT CASE WHEN gid = 0 THEN 'item' ELSE 'all' END AS scope, item, n_weeks,
+  CASE WHEN n_weeks >= 4 THEN {NPR('level', 2)} END AS current_weekly_avg FROM sm""", WEEKS, SMOOTH)
+sql("demand_forecast", f"""SELECT CASE WHEN gid = 0 THEN 'item' ELSE 'all' END AS scope, item, n_weeks,
+  CASE WHEN n_weeks >= 4 THEN 'ok' ELSE 'insufficient' END AS status,
+  CASE WHEN n_weeks >= 4 THEN {NPR('level', 2)} END AS current_weekly_avg,
+  CASE WHEN n_weeks >= 4 THEN {NPR('list_reduce(list_transform(range(12), lambda i: level), lambda a, x: a + x, 0.0::DOUBLE)', 0)} END AS predicted_total,
+  CASE WHEN n_weeks >= 4 THEN CASE WHEN level > first THEN 'increasing' ELSE 'decreasing' END END AS trend
+FROM sm""", WEEKS, SMOOTH)
+
+# ---- sourcing ----------------------------------------------------------------
+VST = """vst AS (SELECT item, vendor,
+    CAST(sum(CAST(unit_price AS DECIMAL(24,4))) AS DOUBLE) / CAST(count(unit_price) AS DOUBLE) AS avg_price,
+    count(req_id) AS order_count, count(date_received) AS delivered_count,
+    CAST(count(date_received) AS DOUBLE) / CAST(count(req_id) AS DOUBLE) AS reliability
+  FROM order_lines WHERE vendor IS NOT NULL GROUP BY item, vendor)"""
+sql("vendor_item_stats", "SELECT * FROM vst", VST)
+ITEMST = """ist AS (SELECT item, sum(qty) AS total_qty,
+    CAST(sum(CAST(qty AS DECIMAL(24,4))) AS DOUBLE) / CAST(count(qty) AS DOUBLE) AS avg_qty, count(*) AS order_count,
+    CAST(sum(CAST(unit_price AS DECIMAL(24,4))) AS DOUBLE) / CAST(count(unit_price) AS DOUBLE) AS avg_price
+  FROM order_lines GROUP BY item)"""
+sql("item_order_stats", "SELECT * FROM ist", ITEMST)
+sql("vendor_price_spread", """SELECT item, vendor, avg_price, min(avg_price) OVER (PARTITION BY item) AS min_price,
+  max(avg_price) OVER (PARTITION BY item) AS max_price FROM vst""", VST)
+RANK = """rk AS (SELECT item, vendor, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, vendor) AS rank FROM
+  (SELECT v.item, v.vendor,
+     (1 - (v.avg_price - r.min_price) / (r.max_price - r.min_price + 1)) * 0.6 + v.reliability * 0.4 AS score
+   FROM vst v
+   JOIN (SELECT item FROM order_lines GROUP BY item HAVING count(*) >= 2) n ON n.item = v.item
+   JOIN (SELECT item, min(avg_price) AS min_price, max(avg_price) AS max_price FROM vst GROUP BY item) r ON r.item = v.item))"""
+sql("top3_vendors", "SELECT item, CAST(rank AS INTEGER) AS rank, vendor FROM rk WHERE rank <= 3", VST, RANK)
+sql("vendor_ranking", "SELECT item, CAST(rank AS INTEGER) AS rank, vendor, score FROM rk WHERE rank <= 3", VST, RANK)
+sql("bulk_opportunities", f"""SELECT item, {NPR('avg_qty', 1)} AS current_avg_qty, {NPR('avg_qty * 3', 1)} AS suggested_qty,
+  order_count AS order_frequency, avg_qty * 3 * avg_price * 0.1 AS potential_savings, '10%' AS estimated_discount
+FROM ist WHERE order_count >= 3 AND avg_qty * 3 * avg_price * 0.1 > 100
+ORDER BY potential_savings DESC, item""", ITEMST)

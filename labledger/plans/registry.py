@@ -187,3 +187,89 @@ def q_projection(spark, d):
 @register("projection_total")
 def q_projection_total(spark, d):
     return yr.projection_total(T(spark, d))
+
+
+# ---- forecasts -------------------------------------------------------------
+from labledger.operators import forecast as fc  # noqa: E402
+from labledger.operators import sourcing as src  # noqa: E402
+
+
+@register("days_between_orders")
+def q_days_between(spark, d):
+    return fc.days_between_orders(T(spark, d))
+
+
+@register("item_order_gap")
+def q_item_gap(spark, d):
+    return fc.item_order_gap(T(spark, d))
+
+
+@register("usual_vendor")
+def q_usual_vendor(spark, d):
+    return fc.usual_vendor(T(spark, d))
+
+
+@register("reorder_predictions")
+def q_reorder(spark, d):
+    return fc.reorder_predictions(T(spark, d))
+
+
+@register("spend_moving_avg")
+def q_moving_avg(spark, d):
+    return fc.spend_moving_avg(T(spark, d))
+
+
+@register("spend_recent_trend")
+def q_recent_trend(spark, d):
+    return fc.spend_recent_trend(T(spark, d))
+
+
+@register("spend_forecast")
+def q_spend_forecast(spark, d):
+    return fc.spend_forecast(T(spark, d), 3)
+
+
+@register("weekly_order_count")
+def q_weekly(spark, d):
+    return fc.weekly_order_count(T(spark, d))
+
+
+@register("demand_smoothing")
+def q_demand_smoothing(spark, d):
+    return fc.demand_forecast(T(spark, d)).select("scope", "item", "n_weeks", "current_weekly_avg")
+
+
+@register("demand_forecast")
+def q_demand(spark, d):
+    return fc.demand_forecast(T(spark, d), 90)
+
+
+# ---- sourcing --------------------------------------------------------------
+@register("vendor_item_stats")
+def q_vendor_stats(spark, d):
+    return src.vendor_item_stats(T(spark, d))
+
+
+@register("item_order_stats")
+def q_item_stats(spark, d):
+    return src.item_order_stats(T(spark, d))
+
+
+@register("vendor_price_spread")
+def q_spread(spark, d):
+    return src.vendor_price_spread(T(spark, d))
+
+
+@register("top3_vendors")
+def q_top3(spark, d):
+    return src.vendor_ranking(T(spark, d), 3).select("item", "rank", "vendor")
+
+
+@register("vendor_ranking")
+def q_vendor_ranking(spark, d):
+    return src.vendor_ranking(T(spark, d), 3)
+
+
+@register("bulk_opportunities")
+def q_bulk(spark, d):
+    return src.bulk_opportunities(T(spark, d))

@@ -27,11 +27,14 @@ def duck(sf_dir):
     return con
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return norm(v.item())
@@ -64,13 +67,34 @@ def compare(spark, con, sf_dir, key, fn, sql):
     drows = res.fetchall()
     if sorted(scols) != sorted(dcols):
         return dict(key=key, ok=False, why=f"cols {sorted(scols)} vs {sorted(dcols)}")
+    stypes = {f.name: spark_type(f.dataType) for f in sdf.schema.fields}
+    dtypes = {d[0]: duck_type(str(d[1])) for d in res.description}
+    tdiff = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
     if len(srows) != len(drows):
         return dict(key=key, ok=False, why=f"rows {len(srows)} vs {len(drows)}")
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     if bad:
         return dict(key=key, ok=False, why=f"{len(bad)} value diffs, first {bad[0]}")
-    return dict(key=key, ok=True, rows=len(srows), spark_s=round(t1 - t0, 2))
+    r = dict(key=key, ok=True, rows=len(srows), spark_s=round(t1 - t0, 2))
+    if tdiff:
+        r["types"] = tdiff
+    return r
+
+
+def spark_type(t):
+    n = t.simpleString()
+    return {"int": "int32", "bigint": "int64", "double": "double", "string": "str", "date": "date",
+            "boolean": "bool", "smallint": "int16", "float": "float", "tinyint": "int8"}.get(n, n)
+
+
+def duck_type(t):
+    t = t.upper()
+    if t.startswith("DECIMAL"):
+        return t.lower().replace(" ", "")
+    return {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "double", "VARCHAR": "str", "DATE": "date",
+            "BOOLEAN": "bool", "SMALLINT": "int16", "FLOAT": "float", "HUGEINT": "int128",
+            "TINYINT": "int8"}.get(t, t)
 
 
 def main(argv):
