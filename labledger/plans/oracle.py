@@ -224,3 +224,251 @@ sql("bulk_opportunities", f"""SELECT item, {NPR('avg_qty', 1)} AS current_avg_qt
   order_count AS order_frequency, avg_qty * 3 * avg_price * 0.1 AS potential_savings, '10%' AS estimated_discount
 FROM ist WHERE order_count >= 3 AND avg_qty * 3 * avg_price * 0.1 > 100
 ORDER BY potential_savings DESC, item""", ITEMST)
+
+# ---- cleaning on the raw-text fixture ------------------------------------------
+from labledger.sources.fixtures import (  # noqa: E402
+    INVENTORY_SQL, LINE_ITEM_SQL, ORDER_LINES_RAW_SQL, PO_SUMMARY_SQL, STORED_SQL)
+
+RAW = ORDER_LINES_RAW_SQL
+
+
+def P8(x: str) -> str:
+    return (f"(CASE WHEN ({x}) IS NULL OR trim({x}) = '' THEN '' "
+            f"ELSE CAST(TRY_CAST(trunc(TRY_CAST({x} AS DOUBLE)) AS BIGINT) AS VARCHAR) END)")
+
+
+def P9(x: str) -> str:
+    d = f"TRY_CAST({x} AS DOUBLE)"
+    return (f"(CASE WHEN {d} IS NOT NULL AND NOT isnan({d}) AND NOT isinf({d}) "
+            f"THEN printf('%.0f%%', {NPR(d, 0)}) ELSE '' END)")
+
+
+def P10(x: str) -> str:
+    return f"(CASE WHEN ({x}) IS NULL THEN '' ELSE replace(split_part({x}, ' ', 1), '/', '-') END)"
+
+
+def P4(x: str) -> str:
+    return f"coalesce(CAST(try_strptime({x}, '%Y-%m-%d') AS DATE), CAST(try_strptime({x}, '%m-%d-%Y') AS DATE))"
+
+
+def P6(x: str) -> str:
+    return (f"(CASE WHEN ({x}) IS NULL THEN '' WHEN contains({x}, ' - ') THEN substring(trim(split_part({x}, ' - ', 1)), 1, 100) "
+            f"ELSE trim(substring({x}, 1, 100)) END)")
+
+
+def P7(x: str) -> str:
+    v = f"substring({x}, 1, 100)"
+    return (f"(CASE WHEN {v} IS NULL THEN '' WHEN contains({v}, 'Contract no value') "
+            f"THEN trim(replace({v}, 'Contract no value', '')) ELSE {v} END)")
+
+
+def P11(x: str) -> str:
+    d = f"TRY_CAST(trim(replace(replace({x}, 'EA', ''), 'CS', '')) AS DOUBLE)"
+    return f"(CASE WHEN isnan({d}) THEN 1.0 ELSE coalesce({d}, 1.0) END)"
+
+
+def P12(q: str, p: str, t: str) -> tuple[str, str, str]:
+    qd = f"TRY_CAST({q} AS DOUBLE)"
+    qq = f"coalesce(CASE WHEN isnan({qd}) THEN NULL ELSE {qd} END, 1.0)"
+    pp = f"coalesce(TRY_CAST({p} AS DECIMAL(18,4)), CAST(0 AS DECIMAL(18,4)))"
+    tt = f"coalesce(TRY_CAST({t} AS DECIMAL(18,2)), CAST(CAST({qq} AS DECIMAL(18,4)) * {pp} AS DECIMAL(18,2)))"
+    return qq, pp, tt
+
+
+def P13(x: str) -> str:
+    return (f"(CASE WHEN contains({x}, 'Original Req#:') "
+            f"THEN trim(split_part(split_part({x}, 'Original Req#:', 2), '.', 1)) END)")
+
+
+def ORIG(x: str) -> str:
+    return f"trim(replace({x}, chr(160), ''))"
+
+
+def BLANK(o: str) -> str:
+    return f"(({o}) IS NULL OR ({o}) IN ('', '*', 'nan'))"
+
+
+def POKEY(x: str) -> str:
+    t = f"trim({x})"
+    return f"(CASE WHEN {t} LIKE '%.0' THEN substring({t}, 1, length({t}) - 2) ELSE {t} END)"
+
+
+SPLIT_NUM = "replace(split_pct, '%', '')"
+
+
+def TRUNC(x: str, n: int) -> str:
+    return f"(CASE WHEN length({x}) > {n} THEN concat(substring({x}, 1, {n}), '...') ELSE {x} END)"
+
+
+sql("line_total", """SELECT req_id, CAST(round(CAST(qty AS DECIMAL(18,4)) * CAST(unit_price AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS line_total
+FROM order_lines""")
+sql("receipt_status", "SELECT req_id, CASE WHEN date_received IS NULL OR date_received = '' THEN 'Pending' ELSE 'Received' END AS status FROM order_lines_raw", RAW)
+sql("coerce_amount", "SELECT req_id, CASE WHEN isnan(TRY_CAST(total AS DOUBLE)) THEN 0.0 ELSE coalesce(TRY_CAST(total AS DOUBLE), 0.0) END AS total_amt FROM order_lines_raw", RAW)
+sql("coerce_date", f"SELECT req_id, {P4(P10('date_ordered'))} AS date_ordered FROM order_lines_raw", RAW)
+sql("date_parts", """SELECT req_id, CAST(year(date_ordered) AS INTEGER) AS year, CAST(date_trunc('month', date_ordered) AS DATE) AS month_start,
+  CAST(date_trunc('week', date_ordered) AS DATE) AS week_start FROM order_lines""")
+sql("clean_item_name", f"SELECT req_id, {P6('item')} AS item FROM order_lines_raw", RAW)
+sql("clean_vendor", f"SELECT req_id, {P7('vendor')} AS vendor FROM order_lines_raw", RAW)
+sql("integer_id_text", f"SELECT req_id, {P8('cat_no')} AS cat_id, {P8(chr(34) + 'grant' + chr(34))} AS grant_id FROM order_lines_raw", RAW)
+sql("split_percent_text", f"SELECT req_id, {P9('split_pct')} AS split_raw, {P9(SPLIT_NUM)} AS split_num FROM order_lines_raw", RAW)
+sql("normalize_date_text", f"SELECT req_id, {P10('date_ordered')} AS date_text FROM order_lines_raw", RAW)
+sql("parse_pack_qty", f"SELECT req_id, {P11('qty')} AS qty FROM order_lines_raw", RAW)
+_q, _p, _t = P12("qty", "unit_price", "total")
+sql("amount_fallbacks", f"SELECT req_id, {_q} AS qty, {_p} AS unit_price, {_t} AS total FROM order_lines_raw", RAW)
+sql("extract_origin_req", f"SELECT req_id, {P13('notes')} AS orig FROM stored", STORED_SQL)
+sql("origin_note", f"""SELECT line_no, CASE WHEN {BLANK(ORIG('req_raw'))} THEN '' ELSE 'Original Req#: ' || {ORIG('req_raw')} END AS note FROM inv""",
+    INVENTORY_SQL)
+sql("truncate_text", f"SELECT req_id, {TRUNC('item', 30)} AS item30, {TRUNC('item', 40)} AS item40, {TRUNC('vendor', 10)} AS vendor10 FROM order_lines")
+sql("owner_to_lab", """SELECT email, CASE WHEN email = 'admin@example.edu' THEN 'Admin' WHEN email LIKE '%@example.edu' THEN 'Main Lab'
+  WHEN NOT contains(email, '@') THEN 'Unknown Lab'
+  ELSE upper(substring(split_part(split_part(email, '@', 2), '.', 1), 1, 1)) || lower(substring(split_part(split_part(email, '@', 2), '.', 1), 2)) || ' Lab' END AS lab
+FROM (SELECT DISTINCT lower(replace(ordered_by, '#', '.')) || '@' ||
+  CASE WHEN lab = 'AMERICA' THEN 'example.edu' ELSE lower(replace(lab, ' ', '')) || '.org' END AS email FROM order_lines)""")
+sql("column_subset", """SELECT req_id, item, vendor, CAST(total AS DOUBLE) AS total, po_no, date_ordered,
+  CASE WHEN date_received IS NULL THEN 'Pending' ELSE 'Received' END AS alert FROM order_lines""")
+
+
+def derived(key: str, parent: str, cols: str) -> None:
+    ORACLE[key] = f"SELECT {cols} FROM ({ORACLE[parent]}) AS parent"
+
+
+derived("urgency_bucket", "reorder_predictions", "item, days_until_reorder, urgency")
+derived("trend_bucket", "yearly_projection", '"grant", growth_pct, trend')
+derived("next_periods", "spend_forecast", "horizon, forecast_month")
+derived("add_fractional_days", "reorder_predictions", "item, predicted_reorder_date, days_until_reorder")
+sql("finite_only", """SELECT req_id, qty AS f_qty, CAST(unit_price AS DOUBLE) AS f_price, CAST(total AS DOUBLE) AS f_total
+FROM order_lines WHERE qty IS NOT NULL AND isfinite(qty) AND unit_price IS NOT NULL AND total IS NOT NULL""")
+
+# ---- import fixtures and joins -------------------------------------------------------
+LIP = f"""lip AS (SELECT *, {P6('item_raw')} AS item_clean, {POKEY('po_raw')} AS k_po,
+    substring({P6('item_raw')}, 1, 30) AS k_item FROM li
+  WHERE coalesce(TRY_CAST(price_raw AS DOUBLE) > 0, false))"""
+SKEYS = f"""skeys AS (SELECT DISTINCT {POKEY('po_no')} AS k_po, substring(coalesce(item, ''), 1, 30) AS k_item FROM stored)"""
+sql("request_id", "SELECT line_no, printf('REQ-010802-%03d', row_number() OVER (ORDER BY line_no)) AS req_id FROM lip WHERE length(item_clean) >= 3",
+    LINE_ITEM_SQL, LIP)
+sql("import_anti_join", """SELECT line_no, k_po, k_item FROM lip WHERE length(item_clean) >= 3
+  AND NOT EXISTS (SELECT 1 FROM skeys s WHERE s.k_po = lip.k_po AND s.k_item = lip.k_item)""",
+    STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS)
+sql("import_dup_count", """SELECT lines, lines - duplicates AS new_items, duplicates, in_file_duplicates FROM
+  (SELECT count(*) AS lines, CAST(count_if(s.k_po IS NOT NULL) AS BIGINT) AS duplicates FROM lip
+     LEFT JOIN skeys s ON s.k_po = lip.k_po AND s.k_item = lip.k_item),
+  (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS in_file_duplicates FROM
+     (SELECT lip.k_po, lip.k_item, count(*) AS n FROM lip LEFT JOIN skeys s ON s.k_po = lip.k_po AND s.k_item = lip.k_item
+      WHERE s.k_po IS NULL AND length(item_clean) >= 3 GROUP BY 1, 2))""",
+    STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS)
+sql("first_per_key", """SELECT k_po, k_item, min(line_no) AS line_no FROM lip WHERE length(item_clean) >= 3
+  AND NOT EXISTS (SELECT 1 FROM skeys s WHERE s.k_po = lip.k_po AND s.k_item = lip.k_item) GROUP BY 1, 2""",
+    STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS)
+_lq, _lp, _lt = P12("qty_raw", "price_raw", "total_raw")
+MAPLI = f"""mli AS (SELECT line_no, k_po, k_item, item_clean, substring(item_clean, 1, 200) AS item,
+    {_lq} AS qty, {_lp} AS unit_price, {_lt} AS total,
+    nullif({P7('vendor_raw')}, '') AS vendor, cat_raw AS cat_no,
+    nullif({P8('grant_raw')}, '') AS "grant", nullif({P8('project_raw')}, '') AS rf_project,
+    nullif({P9('split_raw')}, '') AS split_pct, 'ShopBlue' AS po_source, nullif({POKEY('po_raw')}, '') AS po_no,
+    by_raw AS ordered_by, {P4(P10('date_raw'))} AS date_ordered, 'Admin' AS lab,
+    ({P8('grant_raw')} IS NULL OR {P8('project_raw')} IS NULL) AS bad
+  FROM lip)"""
+sql("map_line_items", """SELECT line_no, item, qty, unit_price, total, vendor, cat_no, "grant", rf_project, split_pct,
+  po_source, po_no, ordered_by, date_ordered, lab FROM mli WHERE length(item_clean) >= 3""", LINE_ITEM_SQL, LIP, MAPLI)
+DISP = """disp AS (SELECT m.*, CASE WHEN length(item_clean) < 3 THEN 'unnamed'
+    WHEN s.k_po IS NOT NULL THEN 'duplicate' WHEN bad THEN 'quarantined' END AS pre
+  FROM mli m LEFT JOIN skeys s ON s.k_po = m.k_po AND s.k_item = m.k_item),
+firsts AS (SELECT min(line_no) AS line_no FROM disp WHERE pre IS NULL
+  GROUP BY coalesce(k_po, '#' || CAST(line_no AS VARCHAR)), k_item)"""
+ORDER_COLS_SQL = """req_id, item, qty, unit_price, total, vendor, cat_no, "grant", rf_project, split_pct, po_source, po_no,
+  notes, ordered_by, date_ordered, date_received, received_by, location, lab"""
+sql("import_line_items", f"""SELECT {ORDER_COLS_SQL} FROM (
+  SELECT printf('REQ-010802-%03d', row_number() OVER (ORDER BY line_no)) AS req_id, item, qty, unit_price, total, vendor,
+    cat_no, "grant", rf_project, split_pct, po_source, po_no, CAST(NULL AS VARCHAR) AS notes, ordered_by, date_ordered,
+    CAST(NULL AS DATE) AS date_received, CAST(NULL AS VARCHAR) AS received_by, CAST(NULL AS VARCHAR) AS location, lab
+  FROM disp WHERE pre IS NULL AND line_no IN (SELECT line_no FROM firsts))""",
+    STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS, MAPLI, DISP)
+
+POSK = f"""posk AS (SELECT *, {POKEY('po_raw')} AS k_po FROM pos),
+spos AS (SELECT DISTINCT {POKEY('po_no')} AS k_po FROM stored WHERE po_no IS NOT NULL)"""
+sql("po_anti_join", """SELECT k_po, supplier_raw AS "Supplier" FROM posk WHERE k_po NOT IN (SELECT k_po FROM spos)""",
+    STORED_SQL, PO_SUMMARY_SQL, POSK)
+sql("scan_po_summary", """SELECT po_raw AS "PO Number", supplier_raw AS "Supplier", amount_raw AS "Total Amount",
+  owner_raw AS "PO Owner" FROM pos""", PO_SUMMARY_SQL)
+IMPPO = """imppo AS (SELECT printf('REQ-010802-%03d', row_number() OVER (ORDER BY export_month, CAST(po_raw AS BIGINT))) AS req_id,
+    '[Add item details]' AS item, 1.0 AS qty,
+    CAST(coalesce(TRY_CAST(amount_raw AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS unit_price,
+    coalesce(TRY_CAST(amount_raw AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2))) AS total,
+    supplier_raw AS vendor, CAST(NULL AS VARCHAR) AS cat_no, CAST(NULL AS VARCHAR) AS "grant",
+    CAST(NULL AS VARCHAR) AS rf_project, CAST(NULL AS VARCHAR) AS split_pct, 'ShopBlue' AS po_source, k_po AS po_no,
+    CAST(NULL AS VARCHAR) AS notes, owner_raw AS ordered_by, CAST(NULL AS DATE) AS date_ordered,
+    CAST(NULL AS DATE) AS date_received, CAST(NULL AS VARCHAR) AS received_by, CAST(NULL AS VARCHAR) AS location,
+    'Admin' AS lab
+  FROM posk WHERE k_po NOT IN (SELECT k_po FROM spos))"""
+sql("import_po_summary", f"SELECT {ORDER_COLS_SQL} FROM imppo", STORED_SQL, PO_SUMMARY_SQL, POSK, IMPPO)
+sql("append_orders", """SELECT req_id, item, total, lab FROM stored UNION ALL SELECT req_id, item, total, lab FROM imppo""",
+    STORED_SQL, PO_SUMMARY_SQL, POSK, IMPPO)
+sql("delete_matching", """SELECT rows_before, rows_after, rows_before - rows_after AS deleted FROM
+  (SELECT count(*) AS rows_before FROM (SELECT vendor, po_no, item FROM stored UNION ALL SELECT vendor, po_no, item FROM imppo)),
+  (SELECT count(*) AS rows_after FROM (SELECT vendor, po_no, item FROM stored UNION ALL SELECT vendor, po_no, item FROM imppo)
+   WHERE NOT (coalesce(regexp_matches(vendor, 'supplier#0000000(1|2)', 'i'), false) OR coalesce(po_no = '7', false)
+              OR coalesce(starts_with(item, '['), false)))""",
+    STORED_SQL, PO_SUMMARY_SQL, POSK, IMPPO)
+
+INVP = f"""invp AS (SELECT *, {ORIG('req_raw')} AS orig, trim(split_part({ORIG('req_raw')}, '.', 1)) AS k_orig FROM inv
+  WHERE item_raw IS NOT NULL AND length(item_raw) > 2),
+sorig AS (SELECT DISTINCT {P13('notes')} AS k_orig FROM stored WHERE {P13('notes')} IS NOT NULL),
+invpass AS (SELECT * FROM invp WHERE {BLANK('orig')} OR k_orig NOT IN (SELECT k_orig FROM sorig))"""
+sql("origin_req_anti_join", "SELECT line_no, sheet, orig FROM invpass", STORED_SQL, INVENTORY_SQL, INVP)
+_iq = P11("count_raw")
+_ia = "coalesce(TRY_CAST(amount_raw AS DECIMAL(18,4)), CAST(0 AS DECIMAL(18,4)))"
+_it = f"coalesce(TRY_CAST(total_raw AS DECIMAL(18,2)), CAST(CAST({_iq} AS DECIMAL(18,4)) * {_ia} AS DECIMAL(18,2)))"
+MAPINV = f"""minv AS (SELECT sheet, line_no, substring(item_raw, 1, 200) AS item, {_iq} AS qty, {_ia} AS unit_price,
+    {_it} AS total, vendor_raw AS vendor, CASE WHEN sheet = 'Sheet1' THEN NULL ELSE sheet END AS "grant",
+    'ShopBlue' AS po_source,
+    nullif(CASE WHEN {BLANK(ORIG('req_raw'))} THEN '' ELSE 'Original Req#: ' || {ORIG('req_raw')} END, '') AS notes,
+    'Admin' AS lab, orig, k_orig FROM {{src}})"""
+sql("map_inventory", """SELECT sheet, line_no, item, qty, unit_price, total, vendor, "grant", po_source, notes, lab FROM minv""",
+    INVENTORY_SQL, INVP.split(",\nsorig")[0], MAPINV.replace("{src}", "invp"))
+sql("import_inventory", f"""SELECT {ORDER_COLS_SQL} FROM (
+  SELECT printf('REQ-010802-%03d', row_number() OVER (ORDER BY sheet, line_no)) AS req_id, item, qty, unit_price, total,
+    vendor, CAST(NULL AS VARCHAR) AS cat_no, "grant", CAST(NULL AS VARCHAR) AS rf_project, CAST(NULL AS VARCHAR) AS split_pct,
+    po_source, CAST(NULL AS VARCHAR) AS po_no, notes, CAST(NULL AS VARCHAR) AS ordered_by, CAST(NULL AS DATE) AS date_ordered,
+    CAST(NULL AS DATE) AS date_received, CAST(NULL AS VARCHAR) AS received_by, CAST(NULL AS VARCHAR) AS location, lab
+  FROM minv WHERE (sheet, line_no) IN (
+    SELECT min((sheet, line_no)) FROM minv
+    GROUP BY CASE WHEN {BLANK('orig')} THEN '#' || CAST(line_no AS VARCHAR) ELSE k_orig END))""",
+    STORED_SQL, INVENTORY_SQL, INVP, MAPINV.replace("{src}", "invpass"))
+sql("scan_inventory", """SELECT sheet, req_raw AS "Req#", item_raw AS "Item", count_raw AS "#", amount_raw AS "Amount",
+  total_raw AS "Total", vendor_raw AS "Vendor", CAST(line_no AS VARCHAR) AS "Line" FROM inv""", INVENTORY_SQL)
+sql("scan_line_items", """SELECT po_raw AS "PO #", item_raw AS "Item", vendor_raw AS "Vendor", qty_raw AS "Quantity",
+  price_raw AS "Unit Price ($)", total_raw AS "Line Total ($)", grant_raw AS "Grant", project_raw AS "RF Project",
+  split_raw AS "Split %", cat_raw AS "Catalog #", by_raw AS "Ordered By", date_raw AS "Date Ordered",
+  CAST(line_no AS VARCHAR) AS "Line" FROM li""", LINE_ITEM_SQL)
+
+# ---- maintenance ---------------------------------------------------------------------------
+sql("receive_all", """SELECT req_id, CASE WHEN date_received IS NULL THEN DATE '2001-08-02' ELSE date_received END AS date_received,
+  CASE WHEN date_received IS NULL THEN 'clerk' ELSE received_by END AS received_by FROM order_lines""")
+sql("recalculate_totals", """SELECT req_id, CAST(CAST(coalesce(qty, 1.0) AS DECIMAL(18,4)) * coalesce(unit_price, CAST(0 AS DECIMAL(18,4)))
+  AS DECIMAL(18,2)) AS total FROM order_lines""")
+EDITS_SQL = """e0 AS (SELECT req_id, qty + 1 AS e_qty, unit_price AS e_price, 'edited' AS e_notes, 'shelf ' || lab AS e_location,
+    lab <> 'ASIA' AS e_mark FROM order_lines WHERE date_ordered >= DATE '2001-07-01'),
+edits AS (SELECT * FROM e0 UNION ALL SELECT * FROM e0 WHERE e_qty = 2),
+once AS (SELECT * FROM edits WHERE req_id IN (SELECT req_id FROM edits GROUP BY req_id HAVING count(*) = 1)),
+edited AS (SELECT o.req_id, o.item,
+    CASE WHEN e.req_id IS NOT NULL THEN e.e_qty ELSE o.qty END AS qty,
+    CASE WHEN e.req_id IS NOT NULL THEN CAST(CAST(e.e_qty AS DECIMAL(18,4)) * CAST(e.e_price AS DECIMAL(18,4)) AS DECIMAL(18,2))
+         ELSE o.total END AS total,
+    CASE WHEN e.req_id IS NOT NULL THEN e.e_notes ELSE o.notes END AS notes,
+    CASE WHEN e.req_id IS NOT NULL THEN e.e_location ELSE o.location END AS location,
+    CASE WHEN e.req_id IS NOT NULL THEN CASE WHEN e.e_mark THEN DATE '2001-08-02' END ELSE o.date_received END AS date_received,
+    CASE WHEN e.req_id IS NOT NULL THEN CASE WHEN e.e_mark THEN 'clerk' END ELSE o.received_by END AS received_by
+  FROM order_lines o LEFT JOIN once e ON e.req_id = o.req_id)"""
+sql("edit_order", "SELECT req_id, qty, total, notes, location, date_received, received_by FROM edited", EDITS_SQL)
+sql("keyed_update", "SELECT req_id, item, qty, total, notes FROM edited WHERE req_id IN (SELECT req_id FROM edits)", EDITS_SQL)
+sql("key_lookup", """SELECT req_id, item, CAST(total AS DOUBLE) AS total FROM order_lines
+  WHERE date_ordered = (SELECT max(date_ordered) FROM order_lines)""")
+sql("delete_by_id", "SELECT req_id FROM order_lines WHERE req_id IS DISTINCT FROM (SELECT min(req_id) FROM order_lines)")
+
+# ---- sources ---------------------------------------------------------------------------------
+sql("scan_orders", "SELECT * FROM order_lines")
+sql("schema_backfill", "SELECT * REPLACE (CAST(NULL AS VARCHAR) AS rf_project, CAST(NULL AS VARCHAR) AS split_pct) FROM order_lines")
+sql("required_projection", "SELECT * FROM order_lines")
+sql("verify_after_write", "SELECT count(*) AS rows, CAST(sum(total) AS DOUBLE) AS spend FROM order_lines")
+sql("preview", """SELECT h.*, c.total_rows FROM (SELECT req_id, item, vendor, CAST(total AS DOUBLE) AS total FROM order_lines
+  ORDER BY req_id LIMIT 20) h, (SELECT count(*) AS total_rows FROM order_lines) c""")

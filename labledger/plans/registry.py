@@ -273,3 +273,380 @@ def q_vendor_ranking(spark, d):
 @register("bulk_opportunities")
 def q_bulk(spark, d):
     return src.bulk_opportunities(T(spark, d))
+
+
+# ---- cleaning on the raw-text fixture ---------------------------------------
+from labledger.functions import clean as cl  # noqa: E402
+from labledger.operators import ingest as ing  # noqa: E402
+from labledger.operators import maintenance as mt  # noqa: E402
+from labledger.operators.numbering import request_ids  # noqa: E402
+from labledger.schema import ORDER_COLUMNS, conform  # noqa: E402
+from labledger.sources import exports as ex  # noqa: E402
+from labledger.sources import fixtures as fx  # noqa: E402
+from labledger.sources.fixture_files import export_files  # noqa: E402
+from labledger.sources.store import OrderStore  # noqa: E402
+
+
+def R(spark, d):
+    return fx.order_lines_raw(T(spark, d))
+
+
+def STORED(spark, d):
+    return fx.stored_orders(T(spark, d))
+
+
+def LINES(spark, d):
+    return ex.scan_line_items(spark, export_files(spark, d).line_items)
+
+
+def SUMMARY(spark, d):
+    return ex.scan_po_summary(spark, export_files(spark, d).po_summary)
+
+
+def INVENTORY(spark, d):
+    return ex.scan_inventory(spark, export_files(spark, d).inventory)
+
+
+@register("line_total")
+def q_line_total(spark, d):
+    return T(spark, d).select("req_id", cl.line_total("qty", "unit_price").alias("line_total"))
+
+
+@register("receipt_status")
+def q_status(spark, d):
+    return R(spark, d).select("req_id", rep.status("date_received").alias("status"))
+
+
+@register("coerce_amount")
+def q_coerce_amount(spark, d):
+    return R(spark, d).select("req_id", cl.coerce_amount("total").alias("total_amt"))
+
+
+@register("coerce_date")
+def q_coerce_date(spark, d):
+    return R(spark, d).select("req_id", cl.coerce_date(cl.normalize_date_text("date_ordered")).alias("date_ordered"))
+
+
+@register("date_parts")
+def q_date_parts(spark, d):
+    return T(spark, d).select("req_id", *cl.date_parts("date_ordered"))
+
+
+@register("clean_item_name")
+def q_clean_item(spark, d):
+    return R(spark, d).select("req_id", cl.clean_item_name("item").alias("item"))
+
+
+@register("clean_vendor")
+def q_clean_vendor(spark, d):
+    return R(spark, d).select("req_id", cl.clean_vendor("vendor").alias("vendor"))
+
+
+@register("integer_id_text")
+def q_int_id(spark, d):
+    return R(spark, d).select("req_id", cl.integer_id_text("cat_no").alias("cat_id"),
+                              cl.integer_id_text("grant").alias("grant_id"))
+
+
+@register("split_percent_text")
+def q_split_text(spark, d):
+    return R(spark, d).select("req_id", cl.split_percent_text("split_pct").alias("split_raw"),
+                              cl.split_percent_text(F.replace("split_pct", F.lit("%"), F.lit(""))).alias("split_num"))
+
+
+@register("normalize_date_text")
+def q_norm_date(spark, d):
+    return R(spark, d).select("req_id", cl.normalize_date_text("date_ordered").alias("date_text"))
+
+
+@register("parse_pack_qty")
+def q_pack_qty(spark, d):
+    return R(spark, d).select("req_id", cl.parse_pack_qty("qty").alias("qty"))
+
+
+@register("amount_fallbacks")
+def q_fallbacks(spark, d):
+    q, p, t = cl.amount_fallbacks("qty", "unit_price", "total")
+    return R(spark, d).select("req_id", q.alias("qty"), p.alias("unit_price"), t.alias("total"))
+
+
+@register("extract_origin_req")
+def q_origin(spark, d):
+    return STORED(spark, d).select("req_id", cl.extract_origin_req("notes").alias("orig"))
+
+
+@register("origin_note")
+def q_origin_note(spark, d):
+    return INVENTORY(spark, d).select(F.col("Line").cast("bigint").alias("line_no"),
+                                      cl.origin_note("Req#").alias("note"))
+
+
+@register("truncate_text")
+def q_truncate(spark, d):
+    return T(spark, d).select("req_id", rep.truncate_text("item", 30).alias("item30"),
+                              rep.truncate_text("item", 40).alias("item40"),
+                              rep.truncate_text("vendor", 10).alias("vendor10"))
+
+
+@register("money_text")
+def q_money_text(spark, d):
+    g = rep.spend_by_grant(T(spark, d))
+    return g.select("grant", cl.money_text("total_spent").alias("spent_text"),
+                    cl.percent_text(F.col("orders") / 100.0).alias("change_text"))
+
+
+# Fixed values for the owner-to-lab fixture: the unrestricted account, the
+# home domain and its lab.
+ADMIN_EMAIL = "admin@example.edu"
+HOME_DOMAIN = "example.edu"
+HOME_LAB = "Main Lab"
+
+
+def owner_email():
+    dom = F.when(F.col("lab") == "AMERICA", F.lit(HOME_DOMAIN)).otherwise(
+        F.concat(F.lower(F.replace("lab", F.lit(" "), F.lit(""))), F.lit(".org")))
+    return F.concat(F.lower(F.replace("ordered_by", F.lit("#"), F.lit("."))), F.lit("@"), dom)
+
+
+@register("owner_to_lab")
+def q_owner_lab(spark, d):
+    e = T(spark, d).select(owner_email().alias("email")).distinct()
+    return e.select("email", cl.owner_to_lab("email", ADMIN_EMAIL, HOME_DOMAIN, HOME_LAB).alias("lab"))
+
+
+@register("column_subset")
+def q_subset(spark, d):
+    return T(spark, d).select("req_id", "item", "vendor", F.col("total").cast("double").alias("total"),
+                              "po_no", "date_ordered", rep.status().alias("alert"))
+
+
+@register("urgency_bucket")
+def q_urgency(spark, d):
+    return fc.reorder_predictions(T(spark, d)).select("item", "days_until_reorder", "urgency")
+
+
+@register("trend_bucket")
+def q_trend(spark, d):
+    return yr.yearly_projection(T(spark, d)).select("grant", "growth_pct", "trend")
+
+
+@register("finite_only")
+def q_finite(spark, d):
+    t = T(spark, d)
+    feats = t.select("req_id", F.col("qty").alias("f_qty"), F.col("unit_price").cast("double").alias("f_price"),
+                     F.col("total").cast("double").alias("f_total"))
+    ok = F.lit(True)
+    for c in ["f_qty", "f_price", "f_total"]:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    return feats.filter(ok)
+
+
+@register("next_periods")
+def q_next_periods(spark, d):
+    return fc.spend_forecast(T(spark, d), 3).select("horizon", "forecast_month")
+
+
+@register("add_fractional_days")
+def q_frac_days(spark, d):
+    return fc.reorder_predictions(T(spark, d)).select("item", "predicted_reorder_date", "days_until_reorder")
+
+
+@register("request_id")
+def q_request_id(spark, d):
+    p = ing.prepared_line_items(LINES(spark, d)).filter(F.length("item_clean") >= 3).select("line_no")
+    return request_ids(p, ["line_no"], T(spark, d), fx.AS_OF)
+
+
+# ---- joins for imports ------------------------------------------------------------
+@register("import_anti_join")
+def q_import_anti(spark, d):
+    return ing.import_anti_join(LINES(spark, d), STORED(spark, d)).select("line_no", "k_po", "k_item")
+
+
+@register("import_dup_count")
+def q_import_dups(spark, d):
+    return ing.import_dup_count(LINES(spark, d), STORED(spark, d))
+
+
+@register("po_anti_join")
+def q_po_anti(spark, d):
+    return ing.po_anti_join(SUMMARY(spark, d), STORED(spark, d)).select("k_po", "Supplier")
+
+
+@register("origin_req_anti_join")
+def q_origin_anti(spark, d):
+    return ing.origin_req_anti_join(INVENTORY(spark, d), STORED(spark, d)).select("line_no", "sheet", "orig")
+
+
+@register("first_per_key")
+def q_first_per_key(spark, d):
+    fresh = ing.import_anti_join(LINES(spark, d), STORED(spark, d))
+    return ing.first_per_key(fresh.select("k_po", "k_item", "line_no"), ["k_po", "k_item"], "line_no")
+
+
+@register("map_line_items")
+def q_map_lines(spark, d):
+    p = ing.prepared_line_items(LINES(spark, d)).filter(F.length("item_clean") >= 3)
+    return ing.map_line_items(p, "Admin").drop("_bad", "notes", "date_received", "received_by", "location")
+
+
+@register("map_inventory")
+def q_map_inventory(spark, d):
+    return ing.map_inventory(ing.prepared_inventory(INVENTORY(spark, d)), "Admin")
+
+
+@register("import_line_items")
+def q_import_lines(spark, d):
+    return ing.import_line_items(LINES(spark, d), STORED(spark, d), "Admin", fx.AS_OF)
+
+
+@register("import_po_summary")
+def q_import_summary(spark, d):
+    return ing.import_po_summary(SUMMARY(spark, d), STORED(spark, d), "Admin", fx.AS_OF)
+
+
+@register("import_inventory")
+def q_import_inventory(spark, d):
+    return ing.import_inventory(INVENTORY(spark, d), STORED(spark, d), "Admin", fx.AS_OF)
+
+
+# ---- maintenance -------------------------------------------------------------------
+@register("append_orders")
+def q_append(spark, d):
+    new = ing.import_po_summary(SUMMARY(spark, d), STORED(spark, d), "Admin", fx.AS_OF)
+    return mt.append_orders(STORED(spark, d), new).select("req_id", "item", "total", "lab")
+
+
+@register("receive_all")
+def q_receive_all(spark, d):
+    return mt.receive_all(T(spark, d), fx.AS_OF, "clerk").select("req_id", "date_received", "received_by")
+
+
+@register("recalculate_totals")
+def q_recalc(spark, d):
+    return mt.recalculate_totals(T(spark, d)).select("req_id", "total")
+
+
+def EDITS(t):
+    recent = t.filter(F.col("date_ordered") >= F.lit("2001-07-01").cast("date"))
+    e = recent.select(
+        "req_id", "item", "cat_no", "grant", "rf_project", "split_pct",
+        (F.col("qty") + 1).alias("qty"), "unit_price",
+        F.lit("edited").alias("notes"), F.concat(F.lit("shelf "), F.col("lab")).alias("location"),
+        (F.col("lab") != "ASIA").alias("mark_received"),
+        F.lit(fx.AS_OF).cast("date").alias("edit_date_received"), F.lit("clerk").alias("edit_received_by"))
+    return e.unionByName(e.filter(F.col("qty") == 2))
+
+
+@register("edit_order")
+def q_edit(spark, d):
+    t = T(spark, d)
+    return mt.edit_orders(t, EDITS(t)).select("req_id", "qty", "total", "notes", "location",
+                                             "date_received", "received_by")
+
+
+@register("keyed_update")
+def q_keyed_update(spark, d):
+    t = T(spark, d)
+    e = EDITS(t)
+    return mt.edit_orders(t, e).join(e.select("req_id").distinct(), "req_id", "left_semi").select(
+        "req_id", "item", "qty", "total", "notes")
+
+
+@register("key_lookup")
+def q_lookup(spark, d):
+    t = T(spark, d)
+    latest = t.agg(F.max("date_ordered").alias("date_ordered"))
+    ids = t.join(latest, "date_ordered", "left_semi").select("req_id")
+    return mt.key_lookup(t, ids).select("req_id", "item", F.col("total").cast("double").alias("total"))
+
+
+@register("delete_by_id")
+def q_delete_id(spark, d):
+    t = T(spark, d)
+    first = t.agg(F.min("req_id")).collect()[0][0]
+    return mt.delete_by_id(t, first).select("req_id")
+
+
+@register("delete_matching")
+def q_delete_matching(spark, d):
+    new = ing.import_po_summary(SUMMARY(spark, d), STORED(spark, d), "Admin", fx.AS_OF)
+    before = mt.append_orders(STORED(spark, d), new)
+    after = mt.delete_matching(before, vendor="supplier#0000000(1|2)", po="7", imported_placeholders=True)
+    return (before.agg(F.count(F.lit(1)).alias("rows_before"))
+                  .join(after.agg(F.count(F.lit(1)).alias("rows_after")), how="inner", on=F.lit(True))
+                  .withColumn("deleted", F.col("rows_before") - F.col("rows_after")))
+
+
+@register("delete_all")
+def q_delete_all(spark, d):
+    store = OrderStore(spark)
+    store.write(T(spark, d))
+    return store.delete_all()
+
+
+# ---- sources -------------------------------------------------------------------------
+@register("scan_orders")
+def q_scan(spark, d):
+    return T(spark, d)
+
+
+@register("schema_backfill")
+def q_backfill(spark, d):
+    upload = T(spark, d).drop("rf_project", "split_pct")
+    return conform(upload)
+
+
+@register("required_projection")
+def q_required(spark, d):
+    extra = T(spark, d).withColumn("alert", rep.status()).withColumn("year", F.year("date_ordered"))
+    return extra.select(*ORDER_COLUMNS)
+
+
+@register("write_snapshot")
+def q_write_snapshot(spark, d):
+    return OrderStore(spark).write(T(spark, d))
+
+
+@register("scan_line_items")
+def q_scan_lines(spark, d):
+    return LINES(spark, d)
+
+
+@register("detect_export_format")
+def q_detect(spark, d):
+    f = export_files(spark, d)
+    lines = ex.scan_line_items(spark, f.line_items)
+    rows = [("line_items", ex.detect_export_format(lines.columns)),
+            ("po_summary", ex.detect_export_format(SUMMARY(spark, d).columns))]
+    return spark.createDataFrame(rows, "export string, detected string")
+
+
+@register("scan_po_summary")
+def q_scan_summary(spark, d):
+    return SUMMARY(spark, d).select("PO Number", "Supplier", "Total Amount", "PO Owner")
+
+
+@register("scan_inventory")
+def q_scan_inventory(spark, d):
+    return INVENTORY(spark, d)
+
+
+@register("export_csv")
+def q_export_csv(spark, d):
+    from labledger.session import scratch_path
+    from labledger.sources.store import export_csv
+    path = scratch_path(spark, "export_csv")
+    export_csv(T(spark, d), path)
+    return spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("verify_after_write")
+def q_verify(spark, d):
+    return OrderStore(spark).write(T(spark, d))
+
+
+@register("preview")
+def q_preview(spark, d):
+    from labledger.sources.store import preview
+    return preview(T(spark, d).select("req_id", "item", "vendor", F.col("total").cast("double").alias("total")), 20)

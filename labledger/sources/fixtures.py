@@ -107,3 +107,153 @@ JOIN customer ON o_custkey   = c_custkey
 JOIN nation   ON c_nationkey = n_nationkey
 JOIN region   ON n_regionkey = r_regionkey
 """
+
+
+# ---------------------------------------------------------------------------
+# Derived fixtures. Damage and variants are keyed on the order number so that
+# Spark and the DuckDB oracle agree row by row; every row of the order table
+# is carried, none is dropped.
+
+def _k():
+    return F.col("po_no").cast("bigint") % 20
+
+
+def order_lines_raw(orders: DataFrame) -> DataFrame:
+    """Every column as text, with typical export damage (see FIXTURES.md section 4)."""
+    k = _k()
+    s = lambda c: F.col(c).cast(_S)
+    return orders.select(
+        "req_id",
+        F.when(k == 4, F.concat("item", F.lit(" - Pkg 10 EA"))).otherwise(F.col("item")).alias("item"),
+        F.when(k == 5, F.concat(F.col("qty").cast("bigint").cast(_S), F.lit(" EA"))).otherwise(s("qty")).alias("qty"),
+        s("unit_price").alias("unit_price"),
+        F.when(k == 1, F.lit("n/a")).otherwise(s("total")).alias("total"),
+        F.when(k == 3, F.concat("vendor", F.lit(" Contract no value"))).otherwise(F.col("vendor")).alias("vendor"),
+        "cat_no", "grant", "rf_project", "split_pct", "po_source", "po_no", "notes", "ordered_by",
+        F.when(k == 0, F.date_format("date_ordered", "MM/dd/yyyy"))
+         .when(k == 6, F.lit("not a date")).otherwise(s("date_ordered")).alias("date_ordered"),
+        F.when(k == 2, F.lit("")).otherwise(s("date_received")).alias("date_received"),
+        "received_by", "location", "lab")
+
+
+ORDER_LINES_RAW_SQL = """order_lines_raw AS (SELECT req_id,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 4 THEN item || ' - Pkg 10 EA' ELSE item END AS item,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 5 THEN CAST(CAST(qty AS BIGINT) AS VARCHAR) || ' EA' ELSE CAST(qty AS VARCHAR) END AS qty,
+  CAST(unit_price AS VARCHAR) AS unit_price,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 1 THEN 'n/a' ELSE CAST(total AS VARCHAR) END AS total,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 3 THEN vendor || ' Contract no value' ELSE vendor END AS vendor,
+  cat_no, "grant", rf_project, split_pct, po_source, po_no, notes, ordered_by,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 0 THEN strftime(date_ordered, '%m/%d/%Y')
+       WHEN CAST(po_no AS BIGINT) % 20 = 6 THEN 'not a date' ELSE CAST(date_ordered AS VARCHAR) END AS date_ordered,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 2 THEN '' ELSE CAST(date_received AS VARCHAR) END AS date_received,
+  received_by, location, lab FROM order_lines)"""
+
+# The stored table the imports run against: orders placed before this date.
+STORED_BEFORE = "1999-01-01"
+
+
+def stored_orders(orders: DataFrame) -> DataFrame:
+    """Existing table for the import fixtures; notes carry the original
+    request id the way inventory imports write it (some with a float ".0")."""
+    note = F.concat(F.lit("Original Req#: "), F.col("po_no"),
+                    F.when(F.col("qty") > 30, F.lit(".0")).otherwise(F.lit("")), F.lit("."))
+    return (orders.filter(F.col("date_ordered") < F.lit(STORED_BEFORE).cast("date"))
+                  .withColumn("notes", note))
+
+
+STORED_SQL = f"""stored AS (SELECT * REPLACE (
+    'Original Req#: ' || po_no || CASE WHEN qty > 30 THEN '.0' ELSE '' END || '.' AS notes)
+  FROM order_lines WHERE date_ordered < DATE '{STORED_BEFORE}')"""
+
+
+def line_item_export(orders: DataFrame) -> DataFrame:
+    """Incoming line-item export: one line per order line, text columns with
+    line-item headers (two with stray spaces), ``Line`` = file order."""
+    from labledger.operators.numbering import consecutive_index
+
+    k = _k()
+    s = lambda c: F.col(c).cast(_S)
+    grant_id = F.concat((F.length("grant") * 1000 + F.ascii("grant") + 100000).cast(_S), F.lit(".0"))
+    df = orders.select(
+        "req_id",
+        F.when(k == 9, F.concat("po_no", F.lit(".0"))).otherwise(F.col("po_no")).alias("PO #"),
+        F.when(k == 4, F.concat("item", F.lit(" - Pkg 10 EA"))).when(k == 10, F.lit("ab"))
+         .otherwise(F.col("item")).alias(" Item"),
+        F.when(k == 3, F.concat("vendor", F.lit(" Contract no value"))).otherwise(F.col("vendor")).alias("Vendor"),
+        F.when(k == 5, F.lit(None).cast(_S)).otherwise(s("qty")).alias("Quantity"),
+        F.when(k == 7, F.lit(None).cast(_S)).otherwise(s("unit_price")).alias("Unit Price ($)"),
+        F.when(k == 1, F.lit(None).cast(_S)).otherwise(s("total")).alias("Line Total ($) "),
+        F.when(k == 11, F.lit("abc")).when(F.col("grant").isNotNull(), grant_id).alias("Grant"),
+        F.when(F.col("rf_project").isNotNull(),
+               F.concat(F.substring("rf_project", 8, 100), F.lit(".0"))).alias("RF Project"),
+        F.when(k == 8, F.col("split_pct")).otherwise(F.replace("split_pct", F.lit("%"), F.lit(""))).alias("Split %"),
+        F.col("cat_no").alias("Catalog #"),
+        F.col("ordered_by").alias("Ordered By"),
+        F.when(k == 0, F.date_format("date_ordered", "MM/dd/yyyy"))
+         .otherwise(F.concat(s("date_ordered"), F.lit(" 00:00:00"))).alias("Date Ordered"))
+    return consecutive_index(df, ["req_id"], "Line").drop("req_id")
+
+
+LINE_ITEM_SQL = """li AS (SELECT row_number() OVER (ORDER BY req_id) AS line_no,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 9 THEN po_no || '.0' ELSE po_no END AS po_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 4 THEN item || ' - Pkg 10 EA'
+       WHEN CAST(po_no AS BIGINT) % 20 = 10 THEN 'ab' ELSE item END AS item_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 3 THEN vendor || ' Contract no value' ELSE vendor END AS vendor_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 5 THEN NULL ELSE CAST(qty AS VARCHAR) END AS qty_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 7 THEN NULL ELSE CAST(unit_price AS VARCHAR) END AS price_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 1 THEN NULL ELSE CAST(total AS VARCHAR) END AS total_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 11 THEN 'abc'
+       WHEN "grant" IS NOT NULL THEN CAST(length("grant") * 1000 + ascii("grant") + 100000 AS VARCHAR) || '.0' END AS grant_raw,
+  CASE WHEN rf_project IS NOT NULL THEN substring(rf_project, 8, 100) || '.0' END AS project_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 8 THEN split_pct ELSE replace(split_pct, '%', '') END AS split_raw,
+  cat_no AS cat_raw, ordered_by AS by_raw,
+  CASE WHEN CAST(po_no AS BIGINT) % 20 = 0 THEN strftime(date_ordered, '%m/%d/%Y')
+       ELSE CAST(date_ordered AS VARCHAR) || ' 00:00:00' END AS date_raw
+  FROM order_lines)"""
+
+
+def po_summary_rows(orders: DataFrame) -> DataFrame:
+    """Incoming PO summary: one row per order number."""
+    return (orders.groupBy("po_no").agg(
+                F.min("vendor").alias("Supplier"),
+                F.sum("total").cast(_S).alias("Total Amount"),
+                F.max("ordered_by").alias("PO Owner"),
+                F.min("date_ordered").alias("_d"))
+                  .select(F.col("po_no").alias("PO Number"), "Supplier", "Total Amount", "PO Owner",
+                          F.date_format("_d", "yyyy-MM").alias("export_month")))
+
+
+PO_SUMMARY_SQL = """pos AS (SELECT po_no AS po_raw, min(vendor) AS supplier_raw, CAST(sum(total) AS VARCHAR) AS amount_raw,
+  max(ordered_by) AS owner_raw, strftime(min(date_ordered), '%Y-%m') AS export_month
+  FROM order_lines GROUP BY po_no)"""
+
+
+def inventory_rows(orders: DataFrame) -> DataFrame:
+    """Incoming inventory workbook: one sheet per grant (``Sheet1`` without one)."""
+    from labledger.operators.numbering import consecutive_index
+
+    q = F.col("qty")
+    qty_text = F.col("qty").cast("bigint").cast(_S)
+    df = orders.select(
+        "req_id",
+        F.coalesce("grant", F.lit("Sheet1")).alias("sheet"),
+        F.when(q <= 2, F.lit("*")).when(q <= 4, F.lit(None).cast(_S))
+         .when(q <= 8, F.concat("po_no", F.lit(".0"))).otherwise(F.col("po_no")).alias("Req#"),
+        F.when(q == 50, F.lit("ab")).otherwise(F.col("item")).alias("Item"),
+        F.when(q <= 25, F.concat(qty_text, F.lit(" EA"))).when(q <= 40, F.concat(qty_text, F.lit(" CS")))
+         .alias("#"),
+        F.col("unit_price").cast(_S).alias("Amount"),
+        F.when(q > 45, F.lit(None).cast(_S)).otherwise(F.col("total").cast(_S)).alias("Total"),
+        F.col("vendor").alias("Vendor"))
+    return consecutive_index(df, ["req_id"], "Line").drop("req_id")
+
+
+INVENTORY_SQL = """inv AS (SELECT row_number() OVER (ORDER BY req_id) AS line_no,
+  coalesce("grant", 'Sheet1') AS sheet,
+  CASE WHEN qty <= 2 THEN '*' WHEN qty <= 4 THEN NULL WHEN qty <= 8 THEN po_no || '.0' ELSE po_no END AS req_raw,
+  CASE WHEN qty = 50 THEN 'ab' ELSE item END AS item_raw,
+  CASE WHEN qty <= 25 THEN CAST(CAST(qty AS BIGINT) AS VARCHAR) || ' EA'
+       WHEN qty <= 40 THEN CAST(CAST(qty AS BIGINT) AS VARCHAR) || ' CS' END AS count_raw,
+  CAST(unit_price AS VARCHAR) AS amount_raw,
+  CASE WHEN qty > 45 THEN NULL ELSE CAST(total AS VARCHAR) END AS total_raw,
+  vendor AS vendor_raw FROM order_lines)"""
