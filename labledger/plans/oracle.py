@@ -391,7 +391,7 @@ sql("po_anti_join", """SELECT k_po, supplier_raw AS "Supplier" FROM posk WHERE k
 sql("scan_po_summary", """SELECT po_raw AS "PO Number", supplier_raw AS "Supplier", amount_raw AS "Total Amount",
   owner_raw AS "PO Owner" FROM pos""", PO_SUMMARY_SQL)
 IMPPO = """imppo AS (SELECT printf('REQ-010802-%03d', row_number() OVER (ORDER BY export_month, CAST(po_raw AS BIGINT))) AS req_id,
-    '[Add item details]' AS item, 1.0 AS qty,
+    '[Add item details]' AS item, CAST(1.0 AS DOUBLE) AS qty,
     CAST(coalesce(TRY_CAST(amount_raw AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS unit_price,
     coalesce(TRY_CAST(amount_raw AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2))) AS total,
     supplier_raw AS vendor, CAST(NULL AS VARCHAR) AS cat_no, CAST(NULL AS VARCHAR) AS "grant",
