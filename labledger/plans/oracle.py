@@ -472,3 +472,20 @@ sql("required_projection", "SELECT * FROM order_lines")
 sql("verify_after_write", "SELECT count(*) AS rows, CAST(sum(total) AS DOUBLE) AS spend FROM order_lines")
 sql("preview", """SELECT h.*, c.total_rows FROM (SELECT req_id, item, vendor, CAST(total AS DOUBLE) AS total FROM order_lines
   ORDER BY req_id LIMIT 20) h, (SELECT count(*) AS total_rows FROM order_lines) c""")
+
+# ---- anomaly ----------------------------------------------------------------------------------
+_z = []
+for _c in ["qty", "unit_price", "total"]:
+    _mean = f"(s_{_c} / n)"
+    _var = f"(q_{_c} / n - {_mean} * {_mean})"
+    _z.append(f"round((CAST({_c} AS DOUBLE) - {_mean}) / (CASE WHEN {_var} > 0 THEN sqrt({_var}) ELSE 1.0 END), 9) AS z_{_c}")
+_st = ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(24,6))) AS DOUBLE) AS s_{c}, "
+                f"CAST(sum(CAST({c} AS DECIMAL(24,6)) * CAST({c} AS DECIMAL(24,6))) AS DOUBLE) AS q_{c}"
+                for c in ["qty", "unit_price", "total"])
+sql("standardize", f"""SELECT req_id, {', '.join(_z)} FROM
+  (SELECT * FROM order_lines WHERE total > 0 AND qty IS NOT NULL AND isfinite(qty) AND unit_price IS NOT NULL) f,
+  (SELECT count(*) AS n, {_st} FROM order_lines WHERE total > 0 AND qty IS NOT NULL AND isfinite(qty) AND unit_price IS NOT NULL) st""")
+sql("minmax_invert", """SELECT req_id, coalesce(1 - CASE WHEN mx <> mn THEN (CAST(total AS DOUBLE) - CAST(mn AS DOUBLE))
+  / CAST(mx - mn AS DOUBLE) END, 0.0) AS inv FROM order_lines, (SELECT min(total) AS mn, max(total) AS mx FROM order_lines)""")
+sql("contamination_cut", """SELECT req_id, CAST(total AS DOUBLE) AS total FROM order_lines
+  WHERE CAST(total AS DOUBLE) < (SELECT quantile_cont(CAST(total AS DOUBLE), 0.1) FROM order_lines)""")

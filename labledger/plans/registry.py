@@ -650,3 +650,45 @@ def q_verify(spark, d):
 def q_preview(spark, d):
     from labledger.sources.store import preview
     return preview(T(spark, d).select("req_id", "item", "vendor", F.col("total").cast("double").alias("total")), 20)
+
+
+# ---- anomaly ---------------------------------------------------------------------------
+from labledger.operators import anomaly as an  # noqa: E402
+
+
+@register("standardize")
+def q_standardize(spark, d):
+    return an.standardize_sql_exact(an.finite_features(flt.positive_totals(T(spark, d))))
+
+
+@register("minmax_invert")
+def q_minmax(spark, d):
+    return an.minmax_invert(T(spark, d).select("req_id", "total"), "total", "inv").select("req_id", "inv")
+
+
+@register("contamination_cut")
+def q_contamination(spark, d):
+    t = T(spark, d).select("req_id", F.col("total").cast("double").alias("total"))
+    flagged, _ = an.contamination_cut(t, "total", 0.1)
+    return flagged
+
+
+@register("anomalies")
+def q_anomalies(spark, d):
+    return an.anomalies(T(spark, d))
+
+
+@register("fit_anomaly_model")
+def q_fit_model(spark, d):
+    t = T(spark, d)
+    model = an.fit_anomaly_model(t.filter(F.col("date_ordered") < F.lit("2001-01-01").cast("date")))
+    path = an.save_model(spark, model)
+    return spark.read.parquet(f"{path}/score_range")
+
+
+@register("score_new_orders")
+def q_score_new(spark, d):
+    t = T(spark, d)
+    model = an.fit_anomaly_model(t.filter(F.col("date_ordered") < F.lit("2001-01-01").cast("date")))
+    new = t.filter(F.col("date_ordered") >= F.lit("2001-01-01").cast("date"))
+    return an.score_new_orders(new, model)
