@@ -692,3 +692,27 @@ def q_score_new(spark, d):
     model = an.fit_anomaly_model(t.filter(F.col("date_ordered") < F.lit("2001-01-01").cast("date")))
     new = t.filter(F.col("date_ordered") >= F.lit("2001-01-01").cast("date"))
     return an.score_new_orders(new, model)
+
+
+# ---- streaming -------------------------------------------------------------------------
+from labledger.session import scratch_path  # noqa: E402
+from labledger.streaming import jobs as sj  # noqa: E402
+
+
+@register("stream_score_orders")
+def q_stream_score(spark, d):
+    t = T(spark, d)
+    model = an.fit_anomaly_model(t.filter(F.col("date_ordered") < F.lit("2001-01-01").cast("date")))
+    src = scratch_path(spark, "stream", "orders_in")
+    (t.withColumn("_y", F.year("date_ordered")).repartition("_y").drop("_y")
+      .write.parquet(src))
+    sink = sj.stream_score_orders(spark, src, model)
+    return spark.read.parquet(sink)
+
+
+@register("stream_import")
+def q_stream_import(spark, d):
+    store = OrderStore(spark)
+    store.write(STORED(spark, d))
+    sj.stream_import(spark, export_files(spark, d).line_items, store)
+    return store.read().filter(F.col("req_id").startswith("REQ-")).select("req_id", "item", "po_no", "total")

@@ -10,6 +10,7 @@ keep seeing the previous version.
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,28 +27,56 @@ class OrderStore:
     def _log_path(self) -> str:
         return f"{self.root}/_log"
 
+    _LOG_SCHEMA = "version bigint, path string, rows bigint, written_at double, kind string"
+
     def versions(self) -> DataFrame:
         try:
-            return self.spark.read.parquet(self._log_path())
+            return self.spark.read.schema(self._LOG_SCHEMA).parquet(self._log_path())
         except Exception:
-            return self.spark.createDataFrame([], "version bigint, path string, rows bigint, written_at double")
+            return self.spark.createDataFrame([], self._LOG_SCHEMA)
+
+    def _log(self) -> list:
+        return self.versions().orderBy("version").collect()
 
     def current(self) -> tuple[int, str] | None:
         r = self.versions().orderBy(F.desc("version")).limit(1).collect()
         return (r[0]["version"], r[0]["path"]) if r else None
 
+    def _live_paths(self) -> list[str]:
+        """The last full snapshot and the appended parts after it."""
+        paths: list[str] = []
+        for r in self._log():
+            if r["kind"] == "append":
+                paths.append(r["path"])
+            else:
+                paths = [r["path"]]
+        return paths
+
     # -- S1 -------------------------------------------------------------
     def read(self) -> DataFrame:
-        """The current snapshot; an empty typed table when nothing was saved."""
-        cur = self.current()
-        if cur is None:
+        """The current table; an empty typed table when nothing was saved."""
+        paths = self._live_paths()
+        if not paths:
             return empty_orders(self.spark)
-        return self.spark.read.schema(ORDER).parquet(cur[1]).select(*ORDER_COLUMNS)
+        parts = [self.spark.read.schema(ORDER).option("basePath", p).parquet(p).select(*ORDER_COLUMNS) for p in paths]
+        return reduce(DataFrame.unionByName, parts)
+
+    def append(self, rows: DataFrame, compact_after: int = 32) -> DataFrame:
+        """U1 as storage: write only the new rows as the next version (kind
+        append); readers see the last full snapshot plus later parts. After
+        ``compact_after`` parts the table is rewritten as one snapshot."""
+        out = self._commit(rows, "append")
+        if len(self._live_paths()) > compact_after:
+            self.write(self.read())
+        return out
 
     # -- S4 -------------------------------------------------------------
     def write(self, df: DataFrame) -> DataFrame:
         """Save ``df`` as the next version and return the verification
         aggregate (S10: rows and spend re-read from the written files)."""
+        return self._commit(df, "full")
+
+    def _commit(self, df: DataFrame, kind: str) -> DataFrame:
         cur = self.current()
         version = 1 if cur is None else cur[0] + 1
         path = f"{self.root}/v{version:06d}"
@@ -55,8 +84,7 @@ class OrderStore:
         check = (self.spark.read.schema(ORDER).parquet(path)
                      .agg(F.count(F.lit(1)).alias("rows"), F.sum("total").cast("double").alias("spend")))
         rows = check.collect()[0]
-        self.spark.createDataFrame([(version, path, rows["rows"], time.time())],
-                                   "version bigint, path string, rows bigint, written_at double") \
+        self.spark.createDataFrame([(version, path, rows["rows"], time.time(), kind)], self._LOG_SCHEMA) \
             .coalesce(1).write.mode("append").parquet(self._log_path())
         return check
 
