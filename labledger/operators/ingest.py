@@ -79,8 +79,9 @@ def import_dup_count(export: DataFrame, existing: DataFrame) -> DataFrame:
                      F.col("in_file_duplicates").cast("bigint").alias("in_file_duplicates")))
 
 
-def map_line_items(p: DataFrame, lab: str) -> DataFrame:
-    """P19 (line items) + P7-P12: export columns -> order columns (no id yet)."""
+def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
+    """P19 (line items) + P7-P12: export columns -> order columns (no id yet);
+    ``keep`` columns are carried along unchanged."""
     qty, price, total = cl.amount_fallbacks("Quantity", "Unit Price ($)", "Line Total ($)")
     grant = cl.integer_id_text("Grant")
     project = cl.integer_id_text("RF Project")
@@ -102,19 +103,25 @@ def map_line_items(p: DataFrame, lab: str) -> DataFrame:
         F.lit(None).cast("string").alias("received_by"),
         F.lit(None).cast("string").alias("location"),
         F.lit(lab).alias("lab"),
-        ((grant.isNull()) | (project.isNull())).alias("_bad"))
+        ((grant.isNull()) | (project.isNull())).alias("_bad"),
+        *keep)
+
+
+def _mapped_lines(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:
+    """Priced lines mapped to order columns, with the key columns and the
+    stored-key flag (one left join against the deduplicated stored keys)."""
+    flagged = prepared_line_items(export).join(
+        stored_line_keys(existing).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
+    flagged = flagged.withColumn("_stored", F.coalesce("_stored", F.lit(False)))
+    return map_line_items(flagged, lab, keep=("k_po", "k_item", "item_clean", "_stored"))
 
 
 def line_item_dispositions(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:
     """Every priced line with its disposition and mapped order columns."""
-    p = prepared_line_items(export)
-    flagged = p.join(stored_line_keys(existing).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
-    mapped = map_line_items(flagged.withColumn("_stored", F.coalesce("_stored", F.lit(False))), lab)
-    mapped = mapped.join(flagged.select("line_no", "_stored", "k_po", "k_item", "item_clean"), "line_no")
+    mapped = _mapped_lines(export, existing, lab)
     named = F.length("item_clean") >= 3
     pre = F.when(~named, "unnamed").when(F.col("_stored"), "duplicate").when(F.col("_bad"), "quarantined")
     mapped = mapped.withColumn("_pre", pre)
-    # first line of each remaining key (null PO never matches another line)
     cand = mapped.filter(F.col("_pre").isNull())
     keyed = cand.withColumn("_kp", F.coalesce("k_po", F.concat(F.lit("#"), F.col("line_no").cast("string"))))
     firsts = keyed.groupBy("_kp", "k_item").agg(F.min("line_no").alias("line_no")).select("line_no")
@@ -125,9 +132,17 @@ def line_item_dispositions(export: DataFrame, existing: DataFrame, lab: str) ->
 
 
 def import_line_items(export: DataFrame, existing: DataFrame, lab: str = "Admin", as_of: str = AS_OF) -> DataFrame:
-    """The order rows a line-item export adds (ids in file order)."""
-    d = line_item_dispositions(export, existing, lab).filter(F.col("disposition") == "imported")
-    with_ids = request_ids(d, ["line_no"], existing, as_of)
+    """The order rows a line-item export adds (ids in file order).
+
+    Candidates (named, not stored, not quarantined) keep the first line of
+    each key by one ``min_by`` aggregation; no join back to the lines.
+    """
+    mapped = _mapped_lines(export, existing, lab)
+    cand = mapped.filter((F.length("item_clean") >= 3) & ~F.col("_stored") & ~F.col("_bad"))
+    keyed = cand.withColumn("_kp", F.coalesce("k_po", F.concat(F.lit("#"), F.col("line_no").cast("string"))))
+    cols = [c for c in keyed.columns if c not in ("_kp", "k_item")]
+    first = keyed.groupBy("_kp", "k_item").agg(F.min_by(F.struct(*cols), F.col("line_no")).alias("_r")).select("_r.*")
+    with_ids = request_ids(first, ["line_no"], existing, as_of)
     return conform(with_ids)
 
 

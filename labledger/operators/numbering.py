@@ -21,6 +21,12 @@ _LOW33 = (1 << 33) - 1
 def consecutive_index(df: DataFrame, order: list[str | Column], name: str = "idx", start: int = 1,
                       partitions: int | None = None) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order`` (which must be a total order)."""
+    return indexed_with_count(df, order, name, start, partitions)[0]
+
+
+def indexed_with_count(df: DataFrame, order: list[str | Column], name: str = "idx", start: int = 1,
+                       partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``consecutive_index`` plus the row count it learns on the way."""
     spark = df.sparkSession
     shared_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,9 +40,10 @@ def consecutive_index(df: DataFrame, order: list[str | Column], name: str = "idx
         offsets += [F.lit(int(r["pid"])), F.lit(acc)]
         acc += int(r["n"])
     if not offsets:
-        return tagged.drop("_mid").withColumn(name, F.lit(None).cast("bigint"))
+        return tagged.drop("_mid").withColumn(name, F.lit(None).cast("bigint")), 0
     off = F.create_map(*offsets)[F.shiftright("_mid", 33)]
-    return tagged.withColumn(name, off + F.col("_mid").bitwiseAND(F.lit(_LOW33)) + F.lit(start)).drop("_mid")
+    out = tagged.withColumn(name, off + F.col("_mid").bitwiseAND(F.lit(_LOW33)) + F.lit(start)).drop("_mid")
+    return out, acc
 
 
 def request_prefix(as_of: str | dt.date) -> str:
@@ -57,13 +64,15 @@ def request_ids(batch: DataFrame, order: list[str | Column], existing: DataFrame
                     .select(sfx.alias("s"), "req_id")
                     .filter((F.col("s") >= 1) & (F.format_string(prefix + "-%03d", F.col("s")) == F.col("req_id")))
                     .select("s").distinct())
-    m = used.count()
-    n = batch.count()
+    ranked, n = indexed_with_count(batch, order, "_k")
     if n == 0:
-        return batch.withColumn(name, F.lit(None).cast("string"))
+        return ranked.drop("_k").withColumn(name, F.lit(None).cast("string"))
+    m = used.count()
     cand = spark.range(1, m + n + 1).join(used, F.col("id") == F.col("s"), "left_anti")
-    free = consecutive_index(cand, ["id"], "_k").filter(F.col("_k") <= n)
-    ranked = consecutive_index(batch, order, "_k")
+    if m == 0:
+        free = cand.select(F.col("id").alias("_k"), "id")
+    else:
+        free = consecutive_index(cand, ["id"], "_k").filter(F.col("_k") <= n)
     return (ranked.join(free, "_k")
                   .withColumn(name, F.format_string(prefix + "-%03d", F.col("id")))
                   .drop("_k", "id"))

@@ -489,3 +489,19 @@ sql("minmax_invert", """SELECT req_id, coalesce(1 - CASE WHEN mx <> mn THEN (CAS
   / CAST(mx - mn AS DOUBLE) END, 0.0) AS inv FROM order_lines, (SELECT min(total) AS mn, max(total) AS mx FROM order_lines)""")
 sql("contamination_cut", """SELECT req_id, CAST(total AS DOUBLE) AS total FROM order_lines
   WHERE CAST(total AS DOUBLE) < (SELECT quantile_cont(CAST(total AS DOUBLE), 0.1) FROM order_lines)""")
+
+# ---- single predicates and small pieces -----------------------------------------------------
+sql("vendor_match", "SELECT req_id, vendor FROM order_lines WHERE coalesce(regexp_matches(vendor, 'supplier#00000001[0-9]', 'i'), false)")
+sql("grant_match", """SELECT req_id, "grant" FROM order_lines WHERE coalesce(regexp_matches("grant", '^(auto|mach)', 'i'), false)""")
+sql("source_equals", "SELECT req_id, po_source FROM order_lines WHERE coalesce(po_source = 'Stock Room', false)")
+sql("priced_lines", """SELECT line_no, TRY_CAST(price_raw AS DOUBLE) AS price FROM li
+  WHERE TRY_CAST(price_raw AS DOUBLE) IS NOT NULL AND TRY_CAST(price_raw AS DOUBLE) > 0""", LINE_ITEM_SQL)
+sql("named_lines", "SELECT line_no, item_clean FROM lip WHERE item_clean IS NOT NULL AND length(item_clean) >= 3",
+    LINE_ITEM_SQL, LIP)
+sql("dated_rows", f"SELECT req_id, {P4(P10('date_ordered'))} AS d FROM order_lines_raw WHERE {P4(P10('date_ordered'))} IS NOT NULL", RAW)
+sql("assigned_only", "SELECT req_id, rf_project FROM order_lines WHERE rf_project IS NOT NULL AND rf_project <> ''")
+sql("import_total", """SELECT CAST(sum(TRY_CAST(total_raw AS DECIMAL(18,2))) AS DOUBLE) AS import_total, count(*) AS lines
+  FROM li WHERE coalesce(TRY_CAST(price_raw AS DOUBLE) > 0, false)""", LINE_ITEM_SQL)
+sql("map_po_summary", f"""SELECT {POKEY('po_raw')} AS po_no, '[Add item details]' AS item, CAST(1.0 AS DOUBLE) AS qty,
+  coalesce(TRY_CAST(amount_raw AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2))) AS total, supplier_raw AS vendor,
+  owner_raw AS ordered_by, 'ShopBlue' AS po_source FROM pos""", PO_SUMMARY_SQL)

@@ -716,3 +716,61 @@ def q_stream_import(spark, d):
     store.write(STORED(spark, d))
     sj.stream_import(spark, export_files(spark, d).line_items, store)
     return store.read().filter(F.col("req_id").startswith("REQ-")).select("req_id", "item", "po_no", "total")
+
+
+# ---- single predicates and small pieces used inside the pipelines ----------------------
+@register("vendor_match")
+def q_vendor_match(spark, d):
+    return T(spark, d).filter(flt.pattern_match("vendor", "supplier#00000001[0-9]")).select("req_id", "vendor")
+
+
+@register("grant_match")
+def q_grant_match(spark, d):
+    return T(spark, d).filter(flt.pattern_match("grant", "^(auto|mach)")).select("req_id", "grant")
+
+
+@register("source_equals")
+def q_source_equals(spark, d):
+    return T(spark, d).filter(flt.source_equals("po_source", "Stock Room")).select("req_id", "po_source")
+
+
+@register("priced_lines")
+def q_priced(spark, d):
+    lines = LINES(spark, d)
+    col = ing.price_column(lines.columns)
+    return flt.priced_lines(lines.withColumn("_p", F.col(col).try_cast("double")), "_p").select(
+        F.col("Line").cast("bigint").alias("line_no"), F.col("_p").alias("price"))
+
+
+@register("named_lines")
+def q_named(spark, d):
+    p = ing.prepared_line_items(LINES(spark, d))
+    return flt.named_lines(p, "item_clean", 3).select("line_no", "item_clean")
+
+
+@register("dated_rows")
+def q_dated(spark, d):
+    r = R(spark, d).withColumn("d", cl.coerce_date(cl.normalize_date_text("date_ordered")))
+    return flt.dated_rows(r, "d").select("req_id", "d")
+
+
+@register("assigned_only")
+def q_assigned(spark, d):
+    return T(spark, d).filter(flt.assigned("rf_project")).select("req_id", "rf_project")
+
+
+@register("import_total")
+def q_import_total(spark, d):
+    lines = LINES(spark, d)
+    priced = flt.priced_lines(lines.withColumn("_p", F.col("Unit Price ($)").try_cast("double")), "_p")
+    return priced.agg(F.sum(F.col("Line Total ($)").try_cast("decimal(18,2)")).cast("double").alias("import_total"),
+                      F.count(F.lit(1)).alias("lines"))
+
+
+@register("map_po_summary")
+def q_map_summary(spark, d):
+    s = SUMMARY(spark, d)
+    amount = F.coalesce(F.col("Total Amount").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    return s.select(cl.po_key("PO Number").alias("po_no"), F.lit(ing.SUMMARY_ITEM).alias("item"),
+                    F.lit(1.0).alias("qty"), amount.alias("total"), F.col("Supplier").alias("vendor"),
+                    F.col("PO Owner").alias("ordered_by"), F.lit(ing.IMPORT_SOURCE).alias("po_source"))

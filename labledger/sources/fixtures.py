@@ -32,12 +32,15 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # nation x region is a fixed-size dimension (25 rows by the TPC-H spec); prove it and broadcast.
     geo = bounded_broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey), 10_000)
+    # Customer attributes are joined onto orders (a quarter of lineitem's size)
+    # before orders meets lineitem, so the wide lineitem stream is shuffled
+    # once less; part and supplier follow (AQE broadcasts them while small).
     cust = c.join(geo, c.c_nationkey == geo.n_nationkey)
+    oc = o.join(cust, o.o_custkey == cust.c_custkey)
 
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
+    j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey)
-           .join(s, li.l_suppkey == s.s_suppkey)
-           .join(cust, o.o_custkey == cust.c_custkey))
+           .join(s, li.l_suppkey == s.s_suppkey))
 
     ship = F.col("l_shipdate").cast("date")
     req_id = F.concat(F.lit("L"), F.col("l_orderkey").cast(_S), F.lit("-"), F.col("l_linenumber").cast(_S),
