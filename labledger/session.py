@@ -37,6 +37,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -73,10 +74,35 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "labledger", *parts, uuid.uuid4().hex])
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``labledger`` importable in executor Python workers (the
+    ``--py-files`` mechanism): zip the package once per application and hand
+    it to ``addPyFile``, which distributes it with the job."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="labledger-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for local-only helpers (tests)."""
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-__all__ = ["get_session", "shared_dir", "scratch_path", "local_path", "DEFAULT_CONF"]
-_ = os
+__all__ = ["get_session", "shared_dir", "ship_package", "scratch_path", "local_path", "DEFAULT_CONF"]

@@ -11,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labledger.schema import conform
-from labledger.sources.tables import bounded_broadcast, table
+from labledger.sources.tables import table
 
 # The as-of instant used wherever the original used "now".
 AS_OF = "2001-08-02"
@@ -20,9 +20,11 @@ _S = "string"
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lineitem is the fact table: it never becomes a broadcast build side, and
+    # its join with orders (the two largest tables) is a sort-merge join.
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate").hint("merge")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -30,11 +32,12 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
-    # nation x region is a fixed-size dimension (25 rows by the TPC-H spec); prove it and broadcast.
-    geo = bounded_broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey), 10_000)
+    # Dimensions (nation, region, part, supplier, customer) are broadcast by the
+    # planner only while their measured size is under the broadcast threshold.
+    geo = n.join(r, n.n_regionkey == r.r_regionkey)
     # Customer attributes are joined onto orders (a quarter of lineitem's size)
     # before orders meets lineitem, so the wide lineitem stream is shuffled
-    # once less; part and supplier follow (AQE broadcasts them while small).
+    # once less.
     cust = c.join(geo, c.c_nationkey == geo.n_nationkey)
     oc = o.join(cust, o.o_custkey == cust.c_custkey)
 

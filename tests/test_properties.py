@@ -110,3 +110,21 @@ def test_detect_format():
     assert ex.detect_export_format(["PO Number", "Supplier", "Total Amount"]) == "po_summary"
     with pytest.raises(ValueError):
         ex.detect_export_format(["foo"])
+
+
+def test_forest_stratified_sampling_path(spark, orders_df):
+    # n >= 4 * trees * psi switches to one hash per row with one stratum per tree
+    df = _feature_rows(orders_df, 1400, extreme=True, seed=21)
+    a = an.anomalies(df.repartition(2), n_trees=10, max_samples=32).collect()
+    b = an.anomalies(df.repartition(5), n_trees=10, max_samples=32).collect()
+    assert [r["req_id"] for r in a] == [r["req_id"] for r in b]
+    top = max(r["anomaly_score"] for r in a)
+    assert {r["req_id"]: r["anomaly_score"] for r in a}["zzzz"] == top
+    assert len(a) <= 141
+
+
+def test_quantile_with_ties(spark):
+    vals = [1.0] * 500 + [2.0] * 3 + [7.5] * 400 + [9.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for q in (0.1, 0.55, 0.556, 0.999, 1.0):
+        assert percentile_linear(df, "x", q, buckets=4, gather_limit=3) == pytest.approx(np.percentile(vals, q * 100))
