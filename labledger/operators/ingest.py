@@ -197,8 +197,8 @@ def origin_req_anti_join(inv: DataFrame, existing: DataFrame) -> DataFrame:
     return p.join(hit, "k_orig", "left").filter(blank | F.col("_s").isNull()).drop("_s")
 
 
-def map_inventory(p: DataFrame, lab: str) -> DataFrame:
-    """P19 (inventory) + P11, P12, P14."""
+def map_inventory(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
+    """P19 (inventory) + P11, P12, P14; ``keep`` columns ride along."""
     qty = cl.parse_pack_qty("#")
     amount = F.coalesce(F.col("Amount").try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
     total = F.coalesce(F.col("Total").try_cast("decimal(18,2)"), (qty.cast("decimal(18,4)") * amount).cast("decimal(18,2)"))
@@ -209,19 +209,20 @@ def map_inventory(p: DataFrame, lab: str) -> DataFrame:
         sheet_grant("sheet").alias("grant"),
         F.lit(IMPORT_SOURCE).alias("po_source"),
         nullif_blank(cl.origin_note("Req#")).alias("notes"),
-        F.lit(lab).alias("lab"))
+        F.lit(lab).alias("lab"),
+        *keep)
 
 
 def import_inventory(inv: DataFrame, existing: DataFrame, lab: str = "Admin", as_of: str = AS_OF) -> DataFrame:
     """Inventory rows not imported before (by original id), first row of an
-    id wins inside the workbook, ids in (sheet, line) order."""
+    id wins inside the workbook (one ``min_by`` aggregation, no join back),
+    ids in (sheet, line) order."""
     passed = origin_req_anti_join(inv, existing)
     blank = cl.is_blank_id(F.col("orig"))
-    keyed = passed.withColumn("_kp", F.when(blank, F.concat(F.lit("#"), F.col("line_no").cast("string")))
-                                       .otherwise(F.col("k_orig")))
-    firsts = keyed.groupBy("_kp").agg(F.min(F.struct("sheet", "line_no")).alias("f"))
-    firsts = firsts.select(F.col("f.sheet").alias("sheet"), F.col("f.line_no").alias("line_no"))
-    kept = passed.join(firsts, ["sheet", "line_no"], "left_semi")
-    rows = map_inventory(kept, lab)
-    return conform(request_ids(rows, ["sheet", "line_no"], existing, as_of))
-
+    mapped = map_inventory(passed.withColumn("_kp", F.when(blank, F.concat(F.lit("#"), F.col("line_no").cast("string")))
+                                                    .otherwise(F.col("k_orig"))), lab, keep=("_kp",))
+    cols = [c for c in mapped.columns if c != "_kp"]
+    first = (mapped.groupBy("_kp")
+                   .agg(F.min_by(F.struct(*cols), F.struct("sheet", "line_no")).alias("_r"))
+                   .select("_r.*"))
+    return conform(request_ids(first, ["sheet", "line_no"], existing, as_of))

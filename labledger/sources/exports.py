@@ -10,7 +10,7 @@ All columns are read as text; typing happens once in the import pipelines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from labledger.schema import PO_SUMMARY_HEADERS
 
@@ -42,16 +42,18 @@ def _lines_with_position(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their position inside the file block they were read from.
 
     Rows of one block are contiguous within a read partition, so the position
-    is ``monotonically_increasing_id`` minus the block's first id. The window
-    groups one file block (bounded by ``spark.sql.files.maxPartitionBytes``).
+    is ``monotonically_increasing_id`` minus the block's first id. The first
+    ids come from an aggregation with one row per input split, broadcast back:
+    the lines themselves are never shuffled.
     """
     raw = (spark.read.option("recursiveFileLookup", True).text(path)
                 .select("value",
                         F.col("_metadata.file_path").alias("_file"),
                         F.col("_metadata.file_block_start").alias("_block"),
                         F.monotonically_increasing_id().alias("_mid")))
-    w = Window.partitionBy("_file", "_block")
-    return raw.withColumn("_pos", F.col("_mid") - F.min("_mid").over(w))
+    starts = raw.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"))
+    return (raw.join(F.broadcast(starts), ["_file", "_block"])
+               .withColumn("_pos", F.col("_mid") - F.col("_first")).drop("_first"))
 
 
 def scan_po_summary(spark: SparkSession, path: str) -> DataFrame:
