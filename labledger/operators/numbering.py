@@ -68,11 +68,11 @@ def request_ids(batch: DataFrame, order: list[str | Column], existing: DataFrame
     if n == 0:
         return ranked.drop("_k").withColumn(name, F.lit(None).cast("string"))
     m = used.count()
-    cand = spark.range(1, m + n + 1).join(used, F.col("id") == F.col("s"), "left_anti")
     if m == 0:
-        free = cand.select(F.col("id").alias("_k"), "id")
-    else:
-        free = consecutive_index(cand, ["id"], "_k").filter(F.col("_k") <= n)
+        # No id of that day is taken: the k-th row gets suffix k, no join needed.
+        return ranked.withColumn(name, F.format_string(prefix + "-%03d", F.col("_k"))).drop("_k")
+    cand = spark.range(1, m + n + 1).join(used, F.col("id") == F.col("s"), "left_anti")
+    free = consecutive_index(cand, ["id"], "_k").filter(F.col("_k") <= n)
     return (ranked.join(free, "_k")
                   .withColumn(name, F.format_string(prefix + "-%03d", F.col("id")))
                   .drop("_k", "id"))

@@ -84,6 +84,14 @@ def test_request_ids_never_truncate(spark, orders_df):
     assert got == ["REQ-010802-1000", "REQ-010802-1001"]
 
 
+def test_request_ids_first_of_day(spark, orders_df):
+    # no id of the as-of day is taken (only other days'): suffixes 1..n in order
+    existing = orders_df([{"req_id": "REQ-010801-001"}, {"req_id": "L1-1"}])
+    batch = spark.range(0, 1200, 1, 5).select((F.col("id") * 7 % 1200).alias("line"))
+    got = request_ids(batch, ["line"], existing, "2001-08-02").collect()
+    assert sorted((r["line"], r["req_id"]) for r in got) == [(i, f"REQ-010802-{i + 1:03d}") for i in range(1200)]
+
+
 def test_consecutive_index(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
     out = consecutive_index(df, ["k"], "i", start=1)
