@@ -193,6 +193,11 @@ def test_vendor_ranking_edges(orders_df):
         {"item": "TIE", "vendor": "X", "unit_price": 10, "date_received": "2001-01-02"},
         {"item": "TIE", "vendor": "Z", "unit_price": 10, "date_received": "2001-01-02"},
         {"item": "TIE", "vendor": "W", "unit_price": 10, "date_received": "2001-01-02"},
+        # a null-vendor row counts towards the item's rows but is never ranked
+        {"item": "NV", "vendor": "S", "unit_price": 4, "date_received": "2001-01-02"},
+        {"item": "NV", "vendor": None, "unit_price": 1},
+        {"item": "NONE", "vendor": None, "unit_price": 1},
+        {"item": "NONE", "vendor": None, "unit_price": 2},
     ]
     out = src.vendor_ranking(orders_df(rows)).collect()
     by = {}
@@ -202,6 +207,8 @@ def test_vendor_ranking_edges(orders_df):
     assert by["ONE"] == [(1, "S", pytest.approx(0.8))]
     assert "SOLO" not in by
     assert [v for _, v, _ in sorted(by["TIE"])] == ["W", "X", "Y"]
+    assert by["NV"] == [(1, "S", pytest.approx(1.0))]
+    assert "NONE" not in by
 
 
 def test_bulk_threshold(orders_df):
