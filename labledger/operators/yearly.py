@@ -74,31 +74,43 @@ def year_ordinal(df: DataFrame) -> DataFrame:
     return years.select("year", (F.dense_rank().over(Window.orderBy("year")) - 1).alias("year_ordinal"))
 
 
-def yearly_projection(df: DataFrame) -> DataFrame:
-    """M9: next-year spend per grant by least squares on the year ordinal.
+def _year_facts(df: DataFrame) -> list[tuple[int, bool]]:
+    """Each year with dated rows, and whether any of its rows has a grant
+    (bounded by the calendar; one aggregation, collected)."""
+    rows = (df.filter(F.col("date_ordered").isNotNull())
+              .groupBy(F.year("date_ordered").alias("year"))
+              .agg(F.bool_or(F.col("grant").isNotNull()).alias("has_grant"))
+              .limit(MAX_YEARS + 1).collect())
+    if len(rows) > MAX_YEARS:
+        raise ValueError("too many distinct years")
+    return sorted((int(r["year"]), bool(r["has_grant"])) for r in rows)
 
-    x = ordinal of the year, y = spend. Sums are exact decimals; the closed
-    form is then evaluated in double. Projection floored at 0; growth against
-    the last year (0 when the last year is not positive); Up/Down/Stable at
-    +-5 %. One year only -> same value, Stable.
-    """
-    yg = year_grant_sums(df)
-    years = _years(yg)
+
+_PROJECTION_SCHEMA = ("grant string, current_year int, n_years bigint, last_spend double, projected double, "
+                      "growth_pct double, trend string")
+
+
+def _projection(df: DataFrame, facts: list[tuple[int, bool]]) -> DataFrame:
+    years = [y for y, has_grant in facts if has_grant]
     if not years:
-        return df.sparkSession.createDataFrame(
-            [], "grant string, current_year int, n_years bigint, last_spend double, projected double, "
-                "growth_pct double, trend string")
+        return df.sparkSession.createDataFrame([], _PROJECTION_SCHEMA)
+    current_year = max(y for y, _ in facts)
+    k = len(years)
     ordinal = F.create_map(*[v for i, y in enumerate(years) for v in (F.lit(y), F.lit(i))])
-    current_year = (df.filter(F.col("date_ordered").isNotNull())
-                      .agg(F.max(F.year("date_ordered")).alias("current_year")))
-    g = (year_grant_grid(df).withColumn("x", ordinal[F.col("year")])
+    # Over the zero-filled grid every grant has all k years, so n, sum(x) and
+    # sum(x^2) are the same for every grant and zero cells add nothing to
+    # sum(y) or sum(x*y): the sums come straight from the (year, grant) sums.
+    g = (year_grant_sums(df).withColumn("x", ordinal[F.col("year")])
            .groupBy("grant")
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.sum("x").alias("sx"),
-                F.sum(F.col("x") * F.col("x")).alias("sxx"),
-                F.sum("spend_dec").alias("sy"),
+           .agg(F.sum("spend_dec").alias("sy"),
                 F.sum(F.col("x").cast("decimal(10,0)") * F.col("spend_dec")).alias("sxy"),
-                F.max_by("spend_dec", "x").alias("last_dec")))
+                F.max("x").alias("_xmax"),
+                F.max_by("spend_dec", "x").alias("_last"))
+           .select("grant", "sy", "sxy",
+                   F.lit(k).cast("bigint").alias("n"),
+                   F.lit(sum(range(k))).cast("bigint").alias("sx"),
+                   F.lit(sum(i * i for i in range(k))).cast("bigint").alias("sxx"),
+                   F.when(F.col("_xmax") == k - 1, F.col("_last")).otherwise(F.lit(0)).alias("last_dec")))
     n = F.col("n").cast("double")
     sx = F.col("sx").cast("double")
     sy = F.col("sy").cast("double")
@@ -114,20 +126,36 @@ def yearly_projection(df: DataFrame) -> DataFrame:
     out = out.withColumn("growth_pct", growth)
     trend = F.when(F.col("growth_pct") > 5, "Up").when(F.col("growth_pct") < -5, "Down").otherwise("Stable")
     return (out.withColumn("trend", trend)
-               .join(F.broadcast(current_year), how="inner", on=F.lit(True))
-               .select("grant", "current_year", "n_years", "last_spend",
+               .select("grant", F.lit(current_year).alias("current_year"), "n_years", "last_spend",
                        F.round("projected", 6).alias("projected"), F.round("growth_pct", 6).alias("growth_pct"),
                        "trend"))
 
 
+def yearly_projection(df: DataFrame) -> DataFrame:
+    """M9: next-year spend per grant by least squares on the year ordinal.
+
+    x = ordinal of the year among the years with a grant, y = spend (0 for a
+    year without spend of that grant). Sums are exact decimals; the closed
+    form is then evaluated in double. Projection floored at 0; growth against
+    the last year (0 when the last year is not positive); Up/Down/Stable at
+    +-5 %. One year only -> same value, Stable. The years (bounded by the
+    calendar) are read once; the plan itself is one aggregation.
+    """
+    return _projection(df, _year_facts(df))
+
+
 def projection_total(df: DataFrame) -> DataFrame:
     """Spend of the current year (all grants) against the sum of the
     projections rounded to cents, and the change in percent."""
-    proj = yearly_projection(df).agg(F.sum(F.round("projected", 2)).alias("total_projected"))
-    dated = df.filter(F.col("date_ordered").isNotNull())
-    cur = dated.agg(F.max(F.year("date_ordered")).alias("current_year"))
-    tot = (dated.groupBy(F.year("date_ordered").alias("year")).agg(dsum("total").alias("total_current"))
-                .join(F.broadcast(cur), F.col("year") == F.col("current_year")))
+    facts = _year_facts(df)
+    if not facts:
+        return df.sparkSession.createDataFrame(
+            [], "current_year int, total_current double, total_projected double, change_pct double")
+    cy = max(y for y, _ in facts)
+    proj = _projection(df, facts).agg(F.sum(F.round("projected", 2)).alias("total_projected"))
+    # A date range (not year(date) = cy) so the filter reaches the parquet scan.
+    this_year = F.col("date_ordered").between(F.lit(f"{cy:04d}-01-01").cast("date"), F.lit(f"{cy:04d}-12-31").cast("date"))
+    tot = df.filter(this_year).agg(F.lit(cy).alias("current_year"), dsum("total").alias("total_current"))
     j = tot.join(F.broadcast(proj), how="inner", on=F.lit(True))
     change = F.when(F.col("total_current") > 0,
                     (F.col("total_projected") - F.col("total_current")) / F.col("total_current") * 100).otherwise(0.0)

@@ -243,6 +243,12 @@ def test_yearly_projection_edges(orders_df):
     grid = yr.year_grant_pivot(df).collect()
     assert len(grid) == 9 and {(r["year"], r["grant"]) for r in grid if r["spend"] == 0} == {
         (2020, "G2"), (2020, "G3"), (2021, "G3")}
+    # the newest year has only ungranted rows: it is the current year, not a regression year
+    late = {r["grant"]: r for r in yr.yearly_projection(
+        orders_df(rows + [{"grant": None, "date_ordered": "2022-01-01", "total": 7}])).collect()}
+    assert late["G1"]["current_year"] == 2022 and late["G1"]["projected"] == pytest.approx(400.0)
+    assert yr.projection_total(orders_df(rows + [{"grant": None, "date_ordered": "2022-01-01", "total": 7}])
+                               ).collect()[0]["total_current"] == 7.0
     one = yr.yearly_projection(orders_df([{"grant": "G", "date_ordered": "2020-01-01", "total": 5}])).collect()[0]
     assert one["projected"] == 5.0 and one["trend"] == "Stable"
     margins = {(r["year"], r["grant"], r["level"]): r["spend"] for r in yr.year_grant_margins(df).collect()}
