@@ -121,10 +121,10 @@ def spend_moving_avg(df: DataFrame) -> DataFrame:
     """Rolling mean of monthly spend over min(3, months) months with data,
     null until the window is full. The series has one row per month (bounded)."""
     m = _monthly(df)
-    n = m.agg(F.count(F.lit(1)).alias("m"))
     w = Window.orderBy("month")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     win = F.least(F.col("m"), F.lit(3))
-    ranked = m.withColumn("rn", F.row_number().over(w)).join(F.broadcast(n), how="inner", on=F.lit(True))
+    ranked = m.select("*", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(whole).alias("m"))
     s = F.col("spend_dec")
     s1, s2 = F.lag(s, 1).over(w), F.lag(s, 2).over(w)
     total = F.when(win == 1, s).when(win == 2, s + s1).otherwise(s + s1 + s2)
@@ -153,15 +153,18 @@ def spend_forecast(df: DataFrame, months: int = 3) -> DataFrame:
     monthly_avg = mean per order.
     """
     base = df.filter(F.col("date_ordered").isNotNull() & F.col("total").isNotNull())
-    m = (base.groupBy(F.trunc("date_ordered", "month").alias("month")).agg(F.sum("total").alias("s"))
+    # One scan: the all-orders total and count are sums of the monthly ones
+    # (exact decimals, so the sum of sums is the same number).
+    m = (base.groupBy(F.trunc("date_ordered", "month").alias("month"))
+             .agg(F.sum("total").alias("s"), F.count(F.lit(1)).alias("c"))
              .withColumn("rn", F.row_number().over(Window.orderBy(F.desc("month")))))
-    st = m.agg(F.count(F.lit(1)).alias("m"),
-               F.sum(F.when(F.col("rn") <= 3, F.col("s"))).alias("s_win"),
-               F.sum(F.when(F.col("rn") == 1, F.col("s"))).alias("s_last"),
-               F.sum(F.when(F.col("rn") == 3, F.col("s"))).alias("s_third"),
-               F.max("month").alias("last_month"))
-    allr = base.agg(F.sum("total").alias("all_total"), F.count(F.lit(1)).alias("n_orders"))
-    j = st.join(F.broadcast(allr), how="inner", on=F.lit(True))
+    j = m.agg(F.count(F.lit(1)).alias("m"),
+              F.sum(F.when(F.col("rn") <= 3, F.col("s"))).alias("s_win"),
+              F.sum(F.when(F.col("rn") == 1, F.col("s"))).alias("s_last"),
+              F.sum(F.when(F.col("rn") == 3, F.col("s"))).alias("s_third"),
+              F.max("month").alias("last_month"),
+              F.sum("s").alias("all_total"),
+              F.sum("c").alias("n_orders"))
     win = F.least(F.col("m"), F.lit(3)).cast("double")
     avg = F.col("s_win").cast("double") / win
     trend = F.when(F.col("m") >= 3, (F.col("s_last").cast("double") - F.col("s_third").cast("double")) / 3).otherwise(0.0)
