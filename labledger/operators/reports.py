@@ -97,10 +97,11 @@ def year_total(df: DataFrame, year: int | None = None) -> DataFrame:
     """Spend in the newest year with dated rows (all grants, even unassigned)."""
     dated = df.filter(F.col("date_ordered").isNotNull()).withColumn("year", F.year("date_ordered"))
     if year is None:
-        latest = dated.agg(F.max("year").alias("current_year"))
-        return (dated.groupBy("year").agg(dsum("total").alias("year_total"))
-                     .join(latest, F.col("year") == F.col("current_year"))
-                     .select("current_year", "year_total"))
+        # One scan: per-year sums (bounded by the calendar), then the newest.
+        per_year = dated.groupBy("year").agg(F.sum(money("total")).alias("_s"))
+        return (per_year.agg(F.max("year").alias("current_year"),
+                             F.max_by("_s", "year").cast("double").alias("year_total"))
+                        .filter(F.col("current_year").isNotNull()))
     return dated.filter(F.col("year") == year).agg(F.lit(year).alias("current_year"), dsum("total").alias("year_total"))
 
 

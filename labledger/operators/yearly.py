@@ -33,15 +33,18 @@ def year_grant_grid(df: DataFrame) -> DataFrame:
 
     Years and grants are those of the grouped (year, grant) sums, as in a pivot
     whose missing cells are filled with 0.
+
+    One scan in the plan: each grant's (year -> spend) map holds at most one
+    entry per calendar year, so it is built in one aggregation and every
+    year of the bounded list is looked up in it (no join back).
     """
     yg = year_grant_sums(df)
     years = _years(yg)
     if not years:
         return yg.select("year", "grant", F.col("spend_dec").alias("spend_dec")).limit(0)
-    grid = (yg.select("grant").distinct()
-              .select("grant", F.explode(F.array(*[F.lit(y) for y in years])).alias("year")))
-    return (grid.join(yg, ["grant", "year"], "left")
-                .select("year", "grant", F.coalesce("spend_dec", F.lit(0)).alias("spend_dec")))
+    per_grant = yg.groupBy("grant").agg(F.map_from_entries(F.collect_list(F.struct("year", "spend_dec"))).alias("_m"))
+    return (per_grant.select("grant", "_m", F.explode(F.array(*[F.lit(y) for y in years])).alias("year"))
+                     .select("year", "grant", F.coalesce(F.col("_m")[F.col("year")], F.lit(0)).alias("spend_dec")))
 
 
 def year_grant_pivot(df: DataFrame) -> DataFrame:

@@ -290,3 +290,13 @@ def test_receive_all_and_recalc(orders_df):
     rec = mt.receive_all(t, "2001-08-02", "clerk").collect()
     assert rec[0]["date_received"] == date(2001, 8, 2) and rec[0]["received_by"] == "clerk"
     assert rec[1]["date_received"] == date(2001, 1, 1) and rec[1]["received_by"] is None
+
+
+def test_year_total_newest_year(orders_df):
+    rows = [{"grant": "G", "date_ordered": "2020-02-01", "total": 10},
+            {"grant": None, "date_ordered": "2021-03-01", "total": 5},
+            {"grant": "G", "date_ordered": "2021-04-01", "total": None},
+            {"grant": "G", "date_ordered": None, "total": 99}]
+    assert [tuple(r) for r in rep.year_total(orders_df(rows)).collect()] == [(2021, 5.0)]
+    assert rep.year_total(orders_df([{"date_ordered": None, "total": 1}])).count() == 0
+    assert [tuple(r) for r in rep.year_total(orders_df(rows), 2020).collect()] == [(2020, 10.0)]
