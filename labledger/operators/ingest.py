@@ -70,13 +70,18 @@ def import_dup_count(export: DataFrame, existing: DataFrame) -> DataFrame:
     p = prepared_line_items(export)
     flagged = p.join(stored_line_keys(existing).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
     stored = F.coalesce(F.col("_stored"), F.lit(False))
-    per_key = (flagged.filter(~stored & (F.length("item_clean") >= 3))
-                      .groupBy("k_po", "k_item").agg(F.count(F.lit(1)).alias("n")))
-    a = flagged.agg(F.count(F.lit(1)).alias("lines"), F.count_if(stored).alias("duplicates"))
-    b = per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("in_file_duplicates"))
-    return (a.join(b, how="inner", on=F.lit(True))
-             .select("lines", (F.col("lines") - F.col("duplicates")).alias("new_items"), "duplicates",
-                     F.col("in_file_duplicates").cast("bigint").alias("in_file_duplicates")))
+    # One pass: per-key counts (map-side combined), then one global sum.
+    per_key = flagged.groupBy("k_po", "k_item").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(stored).alias("n_stored"),
+        F.count_if(~stored & (F.length("item_clean") >= 3)).alias("n_new"))
+    a = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"),
+                    F.coalesce(F.sum("n_stored"), F.lit(0)).alias("duplicates"),
+                    F.coalesce(F.sum(F.greatest(F.col("n_new") - 1, F.lit(0))), F.lit(0)).alias("in_file_duplicates"))
+    return a.select(F.col("lines").cast("bigint").alias("lines"),
+                    (F.col("lines") - F.col("duplicates")).cast("bigint").alias("new_items"),
+                    F.col("duplicates").cast("bigint").alias("duplicates"),
+                    F.col("in_file_duplicates").cast("bigint").alias("in_file_duplicates"))
 
 
 def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
