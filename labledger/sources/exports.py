@@ -43,8 +43,8 @@ def _lines_with_position(spark: SparkSession, path: str) -> DataFrame:
 
     Rows of one block are contiguous within a read partition, so the position
     is ``monotonically_increasing_id`` minus the block's first id. The first
-    ids come from an aggregation with one row per input split, broadcast back:
-    the lines themselves are never shuffled.
+    ids come from an aggregation with one row per input split, broadcast back
+    when its size is proven small (the lines are then never shuffled).
     """
     raw = (spark.read.option("recursiveFileLookup", True).text(path)
                 .select("value",
@@ -52,10 +52,44 @@ def _lines_with_position(spark: SparkSession, path: str) -> DataFrame:
                         F.col("_metadata.file_block_start").alias("_block"),
                         F.monotonically_increasing_id().alias("_mid")))
     starts = raw.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"))
-    return (raw.join(F.broadcast(starts), ["_file", "_block"])
+    if _split_table_fits(spark, raw):
+        starts = F.broadcast(starts)
+    return (raw.join(starts, ["_file", "_block"])
                .withColumn("_pos", F.col("_mid") - F.col("_first")).drop("_first"))
 
 
+# Upper bound on the size of one row of the per-split table (file path, block
+# offset, first id, row overhead).
+SPLIT_ROW_BYTES = 512
+
+
+def _split_table_fits(spark: SparkSession, raw: DataFrame) -> bool:
+    """Whether the per-split table is provably under the broadcast threshold.
+
+    It has one row per input split. A read partition packs at most
+    maxPartitionBytes / openCostInBytes + 1 splits, and the number of read
+    partitions is known from planning (no job), so that product bounds the
+    rows. Beyond the threshold the join is left to a shuffle.
+    """
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = _bytes(threshold)
+    if limit <= 0:
+        return False
+    max_part = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    open_cost = max(1, _bytes(spark.conf.get("spark.sql.files.openCostInBytes")))
+    rows = raw.rdd.getNumPartitions() * (max_part // open_cost + 1)
+    return rows * SPLIT_ROW_BYTES <= limit
+
+
+def _bytes(text: str) -> int:
+    """A Spark size setting ("10485760", "10MB", "128m", "-1") in bytes."""
+    t = str(text).strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    if t and t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    return int(t)
+
+
 def scan_po_summary(spark: SparkSession, path: str) -> DataFrame:
     """Skip the nine preamble lines and the header of every file, parse
     the remaining lines as CSV with the summary headers; ``line_no`` keeps the

@@ -128,3 +128,19 @@ def test_quantile_with_ties(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     for q in (0.1, 0.55, 0.556, 0.999, 1.0):
         assert percentile_linear(df, "x", q, buckets=4, gather_limit=3) == pytest.approx(np.percentile(vals, q * 100))
+
+
+def test_po_summary_reader_same_rows_without_broadcast(spark):
+    # the per-split table is broadcast only under a proven bound; the shuffle
+    # join used beyond it gives the same lines and positions
+    path = export_files(spark, SMALL).po_summary
+    assert ex._split_table_fits(spark, spark.read.option("recursiveFileLookup", True).text(path))
+    a = sorted(map(tuple, ex.scan_po_summary(spark, path).collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not ex._split_table_fits(spark, spark.read.text(path))
+        b = sorted(map(tuple, ex.scan_po_summary(spark, path).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert a == b and len(a) > 0
