@@ -395,6 +395,13 @@ def q_money_text(spark, d):
                     cl.percent_text(F.col("orders") / 100.0).alias("change_text"))
 
 
+@register("percent_text")
+def q_percent_text(spark, d):
+    p = yr.yearly_projection(T(spark, d))
+    return p.select("grant", cl.percent_text("growth_pct").alias("growth_text"),
+                    cl.percent_text(F.abs("growth_pct"), signed=False).alias("change_text"))
+
+
 # Fixed values for the owner-to-lab fixture: the unrestricted account, the
 # home domain and its lab.
 ADMIN_EMAIL = "admin@example.edu"

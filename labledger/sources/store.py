@@ -21,6 +21,9 @@ from labledger.session import scratch_path
 class OrderStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
+        # A store at a new, unique path has no log until its first commit, so
+        # reads need not probe the file system for it.
+        self._fresh = root is None
         self.root = (root or scratch_path(spark, "store")).rstrip("/")
 
     # -- versions -------------------------------------------------------
@@ -30,6 +33,8 @@ class OrderStore:
     _LOG_SCHEMA = "version bigint, path string, rows bigint, written_at double, kind string"
 
     def versions(self) -> DataFrame:
+        if self._fresh:
+            return self.spark.createDataFrame([], self._LOG_SCHEMA)
         try:
             return self.spark.read.schema(self._LOG_SCHEMA).parquet(self._log_path())
         except Exception:
@@ -86,6 +91,7 @@ class OrderStore:
         rows = check.collect()[0]
         self.spark.createDataFrame([(version, path, rows["rows"], time.time(), kind)], self._LOG_SCHEMA) \
             .coalesce(1).write.mode("append").parquet(self._log_path())
+        self._fresh = False
         return check
 
     def delete_all(self) -> DataFrame:

@@ -300,3 +300,11 @@ def test_year_total_newest_year(orders_df):
     assert [tuple(r) for r in rep.year_total(orders_df(rows)).collect()] == [(2021, 5.0)]
     assert rep.year_total(orders_df([{"date_ordered": None, "total": 1}])).count() == 0
     assert [tuple(r) for r in rep.year_total(orders_df(rows), 2020).collect()] == [(2020, 10.0)]
+
+
+def test_money_and_percent_text(spark):
+    df = spark.createDataFrame([(1234.5, 5.25), (0.0, -2.0), (1000000.0, 12.34)], "m double, p double")
+    out = df.select(cl.money_text("m").alias("m"), cl.percent_text("p").alias("s"),
+                    cl.percent_text("p", signed=False).alias("u")).collect()
+    assert [tuple(r) for r in out] == [("$1,234.50", "+5.3%", "5.3%"), ("$0.00", "-2.0%", "-2.0%"),
+                                       ("$1,000,000.00", "+12.3%", "12.3%")]
