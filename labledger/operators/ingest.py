@@ -144,9 +144,15 @@ def import_line_items(export: DataFrame, existing: DataFrame, lab: str = "Admin"
     """
     mapped = _mapped_lines(export, existing, lab)
     cand = mapped.filter((F.length("item_clean") >= 3) & ~F.col("_stored") & ~F.col("_bad"))
-    keyed = cand.withColumn("_kp", F.coalesce("k_po", F.concat(F.lit("#"), F.col("line_no").cast("string"))))
-    cols = [c for c in keyed.columns if c not in ("_kp", "k_item")]
-    first = keyed.groupBy("_kp", "k_item").agg(F.min_by(F.struct(*cols), F.col("line_no")).alias("_r")).select("_r.*")
+    # The key is (PO, item) plus, for a line without a PO, its own line
+    # number (such lines never match each other). Grouping by the join's keys
+    # plus that column keeps the join's hash partitioning on (PO, item): no
+    # second shuffle of the lines.
+    keyed = cand.withColumn("_nl", F.when(F.col("k_po").isNull(), F.col("line_no")))
+    cols = [c for c in keyed.columns if c not in ("k_po", "k_item", "_nl")]
+    first = (keyed.groupBy("k_po", "k_item", "_nl")
+                  .agg(F.min_by(F.struct(*cols), F.col("line_no")).alias("_r"))
+                  .select("_r.*"))
     with_ids = request_ids(first, ["line_no"], existing, as_of)
     return conform(with_ids)
 
