@@ -71,3 +71,24 @@ def test_results_do_not_depend_on_partitioning(skewed):
     df, _ = skewed
     for fn in (lambda d: fc.reorder_predictions(d, AS_OF), src.vendor_ranking, fc.days_between_orders):
         assert _same(fn(df.repartition(1)), fn(df.repartition(13, "item")))
+
+
+def test_hot_import_key_keeps_first_line_only(spark, orders_df):
+    from labledger.operators import ingest as ing
+    from labledger.schema import LINE_ITEM_HEADERS
+
+    n, hot = 6000, 2000
+    data = []
+    for i in range(n):
+        po, item = ("777", "Hot reagent - 500 mL") if i < hot else (str(10000 + i), f"Reagent {i}")
+        data.append((po, item, "Acme", "2", "3.50", "7.00", "123", "456", "", "c1", "x", "07/01/2001", str(i)))
+    export = spark.createDataFrame(data, [*LINE_ITEM_HEADERS, "Line"])
+    existing = orders_df([{"req_id": "L1", "po_no": "1", "item": "Other"}])
+
+    def run(e):
+        return sorted((r["req_id"], r["po_no"], r["item"]) for r in ing.import_line_items(e, existing).collect())
+
+    a = run(export.repartition(1))
+    assert a == run(export.repartition(17))
+    assert len(a) == n - hot + 1
+    assert [r for r in a if r[1] == "777"] == [("REQ-010802-001", "777", "Hot reagent")]
