@@ -174,3 +174,17 @@ def test_stream_scores_match_batch_scores(spark):
     batch = {r["req_id"]: (r["anomaly_score"], r["is_anomaly"]) for r in an.score_new_orders(t, model).collect()}
     assert streamed.keys() == batch.keys() and len(batch) > 0
     assert all(streamed[k][1] == batch[k][1] and streamed[k][0] == pytest.approx(batch[k][0]) for k in batch)
+
+
+def test_line_item_dispositions_agree_with_import(spark):
+    # the import report: every priced line has exactly one disposition, and
+    # the "imported" ones are exactly the rows the import adds
+    t = order_table(spark, SMALL)
+    existing = fx.stored_orders(t)
+    lines = ex.scan_line_items(spark, export_files(spark, SMALL).line_items)
+    disp = ing.line_item_dispositions(lines, existing, "Admin")
+    counts = dict(disp.groupBy("disposition").count().collect())
+    assert set(counts) <= {"imported", "duplicate", "unnamed", "quarantined"}
+    assert sum(counts.values()) == ing.prepared_line_items(lines).count() == disp.select("line_no").distinct().count()
+    assert counts["imported"] == ing.import_line_items(lines, existing).count() > 0
+    assert counts.get("duplicate", 0) > 0
