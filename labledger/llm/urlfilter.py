@@ -78,9 +78,13 @@ def threshold_of(scored: DataFrame, step: float = 0.01) -> float:
     bins = scored.groupBy(F.floor(F.col("score") / step).alias("bin")).agg(F.sum("allow").alias("a"), F.sum("block").alias("b"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over the bins, a few thousand at most
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    gain = F.coalesce(F.sum("b").over(below), F.lit(0.0)) / F.sum("b").over(whole) - F.coalesce(F.sum("a").over(below), F.lit(0.0)) / F.sum("a").over(whole)
-    best = bins.withColumn("gain", gain).filter("gain is not null").orderBy(F.desc("gain"), F.abs("bin"), "bin").limit(1).collect()
-    return best[0]["bin"] * step if best else 0.0
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0.0)), F.sum(c).over(whole))
+    gain = share("b") - share("a")
+    before = F.coalesce(F.lag("bin").over(Window.orderBy("bin")) + 1, F.col("bin"))
+    cut = F.least(F.col("bin"), F.greatest(before, F.lit(0)))  # every cut from the bin before to this one splits alike
+    best = (bins.select("bin", gain.alias("gain"), cut.alias("cut")).filter("gain is not null")
+            .orderBy(F.desc("gain"), F.abs("cut"), "cut").limit(1).collect())
+    return best[0]["cut"] * step if best else 0.0
 
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", order: int = ORDER) -> DataFrame:

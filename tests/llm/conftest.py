@@ -1,0 +1,19 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    """A DataFrame of the given schema from rows."""
+    def build(schema, rows, parts=3):
+        return spark.createDataFrame(rows, schema).repartition(parts)
+    return build
+
+
+def result(df, key, *columns):
+    """Rows as a dict by key."""
+    return {r[key]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+@pytest.fixture(scope="session")
+def by():
+    return result

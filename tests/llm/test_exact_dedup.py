@@ -1,0 +1,52 @@
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+
+from labledger.llm import exact_dedup as X
+
+SCHEMA = "doc_id bigint, text string, kept string"
+
+
+def bare(t):
+    return (t or "").translate({c: None for c in (0x20, 9, 10, 11, 12, 13)})
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[bare(t)].append((-len(t or ""), i))
+    out = {}
+    for t, members in groups.items():
+        keep = min(members)[1]
+        for _, i in members:
+            out[i] = (keep, len(members), i == keep, hashlib.sha256(t.encode()).hexdigest())
+    return out
+
+
+def planted(seed, n):
+    r = random.Random(seed)
+    base = ["".join(r.choice("abé\U0001f600 \n\t ") for _ in range(r.choice([0, 1, 7, 8, 9, 64, 100]))) for _ in range(n // 4)]
+    base += [b[:-1] + "z" for b in base if b]
+    rows = []
+    for i in range(n):
+        t = r.choice(base)
+        rows.append((i * 31 % (n * 31), r.choice([t, t.replace(" ", "  "), t + "\v"])))
+    return rows
+
+
+@pytest.mark.parametrize("seed,block,bits", [(1, 8, 64), (2, 8, 3), (3, 16, 1), (4, 4096, 64), (5, 4, 2)])
+def test_matches_brute_force(make, by, seed, block, bits):
+    rows = planted(seed, 150)
+    got = by(X.exact_groups(make(SCHEMA, [(*r, "x") for r in rows]), block_bytes=block, bits=bits), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert got == brute(rows)
+
+
+def test_defined_cases(make, spark):
+    long = "long text " * 30_000
+    rows = [(3, None), (1, ""), (2, " \n"), (7, long), (8, long + "."), (9, long + "\n"), (None, "x"), (5, "x"), (6, "y"), (6, "y")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in X.exact_groups(make(SCHEMA, [(*r, None) for r in rows])).collect()), key=str)
+    assert got == sorted([(3, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (7, 9, 2, False), (9, 9, 2, True), (8, 8, 1, True), (None, None, 2, True),
+                          (5, None, 2, False), (6, 6, 2, True), (6, 6, 2, True)], key=str)
+    assert X.exact_groups(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -1,0 +1,77 @@
+import random
+from collections import defaultdict
+
+import pytest
+
+from labledger.llm import mixing as M
+
+SCHEMA = "doc_id bigint, source string, lang string, topic string, n_tokens bigint, probability string"
+
+
+def rows(seed, n):
+    r = random.Random(seed)
+    return [(i, "src0" if r.random() < 0.4 else r.choice(["s1", "s2", None]), r.choice("eeeefd"), r.choice("pqr"), r.choice([None, 0, 5, 100, 900]), "x") for i in range(n)]
+
+
+def brute(data, goals, rounds=200):
+    cell = defaultdict(float)
+    for _, *key, t, _ in data:
+        cell[tuple(key)] += t or 0
+    total, w = sum(cell.values()), dict(cell)
+    for _ in range(rounds):
+        for k, goal in enumerate(goals):
+            have = defaultdict(float)
+            for c, x in w.items():
+                have[c[k]] += x
+            w = {c: x * goal.get(c[k], 0.0) * total / have[c[k]] if have[c[k]] else 0.0 for c, x in w.items()}
+    return cell, w
+
+
+def test_rake_matches_brute_force(make, spark):
+    data, dims = rows(1, 2000), ["source", "lang", "topic"]
+    cell = M.cells(make(SCHEMA, data), dims)
+    goals = [{"src0": 0.1, "s1": 0.3, "s2": 0.4, None: 0.2}, {"e": 0.5, "f": 0.25, "d": 0.25}, {"p": 0.6, "q": 0.2, "r": 0.2}]
+    tables = {d: spark.createDataFrame([(k, v * 3) for k, v in g.items()], f"{d} string, share double") for d, g in zip(dims, goals)}
+    want_cell, want = brute(data, goals)
+    raked = M.rake(cell, tables, tolerance=1e-12)
+    got = {(r.source, r.lang, r.topic): r for r in raked.collect()}
+    assert set(got) == set(want)
+    for c, r in got.items():
+        assert r.tokens == want_cell[c] and r.weight == pytest.approx(want[c], rel=1e-6, abs=1e-9)
+    total = sum(want_cell.values())
+    for keep in (0.1, 0.5, 0.95):
+        p = {(r.source, r.lang, r.topic): r.probability for r in M.calibrate(raked, keep).collect()}
+        assert all(0 <= x <= 1 for x in p.values())
+        assert sum(p[c] * want_cell[c] for c in p) == pytest.approx(keep * total, rel=1e-9)
+        free = [c for c in p if p[c] < 1]
+        scale = [p[c] * want_cell[c] / want[c] for c in free]
+        assert max(scale) == pytest.approx(min(scale), rel=1e-6)
+
+
+def test_sample_follows_the_targets(make):
+    r = random.Random(2)
+    data = [(i, "big" if r.random() < 0.8 else "small", "e", "p", 10, None) for i in range(6000)]
+    out = M.mix_sources(make(SCHEMA, data), ["source", "lang", "topic"], power=0.0, keep=0.3).collect()
+    kept = [x for x in out if x.sampled]
+    assert len(out) == 6000 and abs(len(kept) / 6000 - 0.3) < 0.03
+    assert abs(sum(x.source == "big" for x in kept) / len(kept) - 0.5) < 0.05
+    again = {x.doc_id for x in M.mix_sources(make(SCHEMA, data, parts=7), ["source", "lang", "topic"], power=0.0, keep=0.3).collect() if x.sampled}
+    assert again == {x.doc_id for x in kept}
+
+
+def test_defined_cases(make, spark):
+    dims = ["source", "lang", "topic"]
+    data = [(None, None, None, None, None, None), (1, "a", "b", "c", 0, None), (2, "a", "b", "c", None, None)]
+    out = M.mix_sources(make(SCHEMA, data), dims).collect()
+    assert len(out) == 3 and not any(x.sampled for x in out) and all(x.probability == 0 for x in out)
+    assert M.mix_sources(spark.createDataFrame([], SCHEMA), dims).count() == 0
+    twice = M.mix_sources(make(SCHEMA, [(1, "a", "b", "c", 5, None), (1, "a", "b", "c", 5, None)]), dims, keep=1.0).collect()
+    assert len(twice) == 2 and all(x.sampled for x in twice)
+    missing = M.rake(M.cells(make(SCHEMA, rows(3, 50)), dims), {"lang": spark.createDataFrame([("e", 1.0)], "lang string, share double")})
+    assert all((x.weight > 0) == (x.lang == "e" and x.tokens > 0) for x in missing.collect())
+
+
+def test_word_count_and_topic(spark):
+    texts = ["a b\tc\n\n d ", "", None, "x | y", "me@x.org", "- a\n- b\n- c", "f() {", "\u00a0one"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(M.word_count().alias("n"), M.topic().alias("t"))
+    assert [tuple(r) for r in df.collect()] == [(4, "prose"), (0, "prose"), (0, "prose"), (3, "table"), (1, "contact"), (6, "listing"), (2, "code"), (1, "prose")]
