@@ -17,16 +17,21 @@ PACK_UNITS = ["EA", "CS"]
 ORIGIN_PREFIX = "Original Req#:"
 BLANK_IDS = ["", "*", "nan"]
 # Date texts accepted after normalisation (ISO, and month-first with dashes).
-DATE_PATTERNS = ["yyyy-MM-dd", "MM-dd-yyyy"]
+DATE_PATTERNS = ["yyyy-M-d", "M-d-yyyy"]
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without white space of any kind at both ends (F.trim removes spaces only)."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
 def line_total(qty, unit_price) -> Column:
-    """round(qty x unit price, 2), decimal half-up (money)."""
-    return F.round(_c(qty).cast("decimal(18,4)") * _c(unit_price).cast("decimal(18,4)"), 2).cast("decimal(18,2)")
+    """round(qty x unit price, 2), decimal half-up (money); null beyond the money type."""
+    return F.round(F.try_multiply(_c(qty).try_cast("decimal(18,4)"), _c(unit_price).try_cast("decimal(18,4)")), 2).try_cast("decimal(18,2)")
 
 
 def coerce_amount(c) -> Column:
@@ -52,8 +57,8 @@ def clean_item_name(c) -> Column:
     """Text before the first " - " (trimmed, <= 100 chars); without the
     separator the first 100 chars, trimmed. Null -> ""."""
     x = _c(c).cast("string")
-    head = F.substring(F.trim(F.split_part(x, F.lit(ITEM_SEPARATOR), F.lit(1))), 1, 100)
-    whole = F.trim(F.substring(x, 1, 100))
+    head = F.substring(strip(F.split_part(x, F.lit(ITEM_SEPARATOR), F.lit(1))), 1, 100)
+    whole = strip(F.substring(x, 1, 100))
     return F.when(x.isNull(), F.lit("")).when(x.contains(ITEM_SEPARATOR), head).otherwise(whole)
 
 
@@ -61,7 +66,7 @@ def clean_vendor(c) -> Column:
     """First 100 chars; if the contract phrase is there, remove it and trim."""
     v = F.substring(_c(c).cast("string"), 1, 100)
     return (F.when(v.isNull(), F.lit(""))
-             .when(v.contains(VENDOR_NOISE), F.trim(F.replace(v, F.lit(VENDOR_NOISE), F.lit(""))))
+             .when(v.contains(VENDOR_NOISE), strip(F.replace(v, F.lit(VENDOR_NOISE), F.lit(""))))
              .otherwise(v))
 
 
@@ -70,7 +75,7 @@ def integer_id_text(c) -> Column:
     blank -> ""; anything unparsable -> null (to be quarantined)."""
     x = _c(c).cast("string")
     n = x.try_cast("double").try_cast("bigint")
-    return F.when(x.isNull() | (F.trim(x) == ""), F.lit("")).otherwise(n.cast("string"))
+    return F.when(x.isNull() | (strip(x) == ""), F.lit("")).otherwise(n.cast("string"))
 
 
 def split_percent_text(c) -> Column:
@@ -93,21 +98,22 @@ def parse_pack_qty(c) -> Column:
     s = _c(c).cast("string")
     for u in PACK_UNITS:
         s = F.replace(s, F.lit(u), F.lit(""))
-    d = F.trim(s).try_cast("double")
+    d = strip(s).try_cast("double")
     return F.when(F.isnan(d), F.lit(1.0)).otherwise(F.coalesce(d, F.lit(1.0)))
 
 
 def amount_fallbacks(qty, price, total) -> tuple[Column, Column, Column]:
     """Qty default 1, unit price default 0, total = given or qty x price.
 
-    Returns typed columns: qty double, unit_price decimal(18,4), total decimal(18,2).
+    Returns typed columns: qty double, unit_price decimal(18,4), total decimal(18,2); a total beyond the money type is
+    null, which the imports quarantine.
     """
     q = _c(qty).cast("string").try_cast("double")
     q = F.when(F.isnan(q), F.lit(None)).otherwise(q)
     q = F.coalesce(q, F.lit(1.0))
     p = F.coalesce(_c(price).cast("string").try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
     t = F.coalesce(_c(total).cast("string").try_cast("decimal(18,2)"),
-                   (q.cast("decimal(18,4)") * p).cast("decimal(18,2)"))
+                   F.try_multiply(q.try_cast("decimal(18,4)"), p).try_cast("decimal(18,2)"))
     return q, p, t
 
 
@@ -115,12 +121,12 @@ def extract_origin_req(c) -> Column:
     """Text after "Original Req#:" up to the first ".", trimmed."""
     x = _c(c)
     return F.when(x.contains(ORIGIN_PREFIX),
-                  F.trim(F.split_part(F.split_part(x, F.lit(ORIGIN_PREFIX), F.lit(2)), F.lit("."), F.lit(1))))
+                  strip(F.split_part(F.split_part(x, F.lit(ORIGIN_PREFIX), F.lit(2)), F.lit("."), F.lit(1))))
 
 
 def origin_id(c) -> Column:
     """Inventory request id as text: no-break spaces removed, trimmed."""
-    return F.trim(F.replace(_c(c).cast("string"), F.lit("\u00a0"), F.lit("")))
+    return strip(F.replace(_c(c).cast("string"), F.lit("\u00a0"), F.lit("")))
 
 
 def is_blank_id(c) -> Column:
@@ -136,12 +142,12 @@ def origin_note(c) -> Column:
 
 def origin_key(c) -> Column:
     """Compare ids the way notes are read back (cut at the first ".")."""
-    return F.trim(F.split_part(origin_id(c), F.lit("."), F.lit(1)))
+    return strip(F.split_part(origin_id(c), F.lit("."), F.lit(1)))
 
 
 def po_key(c) -> Column:
     """PO number as text, a trailing ".0" from a float column removed."""
-    x = F.trim(_c(c).cast("string"))
+    x = strip(_c(c).cast("string"))
     return F.when(x.endswith(".0"), F.substring(x, F.lit(1), F.length(x) - 2)).otherwise(x)
 
 

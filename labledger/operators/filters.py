@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labledger.functions.clean import strip
+
 # The unrestricted role and its lab label.
 ADMIN_LAB = "Admin"
 
@@ -22,20 +24,25 @@ def assigned(c) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def is_pending(c="date_received") -> Column:
-    """F1 predicate: no received date. Works on typed dates and on raw text."""
+def is_pending(c="date_received", text: bool = False) -> Column:
+    """F1 predicate: no received date. On the typed column it is a plain null test, which reaches the parquet scan;
+    ``text``: raw text, where blank counts as none."""
     c = _c(c)
-    return c.isNull() | (c.cast("string") == "")
+    return c.isNull() | (strip(c) == "") if text else c.isNull()
+
+
+def _is_text(df: DataFrame) -> bool:
+    return df.schema["date_received"].dataType.simpleString() == "string"
 
 
 def pending_orders(df: DataFrame) -> DataFrame:
     """F1."""
-    return df.filter(is_pending())
+    return df.filter(is_pending(text=_is_text(df)))
 
 
 def received_orders(df: DataFrame) -> DataFrame:
     """the complement of F1."""
-    return df.filter(~is_pending())
+    return df.filter(~is_pending(text=_is_text(df)))
 
 
 def visible_rows(df: DataFrame, lab: str | None) -> DataFrame:
@@ -125,8 +132,8 @@ VALIDATION_RULES = [
 
 def validation_reason(item="item", qty="qty", unit_price="unit_price", vendor="vendor") -> Column:
     """the first failing rule, or OK."""
-    blank_item = _c(item).isNull() | (F.trim(_c(item)) == "")
-    blank_vendor = _c(vendor).isNull() | (F.trim(_c(vendor)) == "")
+    blank_item = _c(item).isNull() | (strip(item) == "")
+    blank_vendor = _c(vendor).isNull() | (strip(vendor) == "")
     return (F.when(blank_item, VALIDATION_RULES[0][1])
              .when(F.coalesce(_c(qty) <= 0, F.lit(True)), VALIDATION_RULES[1][1])
              .when(F.coalesce(_c(unit_price) <= 0, F.lit(True)), VALIDATION_RULES[2][1])

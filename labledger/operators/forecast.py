@@ -11,7 +11,6 @@ from __future__ import annotations
 from labledger.functions.numeric import np_round
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labledger.sources.fixtures import AS_OF
 
 # Smoothing factor, urgency thresholds (days) and trend words.
 ALPHA = 0.3
@@ -71,7 +70,7 @@ def usual_vendor(df: DataFrame, key: str = "item") -> DataFrame:
         F.min_by("vendor", F.struct((-F.col("_n")).alias("a"), F.col("vendor").alias("b"))).alias("usual_vendor"))
 
 
-def reorder_predictions(df: DataFrame, as_of: str = AS_OF) -> DataFrame:
+def reorder_predictions(df: DataFrame, as_of: str) -> DataFrame:
     """M1: per item with >= 2 rows and a defined mean gap: predicted reorder
     date, days until then (floored, at least 0), mean quantity (1 dp), usual
     vendor (Unknown when none), mean gap (1 dp) and urgency; sorted by days.
@@ -79,7 +78,7 @@ def reorder_predictions(df: DataFrame, as_of: str = AS_OF) -> DataFrame:
     ``as_of`` replaces "now" (a midnight date). Since order dates are whole
     days, last + mean gap floors to last + floor(mean gap).
     """
-    per_vendor = df.groupBy("item", "vendor").agg(
+    per_vendor = df.filter(F.col("item").isNotNull()).groupBy("item", "vendor").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("date_ordered").alias("nd"),
         F.min("date_ordered").alias("d0"),
@@ -225,7 +224,7 @@ def demand_forecast(df: DataFrame, days_ahead: int = 90, min_weeks: int = 4) ->
         level.alias("level"),
         first.alias("first"))
     ok = F.col("n_weeks") >= min_weeks
-    return out.select(
+    return out.filter((F.col("scope") == "all") | F.col("item").isNotNull()).select(
         "scope", "item", "n_weeks",
         F.when(ok, "ok").otherwise("insufficient").alias("status"),
         F.when(ok, np_round("level", 2)).alias("current_weekly_avg"),

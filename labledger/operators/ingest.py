@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labledger.functions import clean as cl
 from labledger.operators.numbering import request_ids
-from labledger.schema import conform
-from labledger.sources.exports import sheet_grant
-from labledger.sources.fixtures import AS_OF
+from labledger.schema import INVENTORY_HEADERS, LINE_ITEM_HEADERS, PO_SUMMARY_HEADERS, conform
+from labledger.sources.exports import detect_export_format, sheet_grant
 
 # Constants written by the importers.
 IMPORT_SOURCE = "ShopBlue"
@@ -26,13 +25,35 @@ def nullif_blank(c: Column) -> Column:
     return F.when(c == "", F.lit(None)).otherwise(c)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def with_optional(df: DataFrame, names: list[str]) -> DataFrame:
+    """Absent columns as null text."""
+    return df.select("*", *[F.lit(None).cast("string").alias(n) for n in names if n not in df.columns])
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """``file`` and ``line_no`` as the readers give them; the present order for frames from elsewhere."""
+    if "file" not in df.columns:
+        df = df.withColumn("file", F.lit(""))
+    return df if "line_no" in df.columns else df.withColumn("line_no", F.monotonically_increasing_id())
+
+
+def own_line(key: str) -> Column:
+    """A key part that keeps rows without a key apart: null for a real key, else the row's place."""
+    return F.when(F.col(key).isNull(), F.struct("file", "line_no"))
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row (smallest ``order``) of each key; map-side combined."""
     cols = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return best.select(*keys, "_r.*")
 
 
+def _stored_keys(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct stored keys among those of the batch: the stored side is reduced before it is made distinct."""
+    return stored.join(batch.select(*keys).distinct(), keys, "left_semi").distinct()
+
+
 # ---- line items ---------------------------------------------------------------
 def price_column(columns: list[str]) -> str:
     return "Unit Price ($)" if "Unit Price ($)" in columns else "Line Total ($)"
@@ -41,26 +62,31 @@ def price_column(columns: list[str]) -> str:
 def prepared_line_items(export: DataFrame) -> DataFrame:
     """F7 + P6 + key columns for a line-item export (headers already trimmed)."""
     price = price_column(export.columns)
+    export = with_position(with_optional(export, LINE_ITEM_HEADERS))
     priced = export.filter(F.coalesce(F.col(price).try_cast("double") > 0, F.lit(False)))
     item_clean = cl.clean_item_name("Item")
     return priced.select(
         "*",
         item_clean.alias("item_clean"),
         cl.po_key("PO #").alias("k_po"),
-        F.substring(item_clean, 1, KEY_ITEM_CHARS).alias("k_item"),
-        F.col("Line").cast("bigint").alias("line_no"))
+        F.substring(item_clean, 1, KEY_ITEM_CHARS).alias("k_item"))
+
+
+def stored_line_keys(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    stored = existing.select(cl.po_key("po_no").alias("k_po"),
+                             F.substring(F.coalesce("item", F.lit("")), 1, KEY_ITEM_CHARS).alias("k_item"))
+    return _stored_keys(stored, batch, ["k_po", "k_item"])
 
 
-def stored_line_keys(existing: DataFrame) -> DataFrame:
-    return (existing.select(cl.po_key("po_no").alias("k_po"),
-                            F.substring(F.coalesce("item", F.lit("")), 1, KEY_ITEM_CHARS).alias("k_item"))
-                    .distinct())
+def is_named() -> Column:
+    """F8: a cleaned item name of three characters or more."""
+    return F.length("item_clean") >= 3
 
 
 def import_anti_join(export: DataFrame, existing: DataFrame) -> DataFrame:
     """Named lines whose (PO, first 30 chars of item) is not stored yet."""
-    p = prepared_line_items(export).filter(F.length("item_clean") >= 3)
-    return p.join(stored_line_keys(existing), ["k_po", "k_item"], "left_anti")
+    p = prepared_line_items(export).filter(is_named())
+    return p.join(stored_line_keys(existing, p), ["k_po", "k_item"], "left_anti")
 
 
 def import_dup_count(export: DataFrame, existing: DataFrame) -> DataFrame:
@@ -68,13 +94,13 @@ def import_dup_count(export: DataFrame, existing: DataFrame) -> DataFrame:
     stored (as the preview does); ``in_file_duplicates`` counts later lines of
     a key that repeats inside the file (which the import also skips)."""
     p = prepared_line_items(export)
-    flagged = p.join(stored_line_keys(existing).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
+    flagged = p.join(stored_line_keys(existing, p).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
     stored = F.coalesce(F.col("_stored"), F.lit(False))
     # One pass: per-key counts (map-side combined), then one global sum.
     per_key = flagged.groupBy("k_po", "k_item").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(stored).alias("n_stored"),
-        F.count_if(~stored & (F.length("item_clean") >= 3)).alias("n_new"))
+        F.count_if(~stored & is_named()).alias("n_new"))
     a = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"),
                     F.coalesce(F.sum("n_stored"), F.lit(0)).alias("duplicates"),
                     F.coalesce(F.sum(F.greatest(F.col("n_new") - 1, F.lit(0))), F.lit(0)).alias("in_file_duplicates"))
@@ -91,7 +117,7 @@ def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
     grant = cl.integer_id_text("Grant")
     project = cl.integer_id_text("RF Project")
     return p.select(
-        "line_no",
+        "file", "line_no",
         F.substring("item_clean", 1, 200).alias("item"),
         qty.alias("qty"), price.alias("unit_price"), total.alias("total"),
         nullif_blank(cl.clean_vendor("Vendor")).alias("vendor"),
@@ -108,15 +134,15 @@ def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
         F.lit(None).cast("string").alias("received_by"),
         F.lit(None).cast("string").alias("location"),
         F.lit(lab).alias("lab"),
-        ((grant.isNull()) | (project.isNull())).alias("_bad"),
+        (grant.isNull() | project.isNull() | total.isNull()).alias("_bad"),
         *keep)
 
 
 def _mapped_lines(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:
     """Priced lines mapped to order columns, with the key columns and the
     stored-key flag (one left join against the deduplicated stored keys)."""
-    flagged = prepared_line_items(export).join(
-        stored_line_keys(existing).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
+    p = prepared_line_items(export)
+    flagged = p.join(stored_line_keys(existing, p).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
     flagged = flagged.withColumn("_stored", F.coalesce("_stored", F.lit(False)))
     return map_line_items(flagged, lab, keep=("k_po", "k_item", "item_clean", "_stored"))
 
@@ -124,44 +150,36 @@ def _mapped_lines(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame
 def line_item_dispositions(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:
     """Every priced line with its disposition and mapped order columns."""
     mapped = _mapped_lines(export, existing, lab)
-    named = F.length("item_clean") >= 3
-    pre = F.when(~named, "unnamed").when(F.col("_stored"), "duplicate").when(F.col("_bad"), "quarantined")
+    pre = F.when(~is_named(), "unnamed").when(F.col("_stored"), "duplicate").when(F.col("_bad"), "quarantined")
     mapped = mapped.withColumn("_pre", pre)
     cand = mapped.filter(F.col("_pre").isNull())
-    keyed = cand.withColumn("_kp", F.coalesce("k_po", F.concat(F.lit("#"), F.col("line_no").cast("string"))))
-    firsts = keyed.groupBy("_kp", "k_item").agg(F.min("line_no").alias("line_no")).select("line_no")
-    firsts = firsts.withColumn("_first", F.lit(True))
-    out = mapped.join(firsts, "line_no", "left")
+    firsts = first_per_key(cand.select("k_po", own_line("k_po").alias("_own"), "k_item", "file", "line_no"), ["k_po", "_own", "k_item"], ["file", "line_no"])
+    firsts = firsts.select("file", "line_no", F.lit(True).alias("_first"))
+    out = mapped.join(firsts, ["file", "line_no"], "left")
     disp = F.coalesce(F.col("_pre"), F.when(F.col("_first"), "imported").otherwise("duplicate"))
     return out.withColumn("disposition", disp).drop("_pre", "_first", "_stored", "k_po", "k_item", "item_clean")
 
 
-def import_line_items(export: DataFrame, existing: DataFrame, lab: str = "Admin", as_of: str = AS_OF) -> DataFrame:
+def import_line_items(export: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
     """The order rows a line-item export adds (ids in file order).
 
+    Lines whose grant or project is no number, or whose total exceeds the money type, are quarantined:
+    ``line_item_dispositions`` returns them and ``import_report`` counts them.
+
     Candidates (named, not stored, not quarantined) keep the first line of
     each key by one ``min_by`` aggregation; no join back to the lines.
     """
     mapped = _mapped_lines(export, existing, lab)
-    cand = mapped.filter((F.length("item_clean") >= 3) & ~F.col("_stored") & ~F.col("_bad"))
-    keyed = cand.withColumn("_kp", F.coalesce("k_po", F.concat(F.lit("#"), F.col("line_no").cast("string"))))
-    cols = [c for c in keyed.columns if c not in ("_kp", "k_item")]
-    first = keyed.groupBy("_kp", "k_item").agg(F.min_by(F.struct(*cols), F.col("line_no")).alias("_r")).select("_r.*")
-    with_ids = request_ids(first, ["line_no"], existing, as_of)
-    return conform(with_ids)
+    cand = mapped.filter(is_named() & ~F.col("_stored") & ~F.col("_bad")).withColumn("_own", own_line("k_po"))
+    first = first_per_key(cand, ["k_po", "_own", "k_item"], ["file", "line_no"])
+    return conform(request_ids(first, ["file", "line_no"], existing, as_of))
 
 
 # ---- PO summary ----------------------------------------------------------------
-def import_po_summary(summary: DataFrame, existing: DataFrame, lab: str = "Admin", as_of: str = AS_OF) -> DataFrame:
-    """I2 (+J3): one order row per PO not stored yet; first line of a PO wins."""
-    p = summary.select("*", cl.po_key("PO Number").alias("k_po"))
-    stored = existing.select(cl.po_key("po_no").alias("k_po")).filter(F.col("k_po").isNotNull()).distinct()
-    fresh = p.join(stored, "k_po", "left_anti")
-    keyed = fresh.withColumn("_kp", F.coalesce("k_po", F.concat(F.lit("#"), F.col("file"), F.col("line_no").cast("string"))))
-    first = first_per_key(keyed.select("_kp", "file", "line_no", "Supplier", "Total Amount", "PO Owner", "k_po"),
-                          ["_kp"], "line_no")
+def map_po_summary(p: DataFrame, lab: str) -> DataFrame:
+    """P19 (summary): columns of a PO summary -> order columns."""
     amount = F.coalesce(F.col("Total Amount").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
-    rows = first.select(
+    return p.select(
         "file", "line_no",
         F.lit(SUMMARY_ITEM).alias("item"), F.lit(1.0).alias("qty"),
         amount.cast("decimal(18,4)").alias("unit_price"), amount.alias("total"),
@@ -170,27 +188,38 @@ def import_po_summary(summary: DataFrame, existing: DataFrame, lab: str = "Admin
         F.col("k_po").alias("po_no"),
         F.col("PO Owner").alias("ordered_by"),
         F.lit(lab).alias("lab"))
-    return conform(request_ids(rows, ["file", "line_no"], existing, as_of))
+
+
+def prepared_po_summary(summary: DataFrame) -> DataFrame:
+    return with_position(with_optional(summary, PO_SUMMARY_HEADERS)).withColumn("k_po", cl.po_key("PO Number"))
 
 
 def po_anti_join(summary: DataFrame, existing: DataFrame) -> DataFrame:
     """Summary rows whose PO is not stored."""
-    p = summary.select("*", cl.po_key("PO Number").alias("k_po"))
-    stored = existing.select(cl.po_key("po_no").alias("k_po")).filter(F.col("k_po").isNotNull()).distinct()
-    return p.join(stored, "k_po", "left_anti")
+    p = prepared_po_summary(summary)
+    stored = existing.select(cl.po_key("po_no").alias("k_po")).filter(F.col("k_po").isNotNull())
+    return p.join(_stored_keys(stored, p, ["k_po"]), "k_po", "left_anti")
+
+
+def import_po_summary(summary: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
+    """I2 (+J3): one order row per PO not stored yet; the first line of a PO by (file, line) wins, lines without a PO
+    are all kept."""
+    fresh = po_anti_join(summary, existing).withColumn("_own", own_line("k_po"))
+    first = first_per_key(fresh.select("k_po", "_own", "file", "line_no", "Supplier", "Total Amount", "PO Owner"), ["k_po", "_own"], ["file", "line_no"])
+    return conform(request_ids(map_po_summary(first, lab), ["file", "line_no"], existing, as_of))
 
 
 # ---- inventory -------------------------------------------------------------------
-def stored_origin_ids(existing: DataFrame) -> DataFrame:
-    return (existing.select(cl.extract_origin_req("notes").alias("k_orig"))
-                    .filter(F.col("k_orig").isNotNull()).distinct())
+def stored_origin_ids(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    stored = existing.select(cl.extract_origin_req("notes").alias("k_orig")).filter(F.col("k_orig").isNotNull())
+    return _stored_keys(stored, batch, ["k_orig"])
 
 
 def prepared_inventory(inv: DataFrame) -> DataFrame:
     """F8 for inventory (item present, longer than 2) + origin id columns."""
+    inv = with_position(with_optional(inv, [*INVENTORY_HEADERS, "sheet"]))
     named = inv.filter(F.col("Item").isNotNull() & (F.length("Item") > 2))
-    return named.select("*", cl.origin_id("Req#").alias("orig"), cl.origin_key("Req#").alias("k_orig"),
-                        F.col("Line").cast("bigint").alias("line_no"))
+    return named.select("*", cl.origin_id("Req#").alias("orig"), cl.origin_key("Req#").alias("k_orig"))
 
 
 def origin_req_anti_join(inv: DataFrame, existing: DataFrame) -> DataFrame:
@@ -198,7 +227,7 @@ def origin_req_anti_join(inv: DataFrame, existing: DataFrame) -> DataFrame:
     "*" and "nan" ids always pass."""
     p = prepared_inventory(inv)
     blank = cl.is_blank_id(F.col("orig"))
-    hit = stored_origin_ids(existing).withColumn("_s", F.lit(True))
+    hit = stored_origin_ids(existing, p).withColumn("_s", F.lit(True))
     return p.join(hit, "k_orig", "left").filter(blank | F.col("_s").isNull()).drop("_s")
 
 
@@ -206,9 +235,9 @@ def map_inventory(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
     """P19 (inventory) + P11, P12, P14; ``keep`` columns ride along."""
     qty = cl.parse_pack_qty("#")
     amount = F.coalesce(F.col("Amount").try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
-    total = F.coalesce(F.col("Total").try_cast("decimal(18,2)"), (qty.cast("decimal(18,4)") * amount).cast("decimal(18,2)"))
+    total = F.coalesce(F.col("Total").try_cast("decimal(18,2)"), F.try_multiply(qty.try_cast("decimal(18,4)"), amount).try_cast("decimal(18,2)"))
     return p.select(
-        "sheet", "line_no",
+        "sheet", "file", "line_no",
         F.substring("Item", 1, 200).alias("item"), qty.alias("qty"), amount.alias("unit_price"), total.alias("total"),
         F.col("Vendor").alias("vendor"),
         sheet_grant("sheet").alias("grant"),
@@ -218,16 +247,51 @@ def map_inventory(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
         *keep)
 
 
-def import_inventory(inv: DataFrame, existing: DataFrame, lab: str = "Admin", as_of: str = AS_OF) -> DataFrame:
+def import_inventory(inv: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
     """Inventory rows not imported before (by original id), first row of an
-    id wins inside the workbook (one ``min_by`` aggregation, no join back),
-    ids in (sheet, line) order."""
+    id wins inside the workbook (one ``min_by`` aggregation, no join back), rows with a blank id are all kept;
+    ids in (sheet, file, line) order. Rows whose total exceeds the money type are quarantined."""
     passed = origin_req_anti_join(inv, existing)
-    blank = cl.is_blank_id(F.col("orig"))
-    mapped = map_inventory(passed.withColumn("_kp", F.when(blank, F.concat(F.lit("#"), F.col("line_no").cast("string")))
-                                                    .otherwise(F.col("k_orig"))), lab, keep=("_kp",))
-    cols = [c for c in mapped.columns if c != "_kp"]
-    first = (mapped.groupBy("_kp")
-                   .agg(F.min_by(F.struct(*cols), F.struct("sheet", "line_no")).alias("_r"))
-                   .select("_r.*"))
-    return conform(request_ids(first, ["sheet", "line_no"], existing, as_of))
+    real = F.when(~cl.is_blank_id(F.col("orig")), F.col("k_orig"))
+    mapped = map_inventory(passed.withColumn("_key", real).withColumn("_own", F.when(real.isNull(), F.struct("sheet", "file", "line_no"))),
+                           lab, keep=("_key", "_own")).filter(F.col("total").isNotNull())
+    first = first_per_key(mapped, ["_key", "_own"], ["sheet", "file", "line_no"])
+    return conform(request_ids(first, ["sheet", "file", "line_no"], existing, as_of))
+
+
+def import_export(export: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
+    """The importer that the columns call for (an error if none does)."""
+    if "sheet" in export.columns and "Item" in export.columns:
+        return import_inventory(export, existing, lab, as_of)
+    if detect_export_format(export.columns) == "line_items":
+        return import_line_items(export, existing, lab, as_of)
+    return import_po_summary(export, existing, lab, as_of)
+
+
+def import_report(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:
+    """What becomes of every row of an export: ``(disposition, rows)``, whose rows sum to the rows read.
+
+    imported, duplicate (stored already, or a later row of its key), unnamed, unpriced (line items without a positive
+    price) and quarantined."""
+    if "sheet" in export.columns and "Item" in export.columns:
+        rows = with_position(with_optional(export, INVENTORY_HEADERS))
+        fresh = origin_req_anti_join(rows, existing)
+        mapped = map_inventory(fresh, lab, keep=("orig", "k_orig"))
+        key = F.when(~cl.is_blank_id(F.col("orig")), F.col("k_orig"))
+        counts = (mapped.groupBy(F.col("total").isNull().alias("bad"), key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+                  .agg(F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("quarantined"),
+                       F.coalesce(F.sum(F.when(~F.col("bad"), F.when(F.col("k").isNull(), F.col("n")).otherwise(1))), F.lit(0)).alias("imported")))
+        named = F.coalesce(F.length("Item") > 2, F.lit(False))
+        seen = rows.agg(F.count_if(~named).alias("unnamed"), F.count_if(named).alias("named"))
+    elif detect_export_format(export.columns) == "po_summary":
+        counts = (po_anti_join(export, existing).groupBy("k_po").agg(F.count(F.lit(1)).alias("n"))
+                  .agg(F.lit(0).cast("bigint").alias("quarantined"), F.coalesce(F.sum(F.when(F.col("k_po").isNull(), F.col("n")).otherwise(1)), F.lit(0)).alias("imported")))
+        seen = export.agg(F.lit(0).cast("bigint").alias("unnamed"), F.count(F.lit(1)).alias("named"))
+    else:
+        priced = line_item_dispositions(export, existing, lab).groupBy("disposition").agg(F.count(F.lit(1)).alias("rows"))
+        unpriced = export.filter(~F.coalesce(F.col(price_column(export.columns)).try_cast("double") > 0, F.lit(False)))
+        return priced.unionByName(unpriced.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("unpriced").alias("disposition"), "rows")).filter("rows > 0")
+    both = counts.crossJoin(F.broadcast(seen))  # one row each
+    duplicate = F.col("named") - F.col("imported") - F.col("quarantined")
+    return both.select(F.explode(F.create_map(F.lit("imported"), F.col("imported"), F.lit("quarantined"), F.col("quarantined"), F.lit("unnamed"), F.col("unnamed"),
+                                              F.lit("duplicate"), duplicate)).alias("disposition", "rows")).filter("rows > 0")

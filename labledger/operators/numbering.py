@@ -35,13 +35,14 @@ def indexed_with_count(df: DataFrame, order: list[str | Column], name: str = "id
     tagged = fixed.withColumn("_mid", mid)
     counts = (tagged.groupBy(F.shiftright("_mid", 33).alias("pid")).agg(F.count(F.lit(1)).alias("n"))
                     .orderBy("pid").collect())
-    offsets, acc = [], 0
-    for r in counts:
-        offsets += [F.lit(int(r["pid"])), F.lit(acc)]
-        acc += int(r["n"])
+    sizes = {int(r["pid"]): int(r["n"]) for r in counts}
+    offsets, acc = [], 0  # by partition: an array literal, so a row's offset is one index away
+    for pid in range(max(sizes, default=-1) + 1):
+        offsets.append(acc)
+        acc += sizes.get(pid, 0)
     if not offsets:
         return tagged.drop("_mid").withColumn(name, F.lit(None).cast("bigint")), 0
-    off = F.create_map(*offsets)[F.shiftright("_mid", 33)]
+    off = F.get(F.lit(offsets).cast("array<bigint>"), F.shiftright("_mid", 33).cast("int"))
     out = tagged.withColumn(name, off + F.col("_mid").bitwiseAND(F.lit(_LOW33)) + F.lit(start)).drop("_mid")
     return out, acc
 

@@ -132,9 +132,9 @@ def truncate_text(c: Column | str, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def status(c="date_received") -> Column:
-    """P2 receipt status."""
-    return F.when(is_pending(c), "Pending").otherwise("Received")
+def status(c="date_received", text: bool = False) -> Column:
+    """P2 receipt status; ``text``: of a raw text column, where blank counts as not received."""
+    return F.when(is_pending(c, text), "Pending").otherwise("Received")
 
 
 def recent_orders(df: DataFrame, n: int = 5) -> DataFrame:

@@ -81,14 +81,16 @@ WHERE rf_project IS NOT NULL AND rf_project <> '' AND "grant" IS NOT NULL
 GROUP BY rf_project, "grant" ORDER BY total_spent DESC, rf_project, "grant" LIMIT 5""")
 
 YG = """yg AS (SELECT CAST(year(date_ordered) AS INTEGER) AS year, "grant", sum(coalesce(total, 0)) AS spend_dec FROM order_lines
-  WHERE date_ordered IS NOT NULL AND "grant" IS NOT NULL GROUP BY 1, 2)"""
+  WHERE date_ordered IS NOT NULL AND "grant" IS NOT NULL AND "grant" <> '' GROUP BY 1, 2)"""
 GRID = """grid AS (SELECT y.year, g."grant", coalesce(yg.spend_dec, 0) AS spend_dec
   FROM (SELECT DISTINCT year FROM yg) y CROSS JOIN (SELECT DISTINCT "grant" FROM yg) g
   LEFT JOIN yg ON yg.year = y.year AND yg."grant" = g."grant")"""
 sql("year_grant_grid", "SELECT year, \"grant\", CAST(spend_dec AS DOUBLE) AS spend FROM grid", YG, GRID)
 sql("year_grant_pivot", "SELECT year, \"grant\", CAST(spend_dec AS DOUBLE) AS spend FROM grid", YG, GRID)
+UNASSIGNED = """unassigned AS (SELECT CAST(year(date_ordered) AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS "grant", sum(coalesce(total, 0)) AS spend_dec
+  FROM order_lines WHERE date_ordered IS NOT NULL AND ("grant" IS NULL OR "grant" = '') GROUP BY 1)"""
 sql("year_grant_margins", """SELECT year, "grant", GROUPING_ID(year, "grant") AS level, CAST(sum(spend_dec) AS DOUBLE) AS spend
-FROM grid GROUP BY CUBE (year, "grant")""", YG, GRID)
+FROM (SELECT * FROM grid UNION ALL SELECT * FROM unassigned) GROUP BY CUBE (year, "grant")""", YG, GRID, UNASSIGNED)
 sql("year_ordinal", "SELECT year, CAST(dense_rank() OVER (ORDER BY year) - 1 AS INTEGER) AS year_ordinal FROM (SELECT DISTINCT year FROM yg)", YG)
 PROJ = """proj AS (
   SELECT "grant", n AS n_years, last_spend, projected,
@@ -432,7 +434,7 @@ sql("import_inventory", f"""SELECT {ORDER_COLS_SQL} FROM (
     CAST(NULL AS DATE) AS date_received, CAST(NULL AS VARCHAR) AS received_by, CAST(NULL AS VARCHAR) AS location, lab
   FROM minv WHERE (sheet, line_no) IN (
     SELECT min((sheet, line_no)) FROM minv
-    GROUP BY CASE WHEN {BLANK('orig')} THEN '#' || CAST(line_no AS VARCHAR) ELSE k_orig END))""",
+    GROUP BY CASE WHEN {BLANK('orig')} THEN sheet || chr(0) || CAST(line_no AS VARCHAR) END, CASE WHEN NOT {BLANK('orig')} THEN k_orig END))""",
     STORED_SQL, INVENTORY_SQL, INVP, MAPINV.replace("{src}", "invpass"))
 sql("scan_inventory", """SELECT sheet, req_raw AS "Req#", item_raw AS "Item", count_raw AS "#", amount_raw AS "Amount",
   total_raw AS "Total", vendor_raw AS "Vendor", CAST(line_no AS VARCHAR) AS "Line" FROM inv""", INVENTORY_SQL)
@@ -469,6 +471,9 @@ sql("delete_by_id", "SELECT req_id FROM order_lines WHERE req_id IS DISTINCT FRO
 sql("scan_orders", "SELECT * FROM order_lines")
 sql("schema_backfill", "SELECT * REPLACE (CAST(NULL AS VARCHAR) AS rf_project, CAST(NULL AS VARCHAR) AS split_pct) FROM order_lines")
 sql("required_projection", "SELECT * FROM order_lines")
+sql("write_snapshot", "SELECT * FROM order_lines")
+sql("delete_all", "SELECT * FROM order_lines WHERE false")
+sql("export_csv", "SELECT * FROM order_lines")
 sql("verify_after_write", "SELECT count(*) AS rows, CAST(sum(total) AS DOUBLE) AS spend FROM order_lines")
 sql("preview", """SELECT h.*, c.total_rows FROM (SELECT req_id, item, vendor, CAST(total AS DOUBLE) AS total FROM order_lines
   ORDER BY req_id LIMIT 20) h, (SELECT count(*) AS total_rows FROM order_lines) c""")
@@ -505,3 +510,16 @@ sql("import_total", """SELECT CAST(sum(TRY_CAST(total_raw AS DECIMAL(18,2))) AS
 sql("map_po_summary", f"""SELECT {POKEY('po_raw')} AS po_no, '[Add item details]' AS item, CAST(1.0 AS DOUBLE) AS qty,
   coalesce(TRY_CAST(amount_raw AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2))) AS total, supplier_raw AS vendor,
   owner_raw AS ordered_by, 'ShopBlue' AS po_source FROM pos""", PO_SUMMARY_SQL)
+
+# ---- dispatch ---------------------------------------------------------------------------------
+ORACLE["detect_export_format"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS export, count(*) AS imported FROM ({ORACLE['import_' + name]})" for name in ("line_items", "po_summary", "inventory"))
+sql("_report_lines", """SELECT 'line_items' AS export, coalesce(pre, CASE WHEN line_no IN (SELECT line_no FROM firsts) THEN 'imported' ELSE 'duplicate' END) AS disposition,
+  count(*) AS rows FROM disp GROUP BY 2 UNION ALL SELECT 'line_items', 'unpriced', (SELECT count(*) FROM li) - (SELECT count(*) FROM lip)""",
+    STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS, MAPLI, DISP)
+sql("_report_summary", """SELECT 'po_summary' AS export, 'imported' AS disposition, count(*) AS rows FROM imppo
+  UNION ALL SELECT 'po_summary', 'duplicate', (SELECT count(*) FROM pos) - (SELECT count(*) FROM imppo)""", STORED_SQL, PO_SUMMARY_SQL, POSK, IMPPO)
+sql("_report_inventory", f"""SELECT 'inventory' AS export, 'imported' AS disposition, count(*) AS rows FROM ({ORACLE['import_inventory']})
+  UNION ALL SELECT 'inventory', 'unnamed', (SELECT count(*) FROM inv) - (SELECT count(*) FROM invp)
+  UNION ALL SELECT 'inventory', 'duplicate', (SELECT count(*) FROM invp) - (SELECT count(*) FROM ({ORACLE['import_inventory']}))""", STORED_SQL, INVENTORY_SQL, INVP)
+ORACLE["import_report"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLE.pop('_report_' + n)}) WHERE rows > 0" for n in ("lines", "summary", "inventory"))

@@ -8,6 +8,7 @@ the feature (top-k lists, previews).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -211,7 +212,7 @@ def q_usual_vendor(spark, d):
 
 @register("reorder_predictions")
 def q_reorder(spark, d):
-    return fc.reorder_predictions(T(spark, d))
+    return fc.reorder_predictions(T(spark, d), fx.AS_OF)
 
 
 @register("spend_moving_avg")
@@ -299,6 +300,16 @@ def LINES(spark, d):
     return ex.scan_line_items(spark, export_files(spark, d).line_items)
 
 
+def NUMBERED(spark, d):
+    """The line items with the line number that the fixture writes into a column of its own; only queries that return
+    line numbers need it, the imports go by the readers' positions."""
+    return LINES(spark, d).withColumn("line_no", F.col("Line").cast("bigint"))
+
+
+def NUMBERED_INVENTORY(spark, d):
+    return INVENTORY(spark, d).withColumn("line_no", F.col("Line").cast("bigint"))
+
+
 def SUMMARY(spark, d):
     return ex.scan_po_summary(spark, export_files(spark, d).po_summary)
 
@@ -314,7 +325,7 @@ def q_line_total(spark, d):
 
 @register("receipt_status")
 def q_status(spark, d):
-    return R(spark, d).select("req_id", rep.status("date_received").alias("status"))
+    return R(spark, d).select("req_id", rep.status("date_received", text=True).alias("status"))
 
 
 @register("coerce_amount")
@@ -429,7 +440,7 @@ def q_subset(spark, d):
 
 @register("urgency_bucket")
 def q_urgency(spark, d):
-    return fc.reorder_predictions(T(spark, d)).select("item", "days_until_reorder", "urgency")
+    return fc.reorder_predictions(T(spark, d), fx.AS_OF).select("item", "days_until_reorder", "urgency")
 
 
 @register("trend_bucket")
@@ -439,13 +450,8 @@ def q_trend(spark, d):
 
 @register("finite_only")
 def q_finite(spark, d):
-    t = T(spark, d)
-    feats = t.select("req_id", F.col("qty").alias("f_qty"), F.col("unit_price").cast("double").alias("f_price"),
-                     F.col("total").cast("double").alias("f_total"))
-    ok = F.lit(True)
-    for c in ["f_qty", "f_price", "f_total"]:
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    return feats.filter(ok)
+    feats = an.finite_features(T(spark, d))
+    return feats.select("req_id", *[F.col(c).cast("double").alias(f) for c, f in (("qty", "f_qty"), ("unit_price", "f_price"), ("total", "f_total"))])
 
 
 @register("next_periods")
@@ -455,19 +461,19 @@ def q_next_periods(spark, d):
 
 @register("add_fractional_days")
 def q_frac_days(spark, d):
-    return fc.reorder_predictions(T(spark, d)).select("item", "predicted_reorder_date", "days_until_reorder")
+    return fc.reorder_predictions(T(spark, d), fx.AS_OF).select("item", "predicted_reorder_date", "days_until_reorder")
 
 
 @register("request_id")
 def q_request_id(spark, d):
-    p = ing.prepared_line_items(LINES(spark, d)).filter(F.length("item_clean") >= 3).select("line_no")
+    p = ing.prepared_line_items(NUMBERED(spark, d)).filter(ing.is_named()).select("line_no")
     return request_ids(p, ["line_no"], T(spark, d), fx.AS_OF)
 
 
 # ---- joins for imports ------------------------------------------------------------
 @register("import_anti_join")
 def q_import_anti(spark, d):
-    return ing.import_anti_join(LINES(spark, d), STORED(spark, d)).select("line_no", "k_po", "k_item")
+    return ing.import_anti_join(NUMBERED(spark, d), STORED(spark, d)).select("line_no", "k_po", "k_item")
 
 
 @register("import_dup_count")
@@ -482,24 +488,25 @@ def q_po_anti(spark, d):
 
 @register("origin_req_anti_join")
 def q_origin_anti(spark, d):
-    return ing.origin_req_anti_join(INVENTORY(spark, d), STORED(spark, d)).select("line_no", "sheet", "orig")
+    return ing.origin_req_anti_join(NUMBERED_INVENTORY(spark, d), STORED(spark, d)).select("line_no", "sheet", "orig")
 
 
 @register("first_per_key")
 def q_first_per_key(spark, d):
-    fresh = ing.import_anti_join(LINES(spark, d), STORED(spark, d))
-    return ing.first_per_key(fresh.select("k_po", "k_item", "line_no"), ["k_po", "k_item"], "line_no")
+    fresh = ing.import_anti_join(NUMBERED(spark, d), STORED(spark, d)).withColumn("_own", ing.own_line("k_po"))
+    first = ing.first_per_key(fresh.select("k_po", "_own", "k_item", "file", "line_no"), ["k_po", "_own", "k_item"], ["file", "line_no"])
+    return first.select("k_po", "k_item", "line_no")
 
 
 @register("map_line_items")
 def q_map_lines(spark, d):
-    p = ing.prepared_line_items(LINES(spark, d)).filter(F.length("item_clean") >= 3)
-    return ing.map_line_items(p, "Admin").drop("_bad", "notes", "date_received", "received_by", "location")
+    p = ing.prepared_line_items(NUMBERED(spark, d)).filter(ing.is_named())
+    return ing.map_line_items(p, "Admin").drop("_bad", "file", "notes", "date_received", "received_by", "location")
 
 
 @register("map_inventory")
 def q_map_inventory(spark, d):
-    return ing.map_inventory(ing.prepared_inventory(INVENTORY(spark, d)), "Admin")
+    return ing.map_inventory(ing.prepared_inventory(NUMBERED_INVENTORY(spark, d)), "Admin").drop("file")
 
 
 @register("import_line_items")
@@ -589,7 +596,8 @@ def q_delete_matching(spark, d):
 def q_delete_all(spark, d):
     store = OrderStore(spark)
     store.write(T(spark, d))
-    return store.delete_all()
+    store.delete_all()
+    return store.read()
 
 
 # ---- sources -------------------------------------------------------------------------
@@ -612,21 +620,31 @@ def q_required(spark, d):
 
 @register("write_snapshot")
 def q_write_snapshot(spark, d):
-    return OrderStore(spark).write(T(spark, d))
+    store = OrderStore(spark)
+    store.write(T(spark, d))
+    return store.read()
 
 
 @register("scan_line_items")
 def q_scan_lines(spark, d):
-    return LINES(spark, d)
+    return LINES(spark, d).drop("file", "line_no")
 
 
 @register("detect_export_format")
 def q_detect(spark, d):
-    f = export_files(spark, d)
-    lines = ex.scan_line_items(spark, f.line_items)
-    rows = [("line_items", ex.detect_export_format(lines.columns)),
-            ("po_summary", ex.detect_export_format(SUMMARY(spark, d).columns))]
-    return spark.createDataFrame(rows, "export string, detected string")
+    """Every export through the dispatching import: the order rows that each adds."""
+    parts = [ing.import_export(e(spark, d), STORED(spark, d), "Admin", fx.AS_OF).agg(F.count(F.lit(1)).alias("imported"))
+             .select(F.lit(name).alias("export"), "imported")
+             for name, e in (("line_items", LINES), ("po_summary", SUMMARY), ("inventory", INVENTORY))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("import_report")
+def q_import_report(spark, d):
+    """What becomes of every row of each export."""
+    parts = [ing.import_report(e(spark, d), STORED(spark, d), "Admin").select(F.lit(name).alias("export"), "disposition", F.col("rows").cast("bigint").alias("rows"))
+             for name, e in (("line_items", LINES), ("po_summary", SUMMARY), ("inventory", INVENTORY))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("scan_po_summary")
@@ -636,16 +654,16 @@ def q_scan_summary(spark, d):
 
 @register("scan_inventory")
 def q_scan_inventory(spark, d):
-    return INVENTORY(spark, d)
+    return INVENTORY(spark, d).drop("file", "line_no")
 
 
 @register("export_csv")
 def q_export_csv(spark, d):
     from labledger.session import scratch_path
-    from labledger.sources.store import export_csv
+    from labledger.sources.store import export_csv, scan_order_csv
     path = scratch_path(spark, "export_csv")
     export_csv(T(spark, d), path)
-    return spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows"))
+    return scan_order_csv(spark, path)
 
 
 @register("verify_after_write")
@@ -721,7 +739,7 @@ def q_stream_score(spark, d):
 def q_stream_import(spark, d):
     store = OrderStore(spark)
     store.write(STORED(spark, d))
-    sj.stream_import(spark, export_files(spark, d).line_items, store)
+    sj.stream_import(spark, export_files(spark, d).line_items, store, fx.AS_OF)
     return store.read().filter(F.col("req_id").startswith("REQ-")).select("req_id", "item", "po_no", "total")
 
 
@@ -751,7 +769,7 @@ def q_priced(spark, d):
 
 @register("named_lines")
 def q_named(spark, d):
-    p = ing.prepared_line_items(LINES(spark, d))
+    p = ing.prepared_line_items(NUMBERED(spark, d))
     return flt.named_lines(p, "item_clean", 3).select("line_no", "item_clean")
 
 
@@ -776,8 +794,5 @@ def q_import_total(spark, d):
 
 @register("map_po_summary")
 def q_map_summary(spark, d):
-    s = SUMMARY(spark, d)
-    amount = F.coalesce(F.col("Total Amount").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
-    return s.select(cl.po_key("PO Number").alias("po_no"), F.lit(ing.SUMMARY_ITEM).alias("item"),
-                    F.lit(1.0).alias("qty"), amount.alias("total"), F.col("Supplier").alias("vendor"),
-                    F.col("PO Owner").alias("ordered_by"), F.lit(ing.IMPORT_SOURCE).alias("po_source"))
+    rows = ing.map_po_summary(ing.prepared_po_summary(SUMMARY(spark, d)), "Admin")
+    return rows.select("po_no", "item", "qty", "total", "vendor", "ordered_by", "po_source")

@@ -67,12 +67,13 @@ INVENTORY_HEADERS = ["Req#", "Item", "#", "Amount", "Total", "Vendor"]
 
 def conform(df: DataFrame) -> DataFrame:
     """S2 + S3: add each missing order column as a typed null, drop extras,
-    fix the column order and types."""
+    fix the column order and types, turn blank text into null."""
     have = set(df.columns)
     cols = []
     for f in ORDER.fields:
         c = F.col(f.name) if f.name in have else F.lit(None)
-        cols.append(c.cast(f.dataType).alias(f.name))
+        c = c.cast(f.dataType)
+        cols.append((F.nullif(c, F.lit("")) if f.dataType == T.StringType() and f.name in have else c).alias(f.name))
     return df.select(*cols)
 
 

@@ -5,25 +5,62 @@
 * inventory   - one CSV directory per sheet (``sheet=<name>``); the sheet
                 name becomes the grant unless it is ``Sheet1``
 
-All columns are read as text; typing happens once in the import pipelines.
+All columns are read as text; typing happens once in the import pipelines. Every file is read by its own header, so
+files may order their columns differently or lack some. Quotes are doubled inside quoted values, which may span lines.
+Each row carries ``file`` and ``line_no``, a number that grows with its position inside the file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labledger.schema import PO_SUMMARY_HEADERS
 
 PREAMBLE_LINES = 9
-
-
-def strip_headers(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip() for c in df.columns])
-
-
-def scan_line_items(spark: SparkSession, path: str) -> DataFrame:
+# The quoting of the exports.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _names(header: str) -> list[str]:
+    """Trimmed column names of a header line; nameless columns are numbered."""
+    return [c.strip() or f"_c{i}" for i, c in enumerate(next(csv.reader([header.lstrip("\ufeff")])))]
+
+
+def _text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return (spark.read.option("recursiveFileLookup", True).text(path)
+                 .select("value", F.col("_metadata.file_path").alias("file"),
+                         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid")))
+
+
+def read_csv_by_header(spark: SparkSession, path: str | list[str], partitions: list[str] = (), multi_line: bool = True) -> DataFrame:
+    """All CSV files at ``path``, each by its own header line, as text; ``partitions`` name text columns that come from
+    directory names. The files' header lines go through the driver, as its file listing does; files with the same header
+    are one scan. ``multi_line=False`` lets large files without line breaks inside values be split."""
+    heads = (_text_lines(spark, path).filter("block = 0").groupBy("file").agg(F.min_by("value", "mid").alias("header")).collect())
+    groups: dict[str, list[str]] = {}
+    for r in heads:
+        groups.setdefault(r["header"], []).append(unquote(r["file"]))
+    if not groups:
+        return spark.createDataFrame([], "file string, line_no bigint")
+    parts = []
+    for header, files in sorted(groups.items()):
+        names = _names(header)
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, *partitions])
+        reader = spark.read.schema(schema).options(header=True, multiLine=multi_line, **QUOTING)
+        if isinstance(path, str):
+            reader = reader.option("basePath", path)
+        read = reader.csv(path if len(groups) == 1 else sorted(files))
+        parts.append(read.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def scan_line_items(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """CSV with a header row; header names trimmed; every value text."""
-    return strip_headers(spark.read.option("header", True).option("inferSchema", False).csv(path))
+    return read_csv_by_header(spark, path, multi_line=multi_line)
 
 
 def detect_export_format(columns: list[str]) -> str:
@@ -38,85 +75,34 @@ def detect_export_format(columns: list[str]) -> str:
                      "or PO Number, Supplier, Total Amount")
 
 
-def _lines_with_position(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their position inside the file block they were read from.
-
-    Rows of one block are contiguous within a read partition, so the position
-    is ``monotonically_increasing_id`` minus the block's first id. The first
-    ids come from an aggregation with one row per input split, broadcast back
-    when its size is proven small (the lines are then never shuffled).
-    """
-    raw = (spark.read.option("recursiveFileLookup", True).text(path)
-                .select("value",
-                        F.col("_metadata.file_path").alias("_file"),
-                        F.col("_metadata.file_block_start").alias("_block"),
-                        F.monotonically_increasing_id().alias("_mid")))
-    starts = raw.groupBy("_file", "_block").agg(F.min("_mid").alias("_first"))
-    if _split_table_fits(spark, raw):
-        starts = F.broadcast(starts)
-    return (raw.join(starts, ["_file", "_block"])
-               .withColumn("_pos", F.col("_mid") - F.col("_first")).drop("_first"))
-
-
-# Upper bound on the size of one row of the per-split table (file path, block
-# offset, first id, row overhead).
-SPLIT_ROW_BYTES = 512
-
-
-def _split_table_fits(spark: SparkSession, raw: DataFrame) -> bool:
-    """Whether the per-split table is provably under the broadcast threshold.
-
-    It has one row per input split. A read partition packs at most
-    maxPartitionBytes / openCostInBytes + 1 splits, and the number of read
-    partitions is known from planning (no job), so that product bounds the
-    rows. Beyond the threshold the join is left to a shuffle.
-    """
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = _bytes(threshold)
-    if limit <= 0:
-        return False
-    max_part = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    open_cost = max(1, _bytes(spark.conf.get("spark.sql.files.openCostInBytes")))
-    rows = raw.rdd.getNumPartitions() * (max_part // open_cost + 1)
-    return rows * SPLIT_ROW_BYTES <= limit
-
-
-def _bytes(text: str) -> int:
-    """A Spark size setting ("10485760", "10MB", "128m", "-1") in bytes."""
-    t = str(text).strip().lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    if t and t[-1] in units:
-        return int(float(t[:-1]) * units[t[-1]])
-    return int(t)
-
-
-def scan_po_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Skip the nine preamble lines and the header of every file, parse
-    the remaining lines as CSV with the summary headers; ``line_no`` keeps the
-    file order (file path, then position)."""
-    lines = _lines_with_position(spark, path)
-    head = (lines.filter((F.col("_block") == 0) & (F.col("_pos") == PREAMBLE_LINES))
-                 .select("value").limit(1).collect())
-    if not head:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in PO_SUMMARY_HEADERS])
-        return spark.createDataFrame([], schema)
-    names = [c.strip() for c in head[0]["value"].split(",")]
-    detect_export_format(names)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    body = lines.filter(~((F.col("_block") == 0) & (F.col("_pos") <= PREAMBLE_LINES)) & (F.col("value") != ""))
-    parsed = body.select(F.from_csv("value", schema.simpleString()).alias("r"), "_file", "_block", "_pos")
-    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)],
-                         F.col("_file").alias("file"),
-                         (F.col("_block") * (1 << 20) + F.col("_pos")).alias("line_no"))
-
-
-def scan_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Every sheet at once; ``sheet`` comes from the directory name."""
-    df = strip_headers(spark.read.option("header", True).option("inferSchema", False)
-                       .option("basePath", path).csv(path))
-    if "sheet" in df.columns:
-        df = df.withColumn("sheet", F.col("sheet").cast("string"))
-    return df
+def scan_po_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Skip the nine preamble lines of every file, take its header and parse the remaining lines by it.
+
+    Only a file's first line number is looked up (one row per file, which the planner broadcasts while it is small)."""
+    lines = _text_lines(spark, path)
+    firsts = [(r["file"], r["mid"]) for r in lines.filter("block = 0").groupBy("file").agg(F.min("mid").alias("mid")).collect()]
+    first = spark.createDataFrame(firsts, "file string, first bigint")
+    placed = lines.join(first, "file").withColumn("pos", F.when(F.col("block") == 0, F.col("mid") - F.col("first")))
+    headers: dict[str, list[str]] = {}
+    for r in placed.filter(F.col("pos") == PREAMBLE_LINES).select("file", "value").collect():
+        headers.setdefault(r["value"], []).append(r["file"])
+    body = placed.filter((F.coalesce("pos", F.lit(PREAMBLE_LINES + 1)) > PREAMBLE_LINES) & (F.col("value") != ""))
+    parts = []
+    for header, files in sorted(headers.items()):
+        names = _names(header)
+        detect_export_format(names)
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        mine = body if len(headers) == 1 else body.join(spark.createDataFrame([(f,) for f in files], "file string"), "file", "left_semi")
+        parsed = mine.select(F.from_csv("value", schema, QUOTING).alias("r"), "file", "mid")
+        parts.append(parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "file", F.col("mid").alias("line_no")))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in PO_SUMMARY_HEADERS) + ", file string, line_no bigint")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def scan_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Every sheet at once; ``sheet`` comes from the directory name, as text."""
+    return read_csv_by_header(spark, path, partitions=["sheet"], multi_line=multi_line)
 
 
 def sheet_grant(sheet_col: str = "sheet"):

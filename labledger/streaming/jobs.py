@@ -6,30 +6,32 @@ stateless ``mapInPandas`` per micro-batch, appended to a parquet sink.
 X2 imports arriving line-item export files: each micro-batch runs the import
 (anti join with the stored keys, first line per key, request ids) against
 the store's current version in ``foreachBatch`` and appends only the new
-rows. Re-delivery of a batch after a failure finds its rows stored already
-and imports nothing twice (the dedupe is against the table itself).
+rows. The commit logs the batch's epoch, so a batch delivered again after a failure is skipped whole (lines without
+a PO number, which no stored key can reject, included).
 
-Checkpoints live in the shared folder, so a restarted query resumes.
+A query resumes where it stopped if it is started again with the same ``checkpoint`` folder and, for X1, the same sink;
+without one it takes a new folder under the shared one and reads everything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labledger.operators import anomaly as an
 from labledger.operators import ingest as ing
-from labledger.schema import LINE_ITEM_HEADERS, ORDER
+from labledger.schema import ORDER
 from labledger.session import scratch_path
-from labledger.sources.exports import strip_headers
-from labledger.sources.fixtures import AS_OF
+from labledger.sources.exports import scan_line_items
 from labledger.sources.store import OrderStore
 
 
 def stream_score_orders(spark: SparkSession, source_dir: str, model: an.ForestModel,
-                        sink_dir: str | None = None, max_files_per_trigger: int = 1) -> str:
+                        sink_dir: str | None = None, max_files_per_trigger: int = 1, checkpoint: str | None = None) -> str:
     """readStream (parquet order files) -> M4 scoring -> append to parquet."""
     sink_dir = sink_dir or scratch_path(spark, "stream", "scores")
-    ckpt = scratch_path(spark, "stream", "scores_ckpt")
+    ckpt = checkpoint or scratch_path(spark, "stream", "scores_ckpt")
     src = (spark.readStream.schema(ORDER).option("maxFilesPerTrigger", max_files_per_trigger)
                 .parquet(source_dir))
     scored = an.score_new_orders(src, model)
@@ -39,25 +41,25 @@ def stream_score_orders(spark: SparkSession, source_dir: str, model: an.ForestMo
     return sink_dir
 
 
-LINE_ITEM_SCHEMA = T.StructType([T.StructField(h, T.StringType()) for h in LINE_ITEM_HEADERS + ["Line"]])
-
-
-def stream_import(spark: SparkSession, source_dir: str, store: OrderStore, lab: str = "Admin", as_of: str = AS_OF,
-                  max_files_per_trigger: int = 4) -> OrderStore:
+def stream_import(spark: SparkSession, source_dir: str, store: OrderStore, as_of: str, lab: str = "Admin",
+                  max_files_per_trigger: int = 4, checkpoint: str | None = None) -> OrderStore:
     """readStream (line-item CSV files) -> per micro-batch I1 against the
     current table -> append the imported rows as a new store version."""
-    ckpt = scratch_path(spark, "stream", "import_ckpt")
-    raw = (spark.readStream.option("header", True).option("maxFilesPerTrigger", max_files_per_trigger)
-                .schema(_padded_schema(spark, source_dir)).csv(source_dir))
+    ckpt = checkpoint or scratch_path(spark, "stream", "import_ckpt")
+    # The stream delivers which files are new; each batch reads them by their own headers.
+    raw = (spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(source_dir)
+                .select(F.col("_metadata.file_path").alias("file")))
 
     def import_batch(batch: DataFrame, epoch_id: int) -> None:
-        export = strip_headers(batch)
-        if export.isEmpty():
+        epoch = f"{ckpt}#{epoch_id}"
+        files = [unquote(r["file"]) for r in batch.distinct().collect()]  # at most max_files_per_trigger
+        if not files or store.has_epoch(epoch):
             return
+        export = scan_line_items(spark, sorted(files))
         existing = store.read()
         new_rows = ing.import_line_items(export, existing, lab, as_of)
         if not new_rows.isEmpty():
-            store.append(new_rows)
+            store.append(new_rows, epoch)
 
     q = (raw.writeStream.foreachBatch(import_batch).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())
@@ -65,10 +67,4 @@ def stream_import(spark: SparkSession, source_dir: str, store: OrderStore, lab:
     return store
 
 
-def _padded_schema(spark: SparkSession, source_dir: str) -> T.StructType:
-    """The files' own header names (they may carry stray spaces), all text."""
-    names = spark.read.option("header", True).csv(source_dir).columns
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-__all__ = ["stream_score_orders", "stream_import", "F"]
+__all__ = ["stream_score_orders", "stream_import"]

@@ -21,7 +21,7 @@ def col_of(df, c):
 
 def test_status_and_pending(spark):
     df = spark.createDataFrame([("a", "2001-01-01"), ("b", None), ("c", "")], "id string, date_received string")
-    got = dict(df.select("id", rep.status("date_received")).collect())
+    got = dict(df.select("id", rep.status("date_received", text=True)).collect())
     assert got == {"a": "Received", "b": "Pending", "c": "Pending"}
     assert flt.pending_orders(df).count() == 2
     assert flt.received_orders(df).count() == 1
@@ -252,7 +252,7 @@ def test_yearly_projection_edges(orders_df):
     one = yr.yearly_projection(orders_df([{"grant": "G", "date_ordered": "2020-01-01", "total": 5}])).collect()[0]
     assert one["projected"] == 5.0 and one["trend"] == "Stable"
     margins = {(r["year"], r["grant"], r["level"]): r["spend"] for r in yr.year_grant_margins(df).collect()}
-    assert margins[(None, None, 3)] == 1050.0 and margins[(2021, None, 1)] == 400.0
+    assert margins[(None, None, 3)] == 2050.0 and margins[(2021, None, 1)] == 1400.0 and margins[(None, None, 2)] == 1000.0
     assert margins[(None, "G2", 2)] == 400.0
 
 

@@ -24,6 +24,10 @@ def test_spend_by_grant_prunes_columns(spark):
     assert "PushedFilters: [IsNotNull(grant), Not(EqualTo(grant,))]" in p
 
 
+def test_pending_filter_reaches_the_scan(spark):
+    assert "PushedFilters: [IsNull(date_received)]" in plan(REGISTRY["pending_orders"](spark, SMALL))
+
+
 @pytest.mark.parametrize("key", sorted(k for k in REGISTRY if k not in SKIP))
 def test_no_python_rows_and_no_cartesian(spark, key):
     p = plan(REGISTRY[key](spark, SMALL))

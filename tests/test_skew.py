@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from labledger.operators import forecast as fc
 from labledger.operators import sourcing as src
 
@@ -82,11 +84,11 @@ def test_hot_import_key_keeps_first_line_only(spark, orders_df):
     for i in range(n):
         po, item = ("777", "Hot reagent - 500 mL") if i < hot else (str(10000 + i), f"Reagent {i}")
         data.append((po, item, "Acme", "2", "3.50", "7.00", "123", "456", "", "c1", "x", "07/01/2001", str(i)))
-    export = spark.createDataFrame(data, [*LINE_ITEM_HEADERS, "Line"])
+    export = spark.createDataFrame(data, [*LINE_ITEM_HEADERS, "Line"]).withColumn("line_no", F.col("Line").cast("bigint"))
     existing = orders_df([{"req_id": "L1", "po_no": "1", "item": "Other"}])
 
     def run(e):
-        return sorted((r["req_id"], r["po_no"], r["item"]) for r in ing.import_line_items(e, existing).collect())
+        return sorted((r["req_id"], r["po_no"], r["item"]) for r in ing.import_line_items(e, existing, "Admin", AS_OF).collect())
 
     a = run(export.repartition(1))
     assert a == run(export.repartition(17))
