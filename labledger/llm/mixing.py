@@ -45,7 +45,7 @@ def _fit(state: DataFrame, dim: str, target: DataFrame, total: float) -> DataFra
             .withColumn("weight", F.col("weight") * F.col("factor")).drop("d", "factor"))
 
 
-def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
     """Iterative proportional fitting: ``cell`` with ``weight``, whose sums by each dimension follow its target shares.
 
     Each round scales the weights to every dimension's shares in turn, by an aggregation of the cells and a join, and is

@@ -14,6 +14,7 @@ from labledger.llm.setsketch import slices
 
 FEATURES = ["log_words", "distinct_share", "repeat_share", "top_share", "mean_length", "upper_share", "symbol_share",
             "digit_share", "bar_share", "punctuated_share", "long_share", "line_words", "repeated_line_share"]
+PRIOR_WORDS = 8.0       # words of a text that weigh as much as the share of good labels
 LABELLED_ROWS = 20_000  # largest number of labelled rows that the classifier is fitted on
 SMALLEST_CONCENTRATION, LARGEST_CONCENTRATION = 1.0, 1e4
 _UPPER, _DIGIT, _SYMBOL = (np.zeros(256) for _ in range(3))
@@ -146,11 +147,11 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Quality of every row: ``(id_col, evidence, host_posterior, path_posterior, score, kept)``.
 
     ``evidence``: log-odds of a ridge logistic regression on features of the whole text, fitted on at most
-    ``labelled_rows`` labelled rows, those with the lowest hash of their id (ids with several labels count by their mean). ``score``
+    ``labelled_rows`` labelled rows, those with the lowest hash of their id (ids with several labels count by their mean), drawn towards the labels' overall log-odds in texts of few words. ``score``
     adds by how much the log-odds of the path's shrunken mean probability differ from the global one (``site_posteriors``),
     so sparse sites change little. ``kept``: score >= threshold.
 
-    ``host`` and ``path`` default to the columns source and lang. Null or empty texts have zero features; null ids are
+    ``host`` and ``path`` default to the columns source and lang. Null, empty and wordless texts have no evidence of their own but the prior; null ids are
     scored like others; repeated rows score alike. Without labels of both kinds the evidence is 0 and all rows are kept.
     Only fixed-size feature rows are shuffled; a site may hold any share of the rows, its sums are formed before the shuffle.
     """
@@ -166,7 +167,9 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
               .orderBy(F.xxhash64("id"), "id", *FEATURES).limit(labelled_rows).toPandas())
     y = (sample["y"].to_numpy() > 0.5).astype(float)
     if 0 < y.sum() < len(y):
-        evidence = _evidence(*fit_logistic(sample[FEATURES].to_numpy(), y))
+        prior = F.lit(float(np.log(y.sum() / (len(y) - y.sum()))))
+        words = F.expm1("log_words")
+        evidence = prior + (_evidence(*fit_logistic(sample[FEATURES].to_numpy(), y)) - prior) * words / (words + PRIOR_WORDS)
     else:
         evidence = F.lit(0.0)
     scored = written(features.select("id", "host", "path", evidence.alias("evidence")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))))
