@@ -229,7 +229,7 @@ ORDER BY potential_savings DESC, item""", ITEMST)
 
 # ---- cleaning on the raw-text fixture ------------------------------------------
 from labledger.sources.fixtures import (  # noqa: E402
-    INVENTORY_SQL, LINE_ITEM_SQL, ORDER_LINES_RAW_SQL, PO_SUMMARY_SQL, STORED_SQL)
+    INVENTORY_SQL, LINE_ITEM_SQL, NOTED_SQL, ORDER_LINES_RAW_SQL, PO_SUMMARY_SQL, STORED_SQL)
 
 RAW = ORDER_LINES_RAW_SQL
 
@@ -317,7 +317,7 @@ sql("normalize_date_text", f"SELECT req_id, {P10('date_ordered')} AS date_text F
 sql("parse_pack_qty", f"SELECT req_id, {P11('qty')} AS qty FROM order_lines_raw", RAW)
 _q, _p, _t = P12("qty", "unit_price", "total")
 sql("amount_fallbacks", f"SELECT req_id, {_q} AS qty, {_p} AS unit_price, {_t} AS total FROM order_lines_raw", RAW)
-sql("extract_origin_req", f"SELECT req_id, {P13('notes')} AS orig FROM stored", STORED_SQL)
+sql("extract_origin_req", f"SELECT req_id, {P13('notes')} AS orig FROM noted", NOTED_SQL)
 sql("origin_note", f"""SELECT line_no, CASE WHEN {BLANK(ORIG('req_raw'))} THEN '' ELSE 'Original Req#: ' || {ORIG('req_raw')} END AS note FROM inv""",
     INVENTORY_SQL)
 sql("truncate_text", f"SELECT req_id, {TRUNC('item', 30)} AS item30, {TRUNC('item', 40)} AS item40, {TRUNC('vendor', 10)} AS vendor10 FROM order_lines")
@@ -444,6 +444,10 @@ sql("scan_line_items", """SELECT po_raw AS "PO #", item_raw AS "Item", vendor_ra
   CAST(line_no AS VARCHAR) AS "Line" FROM li""", LINE_ITEM_SQL)
 
 # ---- maintenance ---------------------------------------------------------------------------
+sql("enter_orders", """SELECT printf('REQ-010802-%03d', row_number() OVER (ORDER BY req_id)) AS req_id, item, qty,
+  CAST(round(CAST(qty AS DECIMAL(18,4)) * CAST(unit_price AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS total, vendor
+  FROM order_lines WHERE date_ordered >= DATE '2001-07-01' AND qty > 2 AND unit_price > 0
+    AND trim(coalesce(item, '')) <> '' AND trim(coalesce(vendor, '')) <> ''""")
 sql("receive_all", """SELECT req_id, CASE WHEN date_received IS NULL THEN DATE '2001-08-02' ELSE date_received END AS date_received,
   CASE WHEN date_received IS NULL THEN 'clerk' ELSE received_by END AS received_by FROM order_lines""")
 sql("recalculate_totals", """SELECT req_id, CAST(CAST(coalesce(qty, 1.0) AS DECIMAL(18,4)) * coalesce(unit_price, CAST(0 AS DECIMAL(18,4)))

@@ -383,7 +383,7 @@ def q_fallbacks(spark, d):
 
 @register("extract_origin_req")
 def q_origin(spark, d):
-    return STORED(spark, d).select("req_id", cl.extract_origin_req("notes").alias("orig"))
+    return fx.noted_orders(T(spark, d)).select("req_id", cl.extract_origin_req("notes").alias("orig"))
 
 
 @register("origin_note")
@@ -531,6 +531,15 @@ def q_append(spark, d):
     return mt.append_orders(STORED(spark, d), new).select("req_id", "item", "total", "lab")
 
 
+@register("enter_orders")
+def q_enter_orders(spark, d):
+    """The last month's orders entered anew, some with a quantity of 0."""
+    t = T(spark, d)
+    entries = (t.filter(F.col("date_ordered") >= F.lit("2001-07-01").cast("date")).withColumn("entry", F.col("req_id"))
+               .withColumn("qty", F.when(F.col("qty") <= 2, F.lit(0.0)).otherwise(F.col("qty"))))
+    return mt.enter_orders(entries, t, ["entry"], fx.AS_OF)[0].select("req_id", "item", "qty", "total", "vendor")
+
+
 @register("receive_all")
 def q_receive_all(spark, d):
     return mt.receive_all(T(spark, d), fx.AS_OF, "clerk").select("req_id", "date_received", "received_by")
@@ -706,7 +715,7 @@ def q_anomalies(spark, d):
 @register("fit_anomaly_model")
 def q_fit_model(spark, d):
     t = T(spark, d)
-    model = an.fit_anomaly_model(t.filter(F.col("date_ordered") < F.lit("2001-01-01").cast("date")))
+    model = an.fit_anomaly_model(t)
     path = an.save_model(spark, model)
     return spark.read.parquet(f"{path}/score_range")
 
@@ -714,7 +723,7 @@ def q_fit_model(spark, d):
 @register("score_new_orders")
 def q_score_new(spark, d):
     t = T(spark, d)
-    model = an.fit_anomaly_model(t.filter(F.col("date_ordered") < F.lit("2001-01-01").cast("date")))
+    model = an.fit_anomaly_model(t)
     new = t.filter(F.col("date_ordered") >= F.lit("2001-01-01").cast("date"))
     return an.score_new_orders(new, model)
 
@@ -727,10 +736,9 @@ from labledger.streaming import jobs as sj  # noqa: E402
 @register("stream_score_orders")
 def q_stream_score(spark, d):
     t = T(spark, d)
-    model = an.fit_anomaly_model(t.filter(F.col("date_ordered") < F.lit("2001-01-01").cast("date")))
+    model = an.fit_anomaly_model(t)
     src = scratch_path(spark, "stream", "orders_in")
-    (t.withColumn("_y", F.year("date_ordered")).repartition("_y").drop("_y")
-      .write.parquet(src))
+    t.repartition(4).write.parquet(src)  # four arriving files
     sink = sj.stream_score_orders(spark, src, model)
     return spark.read.parquet(sink)
 

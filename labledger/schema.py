@@ -55,9 +55,6 @@ ORDER = T.StructType([
 
 ORDER_COLUMNS = [f.name for f in ORDER.fields]
 
-# Purchase sources offered by the order form.
-PO_SOURCES = ["ShopBlue", "Stock Room", "External Vendor"]
-
 # Raw export headers.
 LINE_ITEM_HEADERS = ["PO #", "Item", "Vendor", "Quantity", "Unit Price ($)", "Line Total ($)",
                      "Grant", "RF Project", "Split %", "Catalog #", "Ordered By", "Date Ordered"]

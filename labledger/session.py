@@ -100,9 +100,4 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local-only helpers (tests)."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-__all__ = ["get_session", "shared_dir", "ship_package", "scratch_path", "local_path", "DEFAULT_CONF"]
+__all__ = ["get_session", "shared_dir", "ship_package", "scratch_path", "DEFAULT_CONF"]

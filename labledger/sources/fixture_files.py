@@ -35,7 +35,8 @@ def export_files(spark: SparkSession, sf_dir: str) -> ExportFiles:
     paths = ExportFiles(scratch_path(spark, "exports", "line_items"),
                         scratch_path(spark, "exports", "po_summary"),
                         scratch_path(spark, "exports", "inventory"))
-    fx.line_item_export(orders).write.option("header", True).csv(paths.line_items)
+    lines = fx.numbered(orders)
+    fx.line_item_export(lines).write.option("header", True).csv(paths.line_items)
 
     rows = fx.po_summary_rows(orders)
     header = ",".join(PO_SUMMARY_HEADERS)
@@ -53,6 +54,6 @@ def export_files(spark: SparkSession, sf_dir: str) -> ExportFiles:
         .select("export_month", "value")
         .write.partitionBy("export_month").text(paths.po_summary))
 
-    fx.inventory_rows(orders).write.partitionBy("sheet").option("header", True).csv(paths.inventory)
+    fx.inventory_rows(lines).write.partitionBy("sheet").option("header", True).csv(paths.inventory)
     _CACHE[key] = paths
     return paths

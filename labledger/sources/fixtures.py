@@ -158,30 +158,38 @@ ORDER_LINES_RAW_SQL = """order_lines_raw AS (SELECT req_id,
 STORED_BEFORE = "1999-01-01"
 
 
-def stored_orders(orders: DataFrame) -> DataFrame:
-    """Existing table for the import fixtures; notes carry the original
-    request id the way inventory imports write it (some with a float ".0")."""
+def noted_orders(orders: DataFrame) -> DataFrame:
+    """All orders; notes carry the original request id the way inventory imports write it (some with a float ".0")."""
     note = F.concat(F.lit("Original Req#: "), F.col("po_no"),
                     F.when(F.col("qty") > 30, F.lit(".0")).otherwise(F.lit("")), F.lit("."))
-    return (orders.filter(F.col("date_ordered") < F.lit(STORED_BEFORE).cast("date"))
-                  .withColumn("notes", note))
+    return orders.withColumn("notes", note)
+
+
+def stored_orders(orders: DataFrame) -> DataFrame:
+    """Existing table for the import fixtures: the noted orders before a date."""
+    return noted_orders(orders).filter(F.col("date_ordered") < F.lit(STORED_BEFORE).cast("date"))
+
+
+NOTED_SQL = """noted AS (SELECT * REPLACE (
+    'Original Req#: ' || po_no || CASE WHEN qty > 30 THEN '.0' ELSE '' END || '.' AS notes) FROM order_lines)"""
+STORED_SQL = f"""{NOTED_SQL},
+stored AS (SELECT * FROM noted WHERE date_ordered < DATE '{STORED_BEFORE}')"""
+
 
+def numbered(orders: DataFrame) -> DataFrame:
+    """The orders with ``Line``, their place by request id; both exports share one numbering."""
+    from labledger.operators.numbering import consecutive_index
 
-STORED_SQL = f"""stored AS (SELECT * REPLACE (
-    'Original Req#: ' || po_no || CASE WHEN qty > 30 THEN '.0' ELSE '' END || '.' AS notes)
-  FROM order_lines WHERE date_ordered < DATE '{STORED_BEFORE}')"""
+    return orders if "Line" in orders.columns else consecutive_index(orders, ["req_id"], "Line")
 
 
 def line_item_export(orders: DataFrame) -> DataFrame:
     """Incoming line-item export: one line per order line, text columns with
     line-item headers (two with stray spaces), ``Line`` = file order."""
-    from labledger.operators.numbering import consecutive_index
-
     k = _k()
     s = lambda c: F.col(c).cast(_S)
     grant_id = F.concat((F.length("grant") * 1000 + F.ascii("grant") + 100000).cast(_S), F.lit(".0"))
-    df = orders.select(
-        "req_id",
+    return numbered(orders).select(
         F.when(k == 9, F.concat("po_no", F.lit(".0"))).otherwise(F.col("po_no")).alias("PO #"),
         F.when(k == 4, F.concat("item", F.lit(" - Pkg 10 EA"))).when(k == 10, F.lit("ab"))
          .otherwise(F.col("item")).alias(" Item"),
@@ -196,8 +204,8 @@ def line_item_export(orders: DataFrame) -> DataFrame:
         F.col("cat_no").alias("Catalog #"),
         F.col("ordered_by").alias("Ordered By"),
         F.when(k == 0, F.date_format("date_ordered", "MM/dd/yyyy"))
-         .otherwise(F.concat(s("date_ordered"), F.lit(" 00:00:00"))).alias("Date Ordered"))
-    return consecutive_index(df, ["req_id"], "Line").drop("req_id")
+         .otherwise(F.concat(s("date_ordered"), F.lit(" 00:00:00"))).alias("Date Ordered"),
+        "Line")
 
 
 LINE_ITEM_SQL = """li AS (SELECT row_number() OVER (ORDER BY req_id) AS line_no,
@@ -236,12 +244,9 @@ PO_SUMMARY_SQL = """pos AS (SELECT po_no AS po_raw, min(vendor) AS supplier_raw,
 
 def inventory_rows(orders: DataFrame) -> DataFrame:
     """Incoming inventory workbook: one sheet per grant (``Sheet1`` without one)."""
-    from labledger.operators.numbering import consecutive_index
-
     q = F.col("qty")
     qty_text = F.col("qty").cast("bigint").cast(_S)
-    df = orders.select(
-        "req_id",
+    return numbered(orders).select(
         F.coalesce("grant", F.lit("Sheet1")).alias("sheet"),
         F.when(q <= 2, F.lit("*")).when(q <= 4, F.lit(None).cast(_S))
          .when(q <= 8, F.concat("po_no", F.lit(".0"))).otherwise(F.col("po_no")).alias("Req#"),
@@ -250,8 +255,8 @@ def inventory_rows(orders: DataFrame) -> DataFrame:
          .alias("#"),
         F.col("unit_price").cast(_S).alias("Amount"),
         F.when(q > 45, F.lit(None).cast(_S)).otherwise(F.col("total").cast(_S)).alias("Total"),
-        F.col("vendor").alias("Vendor"))
-    return consecutive_index(df, ["req_id"], "Line").drop("req_id")
+        F.col("vendor").alias("Vendor"),
+        "Line")
 
 
 INVENTORY_SQL = """inv AS (SELECT row_number() OVER (ORDER BY req_id) AS line_no,

@@ -156,3 +156,14 @@ def test_null_items_and_blank_grants(orders_df):
     assert margins == {(2001, "G", 0): 10.0, (2001, None, 0): 20.0, (2001, None, 1): 30.0, (None, "G", 2): 10.0, (None, None, 2): 20.0, (None, None, 3): 30.0}
     wide = yr.year_grant_wide(df, ["G", "H"]).first()
     assert (wide["G"], wide["H"]) == (10.0, 0.0)
+
+
+def test_order_entry(spark, orders_df):
+    from labledger.operators import maintenance as mt
+    entries = orders_df([{"item": "Gloves", "qty": 2, "unit_price": 1.255, "vendor": "V"}, {"item": " \t", "qty": 2, "unit_price": 1, "vendor": "V"},
+                         {"item": "x", "qty": 0, "unit_price": 1, "vendor": "V"}, {"item": "y", "qty": 1, "unit_price": 1, "vendor": None},
+                         {"item": "z", "qty": 1e30, "unit_price": 1, "vendor": "V"}])
+    existing = orders_df([{"req_id": "REQ-010802-001"}])
+    accepted, rejected = mt.enter_orders(entries, existing, ["item"], AS_OF)
+    assert [(r["req_id"], r["item"], float(r["total"])) for r in accepted.collect()] == [("REQ-010802-002", "Gloves", 2.51)]
+    assert sorted(r["reason"] for r in rejected.collect()) == ["Item name is required", "Quantity must be greater than 0", "Total is out of range", "Vendor name is required"]
