@@ -31,7 +31,8 @@ def cells(df: DataFrame, dims: list[str], tokens_col: str = "n_tokens") -> DataF
 def tempered(cell: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
     """Target shares ``(dim, share)`` of one dimension: its token shares to a power below 1, so that large values shrink."""
     raw = cell.groupBy(dim).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("raw"))
-    return raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("all")))).select(dim, F.coalesce(F.try_divide("raw", "all"), F.lit(0.0)).alias("share"))
+    whole = raw.agg(F.sum("raw")).first()[0] or 1.0
+    return raw.select(dim, (F.col("raw") / whole).alias("share"))
 
 
 

@@ -1,5 +1,9 @@
+"""Fixtures of these tests; imported by each, as a second conftest module would hide that of the folder above."""
+
 import pytest
 
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="session")
 def make(spark):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from labledger.llm import embed_dedup as E
+from llm_fixtures import by, make  # noqa: F401
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, kept string"
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from labledger.llm import exact_dedup as X
+from llm_fixtures import by, make  # noqa: F401
 
 SCHEMA = "doc_id bigint, text string, kept string"
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from labledger.llm import mixing as M
+from llm_fixtures import make  # noqa: F401
 
 SCHEMA = "doc_id bigint, source string, lang string, topic string, n_tokens bigint, probability string"
 

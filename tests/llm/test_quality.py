@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from labledger.llm import quality as Q
+from llm_fixtures import SMALL, make  # noqa: F401
 
 SCHEMA = "doc_id bigint, text string, source string, lang string, score string"
 

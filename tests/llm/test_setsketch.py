@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from labledger.llm import setsketch as S
+from llm_fixtures import by, make  # noqa: F401
 
 SCHEMA = "doc_id bigint, text string, n_shingles string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from labledger.llm import substring as D
+from llm_fixtures import by, make  # noqa: F401
 
 SCHEMA = "doc_id bigint, text string, n_words string"
 

@@ -6,6 +6,7 @@ import pytest
 
 from labledger.llm import bpe, token_count
 from labledger.llm.queries import BYTE_BPE, WORD_BPE
+from llm_fixtures import make  # noqa: F401
 
 tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id bigint, text string, n_tokens string"

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from labledger.llm import urlfilter as V
+from llm_fixtures import make  # noqa: F401
 
 SCHEMA = "page_id bigint, url string, verdict string"
 

@@ -5,6 +5,7 @@ import pytest
 
 from labledger.llm import warc
 from labledger.llm.queries import QUERIES, op7_warc_roundtrip
+from llm_fixtures import by, make  # noqa: F401
 
 SCHEMA = "page_id bigint, url string, html string, type string"
 
