@@ -291,7 +291,7 @@ def import_report(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame
         priced = line_item_dispositions(export, existing, lab).groupBy("disposition").agg(F.count(F.lit(1)).alias("rows"))
         unpriced = export.filter(~F.coalesce(F.col(price_column(export.columns)).try_cast("double") > 0, F.lit(False)))
         return priced.unionByName(unpriced.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("unpriced").alias("disposition"), "rows")).filter("rows > 0")
-    both = counts.crossJoin(F.broadcast(seen))  # one row each
+    both = counts.join(F.broadcast(seen), how="inner", on=F.lit(True))  # one row each
     duplicate = F.col("named") - F.col("imported") - F.col("quarantined")
     return both.select(F.explode(F.create_map(F.lit("imported"), F.col("imported"), F.lit("quarantined"), F.col("quarantined"), F.lit("unnamed"), F.col("unnamed"),
                                               F.lit("duplicate"), duplicate)).alias("disposition", "rows")).filter("rows > 0")
