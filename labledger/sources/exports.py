@@ -19,6 +19,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labledger.schema import PO_SUMMARY_HEADERS
+from labledger.session import scratch_path
 
 PREAMBLE_LINES = 9
 # The quoting of the exports.
@@ -78,10 +79,12 @@ def detect_export_format(columns: list[str]) -> str:
 def scan_po_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Skip the nine preamble lines of every file, take its header and parse the remaining lines by it.
 
-    Only a file's first line number is looked up (one row per file, which the planner broadcasts while it is small)."""
+    Only a file's first line number is looked up: one row per file, written so that the planner knows its size and
+    broadcasts it while it is small."""
     lines = _text_lines(spark, path)
-    firsts = [(r["file"], r["mid"]) for r in lines.filter("block = 0").groupBy("file").agg(F.min("mid").alias("mid")).collect()]
-    first = spark.createDataFrame(firsts, "file string, first bigint")
+    firsts = scratch_path(spark, "exports", "firsts")
+    lines.filter("block = 0").groupBy("file").agg(F.min("mid").alias("first")).write.parquet(firsts)
+    first = spark.read.schema("file string, first bigint").parquet(firsts)
     placed = lines.join(first, "file").withColumn("pos", F.when(F.col("block") == 0, F.col("mid") - F.col("first")))
     headers: dict[str, list[str]] = {}
     for r in placed.filter(F.col("pos") == PREAMBLE_LINES).select("file", "value").collect():
@@ -92,7 +95,7 @@ def scan_po_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
         names = _names(header)
         detect_export_format(names)
         schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        mine = body if len(headers) == 1 else body.join(spark.createDataFrame([(f,) for f in files], "file string"), "file", "left_semi")
+        mine = body if len(headers) == 1 else body.filter(F.col("file").isin(files))
         parsed = mine.select(F.from_csv("value", schema, QUOTING).alias("r"), "file", "mid")
         parts.append(parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "file", F.col("mid").alias("line_no")))
     if not parts:
