@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from labledger.llm.common import connected_components, ready, written
 
 TILE_BYTES = 8 << 20  # of float64 vectors in one side of a tile
+BLOCK_CELLS = 2 << 20  # products that a tile holds at once
 LINK_SCHEMA = "rep bigint, linked bigint, partner bigint"
 
 
@@ -29,8 +32,9 @@ def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) with cosine(x[i], y[j]) >= threshold in double precision; i < j if both sides are the same.
+def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with cosine(x[i], y[j]) >= threshold in double precision, by blocks of rows of x; i < j if both
+    sides are the same.
 
     The int8 product of two unit vectors is off by at most |ex| |sy qy| + |sx qx| |ey| + |ex| |ey|; only pairs
     that reach the threshold within this bound are computed in full precision.
@@ -38,17 +42,20 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tu
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     qx, sx, ex, mx = quantise(x / nx[:, None])
     qy, sy, ey, my = quantise(y / ny[:, None])
-    near = int8_products(qx, qy) * sx[:, None] * sy[None, :]
-    near += ex[:, None] * my[None, :] + mx[:, None] * ey[None, :] + ex[:, None] * ey[None, :]
-    i, j = np.nonzero(near >= threshold - 1e-9)
-    if same:
-        i, j = i[i < j], j[i < j]
-    keep = np.zeros(len(i), dtype=bool)
-    step = max(1, (4 << 20) // x.shape[1])
-    for k in range(0, len(i), step):
-        p, r = i[k:k + step], j[k:k + step]
-        keep[k:k + step] = np.einsum("ij,ij->i", x[p], y[r]) / (nx[p] * ny[r]) >= threshold
-    return i[keep], j[keep]
+    rows, step = max(1, BLOCK_CELLS // len(y)), max(1, BLOCK_CELLS // x.shape[1])
+    for at in range(0, len(x), rows):
+        b = slice(at, at + rows)
+        near = int8_products(qx[b], qy) * sx[b, None] * sy[None, :]
+        near += ex[b, None] * my[None, :] + mx[b, None] * ey[None, :] + ex[b, None] * ey[None, :]
+        i, j = np.nonzero(near >= threshold - 1e-9)
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        keep = np.zeros(len(i), dtype=bool)
+        for k in range(0, len(i), step):
+            p, r = i[k:k + step], j[k:k + step]
+            keep[k:k + step] = np.einsum("ij,ij->i", x[p], y[r]) / (nx[p] * ny[r]) >= threshold
+        yield i[keep], j[keep]
 
 
 def spanning(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -81,11 +88,13 @@ def _tiles(threshold: float):
             if not len(a) or not len(b):
                 continue
             rows = lambda k: vec.take(pa.array(k)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(k), d)  # noqa: E731,B023
-            i, j = tile_links(rows(a), rows(b), threshold, same)
-            i, j = a[i], b[j]
-            linked += np.bincount(i, mult[j], len(rep)).astype(np.int64) + np.bincount(j, mult[i], len(rep)).astype(np.int64)
-            left.append(i)
-            right.append(j)
+            for i, j in tile_links(rows(a), rows(b), threshold, same):
+                i, j = a[i], b[j]
+                linked += np.bincount(i, mult[j], len(rep)).astype(np.int64) + np.bincount(j, mult[i], len(rep)).astype(np.int64)
+                label = spanning(len(rep), i, j)  # a block keeps no more links than rows
+                hit = np.flatnonzero(label != np.arange(len(rep)))
+                left.append(hit)
+                right.append(label[hit])
         i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
         label = spanning(len(rep), i, j)
         hit = np.flatnonzero(linked > 0)
