@@ -18,7 +18,7 @@ from labledger.llm.common import ready
 from labledger.llm.hashing import string_column
 from labledger.llm.setsketch import slices
 
-CACHED_UNITS = 400_000
+CACHED_UNITS = 250_000
 SLICE_BYTES = 2 << 20
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
