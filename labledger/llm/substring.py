@@ -196,6 +196,8 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     1. Each chunk makes a partial count-min sketch of its distinct windows, cut into segments; a segment's partial
        sketches are merged in one task, and each chunk learns which of its cells hold a count above one. The width
        follows the corpus (four cells per word and row), so the error rate doesn't grow with it.
+       Every chunk sends a part to every segment, so for a corpus of many terabytes raise ``chunk_bytes`` and
+       ``segment_windows`` as far as a worker's memory allows (about 30 bytes a byte of text, 4 bytes a window).
     2. Only windows whose smallest count is above one are grouped exactly, by 128-bit names; counts are never too low,
        so none is lost. Each chunk learns which of its windows another chunk has under a smaller id.
     """
