@@ -17,8 +17,8 @@ from labledger.llm.common import ready
 from labledger.llm.hashing import string_column
 from labledger.llm.setsketch import slices
 
-CACHED_RUNS, CACHED_PIECES = 400_000, 100_000  # of each of the two generations of a worker's caches
-SLICE_BYTES = 2 << 20   # of text encoded before its ids are handed on
+CACHED_RUNS, CACHED_PIECES = 150_000, 50_000  # of each of the two generations of a worker's caches
+SLICE_BYTES = 1 << 20   # of text encoded before its ids are handed on
 
 
 def byte_symbols() -> list[str]:
@@ -193,6 +193,52 @@ def _file(df: DataFrame, path: str):
         return ready(df.sparkSession).sparkContext.broadcast(f.read())
 
 
+def _coded(df: DataFrame, path: str, source: str, kept: list[str], outputs: dict[str, str]) -> DataFrame:
+    """One Arrow pass over ``source``, a text to encode or an array of ids: the columns ``kept`` and of ``outputs``
+    (name in the result by kind: ids, decoded, n_tokens, ids_bytes) those asked for. Without kept columns only the outputs."""
+    shared = _file(df, path)
+    given = dict(df.dtypes)[source] == "array<int>"
+    names = [f"c{i}" for i in range(len(kept))]
+    value = F.col(f"`{source}`") if given else F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], value.alias("t"))
+    types = {"ids": "array<int>", "decoded": "string", "n_tokens": "bigint", "ids_bytes": "binary"}
+
+    def parts(column: pa.Array) -> Iterator[tuple[int, int, list]]:
+        if given:
+            for a in range(0, len(column), 256):
+                some = column.slice(a, 256)
+                yield a, a + len(some), [s.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() if s.is_valid else None for s in some]
+        else:
+            v, text = vocabulary(shared), string_column(column)
+            for a, b in slices(text, SLICE_BYTES):
+                yield a, b, [v.encode(t) for t in text.slice(a, b - a).to_pylist()]
+
+    def made(kind: str, ids: list) -> pa.Array:
+        if kind == "decoded":
+            v = vocabulary(shared)
+            return pa.array([None if x is None else v.decode(np.frombuffer(x, dtype="<i4").tolist()) for x in ids], pa.string())
+        if kind == "n_tokens":
+            return pa.array([None if x is None else len(x) // 4 for x in ids], pa.int64())
+        if kind == "ids_bytes":
+            return pa.array(ids, pa.binary())
+        ends = np.cumsum([0, *(len(x or b"") // 4 for x in ids)]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), dtype="<i4"))
+        return pa.ListArray.from_arrays(ends, flat, mask=pa.array([x is None for x in ids]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, ids in parts(batch["t"]):
+                yield pa.RecordBatch.from_arrays([*(batch[n].slice(a, b - a) for n in names), *(made(k, ids) for k in outputs)], names=[*names, *outputs])
+
+    schema = ", ".join([f"{n} {rows.schema[n].dataType.simpleString()}" for n in names] + [f"{k} {types[k]}" for k in outputs])
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], *[F.col(k).alias(name) for k, name in outputs.items()])
+
+
+def _others(df: DataFrame, keep: list[str] | None, *new: str) -> list[str]:
+    return [c for c in (df.columns if keep is None else keep) if c not in new]
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Append ``ids_col array<int>``, the BPE ids of each whole text (null: empty, so no ids), and keep the columns
     ``keep`` (default: all but ``text_col``).
@@ -201,50 +247,23 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     Every row is encoded on its own in a Python task, so nothing is shuffled; a worker holds a slice of texts and a
     bounded cache of words. Empty tables and repeated rows need no care; a column named ``ids_col`` is replaced.
     """
-    shared = _file(df, path)
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ({ids_col} | ({text_col} if keep is None else set()))]
-    names = [f"c{i}" for i in range(len(kept))]
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], F.col(text_col).cast("string").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(shared)
-        for batch in batches:
-            text = string_column(batch["t"])
-            for a, b in slices(text, SLICE_BYTES):
-                ids = [v.encode(t) for t in text.slice(a, b - a).to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch[n].slice(a, b - a) for n in names] + [pa.ListArray.from_arrays(ends, flat)], names=[*names, "ids"])
-
-    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    out = rows.mapInArrow(run, f"{schema + ', ' if names else ''}ids array<int>")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], F.col("ids").alias(ids_col))
+    kept = _others(df, keep, ids_col, *([text_col] if keep is None else []))
+    return _coded(df, path, text_col, kept, {"ids": ids_col})
 
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", keep_ids: bool = False) -> DataFrame:
-    """Append ``text_col``, the text that the ids decode to, special tokens included, and ``n_tokens``; replace ``ids_col``
-    by ``ids_bytes``, the ids as little-endian 32-bit integers, unless ``keep_ids``.
+def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """Append ``text_col``, the text that the ids decode to, special tokens included, and ``n_tokens``.
 
-    Null ids give null throughout, no ids an empty text; an id outside the vocabulary is an error. Columns with the names
+    Null ids give null for both, no ids an empty text; an id outside the vocabulary is an error. Columns with the names
     of the new ones are replaced."""
-    shared = _file(df, path)
-    kept = [c for c in df.columns if c not in (ids_col, text_col, "n_tokens", "ids_bytes")]
-    names = [f"c{i}" for i in range(len(kept))]
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], F.col(ids_col).alias("ids"))
+    typed = df.withColumn(ids_col, F.col(f"`{ids_col}`").cast("array<int>"))
+    return _coded(typed, path, ids_col, _others(df, None, text_col, "n_tokens"), {"decoded": text_col, "n_tokens": "n_tokens"})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(shared)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids = [s.values.to_numpy(zero_copy_only=False).astype("<u4") if s.is_valid else None for s in part["ids"]]
-                last = part["ids"] if keep_ids else pa.array([None if x is None else x.tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part[n] for n in names] + [pa.array([None if x is None else v.decode(x.tolist()) for x in ids], pa.string()),
-                                                pa.array([None if x is None else len(x) for x in ids], pa.int64()), last],
-                    names=[*names, "t", "n", "b"])
-
-    schema = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    out = rows.mapInArrow(run, f"{schema}t string, n bigint, b {'array<int>' if keep_ids else 'binary'}")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], F.col("t").alias(text_col), F.col("n").alias("n_tokens"),
-                      F.col("b").alias(ids_col if keep_ids else "ids_bytes"))
+
+def encode_decode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None,
+                  outputs: tuple[str, ...] = ("ids", "n_tokens", "ids_bytes", "decoded")) -> DataFrame:
+    """``encode`` and ``decode`` in one Python pass, so that a task needs one worker: appends ``ids``, ``n_tokens``,
+    ``ids_bytes`` (the ids as little-endian 32-bit integers) and ``decoded``, or those of them in ``outputs``."""
+    outputs = {k: k for k in outputs}
+    kept = _others(df, keep, *outputs, *([text_col] if keep is None else []))
+    return _coded(df, path, text_col, kept, outputs)

@@ -46,8 +46,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with the word-end BPE file."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, keep=["doc_id"])
-    return bpe.decode(ids, WORD_BPE).select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE, keep=["doc_id"], outputs=("n_tokens", "ids_bytes", "decoded"))
+    return both.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

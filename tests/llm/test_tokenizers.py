@@ -30,7 +30,9 @@ def test_bpe_matches_the_library(make):
     df = make(SCHEMA, [(i, x, "n") for i, x in enumerate(texts)])
     coded = bpe.encode(df, WORD_BPE)
     assert coded.columns == ["doc_id", "n_tokens", "ids"]
-    rows = {r.doc_id: r for r in bpe.decode(coded, WORD_BPE).collect()}
+    apart = {r.doc_id: (list(r.ids), r.n_tokens, r.decoded) for r in bpe.decode(coded.withColumn("kept", bpe.F.col("ids")), WORD_BPE).collect()}
+    rows = {r.doc_id: r for r in bpe.encode_decode(df, WORD_BPE).collect()}
+    assert apart == {i: (list(r.ids), r.n_tokens, r.decoded) for i, r in rows.items()}
     for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
         assert rows[i].n_tokens == len(e.ids) and bytes(rows[i].ids_bytes) == np.array(e.ids, dtype="<u4").tobytes(), texts[i]
         assert rows[i].decoded == t.decode(e.ids, skip_special_tokens=False), texts[i]
@@ -41,8 +43,8 @@ def test_bpe_defined_cases(make, spark):
     rows = sorted(map(tuple, bpe.encode(df, WORD_BPE).select("doc_id", "`a.b`", "ids").collect()), key=str)
     t = tokenizers.Tokenizer.from_file(WORD_BPE)
     assert rows == sorted([(1, 1, []), (2, None, []), (2, None, []), (None, 3, t.encode("one two", add_special_tokens=False).ids)], key=str)
-    both = bpe.decode(bpe.encode(df, WORD_BPE), WORD_BPE, keep_ids=True)
-    assert both.columns == ["doc_id", "a.b", "decoded", "n_tokens", "ids"]
+    both = bpe.encode_decode(df, WORD_BPE)
+    assert both.columns == ["doc_id", "a.b", "ids", "n_tokens", "ids_bytes", "decoded"]
     assert {(r.doc_id, r.decoded, r.n_tokens) for r in both.collect()} == {(1, "", 0), (2, "", 0), (None, "one</w> two</w>", 2)}
     nothing = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
     assert tuple(bpe.decode(nothing, WORD_BPE).first()) == (1, None, None, None)
