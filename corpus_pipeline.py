@@ -47,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' BPE ids, their number and the text that they decode to, in place of the text."""
-    return bpe.decode(bpe.encode(docs, WORD_BPE), WORD_BPE, keep_ids=True)
+    return bpe.encode_decode(docs, WORD_BPE, outputs=("ids", "n_tokens", "decoded"))
 
 
 STAGES = [("quality_classifier", quality_stage), ("exact_dedup", exact_stage), ("minhash_dedup", near_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
