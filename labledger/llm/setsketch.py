@@ -19,7 +19,7 @@ BAND_ROWS, BANDS = 6, 40
 REGISTERS = 241       # prime, at least BAND_ROWS * BANDS
 DOUBT = 20.0          # log-likelihood ratio beyond which an estimate rules a pair out
 TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
-SLICE = 4 << 20       # bytes of text handled at once
+SLICE = 2 << 20       # bytes of text handled at once
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -312,14 +312,14 @@ def minhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 .unionByName(nodes.select(F.col("component").alias("cluster"), F.col("component").alias("rep")).distinct()))
 
     drawn = reps.select(F.col("id").alias("rep"), "n", F.col("regs").alias("data")).dropDuplicates(["rep"])
-    near = _tiled(written(members(meet).join(drawn, "rep")), F.count(F.lit(1)) / TILE_ROWS, F.count(F.lit(1)) / 20_000)
+    near = _tiled(written(members(meet).join(drawn, "rep")), F.count(F.lit(1)) / TILE_ROWS, F.count(F.lit(1)) / 1_000)
     close = connected_components(near.groupBy("batch").applyInArrow(_estimated(percent), "u bigint, v bigint"))
     wanted = written(members(close))
     full = (rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
             .mapInArrow(_set_rows(words), "id bigint, n bigint, data binary")
             .select(F.col("id").alias("rep"), "n", "data").dropDuplicates(["rep"]))
     sets = _tiled(written(wanted.join(full, "rep")),
-                  F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_SHINGLES), F.sum("n") / (2 * TILE_SHINGLES))
+                  F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_SHINGLES), F.sum("n") / (TILE_SHINGLES / 4))
     linked = connected_components(sets.groupBy("batch").applyInArrow(_verified(percent), "u bigint, v bigint"))
     named = (classes.join(linked, F.col("rep") == F.col("node"), "left")
              .select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")))
