@@ -163,7 +163,9 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     features = written(rows.mapInArrow(_feature_rows, "id bigint, host string, path string, " + ", ".join(f"{f} double" for f in FEATURES)))
     known = (labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null")
              .groupBy("id").agg(F.avg("y").alias("y")).filter("y <> 0.5"))
-    sample = (features.join(known, "id").select("id", "y", *FEATURES)
+    labelled = written(features.join(known, "id").select("id", "y", *FEATURES))
+    share = min(1.0, 1.2 * labelled_rows / max(1, labelled.count()))  # of the hashes: few more than the limit reach the sort
+    sample = (labelled.filter(F.xxhash64("id").cast("double") <= -2.0 ** 63 + share * 2.0 ** 64)
               .orderBy(F.xxhash64("id"), "id", *FEATURES).limit(labelled_rows).toPandas())
     y = (sample["y"].to_numpy() > 0.5).astype(float)
     if 0 < y.sum() < len(y):
