@@ -266,16 +266,19 @@ def _set_rows(words: int):
 def _tiled(members: DataFrame, chunks, batches) -> DataFrame:
     """Deal the members ``(cluster, rep, n, data)`` of each cluster into ``chunks``; every two chunks meet in a tile.
 
-    Tiles are dealt by hash into ``batches`` so that one Python call serves many small ones. Both are aggregates.
+    ``batch`` names the rows of one Python call: a tile of a cluster of several chunks is a batch of its own, so a batch
+    stays bounded however large its cluster is; clusters of one tile are dealt by hash into ``batches`` so that one call
+    serves many small ones. Both are aggregates, ``batches`` over the members of those clusters.
     """
-    size = members.groupBy("cluster").agg(F.ceil(chunks).cast("int").alias("chunks"))
-    batches = max(1, int(members.agg(batches).first()[0] or 0))
-    return (members.join(size, "cluster")
+    size = members.groupBy("cluster").agg(F.ceil(chunks).cast("int").alias("chunks"), batches.alias("load"))
+    packs = max(1, int(size.filter("chunks = 1").agg(F.sum("load")).first()[0] or 0))
+    return (members.join(size.select("cluster", "chunks"), "cluster")
             .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .filter("chunks = 1 or mine <> other")  # a tile compares all its rows, also those of one chunk
-            .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "data")
-            .withColumn("batch", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(batches))))
+            .select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "data",
+                    F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs)))
+                    .otherwise(F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))).alias("batch")))
 
 
 def minhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -68,6 +68,18 @@ def test_large_group_in_many_tiles(make, by, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+def test_batches_stay_bounded_as_a_cluster_grows(make):
+    largest = {}
+    for size in (60, 600, 1200):
+        rows = [(0, i, 1, b"") for i in range(size)] + [(-i, 10 ** 6 + i, 1, b"") for i in range(1, 3000)]
+        tiles = S._tiled(make("cluster bigint, rep bigint, n bigint, data binary", rows), S.F.count(S.F.lit(1)) / 16, S.F.count(S.F.lit(1)) / 100)
+        got = tiles.groupBy("batch").agg(S.F.count(S.F.lit(1)).alias("c"), S.F.countDistinct("cluster").alias("k"), S.F.max("j").alias("j")).collect()
+        largest[size] = max(r.c for r in got if r.j)
+        assert sum(r.c for r in got if not r.j) == 2999 and max(r.k for r in got) > 50  # small clusters share their batches
+        assert sum(r.c for r in got if r.j) == size * (-(-size // 16) - 1)
+    assert max(largest.values()) <= 80, largest  # two chunks of about 16
+
+
 def test_defined_cases(make, spark):
     long = "ab " * 50_000
     rows = [(1, None), (2, ""), (3, " \t\n\v\f\r"), (4, "one two"), (5, "ONE\ttwo"), (6, "one"), (None, "one two"), (7, long), (8, long + "ab"), (9, "x" * 200_000),
