@@ -8,7 +8,7 @@ from labledger.llm.common import ready, written
 
 ORDER = 4           # characters of context at most
 ALPHABET = 96       # equally likely characters below the shortest context
-HELD_OUT = 5        # every fifth shape, by hash, calibrates the threshold instead of counting
+FOLDS = 5           # of the ruled shapes, by hash; the threshold is calibrated on each by models of the others
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
@@ -51,25 +51,25 @@ def _suffix(gram: Column, size: int) -> Column:
     return F.right(gram, F.lit(size)) if size else F.lit("")
 
 
-def log_ratios(counts: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
-    """``(gram, ratio)``: log P(c | context, accepted) - log P(c | context, rejected) of each wanted gram.
+def log_ratios(counts: DataFrame, wanted: DataFrame, order: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, gram, ratio)``: log P(c | context, accepted) - log P(c | context, rejected) of each wanted gram.
 
     ``counts``: (gram, allow, block), how often each longest gram was seen in either class. Both models back off over all
     shorter contexts with Witten-Bell smoothing: a context with n occurrences and t different successors gives the
-    shorter context's estimate the share t / (n + t), down to equal chances."""
-    est = wanted.select("gram", *[F.lit(1.0 / ALPHABET).alias(f"p_{c}") for c in ("allow", "block")])
+    shorter context's estimate the share t / (n + t), down to equal chances. Columns ``by`` of both name separate models."""
+    est = wanted.select(*by, "gram", *[F.lit(1.0 / ALPHABET).alias(f"p_{c}") for c in ("allow", "block")])
     for k in range(order + 1):
-        seen = (counts.groupBy(_suffix(F.col("gram"), k + 1).alias("g")).agg(F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block")))
-        context = (seen.groupBy(F.expr(f"left(g, {k})").alias("x")).agg(
+        seen = (counts.groupBy(*by, _suffix(F.col("gram"), k + 1).alias("g")).agg(F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block")))
+        context = (seen.groupBy(*by, F.expr(f"left(g, {k})").alias("x")).agg(
             F.sum("n_allow").alias("m_allow"), F.sum("n_block").alias("m_block"),
             F.sum((F.col("n_allow") > 0).cast("double")).alias("t_allow"), F.sum((F.col("n_block") > 0).cast("double")).alias("t_block")))
-        est = (est.withColumn("g", _suffix(F.col("gram"), k + 1)).join(seen, "g", "left").drop("g")
-               .withColumn("x", F.expr(f"left(right(gram, {k + 1}), {k})")).join(context, "x", "left").drop("x"))
+        est = (est.withColumn("g", _suffix(F.col("gram"), k + 1)).join(seen, [*by, "g"], "left").drop("g")
+               .withColumn("x", F.expr(f"left(right(gram, {k + 1}), {k})")).join(context, [*by, "x"], "left").drop("x"))
         for c in ("allow", "block"):
             n, m, t = (F.coalesce(f"{v}_{c}", F.lit(0.0)) for v in "nmt")
             est = est.withColumn(f"p_{c}", F.when(m + t > 0, (n + t * F.col(f"p_{c}")) / (m + t)).otherwise(F.col(f"p_{c}")))
-        est = est.select("gram", "p_allow", "p_block")
-    return est.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
+        est = est.select(*by, "gram", "p_allow", "p_block")
+    return est.select(*by, "gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
 def threshold_of(scored: DataFrame, step: float = 0.01) -> float:
@@ -92,7 +92,9 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str
 
     A fitting rule decides. All other URLs are compared by two character models of variable order, one of the URLs that
     rules allow, one of those they block, counted over all of them: ``score`` is the mean log-likelihood difference per
-    character, and ``allow`` means at or above the threshold that best splits the held-out fifth of the ruled shapes.
+    character, and ``allow`` means at or above the threshold that best splits the ruled URLs. For the threshold, each of
+    FOLDS parts of the ruled shapes is scored by models of the other parts (a class found in one part only keeps its
+    counts); that is also the score of a ruled URL.
     Without accepted or without rejected URLs there is nothing to compare, and URLs without a rule are allowed.
 
     A URL is read as its shape (digits runs are one 0) and equal shapes are counted and scored once; grams are summed
@@ -108,15 +110,24 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str
                                                F.sum((F.col("r.verdict") == "block").cast("double")).alias("block"),
                                                F.sum(F.col("r").isNull().cast("double")).alias("free"))
                      .select("shape", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("allow", "block", "free")]))
-    held = F.pmod(F.xxhash64("shape"), F.lit(HELD_OUT)) == 0
     ruled = F.col("allow") + F.col("block") > 0
-    counts = written(_grams(shapes.filter(ruled & ~held), order).groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
-    grams = _grams(shapes.filter((F.col("free") > 0) | (ruled & held)), order)
-    ratios = written(log_ratios(counts, grams.select("gram").distinct(), order))
-    scored = written(grams.join(ratios, "gram").groupBy("shape").agg(F.avg("ratio").alias("score"), F.first("allow").alias("allow"), F.first("block").alias("block")))
-    both = shapes.agg(F.sum("allow"), F.sum("block")).first()
-    cut = threshold_of(scored.filter(ruled & held).select("score", "allow", "block")) if both[0] and both[1] else None
+    shapes = shapes.withColumn("fold", F.pmod(F.xxhash64("shape"), F.lit(FOLDS)).cast("int"))
+    sums = shapes.filter(ruled).groupBy("fold").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect()
+    parts = {c: [r["fold"] for r in sums if r[c] > 0] for c in ("allow", "block")}
+    by_fold = written(_grams(shapes.filter(ruled), order).groupBy("fold", "gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+    # Model FOLDS counts everything, each other one everything outside the fold of its number.
+    counts_in = lambda c: F.when((F.col("model") != F.col("fold")) | F.lit(len(parts[c]) == 1), F.col(c)).otherwise(0.0)
+    counts = written(by_fold.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+                     .select("model", "gram", *[counts_in(c).alias(c) for c in ("allow", "block")]).filter("allow + block > 0")
+                     .groupBy("model", "gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+    models = F.array_compact(F.array(F.when(ruled, F.col("fold")), F.when(F.col("free") > 0, F.lit(FOLDS))))
+    grams = _grams(shapes.withColumn("model", F.explode(models)), order)
+    ratios = written(log_ratios(counts, grams.select("model", "gram").distinct(), order, ("model",)))
+    scored = written(grams.join(ratios, ["model", "gram"]).groupBy("shape", "model")
+                     .agg(F.avg("ratio").alias("score"), F.first("allow").alias("allow"), F.first("block").alias("block")))
+    cut = threshold_of(scored.filter(F.col("model") < FOLDS).select("score", "allow", "block")) if parts["allow"] and parts["block"] else None
     learned = F.lit("allow") if cut is None else F.when(F.col("score") >= cut - 1e-9, "allow").otherwise("block")
-    return (rows.join(scored.select("shape", "score"), "shape", "left")
+    model = F.when(F.col("r").isNull(), F.lit(FOLDS)).otherwise(F.pmod(F.xxhash64("shape"), F.lit(FOLDS)).cast("int"))
+    return (rows.withColumn("model", model).join(scored.select("shape", "model", "score"), ["shape", "model"], "left")
             .select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"),
                     F.coalesce("r.verdict", learned).alias("verdict"), "score"))

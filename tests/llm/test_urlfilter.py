@@ -90,6 +90,25 @@ def test_models_separate_the_classes(make):
     assert right >= 114
 
 
+def test_models_count_every_ruled_url(make):
+    r = random.Random(11)
+    word = lambda s: "".join(r.choice(s) for _ in range(6))
+    urls = [f"http://{word('abcd')}.good/{word('ab')}" for _ in range(20)] + [f"http://{word('wxyz')}.bad/{word('wx')}" for _ in range(20)]
+    free = [f"http://{word('abwx')}.other/{word('abcdwxyz')}" for _ in range(10)]
+    got = {x.page_id: x for x in V.filter_urls(make(SCHEMA, [(i, u, None) for i, u in enumerate(urls + free)]), [("good/", "allow"), ("bad/", "block")]).collect()}
+    grams = lambda u: [p[i:i + 5] for p in ["\x02" * 4 + "".join(split(u)) + "\x03"] for i in range(len(p) - 4)]
+    total = defaultdict(lambda: [0.0, 0.0])
+    for i, u in enumerate(urls):
+        for g in grams(u):
+            total[g][i >= 20] += 1
+    wanted = {g for u in free for g in grams(u)}
+    ratio = {x.gram: x.ratio for x in V.log_ratios(make("gram string, allow double, block double", [(g, *v) for g, v in total.items()]),
+                                                   make("gram string", [(g,) for g in wanted]), 4).collect()}
+    for i, u in enumerate(free):
+        assert got[40 + i].score == pytest.approx(sum(ratio[g] for g in grams(u)) / len(grams(u)), abs=1e-9)
+    assert all(x.score is not None for x in got.values())
+
+
 def test_threshold(make):
     rows = [(0.1, 1.0, 0.0), (0.5, 1.0, 0.0), (-0.3, 0.0, 2.0), (-0.9, 0.0, 1.0), (0.02, 0.0, 1.0)]
     assert V.threshold_of(make("score double, allow double, block double", rows)) == pytest.approx(0.03)
