@@ -13,6 +13,7 @@ from labledger.llm.common import ready, written
 from labledger.session import scratch_path
 
 CAPTURES_PER_FILE = 1000
+COPIES = 1000         # equal captures dealt out at once
 REVISIT_BYTES = 1000  # smallest payload that is worth a revisit record
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the format.
@@ -178,11 +179,12 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``(capture_id, capture, request, metadata, referred)``.
+    """One nested row per capture record: ``(capture_id, capture, request, metadata, referred)``.
 
     A request or metadata record belongs to the capture (response, revisit or resource) that its concurrent-to names.
     All records meet their capture in one shuffle by that id; of several of a kind, the one with the smallest record
-    id is taken, and records whose capture is missing make no row. ``referred``: id, size and digest of the response that a revisit refers
+    id is taken, and records whose capture is missing make no row. n captures of one record id (``write_archives`` gives
+    one to rows equal in id, URL and payload) make n equal rows, dealt out in runs of COPIES. ``referred``: id, size and digest of the response that a revisit refers
     to, null if it's missing. One response may be referred to by any share of the captures (an equi-join that adaptive
     execution splits); only its id, size and digest take part.
     """
@@ -193,11 +195,15 @@ def assemble(records: DataFrame) -> DataFrame:
              .groupBy(F.col("to").alias("capture_id"))
              .agg(F.min_by(body, F.when(is_capture, F.col("id"))).alias("capture"),
                   F.min_by(body, F.when(kind == "request", F.col("id"))).alias("request"),
-                  F.min_by(body, F.when(kind == "metadata", F.col("id"))).alias("metadata")).filter("capture is not null"))
+                  F.min_by(body, F.when(kind == "metadata", F.col("id"))).alias("metadata"),
+                  F.count(F.when(is_capture, F.lit(1))).alias("copies")).filter("capture is not null"))
     whole = written(whole)
     owned = whole.filter("capture.payload_digest is not null").select(F.struct("capture_id", F.col("capture.payload_bytes").alias("payload_bytes"),
                          F.col("capture.payload_digest").alias("payload_digest"), F.col("metadata.fields").getItem("id").alias("id")).alias("referred"))
-    return whole.join(owned, F.col("capture.refers_to") == F.col("referred.capture_id"), "left")
+    runs = (whole.filter("copies > 1").withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+            .repartition("capture_id", "run").withColumn("one", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(COPIES), F.col("copies") - F.col("run"))))))
+    every = whole.filter("copies = 1").unionByName(runs.drop("run", "one")).drop("copies")
+    return every.join(owned, F.col("capture.refers_to") == F.col("referred.capture_id"), "left")
 
 
 def warc_roundtrip(df: DataFrame, id_col: str = "page_id", with_payload: bool = False, **options) -> DataFrame:

@@ -1,10 +1,11 @@
 import gzip
 import hashlib
 
+import duckdb
 import pytest
 
 from labledger.llm import warc
-from labledger.llm.queries import QUERIES, op7_warc_roundtrip
+from labledger.llm.queries import QUERIES, SQL, op7_warc_roundtrip
 from llm_fixtures import by, make  # noqa: F401
 
 SCHEMA = "page_id bigint, url string, html string, type string"
@@ -59,6 +60,16 @@ def test_ties_nulls_and_empty(make, spark, tmp_path):
     assert op7_warc_roundtrip(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_repeated_rows_all_come_back(make, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 3)
+    big = "q" * 2000
+    rows = [(4, "u", big, None)] * 2 + [(5, "u", big, None)] * 8 + [(6, "w", "small", None)] * 7 + [(7, None, None, None)] * 2 + [(8, "w", "one", None)]
+    make(SCHEMA, rows, parts=3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in op7_warc_roundtrip(spark, str(tmp_path)).collect()]
+    want = duckdb.sql(SQL["op7_warc_roundtrip"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert len(got) == len(rows) and sorted(got, key=str) == sorted(want, key=str)
+
+
 def record(kind, ident, body=b"", **more):
     heads = {"WARC-Type": kind, "WARC-Record-ID": ident, **more, "Content-Length": len(body)}
     return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in heads.items()) + b"\r\n" + body + b"\r\n\r\n"
