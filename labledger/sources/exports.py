@@ -79,6 +79,9 @@ def detect_export_format(columns: list[str]) -> str:
 def scan_po_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Skip the nine preamble lines of every file, take its header and parse the remaining lines by it.
 
+    Files go through the CSV reader, as values may span lines, and the rows after the header are taken. A file in which
+    that reader doesn't find the header (a quote left open before it) is parsed line by line.
+
     Only a file's first line number is looked up: one row per file, written so that the planner knows its size and
     broadcasts it while it is small."""
     lines = _text_lines(spark, path)
@@ -95,9 +98,17 @@ def scan_po_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
         names = _names(header)
         detect_export_format(names)
         schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        mine = body if len(headers) == 1 else body.filter(F.col("file").isin(files))
-        parsed = mine.select(F.from_csv("value", schema, QUOTING).alias("r"), "file", "mid")
-        parts.append(parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "file", F.col("mid").alias("line_no")))
+        read = (spark.read.schema(schema).options(multiLine=True, **QUOTING).csv(sorted(unquote(f) for f in files))
+                .select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("mid")))
+        is_header = reduce(lambda a, b: a & b, [F.col(f"c{i}").eqNullSafe(F.lit(c or None)) for i, c in enumerate(next(csv.reader([header])))])
+        starts = scratch_path(spark, "exports", "starts")
+        read.filter(is_header).groupBy("file").agg(F.min("mid").alias("start")).write.parquet(starts)
+        start = spark.read.schema("file string, start bigint").parquet(starts)
+        parsed = [read.join(start, "file").filter("mid > start").drop("start")]
+        if left := sorted(set(files) - {r["file"] for r in start.select("file").collect()}):
+            parsed.append(body.filter(F.col("file").isin(left)).select(F.from_csv("value", schema, QUOTING).alias("r"), "file", "mid")
+                          .select("r.*", "file", "mid"))
+        parts += [x.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "file", F.col("mid").alias("line_no")) for x in parsed]
     if not parts:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in PO_SUMMARY_HEADERS) + ", file string, line_no bigint")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

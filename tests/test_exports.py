@@ -83,6 +83,17 @@ def test_po_summary_of_several_files(spark, tmp_path):
     assert report(df, empty_orders(spark)) == {"imported": 5, "duplicate": 1}
 
 
+def test_po_summary_values_may_span_lines(spark, tmp_path):
+    pre = "Report,a\n\n" + "".join(f"line {i}\n" for i in range(7))
+    put(f"{tmp_path}/po/a.csv", pre + 'PO Number,Supplier,Total Amount,PO Owner\n1,"Two\n\nlines, one",10,"x\ny"\n\n2,"5"" plates",20,x\n')
+    put(f"{tmp_path}/po/b.csv", pre.replace("line 0", '"open') + "PO Number,Supplier,Total Amount,PO Owner\n3,C,30,y\n")
+    df = ex.scan_po_summary(spark, f"{tmp_path}/po")
+    assert sorted((r["PO Number"], r["Supplier"], r["Total Amount"], r["PO Owner"]) for r in df.collect()) == [
+        ("1", "Two\n\nlines, one", "10", "x\ny"), ("2", '5" plates', "20", "x"), ("3", "C", "30", "y")]
+    rows = ing.import_po_summary(df, empty_orders(spark), "Admin", AS_OF).collect()
+    assert sorted((r["po_no"], float(r["total"])) for r in rows) == [("1", 10.0), ("2", 20.0), ("3", 30.0)]
+
+
 def test_inventory_sheets(spark, tmp_path):
     put(f"{tmp_path}/inv/sheet=0012/x.csv", "Req#,Item,#,Amount\n,Blank one,2 EA,3\n12\t,Tabbed id,1,1\n")
     put(f"{tmp_path}/inv/sheet=0034/x.csv", "Item,Req#,Amount,#,Vendor\nBlank two,,4,1,V\nFresh,13,5,1,V\nFresh again,13.0,5,1,V\nab,14,1,1,V\n")
