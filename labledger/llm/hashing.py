@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LONGEST = 64  # bytes hashed position by position; longer words go through blake2b
+ROLL = 1 << 16  # bytes or words that share a running sum
 
 
 def _table(seed: int) -> np.ndarray:
@@ -111,6 +113,56 @@ def grams(h: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix(g)
 
 
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd ``base`` and of its inverse modulo 2**64."""
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, U(b), dtype=np.uint64)
+        p[0] = 1
+        both.append(np.cumprod(p))
+    return tuple(both)
+
+
+def _rolled(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """sum(x[s + j] * base**j) modulo 2**64 of every range [s, e) of ``x``, from differences of one running sum."""
+    up, down = _powers(base, ROLL + LONGEST)
+    total = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(x * up[:len(x)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts]
+
+
+def rolled_words(w: Words) -> np.ndarray:
+    """A 64-bit hash of each word; blocks of bytes that fit a processor's cache are hashed at a time."""
+    table, size = _table(17), w.ends - w.starts
+    long = size > LONGEST
+    ends = np.where(long, w.starts, w.ends)  # longer words are left out here
+    out, at = np.empty(len(size), dtype=np.uint64), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(w.starts, w.starts[at] + ROLL, side="right")))
+        lo = w.starts[at]
+        data = w.data[lo:max(lo, ends[at:to].max())]
+        out[at:to] = mix(_rolled(table[data], w.starts[at:to] - lo, ends[at:to] - lo, 0x9E3779B97F4A7C15) + size[at:to].view(np.uint64))
+        at = to
+    for i in np.flatnonzero(long):
+        out[i] = int.from_bytes(hashlib.blake2b(w.data[w.starts[i]:w.ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def rolled_grams(h: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """Hash of the n consecutive words from each position on; the last n - 1 positions are left out."""
+    size = max(0, len(h) - n + 1)
+    out = np.empty(size, dtype=np.uint64)
+    for at in range(0, size, ROLL):
+        to = min(size, at + ROLL)
+        k = np.arange(to - at)
+        for j in range(0, n, LONGEST):  # a running sum covers ROLL + LONGEST words
+            part = min(n - j, LONGEST)
+            rolled = _rolled(h[at + j:to + j + part - 1], k, k + part, base)
+            out[at:to] = rolled if not j else mix(out[at:to]) + rolled
+    return mix(out)
+
+
 def ragged_index(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions first[k] .. first[k] + length[k] - 1 of every k, joined, and the k of each."""
     owner = np.repeat(np.arange(len(length)), length)

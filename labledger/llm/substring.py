@@ -7,183 +7,230 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labledger.llm.common import ready
-from labledger.llm.hashing import U, grams, mix, split_words, word_hashes
+from labledger.llm.hashing import U, mix, rolled_grams, rolled_words, split_words, string_column
 
 CHUNK_BYTES = 6 << 20      # of text in a chunk, about
 DEPTH = 2                  # rows of the count-min sketch
 CELLS_PER_WINDOW = 4       # width of a row against the number of words of the corpus
-SEGMENT_WINDOWS = 4 << 20  # windows that meet in one segment of the sketch, about
+SEGMENT_WINDOWS = 8 << 20  # windows that meet in one segment of the sketch, about
+BLOCK_WINDOWS = 1 << 20    # a segment is merged block by block
+GROUP_WINDOWS = 2 << 20    # of the corpus for each group of candidates
+SECOND = 0xA0761D6478BD642F
 
-
-class _Chunk:
-    """Windows of the texts of a chunk: 128-bit names, the text of each, and the distinct ones with their smallest id.
-
-    ``slot`` numbers the distinct windows in the order of their names; every pass over the chunk rebuilds the same
-    numbers, whatever the order in which its rows arrive.
-    """
-
-    def __init__(self, t: pa.Table, n: int):
-        self.ids = t["id"].to_numpy(zero_copy_only=False)
-        self.words = split_words(t["text"])
-        h1, h2 = word_hashes(self.words, seeds=(1, 2))
-        counts = self.words.counts
-        last = np.repeat(np.cumsum(counts), counts)
-        a = grams(h1, n)
-        self.position = np.flatnonzero(np.arange(len(a)) + n <= last[:len(a)])
-        a, b = a[self.position], grams(h2, n)[self.position]
-        self.doc = np.repeat(np.arange(len(counts)), counts)[self.position]
-        order = np.lexsort((self.ids[self.doc], b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        self.a, self.b, self.least = a[new], b[new], self.ids[self.doc[order]][new]
-        self.slot = np.empty(len(a), dtype=np.int64)
-        self.slot[order] = np.cumsum(new) - 1
+SKETCH = "segment bigint, chunk bigint, n array<bigint>, data array<binary>"
+MARKS = "chunk bigint, segment bigint, n array<bigint>, data array<binary>"
+CANDIDATES = "grp bigint, chunk bigint, n bigint, a binary, b binary, least binary, place binary"
+REMOVED = "chunk bigint, n array<bigint>, data array<binary>"
+_BLOCKS = [("n", pa.list_(pa.int64())), ("data", pa.list_(pa.binary()))]
 
 
 def _zip(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unzip(data: bytes, n: int) -> bytes:
-    return pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True)
+def _unzip(data: bytes, n: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype=dtype)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as compressed byte planes of their differences."""
+    """Sorted 64-bit numbers as the compressed low byte planes of their differences."""
     delta = np.diff(x, prepend=x.dtype.type(0))
-    return _zip(delta.view(np.uint8).reshape(-1, 8).T)
+    planes = max(1, (int(delta.max()).bit_length() + 7) // 8) if len(delta) else 1
+    return bytes([planes]) + _zip(delta.view(np.uint8).reshape(-1, 8)[:, :planes].T)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(_unzip(data, n), dtype=np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, :data[0]] = _unzip(data[1:], n * data[0], np.uint8).reshape(data[0], n).T
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+class _Chunk:
+    """The windows of a chunk's texts, in the order of the texts' ids, whatever the order in which the rows arrive."""
+
+    def __init__(self, t: pa.Table, n: int):
+        t = t.sort_by([("id", "ascending"), ("text", "ascending")])
+        self.ids = t["id"].to_numpy(zero_copy_only=False)
+        self.text = string_column(t["text"])
+        self.words = split_words(self.text)
+        self.n = n
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words; the first word of each window; the windows' hashes."""
+        h = rolled_words(self.words)
+        last = np.repeat(np.cumsum(self.words.counts), self.words.counts)
+        g = rolled_grams(h, self.n)
+        first = np.flatnonzero(np.arange(len(g)) + self.n <= last[:len(g)])
+        return h, first, g[first]
+
+    def owners(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the documents that hold the words at ``places``."""
+        return self.ids[np.searchsorted(np.cumsum(self.words.counts), places, side="right")]
 
 
-def _cells(c: _Chunk, row: int, cells: int) -> np.ndarray:
-    """The chunk's cells of a row of the sketch, one for each distinct window."""
-    return mix(c.a ^ U(0x9E37 + row)) % U(cells)
+def _cells(g: np.ndarray, row: int, cells: int) -> np.ndarray:
+    """The cells of a row of the sketch that windows count up."""
+    return mix(g ^ U(0x9E37 + row)) % U(cells)
 
 
-def _cuts(cells: np.ndarray, segments: int, width: int) -> np.ndarray:
-    return np.searchsorted(cells, np.arange(segments + 1, dtype=np.uint64) * U(width))
+def _cuts(cells: np.ndarray, parts: int, width: int) -> np.ndarray:
+    return np.searchsorted(cells, np.arange(parts + 1, dtype=np.uint64) * U(width))
 
 
-def _sketch(n: int, segments: int, width: int):
-    """Partial sketches: for each row and segment, the cells that the chunk's distinct windows count up."""
+def _sketch(n: int, segments: int, blocks: int, width: int):
+    """A chunk's partial sketch: for each row and segment, block by block, the cells that its windows count up."""
     def run(t: pa.Table) -> pa.Table:
-        c, rows = _Chunk(t, n), []
+        _, _, g = _Chunk(t, n).windows()
+        rows = []
         for row in range(DEPTH):
-            cells = np.sort(_cells(c, row, segments * width))
-            cut = _cuts(cells, segments, width)
-            for s in np.flatnonzero(np.diff(cut)):
-                part = cells[cut[s]:cut[s + 1]]
-                rows.append((row * segments + int(s), t["chunk"][0].as_py(), len(part), _pack(part)))
+            cells = np.sort(_cells(g, row, segments * blocks * width))
+            cut = _cuts(cells, segments * blocks, width)
+            for s in np.unique(np.flatnonzero(np.diff(cut)) // blocks).tolist():
+                parts = [cells[cut[k]:cut[k + 1]] - U(k * width) for k in range(s * blocks, (s + 1) * blocks)]
+                rows.append((row * segments + s, t["chunk"][0].as_py(), [len(p) for p in parts], [_pack(p) for p in parts]))
         return pa.table(dict(zip(("segment", "chunk", "n", "data"), map(list, zip(*rows)) if rows else ([], [], [], []))),
-                        schema=pa.schema([("segment", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
+                        schema=pa.schema([("segment", pa.int64()), ("chunk", pa.int64()), *_BLOCKS]))
     return run
 
 
-def _merge(width: int, segments: int):
-    """Sum a segment's partial sketches; for each chunk, which of its cells (in order) hold a count above one."""
+def _merge(blocks: int, width: int):
+    """Add up a segment's partial sketches; for each chunk, which of its cells (in order) hold a count above one.
+
+    Counts above one needn't be told apart, so a cell is two bits: once, twice.
+    """
     def run(t: pa.Table) -> pa.Table:
-        base = U(width * (t["segment"][0].as_py() % segments))
-        count = np.zeros(width, dtype=np.uint8)  # counts above two needn't be told apart
-        parts = list(zip(t["n"].to_pylist(), t["data"]))
-        for n, data in parts:
-            cells, times = np.unique((_unpack(data.as_py(), n) - base).astype(np.int64), return_counts=True)
-            count[cells] = np.minimum(count[cells] + np.minimum(times, 2), 2)
-        bits = [np.packbits(count[(_unpack(data.as_py(), n) - base).astype(np.int64)] > 1).tobytes() for n, data in parts]
-        return pa.table({"chunk": t["chunk"], "segment": t["segment"], "n": t["n"], "bits": pa.array(bits, pa.binary())})
+        sizes, parts = t["n"].to_pylist(), t["data"]
+        marks = [[] for _ in sizes]
+        for k in range(blocks):
+            once, twice = np.zeros(width, dtype=bool), np.zeros(width, dtype=bool)
+            cells = [_unpack(p[k].as_py(), n[k]).view(np.int64) for n, p in zip(sizes, parts)]
+            for x in cells:
+                twice[x[once[x]]] = True
+                once[x] = True
+                twice[x[1:][x[1:] == x[:-1]]] = True
+            for m, x in zip(marks, cells):
+                m.append(np.packbits(twice[x]).tobytes())
+        return pa.table({"chunk": t["chunk"], "segment": t["segment"], "n": t["n"], "data": pa.array(marks, pa.list_(pa.binary()))})
     return run
 
 
-def _marked(t: pa.Table, size: int) -> dict[int, np.ndarray]:
-    return {s: np.unpackbits(np.frombuffer(b.as_py(), dtype=np.uint8), count=n).astype(bool)
-            for s, n, b in zip(t["segment"].to_pylist(), t["n"].to_pylist(), t["bits"])} if size else {}
-
-
-def _estimated(c: _Chunk, marks: pa.Table, segments: int, width: int) -> np.ndarray:
-    """Distinct windows of the chunk whose smallest count in the sketch is above one."""
-    found, seen = np.ones(len(c.a), dtype=bool), _marked(marks, len(c.a))
+def _estimated(g: np.ndarray, marks: pa.Table, cells: int) -> np.ndarray:
+    """The windows whose smallest count in the sketch is above one."""
+    found = np.ones(len(g), dtype=bool)
+    segments = marks["segment"].to_numpy()
+    low = U(max(1, int(len(g)).bit_length()))
+    order = np.argsort(segments)
+    sizes, data = marks["n"].to_pylist(), marks["data"].to_pylist()
+    bits = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=k).astype(bool)
+                           for s in order for k, b in zip(sizes[s], data[s])] or [np.zeros(0, dtype=bool)])
     for row in range(DEPTH):
-        cells = _cells(c, row, segments * width)
-        order = np.argsort(cells, kind="stable")
-        cut = _cuts(cells[order], segments, width)
-        for s in np.flatnonzero(np.diff(cut)):
-            found[order[cut[s]:cut[s + 1]]] &= seen[row * segments + int(s)]
+        c = _cells(g, row, cells)
+        if int(cells).bit_length() + int(low) <= 64:  # sort cell and window as one number
+            at = (np.sort((c << low) | np.arange(len(c), dtype=np.uint64)) & ((U(1) << low) - U(1))).view(np.int64)
+        else:
+            at = np.argsort(c, kind="stable")
+        found[at] &= bits[row * len(g):(row + 1) * len(g)]
     return np.flatnonzero(found)
 
 
-def _candidates(n: int, segments: int, width: int, groups: int):
-    """The chunk's windows that the sketch takes for repeated, with the smallest id that has them here."""
+def _candidates(n: int, cells: int, groups: int):
+    """The windows that the sketch takes for repeated, by 128-bit names.
+
+    What a chunk can settle alone, windows that it also holds under a smaller id, leaves it as places of words; for the
+    other windows, those of the smallest id that has them here, the groups decide.
+    """
+    schema = pa.schema([(f, pa.int64()) for f in ("grp", "chunk", "n")] + [(f, pa.binary()) for f in ("a", "b", "least", "place")])
+
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        schema = pa.schema([("grp", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("least", pa.binary())])
         if not docs.num_rows or not marks.num_rows:
             return schema.empty_table()
-        c, rows = _Chunk(docs, n), []
-        k = _estimated(c, marks, segments, width)
-        a, b, least = c.a[k], c.b[k], c.least[k].astype("<i8")
-        group = (mix(a) >> U(32)) % U(groups)
-        for g in np.unique(group):
-            p = group == g
-            rows.append((int(g), docs["chunk"][0].as_py(), int(p.sum()), _pack(a[p]), b[p].tobytes(), _zip(least[p])))
+        c, chunk, rows = _Chunk(docs, n), docs["chunk"][0].as_py(), []
+        h, first, g = c.windows()
+        k = _estimated(g, marks, cells)
+        place, a, b = first[k], g[k], rolled_grams(h, n, SECOND)[first[k]]
+        order = np.lexsort((place, b, a))  # places ascend with the ids
+        place, a, b = place[order], a[order], b[order]
+        ids = c.owners(place)
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else ids
+        settled = np.sort(place[ids > least]).astype(np.uint64)
+        if len(settled):
+            rows.append((-1 - chunk, chunk, len(settled), _pack(settled), b"", b"", b""))
+        open_ = ids == least
+        place, a, b, ids = place[open_].astype("<u4"), a[open_], b[open_], ids[open_].astype("<i8")
+        group = ((a >> U(32)) * U(groups)) >> U(32)  # ascends with a
+        cut = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            p = slice(cut[s], cut[s + 1])
+            rows.append((s, chunk, int(cut[s + 1] - cut[s]), _pack(a[p]), b[p].tobytes(), _zip(ids[p]), _zip(place[p])))
         return pa.table(dict(zip(schema.names, map(list, zip(*rows)))), schema=schema) if rows else schema.empty_table()
     return run
 
 
 def _first_owner(t: pa.Table) -> pa.Table:
-    """Group the candidate windows exactly; for each chunk, the smallest id of each of its windows in all chunks."""
-    sizes = t["n"].to_pylist()
-    a = np.concatenate([_unpack(x.as_py(), n) for x, n in zip(t["a"], sizes)])
-    b = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in t["b"]])
-    least = np.concatenate([np.frombuffer(_unzip(x.as_py(), n), dtype="<i8") for x, n in zip(t["least"], sizes)])
-    order = np.lexsort((least, b, a))
-    x, y, z = a[order], b[order], least[order]
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    first = np.empty(len(x), dtype=bool)
-    first[order] = z[np.flatnonzero(new)][np.cumsum(new) - 1] < z  # another document with a smaller id has the window
-    at = np.cumsum([0, *sizes])
-    return pa.table({"chunk": t["chunk"], "grp": t["grp"], "n": t["n"],
-                     "bits": pa.array([np.packbits(first[p:q]).tobytes() for p, q in zip(at[:-1], at[1:])], pa.binary())})
-
-
-def _cut_out(n: int, segments: int, width: int, groups: int):
-    """Remove the words covered by a window that starts in a document with a smaller id."""
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    """Group candidates exactly; for each chunk, the places of its windows that another chunk has under a smaller id."""
+    sizes, chunks = t["n"].to_pylist(), t["chunk"].to_pylist()
+    if t["grp"][0].as_py() < 0:
+        out = [(c, [n], [x.as_py()]) for c, n, x in zip(chunks, sizes, t["a"])]
+    else:
+        a = np.concatenate([_unpack(x.as_py(), n) for x, n in zip(t["a"], sizes)])
+        b = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in t["b"]])
+        least = np.concatenate([_unzip(x.as_py(), n, "<i8") for x, n in zip(t["least"], sizes)])
+        order = np.lexsort((least, b, a))
+        x, y, z = a[order], b[order], least[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        gone = np.empty(len(x), dtype=bool)
+        gone[order] = z[np.flatnonzero(new)][np.cumsum(new) - 1] < z
+        out, at = [], 0
+        for c, n, p in zip(chunks, sizes, t["place"]):
+            places = np.sort(_unzip(p.as_py(), n, "<u4")[gone[at:at + n]]).astype(np.uint64)
+            at += n
+            if len(places):
+                out.append((c, [len(places)], [_pack(places)]))
+    return pa.table(dict(zip(("chunk", "n", "data"), map(list, zip(*out)) if out else ([], [], []))), schema=pa.schema([("chunk", pa.int64()), *_BLOCKS]))
+
+
+def _cut_out(n: int):
+    """Leave out the words covered by a removed window; the other words of a text are joined by one space."""
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+
+    def run(docs: pa.Table, removed: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        kind = answers["kind"].to_numpy(zero_copy_only=False) if answers.num_rows else np.zeros(0, dtype=np.int64)
         c = _Chunk(docs, n)
-        repeated = np.zeros(len(c.a), dtype=bool)  # in a document with a smaller id than any of this chunk
-        if (kind == 1).any():
-            marks, owned = answers.filter(pa.array(kind == 0)), answers.filter(pa.array(kind == 1))
-            k = _estimated(c, marks, segments, width)
-            group = (mix(c.a[k]) >> U(32)) % U(groups)
-            for g, bits in _marked(owned, len(k)).items():
-                repeated[k[group == U(g)]] = bits
-        gone = repeated[c.slot] | (c.least[c.slot] < c.ids[c.doc])
-        total = len(c.words.starts)
+        w, total = c.words, len(c.words.starts)
         step = np.zeros(total + 1, dtype=np.int64)
-        step[c.position[gone]] += 1
-        step[c.position[gone] + n] -= 1
-        removed = np.cumsum(step)[:total] > 0
-        w = c.words
+        for sizes, parts in zip(removed["n"].to_pylist(), removed["data"].to_pylist()) if removed.num_rows else ():
+            for k, x in zip(sizes, parts):
+                places = _unpack(x, k).view(np.int64)  # each place is told once
+                step[places] += 1
+                step[places + n] -= 1
+        gone = np.cumsum(step[:total]) > 0
         edge = np.append(w.first, total)
-        dropped = np.concatenate([[0], np.cumsum(removed)])
-        data = w.data.tobytes()
-        texts = []
-        for d in range(len(c.ids)):
-            lo, hi = edge[d], edge[d + 1]
-            keep = np.flatnonzero(~removed[lo:hi]) + lo
-            texts.append(b" ".join([data[s:e] for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist())]).decode())
-        return pa.table([docs["id"], pa.array(w.counts), pa.array(dropped[edge[1:]] - dropped[edge[:-1]]), pa.array(texts, pa.string())], schema=schema)
+        dropped = np.concatenate([[0], np.cumsum(gone)])
+        kept = np.flatnonzero(~gone)
+        follows = np.zeros(len(kept), dtype=bool)  # by another kept word of the same text, so by a byte between them
+        text = np.searchsorted(edge[1:], kept, side="right")
+        follows[:-1] = text[1:] == text[:-1]
+        data = w.data.copy()
+        data[w.ends[kept[follows]]] = 0x20
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[w.starts[kept]] = 1
+        stop = w.ends[kept] + follows
+        inside[stop] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        bounds = np.frombuffer(c.text.buffers()[1], dtype=np.int64)[c.text.offset:c.text.offset + len(c.text) + 1]
+        offsets = np.concatenate([[0], np.cumsum(inside)])[bounds - bounds[0]]
+        texts = pa.LargeStringArray.from_buffers(len(c.ids), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside])).cast(pa.string())
+        return pa.table([pa.array(c.ids), pa.array(w.counts), pa.array(dropped[edge[1:]] - dropped[edge[:-1]]), texts], schema=schema)
     return run
 
 
 def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13,
-                            chunk_bytes: int = CHUNK_BYTES, segment_windows: int = SEGMENT_WINDOWS) -> DataFrame:
+                            chunk_bytes: int = CHUNK_BYTES, segment_windows: int = SEGMENT_WINDOWS,
+                            block_windows: int = BLOCK_WINDOWS, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """Cut repeated passages: one row ``(id_col, n_words, n_removed, kept_text)`` per row of ``df``.
 
     A word (a run without space and \\x09-\\x0D, unchanged) goes if a window of ``window`` consecutive words that
@@ -191,15 +238,17 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     other words by one space. Null, empty and wordless texts give 0 words and an empty text; texts shorter than a
     window lose nothing; rows with equal ids count as one document; rows with a null id are kept whole and cut nothing.
 
-    The texts are dealt by hash into chunks of bounded size, in one shuffle that all passes read. Inside a chunk, all but the smallest id of
-    a window are decided at once, so a window that a third of all documents share leaves each chunk a single time.
-    1. Each chunk makes a partial count-min sketch of its distinct windows, cut into segments; a segment's partial
-       sketches are merged in one task, and each chunk learns which of its cells hold a count above one. The width
-       follows the corpus (four cells per word and row), so the error rate doesn't grow with it.
-       Every chunk sends a part to every segment, so for a corpus of many terabytes raise ``chunk_bytes`` and
-       ``segment_windows`` as far as a worker's memory allows (about 30 bytes a byte of text, 4 bytes a window).
-    2. Only windows whose smallest count is above one are grouped exactly, by 128-bit names; counts are never too low,
-       so none is lost. Each chunk learns which of its windows another chunk has under a smaller id.
+    The texts are dealt by hash into chunks of bounded size, in one shuffle that all passes read.
+    1. Each chunk counts all its windows in a partial count-min sketch, cut into segments; a segment's partial
+       sketches are merged in one task, block by block, and each chunk learns which of its cells hold a count above
+       one. The width follows the corpus (four cells per word and row), so the error rate doesn't grow with it.
+    2. Only the windows whose smallest count is above one are sorted and grouped, by 128-bit names; counts are never
+       too low, so none is lost. A window that a third of all documents share leaves each chunk for one document only.
+    3. The places of the removed windows go back to the chunks, which cut the texts.
+
+    Every chunk sends a part to every segment and group that it has windows of. For a corpus of many terabytes raise
+    ``chunk_bytes`` and ``segment_windows`` as far as a worker's memory allows (about 40 bytes a byte of text of a
+    chunk, 3 bytes a window of a segment); blocks keep the cells of a segment in bounded memory.
     """
     ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -207,19 +256,16 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     chunks = max(1, int((total[0] or 0) // chunk_bytes))
     words = int(total[1] or 0) + 1  # about; only sizes depend on it
     segments = max(1, words // segment_windows)
-    width = max(1024, CELLS_PER_WINDOW * words // segments)
+    blocks = max(1, words // segments // block_windows)
+    width = max(1024, CELLS_PER_WINDOW * words // (segments * blocks))
+    groups = max(1, words // group_windows)
     named = rows.filter("id is not null").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("bigint"))
     docs = named.groupBy("chunk")
-    partial = docs.applyInArrow(_sketch(window, segments, width), "segment bigint, chunk bigint, n bigint, data binary")
-    marks = partial.groupBy("segment").applyInArrow(_merge(width, segments), "chunk bigint, segment bigint, n bigint, bits binary")
-    groups = segments
-    candidates = docs.cogroup(marks.groupBy("chunk")).applyInArrow(
-        _candidates(window, segments, width, groups), "grp bigint, chunk bigint, n bigint, a binary, b binary, least binary")
-    owners = candidates.groupBy("grp").applyInArrow(_first_owner, "chunk bigint, grp bigint, n bigint, bits binary")
-    answers = (marks.withColumn("kind", F.lit(0).cast("bigint"))
-               .unionByName(owners.withColumnRenamed("grp", "segment").withColumn("kind", F.lit(1).cast("bigint"))))
-    cut = docs.cogroup(answers.groupBy("chunk")).applyInArrow(
-        _cut_out(window, segments, width, groups), "id bigint, n_words bigint, n_removed bigint, kept_text string")
+    partial = docs.applyInArrow(_sketch(window, segments, blocks, width), SKETCH)
+    marks = partial.groupBy("segment").applyInArrow(_merge(blocks, width), MARKS)
+    candidates = docs.cogroup(marks.groupBy("chunk")).applyInArrow(_candidates(window, segments * blocks * width, groups), CANDIDATES)
+    removed = candidates.groupBy("grp").applyInArrow(_first_owner, REMOVED)
+    cut = docs.cogroup(removed.groupBy("chunk")).applyInArrow(_cut_out(window), "id bigint, n_words bigint, n_removed bigint, kept_text string")
     whole = (rows.filter("id is null")
              .withColumn("words", F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
              .select("id", F.coalesce(F.size("words").cast("bigint"), F.lit(0)).alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"),

@@ -1,5 +1,7 @@
 """The registered queries over the smallest supplied tables."""
 
+import hashlib
+
 import pytest
 
 import harness
@@ -7,6 +9,7 @@ import test_embed_dedup
 import test_setsketch
 import test_substring
 
+from labledger.llm import substring
 from labledger.llm.queries import QUERIES, SQL, table
 from llm_fixtures import SMALL, by  # noqa: F401
 
@@ -31,12 +34,14 @@ def test_matches_sql(spark, name):
     assert harness.compare(spark, harness.duck(SMALL), SMALL, name, QUERIES[name], SQL[name])["ok"] is True
 
 
-def test_match_brute_force(spark, by):
+def test_match_brute_force(spark, by, monkeypatch):
     docs = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").collect()]
     got = by(QUERIES["op3_minhash_dedup"](spark, SMALL), "doc_id", "n_shingles", "component_id", "kept")
     assert got == test_setsketch.brute(docs, 3, 85)
-    got = by(QUERIES["op4_substring_dedup"](spark, SMALL), "doc_id", "n_words", "n_removed")
-    assert got == {i: v[:2] for i, v in test_substring.brute(docs, 13).items()}
+    want = {i: (*v[:2], hashlib.sha256(v[2].encode()).hexdigest()) for i, v in test_substring.brute(docs, 13).items()}
+    assert by(QUERIES["op4_substring_dedup"](spark, SMALL), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    monkeypatch.setattr(substring.remove_repeated_windows, "__defaults__", ("doc_id", "text", 13, 20_000, 8_000, 1_000, 3_000))  # many chunks, segments and groups
+    assert by(QUERIES["op4_substring_dedup"](spark, SMALL), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     vectors = [(r.vec_id, list(r.embedding), r.label) for r in table(spark, SMALL, "embeddings").collect()]
     got = by(QUERIES["op1_embedding_dedup"](spark, SMALL), "vec_id", "n_links", "component_id", "kept")
     assert got == test_embed_dedup.brute(vectors, 0.93)

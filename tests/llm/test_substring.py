@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from labledger.llm import substring as D
@@ -41,12 +43,38 @@ def planted(seed, docs, vocabulary):
     return rows + [(r.randrange(10 ** 12), rows[0][1]) for _ in range(30)]
 
 
-@pytest.mark.parametrize("seed,vocabulary,chunk,segment", [(1, 400, 6 << 20, 4 << 20), (2, 400, 2000, 500), (3, 2, 3000, 700)])
-def test_matches_brute_force(make, by, seed, vocabulary, chunk, segment):
+@pytest.mark.parametrize("seed,vocabulary,chunk,segment,block,group", [(1, 400, 6 << 20, 4 << 20, 1 << 20, 2 << 20), (2, 400, 2000, 500, 100, 300), (3, 2, 3000, 700, 700, 90)])
+def test_matches_brute_force(make, by, seed, vocabulary, chunk, segment, block, group):
     rows = planted(seed, 120, vocabulary)
     df = make(SCHEMA, [(*r, "x") for r in rows])
-    got = by(D.remove_repeated_windows(df, chunk_bytes=chunk, segment_windows=segment), "doc_id", "n_words", "n_removed", "kept_text")
-    assert got == brute(rows, 13)
+    cut = D.remove_repeated_windows(df, chunk_bytes=chunk, segment_windows=segment, block_windows=block, group_windows=group)
+    assert by(cut, "doc_id", "n_words", "n_removed", "kept_text") == brute(rows, 13)
+
+
+def test_only_windows_estimated_repeated_are_grouped():
+    g = np.random.default_rng(1).integers(0, 1 << 63, 30_000, dtype=np.uint64)
+    g = np.concatenate([g, g[:500]])  # 500 repeated windows; four cells a window
+    cells, tables = 4 * len(g), []
+    for row in range(D.DEPTH):
+        c = np.sort(D._cells(g, row, cells))
+        tables.append(pa.table({"segment": [row], "chunk": [0], "n": [[len(c)]], "data": [[D._pack(c)]]}))
+    marks = pa.concat_tables([D._merge(1, cells)(t) for t in tables])
+    found = set(D._estimated(g, marks, cells).tolist())
+    assert found >= {*range(500), *range(30_000, 30_500)} and len(found) < 1000 + 0.08 * len(g)  # (1 - e^-1/4)^2 = 0.049
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [5, 5, 7], [1, 2 ** 63, 2 ** 64 - 1], sorted(random.Random(1).randrange(2 ** 40) for _ in range(999))):
+        x = np.array(x, dtype=np.uint64)
+        assert (D._unpack(D._pack(x), len(x)) == x).all()
+
+
+def test_equal_ids_count_as_one_document(make, by):
+    p = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    rows = [(1, f"{p[0]} x"), (1, f"y {p[0]}"), (2, p[0]), (2, p[1]), (3, p[1]), (1, p[2]), (1, p[2])]
+    for chunk in (6 << 20, 40):
+        got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in D.remove_repeated_windows(make(SCHEMA, [(*r, None) for r in rows]), chunk_bytes=chunk).collect())
+        assert got == sorted([(1, 0, f"{p[0]} x"), (1, 0, f"y {p[0]}"), (2, 20, ""), (2, 0, p[1]), (3, 20, ""), (1, 0, p[2]), (1, 0, p[2])])
 
 
 def test_defined_cases(make, spark):
