@@ -89,6 +89,6 @@ SQL = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
              q AS (SELECT page_id, body, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
              m AS (SELECT body, max(page_id) AS top FROM q WHERE payload_bytes >= 1000 GROUP BY body)
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN top <> page_id THEN top END AS refers_to FROM q LEFT JOIN m USING (body)""",
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NULL OR top IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to FROM q LEFT JOIN m USING (body)""",
 }

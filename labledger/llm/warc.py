@@ -40,8 +40,9 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     """Write each row as a capture of three records (request, response or revisit, metadata) into gzip archives at ``path``.
 
     Of the rows whose payloads (text in UTF-8, null: empty) are equal and have at least ``revisit_bytes`` bytes, the one
-    with the largest id is the response and the others revisit it; a revisit record names the response and the digest and
-    holds no payload. Request and metadata name their capture as concurrent; the metadata hold the id. Line ends in URLs
+    with the largest id (a null id is smaller than any other) is the response and the others revisit it; several rows of that id
+    are all responses, as no page revisits itself, and the revisits name the one with the largest record key. A revisit record
+    names the response and the digest and holds no payload. Request and metadata name their capture as concurrent; the metadata hold the id. Line ends in URLs
     are percent-encoded, a null URL or id has no header or field. Rows equal in id, URL and payload get equal record ids.
 
     Only digests are grouped and shuffled to find the responses (pre-aggregated, so a payload may be any share of the rows);
@@ -55,8 +56,8 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
             .withColumn("key", F.sha1(F.concat_ws("\x00", F.coalesce(F.col("id").cast("string"), F.lit("")), F.coalesce("url", F.lit("\x01")), "digest"))))
     names = rows.filter(F.col("size") >= revisit_bytes).select("key", "id", "digest", "size")
     firsts = (names.groupBy("digest", "size").agg(F.max(F.struct("id", "key")).alias("top"), F.count(F.lit(1)).alias("c"))
-              .filter("c > 1").select("digest", "size", F.col("top.key").alias("top_key")))
-    revisits = written(names.join(written(firsts), ["digest", "size"]).filter("key <> top_key").select("key", "top_key").distinct())
+              .filter("c > 1").select("digest", "size", F.col("top.id").alias("top_id"), F.col("top.key").alias("top_key")))
+    revisits = written(names.join(written(firsts), ["digest", "size"]).filter("not (id <=> top_id)").select("key", "top_key").distinct())
     c = rows.join(revisits, "key", "left")
     host = F.regexp_extract("url", r"^[^:/?#]*://([^/?#]*)", 1)
     target = F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*([^#]*)", 1)
