@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labledger.llm.common import connected_components, ready, written
+from labledger.llm.common import by_salt, connected_components, groups, ready, salted, written
 
 TILE_BYTES = 8 << 20  # of float64 vectors in one side of a tile
 BLOCK_CELLS = 2 << 20  # products that a tile holds at once
@@ -116,7 +116,7 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     pair of chunks is one tile: an int8 matrix product with error bounds, followed by an exact check of the pairs
     that may reach the threshold. A tile returns one row per linked class (number of linked rows and the smallest
     class it reaches inside the tile), never pairs. Empty input gives an empty result. Repeated ids count as rows of
-    their own. A row with a null id gets the links and component of the rows with its vector, but is no one's partner.
+    their own, whatever their vectors, as classes are numbered. A row with a null id gets the links and component of the rows with its vector, but is no one's partner.
     """
     spark = ready(df.sparkSession)
     ok = (F.col("vec").isNotNull() & (F.size("vec") > 0)
@@ -126,8 +126,10 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), label.alias("label"),
                      F.col(vec_col).cast("array<double>").alias("vec"))
     valid = F.coalesce(ok, F.lit(False)) & F.col("label").isNotNull()
-    classes = written(rows.filter(valid & F.col("id").isNotNull()).groupBy("label", "vec")
-                      .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")))
+    rows = salted(rows, "id")
+    key = ["label", "vec"]
+    classes = written(groups(rows.filter(valid), key, least=(F.min("id"), F.min), mult=(F.count("id"), F.sum)).filter("mult > 0")
+                      .withColumn("rep", F.monotonically_increasing_id()))
     sizes = (classes.groupBy("label").agg(F.ceil(F.sum(F.size("vec") * 8.0) / tile_bytes).alias("chunks")))
     dealt = (classes.join(sizes, "label")
              .withColumn("mine", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("chunks")))
@@ -137,10 +139,12 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     tiles = written(dealt.groupBy("label", "i", "j").applyInArrow(_tiles(threshold), LINK_SCHEMA))
     comp = connected_components(tiles.select(F.col("rep").alias("u"), F.col("partner").alias("v")))
     linked = tiles.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    per_class = (classes.join(linked, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-                 .select("label", "vec", F.col("mult"), F.coalesce("linked", F.lit(0)).alias("linked"),
-                         F.coalesce("component", "rep").alias("component_id")))
-    joined = (rows.join(per_class, ["label", "vec"], "left")
+    joined = salted(classes.join(linked, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+                    .withColumn("component", F.coalesce("component", "rep")).withColumnRenamed("salts", "own"), "rep")
+    named = groups(joined, ["component"], component_id=(F.min("least"), F.min))
+    per_class = (joined.join(by_salt(named), ["component", "salt"])
+                 .select(*key, "mult", F.coalesce("linked", F.lit(0)).alias("linked"), "component_id", F.col("own").alias("salts")))
+    joined = (rows.join(by_salt(per_class), [*key, "salt"], "left")
               .select(F.col("id").alias(id_col),
                       F.coalesce(F.col("mult") - F.when(F.col("id").isNull(), 0).otherwise(1) + F.col("linked"), F.lit(0)).alias("n_links"),
                       F.when(F.col("id").isNull(), F.col("component_id")).otherwise(F.coalesce("component_id", "id")).alias("component_id")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labledger.llm.common import ready, written
+from labledger.llm.common import by_salt, groups, ready, salted, written
 
 BLOCK_BYTES = 4096
 WHITE = " \t\n\v\f\r"
@@ -20,7 +22,8 @@ def _named(df: DataFrame, items: str, bits: int) -> DataFrame:
 
     The distinct items are sorted by (bucket, item); an item's name is its bucket and its rank in the bucket. The rank
     is 0 but for the buckets that hold several distinct items, which only the distinct items can tell: they are
-    found by one aggregation that drops copies before the shuffle. Ranks other than 0 are written and joined back.
+    found by one aggregation that drops copies before the shuffle. Ranks other than 0 are written and joined back; a row
+    number keeps rows that repeat an id and a text apart.
     """
     held = df.withColumn(items, F.transform(items, lambda x: F.struct(_bucket(x, bits).alias("h"), x.alias("x"))))
     distinct = held.select(F.explode(items).alias("i")).select("i.h", "i.x").distinct()
@@ -29,12 +32,12 @@ def _named(df: DataFrame, items: str, bits: int) -> DataFrame:
         return held.withColumn("names", F.transform(items, lambda i: F.struct(i["h"].alias("h"), F.lit(0).alias("rank")))).drop(items)
     rank = F.row_number().over(Window.partitionBy("h").orderBy("x")) - 1  # among the distinct items of a bucket
     ranks = written(distinct.join(crowded, "h", "left_semi").withColumn("rank", rank).filter("rank > 0"))
-    kept = [c for c in df.columns if c != items]
-    spread = (held.select(*kept, F.posexplode_outer(items).alias("pos", "i")).select(*kept, "pos", "i.h", "i.x")
+    kept = [*(c for c in df.columns if c != items), "row"]
+    spread = (held.withColumn("row", F.monotonically_increasing_id()).select(*kept, F.posexplode_outer(items).alias("pos", "i")).select(*kept, "pos", "i.h", "i.x")
               .join(ranks, ["h", "x"], "left"))
     names = F.transform(F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct(
         "pos", "h", F.coalesce("rank", F.lit(0)).alias("rank"))))), lambda p: F.struct(p["h"].alias("h"), p["rank"].alias("rank")))
-    return spread.groupBy(*kept).agg(names.alias("names"))
+    return spread.groupBy(*kept).agg(names.alias("names")).drop("row")
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
@@ -48,12 +51,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs of names are named, until one name is left. A text's identity is its length and that name. Names are decided
     on the blocks and pairs themselves, never by a hash alone. The texts are shuffled once, for the distinct
     blocks; later levels hold one 12-byte name per block. A group may hold any share of the rows: it's aggregated before the
-    shuffle and joined back by an equi-join that adaptive execution splits. Rows that repeat an id and a text
+    shuffle and joined back by an equi-join over salts. Rows that repeat an id and a text
     are kept or dropped together. ``bits``: buckets of the sort, fewer only to test crowded ones.
     """
     ready(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    bare = F.encode(F.translate(text, WHITE, ""), "UTF-8")
+    bare = F.encode(reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), WHITE, text), "UTF-8")
     blocks = F.transform(F.sequence(F.lit(0), F.expr(f"cast((octet_length(bare) - 1) div {block_bytes} as int)")),
                          lambda i: F.substring(F.col("bare"), i * block_bytes + 1, F.lit(block_bytes)))
     docs = (df.select(F.col(id_col).alias("id"), F.char_length(text).alias("points"), bare.alias("bare"))
@@ -66,9 +69,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level = written(_named(level.withColumn("items", pairs).drop("names"), "items", bits))
         longest = (longest + 1) // 2
     named = level.select("id", "points", "size", "sha", F.get("names", F.lit(0)).alias("name")).select("*", "name.h", "name.rank")
-    best = (named.groupBy("size", "h", "rank")
-            .agg(F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-            .select("size", "h", "rank", F.col("best.id").alias("keep_id"), "group_size"))
-    return (named.join(best, ["size", "h", "rank"])
+    key = ["size", "h", "rank"]
+    named = salted(named, "id")
+    best = groups(named, key, best=(F.min(F.struct((-F.col("points")).alias("p"), F.col("id").alias("id"))), F.min), group_size=(F.count(F.lit(1)), F.sum))
+    return (named.join(by_salt(best.select(*key, F.col("best.id").alias("keep_id"), "group_size", "salts")), [*key, "salt"])
             .select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     F.col("sha").alias("text_sha256")))

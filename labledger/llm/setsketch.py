@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labledger.llm.common import connected_components, ready, written
+from labledger.llm.common import by_salt, connected_components, groups, ready, salted, written
 from labledger.llm.embed_dedup import spanning
 from labledger.llm.hashing import U, grams, mix, split_words, string_column, word_hashes
 
@@ -228,6 +228,13 @@ def _verified(percent: int) -> Callable:
     return _tile_function(pairs)
 
 
+def _digests(value: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """128 bits that name each set."""
+    at = np.minimum(np.cumsum(n) - n, len(value))
+    sums = [np.add.reduceat(np.append(mix(value ^ U(s)), U(0)), at) for s in (11, 12)]
+    return {f"d{k}": np.where(n > 0, x, U(0)).view(np.int64) for k, x in enumerate(sums, 1)}
+
+
 def _sketch_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +242,8 @@ def _sketch_rows(words: int):
             for a, b in slices(text):
                 value, n = shingle_sets(text.slice(a, b - a), words)
                 regs = registers(value, n)
-                at = np.concatenate([[0], np.cumsum(n)])
-                sums = [np.add.reduceat(np.append(mix(value ^ U(s)), U(0)), np.minimum(at[:-1], len(value))) for s in (11, 12)]
-                yield pa.RecordBatch.from_pydict({
-                    "id": batch["id"].slice(a, b - a), "n": n,
-                    "d1": np.where(n > 0, sums[0], U(0)).view(np.int64), "d2": np.where(n > 0, sums[1], U(0)).view(np.int64),
-                    "regs": pa.array([r.tobytes() for r in regs], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(a, b - a), "n": n, **_digests(value, n),
+                                                  "regs": pa.array([r.tobytes() for r in regs], pa.binary())})
     return run
 
 
@@ -258,7 +261,7 @@ def _set_rows(words: int):
             for a, b in slices(text):
                 value, n = shingle_sets(text.slice(a, b - a), words)
                 cut = np.cumsum(n)[:-1]
-                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(a, b - a), "n": n,
+                yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(a, b - a), "n": n, **_digests(value, n),
                                                   "data": pa.array([x.tobytes() for x in np.split(value, cut)], pa.binary())})
     return run
 
@@ -268,11 +271,13 @@ def _tiled(members: DataFrame, chunks, batches) -> DataFrame:
 
     ``batch`` names the rows of one Python call: a tile of a cluster of several chunks is a batch of its own, so a batch
     stays bounded however large its cluster is; clusters of one tile are dealt by hash into ``batches`` so that one call
-    serves many small ones. Both are aggregates, ``batches`` over the members of those clusters.
+    serves many small ones. Both are functions of a cluster's number of members ``c`` and sum ``s`` of n.
     """
-    size = members.groupBy("cluster").agg(F.ceil(chunks).cast("int").alias("chunks"), batches.alias("load"))
+    members = salted(members, "rep")
+    size = written(groups(members, ["cluster"], c=(F.count(F.lit(1)), F.sum), s=(F.sum("n"), F.sum))
+                   .select("cluster", F.ceil(chunks).cast("int").alias("chunks"), batches.alias("load"), "salts"))
     packs = max(1, int(size.filter("chunks = 1").agg(F.sum("load")).first()[0] or 0))
-    return (members.join(size.select("cluster", "chunks"), "cluster")
+    return (members.join(by_salt(size.select("cluster", "chunks", "salts")), ["cluster", "salt"])
             .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .filter("chunks = 1 or mine <> other")  # a tile compares all its rows, also those of one chunk
@@ -281,51 +286,61 @@ def _tiled(members: DataFrame, chunks, batches) -> DataFrame:
                     .otherwise(F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))).alias("batch")))
 
 
+def distinct_buckets(bands: DataFrame) -> DataFrame:
+    """The buckets ``(rep, band)`` of several classes, one of those that hold the same classes.
+
+    Buckets are told apart by their number of classes and a 128-bit sum of class hashes, so near copies that share many
+    bands are compared once for each different set of classes, not once for each band.
+    """
+    wide = lambda seed: F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(20,0)"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c"), wide(1).alias("s1"), wide(2).alias("s2")).filter("c > 1")
+    once = written(shared.groupBy("c", "s1", "s2").agg(F.min("band").alias("band")).select("band"))
+    return bands.join(once, "band")
+
+
 def minhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate texts: one row ``(id_col, n_shingles, component_id, kept)`` per row of ``df``.
 
     Two texts are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct ``words``-word shingles
     (A-Z lower-cased; words are runs without space and \\x09-\\x0D; a text with fewer words is one shingle). Null
     or wordless texts have n_shingles = 0 and link with nothing. ``component_id`` is the smallest id reachable over
-    links. Rows with a null id are no one's partner; repeated rows and copies count as one set.
+    links. Rows with a null id are no one's partner; repeated rows and copies count as one set. Rows that repeat an id with
+    another text are texts of their own, with links of their own.
 
     1. One pass over the texts makes every set's size, digest and SetSketch registers. Rows with the same set
-       (size and 128-bit digest) become one class.
-    2. Classes that share a band of registers meet in a cluster (components of the banding graph).
-    3. In a cluster, the joint likelihood of each two sketches and the exact sizes rules out pairs that can't reach
-       the threshold; what is left forms smaller clusters. The rule errs with probability exp(-20) per pair.
-    4. Those clusters are decided on the full sets. Clusters are cut into chunks of bounded size and every two chunks
-       meet in one tile, so no task holds a whole group, and a tile returns spanning links, never all pairs.
+       (size and 128-bit digest) become one numbered class.
+    2. Classes that share a band of registers meet in its bucket. There the joint likelihood of each two sketches and the
+       exact sizes rules out pairs that can't reach the threshold. The rule errs with probability exp(-20) per pair.
+    3. The components of the pairs that are left are decided on the full sets. Buckets and components are cut into chunks
+       of bounded size and every two chunks meet in one tile, so no task holds a whole group, and a tile returns
+       spanning links, never all pairs. Texts that share little are compared in their own buckets only, so a chain of
+       them doesn't grow into one large comparison.
 
     With 40 bands of 6 registers a pair at 85 % (80 %) similarity meets in no band with probability 6e-9 (6e-6).
     Shingles are 64-bit hashes: within a pair of sets a false match is less likely than 1e-9.
     """
     spark = ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(rows.mapInArrow(_sketch_rows(words), "id bigint, n bigint, d1 bigint, d2 bigint, regs binary"))
-    classes = written(sketched.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
-    reps = sketched.join(classes.select("n", "d1", "d2", F.col("rep").alias("id")), ["n", "d1", "d2", "id"], "left_semi")
-    bands = reps.select("id", "regs").mapInArrow(_band_rows, "rep bigint, band bigint")
-    shared = bands.groupBy("band").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    meet = connected_components(bands.join(shared, "band").select(F.col("rep").alias("u"), F.col("lead").alias("v")))
-
-    def members(nodes: DataFrame) -> DataFrame:
-        """Classes of the components, their smallest class included."""
-        return (nodes.select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
-                .unionByName(nodes.select(F.col("component").alias("cluster"), F.col("component").alias("rep")).distinct()))
-
-    drawn = reps.select(F.col("id").alias("rep"), "n", F.col("regs").alias("data")).dropDuplicates(["rep"])
-    near = _tiled(written(members(meet).join(drawn, "rep")), F.count(F.lit(1)) / TILE_ROWS, F.count(F.lit(1)) / 1_000)
+    key = ["n", "d1", "d2"]
+    sketched = salted(written(rows.mapInArrow(_sketch_rows(words), "id bigint, n bigint, d1 bigint, d2 bigint, regs binary")), "id")
+    classes = written(groups(sketched.filter("n > 0"), key, least=(F.min("id"), F.min), regs=(F.min("regs"), F.min))  # equal sets have equal registers
+                      .filter("least is not null").withColumn("rep", F.monotonically_increasing_id()))
+    bands = classes.select(F.col("rep").alias("id"), "regs").mapInArrow(_band_rows, "rep bigint, band bigint")
+    drawn = classes.select("rep", "n", F.col("regs").alias("data"))
+    near = _tiled(written(distinct_buckets(bands).withColumnRenamed("band", "cluster").join(drawn, "rep")), F.col("c") / TILE_ROWS, F.col("c") / 1_000)
     close = connected_components(near.groupBy("batch").applyInArrow(_estimated(percent), "u bigint, v bigint"))
-    wanted = written(members(close))
-    full = (rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi")
-            .mapInArrow(_set_rows(words), "id bigint, n bigint, data binary")
-            .select(F.col("id").alias("rep"), "n", "data").dropDuplicates(["rep"]))
-    sets = _tiled(written(wanted.join(full, "rep")),
-                  F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") / TILE_SHINGLES), F.sum("n") / (TILE_SHINGLES / 4))
+    wanted = (close.select(F.col("component").alias("cluster"), F.col("node").alias("rep"))
+              .unionByName(close.select(F.col("component").alias("cluster"), F.col("component").alias("rep")).distinct()))
+    wanted = written(wanted.join(classes.select("rep", *key, F.col("least").alias("id")), "rep"))
+    full = (rows.join(wanted.select("id").distinct(), "id", "left_semi")
+            .mapInArrow(_set_rows(words), "id bigint, n bigint, d1 bigint, d2 bigint, data binary"))
+    held = full.join(wanted, ["id", *key]).select("cluster", "rep", "n", "data").dropDuplicates(["rep"])  # repeated rows count once
+    sets = _tiled(written(held), F.greatest(F.col("c") / TILE_ROWS, F.col("s") / TILE_SHINGLES), F.col("s") / (TILE_SHINGLES / 4))
     linked = connected_components(sets.groupBy("batch").applyInArrow(_verified(percent), "u bigint, v bigint"))
-    named = (classes.join(linked, F.col("rep") == F.col("node"), "left")
-             .select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")))
-    return (sketched.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    member = salted(classes.drop("regs").withColumnRenamed("salts", "own").join(linked, F.col("rep") == F.col("node"), "left")
+                    .withColumn("component", F.coalesce("component", "rep")), "rep")
+    named = groups(member, ["component"], component_id=(F.min("least"), F.min))
+    named = by_salt(member.join(by_salt(named), ["component", "salt"]).select(*key, "component_id", F.col("own").alias("salts")))
+    return (sketched.select("id", *key, "salt").join(named, [*key, "salt"], "left")
+            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))

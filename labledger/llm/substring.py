@@ -15,6 +15,7 @@ CELLS_PER_WINDOW = 4       # width of a row against the number of words of the c
 SEGMENT_WINDOWS = 8 << 20  # windows that meet in one segment of the sketch, about
 BLOCK_WINDOWS = 1 << 20    # a segment is merged block by block
 GROUP_WINDOWS = 2 << 20    # of the corpus for each group of candidates
+WORD_BYTES = 6             # of a word and the gap after it, about
 SECOND = 0xA0761D6478BD642F
 
 SKETCH = "segment bigint, chunk bigint, n array<bigint>, data array<binary>"
@@ -252,9 +253,9 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     """
     ready(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")), F.sum(F.octet_length("text") - F.octet_length(F.translate("text", " \t\n\v\f\r", "")))).first()
-    chunks = max(1, int((total[0] or 0) // chunk_bytes))
-    words = int(total[1] or 0) + 1  # about; only sizes depend on it
+    size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    chunks = max(1, size // chunk_bytes)
+    words = size // WORD_BYTES + 1  # about; only sizes depend on it
     segments = max(1, words // segment_windows)
     blocks = max(1, words // segments // block_windows)
     width = max(1024, CELLS_PER_WINDOW * words // (segments * blocks))

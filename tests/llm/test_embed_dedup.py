@@ -65,6 +65,12 @@ def test_null_and_repeated_ids_and_empty(make, spark):
     assert E.embedding_links(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids_with_other_vectors(make):
+    rows = [(1, [1.0, 0.0], 0, None), (1, [0.0, 1.0], 0, None), (2, [1.0, 0.01], 0, None), (3, [0.01, 1.0], 0, None), (4, [0.02, 1.0], 0, None)]
+    got = sorted(map(tuple, E.embedding_links(make(SCHEMA, rows)).collect()))
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)])
+
+
 def test_error_bound_is_rigorous():
     g = np.random.default_rng(5)
     x, y = g.normal(size=(200, 33)), g.standard_cauchy(size=(200, 33))

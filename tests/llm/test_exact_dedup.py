@@ -51,3 +51,10 @@ def test_defined_cases(make, spark):
     assert got == sorted([(3, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (7, 9, 2, False), (9, 9, 2, True), (8, 8, 1, True), (None, None, 2, True),
                           (5, None, 2, False), (6, 6, 2, True), (6, 6, 2, True)], key=str)
     assert X.exact_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [64, 3, 2, 1])
+def test_repeated_ids_on_crowded_buckets(make, bits):
+    rows = [(1, "abc"), (1, "abc"), (1, "ab c"), (1, "xyz"), (2, "abc"), (3, "x yz"), (4, "q"), (4, "q")]
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in X.exact_groups(make(SCHEMA, [(*r, None) for r in rows]), block_bytes=1, bits=bits).collect())
+    assert got == sorted([(1, 1, 4, True)] * 3 + [(2, 1, 4, False), (1, 3, 2, False), (3, 3, 2, True)] + [(4, 4, 2, True)] * 2)

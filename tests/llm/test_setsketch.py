@@ -72,7 +72,7 @@ def test_batches_stay_bounded_as_a_cluster_grows(make):
     largest = {}
     for size in (60, 600, 1200):
         rows = [(0, i, 1, b"") for i in range(size)] + [(-i, 10 ** 6 + i, 1, b"") for i in range(1, 3000)]
-        tiles = S._tiled(make("cluster bigint, rep bigint, n bigint, data binary", rows), S.F.count(S.F.lit(1)) / 16, S.F.count(S.F.lit(1)) / 100)
+        tiles = S._tiled(make("cluster bigint, rep bigint, n bigint, data binary", rows), S.F.col("c") / 16, S.F.col("c") / 100)
         got = tiles.groupBy("batch").agg(S.F.count(S.F.lit(1)).alias("c"), S.F.countDistinct("cluster").alias("k"), S.F.max("j").alias("j")).collect()
         largest[size] = max(r.c for r in got if r.j)
         assert sum(r.c for r in got if not r.j) == 2999 and max(r.k for r in got) > 50  # small clusters share their batches
@@ -90,6 +90,31 @@ def test_defined_cases(make, spark):
     assert S.minhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(make):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "q " * 9), (4, a + " x"), (1, a)]
+    got = sorted(map(tuple, S.minhash_components(make(SCHEMA, [(*r, None) for r in rows]), words=3, percent=85).collect()))
+    assert got == sorted([(1, 58, 1, True), (1, 58, 1, True), (1, 58, 1, True), (2, 59, 1, False), (3, 59, 1, False), (4, 1, 4, True), (4, 59, 1, False)])
+
+
+def test_chains_of_little_similarity_are_compared_in_their_buckets(spark, make):
+    """10,000 texts, each sharing a third of its shingles with the next: compared pairs stay near-linear."""
+    n = 10_000
+    rows = [(i, " ".join(f"p{i // 2 if i % 2 else i // 2 - 1}w{k}" for k in range(30)) + " " + " ".join(f"t{i}w{k}" for k in range(20)), None) for i in range(0, n)]
+    df = make(SCHEMA, rows, parts=8).select(S.F.col("doc_id").alias("id"), "text")
+    sketched = df.mapInArrow(S._sketch_rows(3), "id bigint, n bigint, d1 bigint, d2 bigint, regs binary")
+    bands = S.written(sketched.select("id", "regs").mapInArrow(S._band_rows, "rep bigint, band bigint"))
+    sizes = S.distinct_buckets(bands).groupBy("band").agg(S.F.count(S.F.lit(1)).alias("c"))
+    pairs = sizes.agg(S.F.sum(S.F.expr("c * (c - 1) div 2"))).first()[0]
+    assert 0 < pairs < 2 * n
+
+
+def test_buckets_with_equal_classes_count_once(make):
+    rows = [(r, b) for b in (1, 2, 3) for r in (7, 8, 9)] + [(7, 4), (8, 4), (7, 5), (9, 6), (10, 6)]
+    got = {tuple(sorted(r.reps)) for r in S.distinct_buckets(make("rep bigint, band bigint", rows)).groupBy("band").agg(S.F.collect_list("rep").alias("reps")).collect()}
+    assert got == {(7, 8, 9), (7, 8), (9, 10)}
+
+
 def test_registers_are_mergeable_minima():
     g = np.random.default_rng(1)
     a, b = (np.unique(g.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (900, 40))
