@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labledger.llm import bpe, embed_dedup, exact_dedup, mixing, quality, setsketch, substring, token_count, urlfilter, warc
+from labledger.llm import bpe, embed_dedup, exact_dedup, merkle, mixing, quality, setsketch, substring, token_count, urlfilter, warc
 
 #: Where the vocabulary files are; see public_tokenizers.path.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -75,10 +76,60 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle trees over all documents, one per language; every third id is checked against a text without capitals."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), tamper={"text": lower}, tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op3_minhash_dedup, op4_substring_dedup, op5_mixing, op6_bpe_roundtrip,
-                                   op7_warc_roundtrip, op8_url_filter, op9_token_counts, op10_exact_dedup)}
+                                   op7_warc_roundtrip, op8_url_filter, op9_token_counts, op10_exact_dedup, op11_merkle_manifest)}
+
+#: H of a document's fields, ``{text}`` being its text.
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 
 SQL = {
+    "op11_merkle_manifest": rf"""
+        WITH RECURSIVE crc AS (
+            SELECT doc_id, xor(list_reduce([4294967295::BIGINT] || list_transform(split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda x, _: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) AS crc FROM documents),
+        leaves AS (
+            SELECT doc_id, lang, {_LEAF.format(text="text")} AS leaf,
+                   CASE WHEN crc % 3 = 0 THEN {_LEAF.format(text=f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")}
+                   ELSE leaf END AS given, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS total
+            FROM documents JOIN crc USING (doc_id)),
+        nodes AS (
+            SELECT lang, 0 AS level, idx, total, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, idx >> 3, (total + 7) >> 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE total > 1 GROUP BY lang, level, total, idx >> 3),
+        subroots AS (
+            SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS total FROM nodes WHERE total = 1),
+        tops AS (
+            SELECT 0 AS level, idx, total, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT level + 1, idx >> 3, (total + 7) >> 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE total > 1 GROUP BY level, total, idx >> 3),
+        own AS (SELECT l.*, s.subroot, s.height, s.idx AS place FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang),
+        levels AS (SELECT DISTINCT lang, level FROM nodes WHERE total > 1),
+        siblings AS (
+            SELECT doc_id, o.level AS step, n.idx, n.idx - o.me AS side, n.digest
+            FROM (SELECT doc_id, own.lang, level, own.idx >> (3 * level) AS me FROM own JOIN levels ON own.lang IS NOT DISTINCT FROM levels.lang) o
+            JOIN nodes n ON n.lang IS NOT DISTINCT FROM o.lang AND n.level = o.level AND n.idx >> 3 = o.me >> 3
+            UNION ALL
+            SELECT doc_id, own.height + n.level, n.idx, n.idx - (own.place >> (3 * n.level)), n.digest
+            FROM own JOIN tops n ON n.total > 1 AND n.idx >> 3 = own.place >> (3 * n.level + 3)),
+        steps AS (
+            SELECT doc_id, step, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (side < 0), '') AS lefts,
+                   coalesce(string_agg(digest, '' ORDER BY idx) FILTER (side > 0), '') AS rights FROM siblings GROUP BY doc_id, step),
+        folds AS (
+            SELECT doc_id, 0 AS step, given AS digest FROM own
+            UNION ALL
+            SELECT doc_id, step + 1, sha256(lefts || digest || rights) FROM folds JOIN steps USING (doc_id, step)),
+        proofs AS (SELECT doc_id, string_agg(lefts || rights, '' ORDER BY step) AS proof FROM steps GROUP BY doc_id),
+        folded AS (SELECT doc_id, arg_max(digest, step) AS folded_root FROM folds GROUP BY doc_id),
+        root AS (SELECT digest AS root FROM tops WHERE total = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM own JOIN folded USING (doc_id) LEFT JOIN proofs USING (doc_id) CROSS JOIN root""",
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents),
