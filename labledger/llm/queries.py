@@ -7,7 +7,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labledger.llm import bpe, embed_dedup, exact_dedup, merkle, mixing, quality, setsketch, substring, token_count, urlfilter, warc
+from labledger.llm import bpe, embed_dedup, exact_dedup, line_dedup, merkle, mixing, quality, setsketch, substring, token_count, urlfilter, warc
 
 #: Where the vocabulary files are; see public_tokenizers.path.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -82,8 +82,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"), tamper={"text": lower}, tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points that five documents hold, dropped from all documents but one."""
+    cut = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op3_minhash_dedup, op4_substring_dedup, op5_mixing, op6_bpe_roundtrip,
-                                   op7_warc_roundtrip, op8_url_filter, op9_token_counts, op10_exact_dedup, op11_merkle_manifest)}
+                                   op7_warc_roundtrip, op8_url_filter, op9_token_counts, op10_exact_dedup, op11_merkle_manifest, op13_line_dedup)}
 
 #: H of a document's fields, ``{text}`` being its text.
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
@@ -136,6 +142,15 @@ SQL = {
              h AS (SELECT doc_id, points, bare, sha256(bare) AS text_sha256 FROM d),
              k AS (SELECT bare, arg_min(doc_id, (-points, doc_id)) AS keep_id, count(*) AS group_size FROM h GROUP BY bare)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM h JOIN k USING (bare)""",
+    "op13_line_dedup": rf"""
+        WITH lines AS (
+            SELECT doc_id, unnest(split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
+        keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key FROM lines),
+        common AS (SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        judged AS (SELECT k.*, coalesce(owner <> doc_id, false) AS gone FROM keyed k LEFT JOIN common USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id""",
     "op7_warc_roundtrip": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
              q AS (SELECT page_id, body, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),

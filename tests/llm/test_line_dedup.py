@@ -1,0 +1,76 @@
+import random
+
+import numpy as np
+import pytest
+
+from labledger.llm import line_dedup as L
+from llm_fixtures import by, make  # noqa: F401
+
+SCHEMA = "doc_id bigint, text string, n_lines string, owner string"
+
+
+def key(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\v\f\r"))
+
+
+def brute(rows, min_points=40, min_docs=5):
+    held = {}
+    for n, (i, t) in enumerate(rows):
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= min_points:
+                held.setdefault(key(line), set()).add((n, i))
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(held.get(key(x), ())) < min_docs or i == max((j for _, j in held[key(x)] if j is not None), default=None)]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def got(df, **more):
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in L.drop_repeated_lines(df, **more).collect()), key=str)
+
+
+def planted(seed, docs):
+    r = random.Random(seed)
+    common = ["é" * 39 + r.choice("xy"), "C" * 40, "c" * 40, "z" * 39, " " * 50, "Line that many documents hold, É and more" + "!" * 20, "w " * 30] + [f"passage {k} " * 6 for k in range(30)]
+    rows = []
+    for i in r.sample(range(-10 ** 9, 10 ** 12), docs):
+        lines = [r.choice([r.choice(common), f"own line {r.random()} of some length, for one only", "", "short"]) for _ in range(r.randrange(12))]
+        rows.append((i, r.choice(["\n", "\r\n", " \n\t"]).join(x.upper() if r.random() < 0.1 else x for x in lines)))
+    return rows
+
+
+@pytest.mark.parametrize("seed,chunk,shard", [(1, 6 << 20, 1 << 20), (2, 900, 3), (3, 5000, 10)])
+def test_matches_brute_force(make, seed, chunk, shard):
+    rows = planted(seed, 200)
+    want = brute(rows)
+    assert got(make(SCHEMA, [(*r, "x", "x") for r in rows]), chunk_bytes=chunk, shard_lines=shard) == want and sum(w[2] for w in want) > 100
+
+
+def test_defined_cases(make, spark):
+    a, b, c = (x * 40 for x in "abc")
+    long = "\n".join([a] * 20_000 + ["d" * 300_000])
+    rows = [(1, None), (2, ""), (3, a), (4, f"{a}\n{a}\nx"), (5, long), (6, f"{a.upper()}\t"), (7, f"{a}\ny\n {a}"), (None, f"{a}\n{b}"), (8, b), (8, b), (8, b), (9, b), (None, c), (None, c), (None, c), (None, c), (None, c), (9, "only\n")]
+    want = brute(rows)
+    assert got(make(SCHEMA, [(*r, None, None) for r in rows])) == want
+    assert [w for w in want if w[0] in (5, 7)] == [(5, 20_001, 20_000, "d" * 300_000), (7, 3, 0, f"{a}\ny\n {a}")]
+    assert (8, 1, 1, "") in want and (None, 1, 0, c) in want and (1, 1, 0, "") in want
+    assert L.drop_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_line_of_all_documents(make):
+    rows = [(i, f"{'hot ' * 12}\nown {i}") for i in range(300)]
+    assert got(make(SCHEMA, [(*r, None, None) for r in rows], parts=7), chunk_bytes=1000) == brute(rows)
+
+
+def test_the_hash_is_minimal_and_perfect():
+    g = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000):
+        a, b = g.integers(0, 1 << 63, (2, n), dtype=np.uint64)
+        a[: n // 2] = 7  # keys that differ in one half only
+        h = L.PerfectHash(*L.PerfectHash.build(a, b))
+        assert sorted(h.find(a, b).tolist()) == list(range(n))
+        assert sum(map(len, h.levels)) <= 6 * max(n, 2)
+    other = g.integers(0, 1 << 63, (2, 1000), dtype=np.uint64)
+    assert set(h.find(*other).tolist()) <= set(range(-1, 5000))
