@@ -7,7 +7,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labledger.llm import bpe, embed_dedup, exact_dedup, line_dedup, merkle, mixing, quality, setsketch, substring, token_count, urlfilter, warc
+from labledger.llm import bpe, divergence, embed_dedup, exact_dedup, line_dedup, merkle, mixing, quality, setsketch, substring, token_count, urlfilter, warc
 
 #: Where the vocabulary files are; see public_tokenizers.path.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -82,6 +82,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"), tamper={"text": lower}, tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in the terms of all documents."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points that five documents hold, dropped from all documents but one."""
     cut = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
@@ -89,7 +94,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_quality_classifier, op3_minhash_dedup, op4_substring_dedup, op5_mixing, op6_bpe_roundtrip,
-                                   op7_warc_roundtrip, op8_url_filter, op9_token_counts, op10_exact_dedup, op11_merkle_manifest, op13_line_dedup)}
+                                   op7_warc_roundtrip, op8_url_filter, op9_token_counts, op10_exact_dedup, op11_merkle_manifest, op12_source_divergence, op13_line_dedup)}
 
 #: H of a document's fields, ``{text}`` being its text.
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
@@ -142,15 +147,35 @@ SQL = {
              h AS (SELECT doc_id, points, bare, sha256(bare) AS text_sha256 FROM d),
              k AS (SELECT bare, arg_min(doc_id, (-points, doc_id)) AS keep_id, count(*) AS group_size FROM h GROUP BY bare)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM h JOIN k USING (bare)""",
+    "op12_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM d),
+        t AS (SELECT doc, lang, source, translate(word, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS term FROM w),
+        kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+        cells AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, kept.n AS lang_n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+        sums AS (SELECT lang, source, sum(n) AS total, sum(lang_n) AS lang_total, count(*) AS terms FROM cells GROUP BY lang, source),
+        shares AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * terms) AS p,
+                          1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * terms) AS q FROM cells JOIN sums USING (lang, source)),
+        far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 10""",
     "op13_line_dedup": rf"""
         WITH lines AS (
-            SELECT doc_id, unnest(split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
+            SELECT doc_id, unnest(split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
         keyed AS (
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key FROM lines),
         common AS (SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
         judged AS (SELECT k.*, coalesce(owner <> doc_id, false) AS gone FROM keyed k LEFT JOIN common USING (key))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id""",
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id""",
     "op7_warc_roundtrip": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
              q AS (SELECT page_id, body, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
