@@ -138,17 +138,20 @@ def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
         *keep)
 
 
-def _mapped_lines(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:
+def _mapped_lines(export: DataFrame, existing: DataFrame | None, lab: str) -> DataFrame:
     """Priced lines mapped to order columns, with the key columns and the
-    stored-key flag (one left join against the deduplicated stored keys)."""
+    stored-key flag (one left join against the deduplicated stored keys; none without ``existing``)."""
     p = prepared_line_items(export)
+    if existing is None:
+        return map_line_items(p.withColumn("_stored", F.lit(False)), lab, keep=("k_po", "k_item", "item_clean", "_stored"))
     flagged = p.join(stored_line_keys(existing, p).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
     flagged = flagged.withColumn("_stored", F.coalesce("_stored", F.lit(False)))
     return map_line_items(flagged, lab, keep=("k_po", "k_item", "item_clean", "_stored"))
 
 
-def line_item_dispositions(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:
-    """Every priced line with its disposition and mapped order columns."""
+def line_item_dispositions(export: DataFrame, existing: DataFrame | None, lab: str) -> DataFrame:
+    """Every priced line with its disposition and mapped order columns. Without ``existing`` (None) the lines are judged
+    among themselves: "imported" then means the first line of its key in this export."""
     mapped = _mapped_lines(export, existing, lab)
     pre = F.when(~is_named(), "unnamed").when(F.col("_stored"), "duplicate").when(F.col("_bad"), "quarantined")
     mapped = mapped.withColumn("_pre", pre)
@@ -160,6 +163,11 @@ def line_item_dispositions(export: DataFrame, existing: DataFrame, lab: str) ->
     return out.withColumn("disposition", disp).drop("_pre", "_first", "_stored", "k_po", "k_item", "item_clean")
 
 
+def unpriced_lines(export: DataFrame) -> DataFrame:
+    """The lines without a positive price: ``(file, line_no)``."""
+    return with_position(export).filter(~F.coalesce(F.col(price_column(export.columns)).try_cast("double") > 0, F.lit(False))).select("file", "line_no")
+
+
 def import_line_items(export: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
     """The order rows a line-item export adds (ids in file order).
 
@@ -289,8 +297,7 @@ def import_report(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame
         seen = export.agg(F.lit(0).cast("bigint").alias("unnamed"), F.count(F.lit(1)).alias("named"))
     else:
         priced = line_item_dispositions(export, existing, lab).groupBy("disposition").agg(F.count(F.lit(1)).alias("rows"))
-        unpriced = export.filter(~F.coalesce(F.col(price_column(export.columns)).try_cast("double") > 0, F.lit(False)))
-        return priced.unionByName(unpriced.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("unpriced").alias("disposition"), "rows")).filter("rows > 0")
+        return priced.unionByName(unpriced_lines(export).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("unpriced").alias("disposition"), "rows")).filter("rows > 0")
     both = counts.join(F.broadcast(seen), how="inner", on=F.lit(True))  # one row each
     duplicate = F.col("named") - F.col("imported") - F.col("quarantined")
     return both.select(F.explode(F.create_map(F.lit("imported"), F.col("imported"), F.lit("quarantined"), F.col("quarantined"), F.lit("unnamed"), F.col("unnamed"),

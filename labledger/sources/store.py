@@ -1,6 +1,6 @@
 """The order table kept as versioned parquet snapshots.
 
-Each save writes a brand-new directory ``v<version>-<unique>`` (partitioned by ``lab`` so
+Each save writes a brand-new directory ``v=<version>-<unique>`` (partitioned by ``lab`` so
 per-lab reads prune partitions) and then appends one row to ``_log``. The
 current version is the largest logged one. A snapshot is never overwritten
 while something may read it; a failed write leaves no log row and its folder name is never used
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import time
 import uuid
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -55,21 +54,21 @@ class OrderStore:
         r = self.versions().orderBy(F.desc("version")).limit(1).collect()
         return (r[0]["version"], r[0]["path"]) if r else None
 
-    def _live_paths(self) -> list[str]:
-        """The last full snapshot and the appended parts after it."""
+    def _live_paths(self, since: int = 0) -> list[str]:
+        """The last full snapshot and the appended parts after it; of these, the versions above ``since``."""
         log = self.versions()
-        full = log.filter(F.col("kind") == "full").agg(F.max("version").alias("since"))
-        live = log.join(F.broadcast(full), F.col("version") >= F.coalesce("since", F.lit(0)))
+        full = log.filter(F.col("kind") == "full").agg(F.max("version").alias("full"))
+        live = log.join(F.broadcast(full), F.col("version") >= F.coalesce("full", F.lit(0))).filter(F.col("version") > since)
         return [r["path"] for r in live.orderBy("version").select("path").collect()]
 
     # -- S1 -------------------------------------------------------------
-    def read(self) -> DataFrame:
-        """The current table; an empty typed table when nothing was saved."""
-        paths = self._live_paths()
+    def read(self, since: int = 0) -> DataFrame:
+        """The current table, or what versions above ``since`` hold of it, as one scan; an empty typed table when there
+        is nothing. All versions lie under the store's folder, which is the base of the partition columns."""
+        paths = self._live_paths(since)
         if not paths:
             return empty_orders(self.spark)
-        parts = [self.spark.read.schema(ORDER).option("basePath", p).parquet(p).select(*ORDER_COLUMNS) for p in paths]
-        return reduce(DataFrame.unionByName, parts)
+        return self.spark.read.schema(ORDER).option("basePath", self.root).parquet(*paths).select(*ORDER_COLUMNS)
 
     def append(self, rows: DataFrame, epoch: str | None = None) -> DataFrame | None:
         """U1 as storage: write only the new rows as the next version (kind
@@ -95,7 +94,7 @@ class OrderStore:
     def _commit(self, df: DataFrame, kind: str, epoch: str | None = None) -> DataFrame:
         cur = self.current()
         version = 1 if cur is None else cur[0] + 1
-        path = f"{self.root}/v{version:06d}-{uuid.uuid4().hex[:12]}"
+        path = f"{self.root}/v={version:06d}-{uuid.uuid4().hex[:12]}"
         sent = Observation()
         (conform(df).observe(sent, F.count(F.lit(1)).alias("rows"), F.sum("total").cast("double").alias("spend"))
             .write.mode("errorifexists").partitionBy("lab").parquet(path))
