@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,7 +19,9 @@ MIN_DOCS, TOP = 10, 10
 SCALE = 10 ** 9
 SLICE = 8 << 20          # bytes of text handled at once
 BLOCK_SOURCES = 64       # sources in one side of a tile
-TILE_ROWS = 1 << 19      # counts in a bucket of terms, about
+TILE_ROWS = 1 << 17      # counts in a bucket of terms, about
+BUCKET_BYTES = 8 << 20   # of text for each bucket of terms, about
+SHARES = 32              # buckets that share the terms of one prefix
 CELLS = 1 << 20          # numbers that a tile compares at once
 
 #: Bytes of a term: those of letters A-Z and a-z and of characters beyond ASCII.
@@ -28,6 +31,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 COUNTS = "level int, lang string, source string, term binary, docs bigint, n bigint"
+CELLS_OF = "lang string, source string, term binary, n bigint, lang_n bigint, first int"
 PAIRS = "lang string, source string, item string, value bigint, seen bigint"
 
 
@@ -41,8 +45,8 @@ def term_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     edge[1:-1] = ~inside[:-1]
     edge[offsets - offsets[0]] = True
     starts = np.flatnonzero(inside & edge[:-1])
-    order = np.cumsum(inside)  # bytes of terms up to each byte
-    ends = np.append(order[starts] - 1, order[-1] if len(order) else 0).astype(np.int32)
+    edge[:-1] |= ~inside  # now: no term goes on to byte i
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(inside & edge[1:]) + 1 - starts)]).astype(np.int32)
     terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(LOWER[data[inside]])])
     return terms, np.diff(np.searchsorted(starts, offsets - offsets[0]))
 
@@ -54,50 +58,94 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[order][at], np.diff(np.append(at, len(keys))), np.add.reduceat(weights[order], at) if len(at) else weights[:0]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a slice of documents: the groups (level 0), the terms (level -w), and term prefixes of w = 1, 2, 4, ... bytes (level w).
+def longest_stem(size: int) -> int:
+    """Bytes of the longest counted prefix of a term of ``size`` bytes: a power of two."""
+    return 1 << size.bit_length() - 1
 
-    A term of w to 2 w - 1 bytes is counted per group at level -w. Its prefix of w bytes is the longest that decides on it.
-    """
+
+def _home(term: bytes, buckets: int, shares: int) -> int:
+    """The bucket of a term: one of the ``shares`` buckets of its longest prefix, so that no prefix has to fit one bucket."""
+    return zlib.crc32(term[:longest_stem(len(term))]) % (buckets // shares) * shares + zlib.crc32(term) % shares
+
+
+def _packed(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _counts(buckets: int, shares: int):
+    """Partial counts of slices of documents: the groups (level 0), term prefixes of w = 1, 2, 4, ... bytes by documents of a
+    language (level w), and the terms by group, packed in one row for each bucket (level -1, the bucket in ``n``)."""
     schema = pa.schema([("level", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("n", pa.int64())])
-    for batch in batches:
-        text = string_column(batch["text"])
-        for a, b in slices(text, SLICE):
-            names, codes = {}, []
-            for key in zip(batch["lang"].slice(a, b - a).to_pylist(), batch["source"].slice(a, b - a).to_pylist()):
-                codes.append(names.setdefault(key, len(names)))
-            names, codes = list(names), np.array(codes)
-            langs = {lang: k for k, lang in enumerate(dict.fromkeys(lang for lang, _ in names))}
-            lang_of = np.array([langs[lang] for lang, _ in names])
-            terms, counts = term_column(text.slice(a, b - a))
-            coded = terms.dictionary_encode()
-            words, width = coded.dictionary, max(1, len(coded.dictionary))
-            doc_term, times = np.unique(np.repeat(np.arange(b - a), counts) * width + coded.indices.to_numpy(), return_counts=True)
-            doc, term = doc_term // width, doc_term % width
-            size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-            level = 1 << np.maximum(0, np.frexp(size.astype(np.float64))[1] - 1)
-
-            def rows(level, owner, term, docs, n, source=True):
-                langs_, sources = zip(*[names[k] for k in owner]) if len(owner) else ((), ())
-                return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(langs_, pa.string()), pa.array(sources if source else [None] * len(owner), pa.string()),
-                                                   term, pa.array(docs, pa.int64()), pa.array(n, pa.int64())], schema=schema)
-
-            zero = np.zeros(len(names), dtype=np.int64)
-            yield rows(zero, range(len(names)), pa.nulls(len(names), pa.binary()), zero, zero)
-            key, docs, n = _sums(codes[doc] * width + term, times)
-            yield rows(-level[key % width], key // width, words.take(pa.array(key % width)), docs, n)
-            first = np.array([next(k for k, x in enumerate(names) if x[0] == lang) for lang in langs])  # a group of each language
-            w = 1
-            while (long := size >= w).any():
-                prefix = pc.binary_slice(words.filter(pa.array(long)), 0, w).dictionary_encode()
-                of = np.full(width, -1)
-                of[:len(long)][long] = prefix.indices.to_numpy()
-                held = of[term] >= 0
-                many = len(prefix.dictionary)
-                pair = np.unique(doc[held] * many + of[term[held]])
-                key, docs, _ = _sums(lang_of[codes[pair // many]] * many + pair % many, pair)
-                yield rows(np.full(len(key), w), first[key // many], prefix.dictionary.take(pa.array(key % many)), docs, np.zeros(len(key), dtype=np.int64), source=False)
-                w *= 2
+
+    def rows(count: int, level: int, lang=None, source=None, term=None, docs=None, n=None) -> pa.RecordBatch:
+        given = [np.full(count, level), lang, source, term, docs, n]
+        return pa.RecordBatch.from_arrays([pa.nulls(count, f.type) if x is None else x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(given, schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = string_column(batch["text"])
+            for a, b in slices(text, SLICE):
+                names: dict[tuple[str, str], int] = {}
+                codes = np.array([names.setdefault(key, len(names)) for key in zip(*(batch[c].slice(a, b - a).to_pylist() for c in ("lang", "source")))])
+                lang, source = (pa.array(x, pa.string()) for x in zip(*names))
+                yield rows(len(names), 0, lang, source)
+                langs = lang.dictionary_encode()
+                lang_of = langs.indices.to_numpy()
+                terms, counts = term_column(text.slice(a, b - a))
+                if not len(terms):
+                    continue
+                coded = terms.dictionary_encode()
+                words, width, many = coded.dictionary, len(coded.dictionary), len(names)
+                doc_term, times = np.unique(np.repeat(np.arange(b - a), counts) * width + coded.indices.to_numpy(), return_counts=True)
+                doc, term = doc_term // width, doc_term % width
+                home = np.array([_home(x, buckets, shares) for x in words.to_pylist()])
+                key, docs, n = _sums((home[term] * width + term) * many + codes[doc], times)  # by bucket, term and group
+                group, term_of = pa.array(key % many), key // many % width
+                cut = np.searchsorted(key, np.arange(buckets + 1) * (width * many))
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    p = slice(cut[k], cut[k + 1])
+                    own, index = np.unique(term_of[p], return_inverse=True)
+                    block = pa.table({"lang": lang.take(group[p]).dictionary_encode(), "source": source.take(group[p]).dictionary_encode(),
+                                      "term": pa.DictionaryArray.from_arrays(pa.array(index, pa.int32()), words.take(pa.array(own))), "docs": docs[p], "n": n[p]})
+                    yield rows(1, -1, term=[_packed(block)], n=[k])
+                size, w = pc.binary_length(words).to_numpy(zero_copy_only=False), 1
+                while (long := size >= w).any():
+                    prefix = pc.binary_slice(words.filter(pa.array(long)), 0, w).dictionary_encode()
+                    of, some = np.full(width, -1), len(prefix.dictionary)
+                    of[long] = prefix.indices.to_numpy()
+                    held = of[term] >= 0
+                    pair = np.unique(doc[held] * some + of[term[held]])
+                    key, docs = np.unique(lang_of[codes[pair // some]] * some + pair % some, return_counts=True)
+                    yield rows(len(key), w, langs.dictionary.take(pa.array(key // some)), None, prefix.dictionary.take(pa.array(key % some)), docs)
+                    w *= 2
+    return run
+
+
+def _cells(min_docs: int):
+    """A bucket's terms that enough documents hold, counted by group. Terms whose longest prefix was dropped aren't looked at."""
+    def run(blocks: pa.Table, stems: pa.Table) -> pa.Table:
+        held = [pa.ipc.open_stream(x.as_py()).read_all() for x in blocks["term"]]
+        if not held or not stems.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("lang_n", pa.int64()), ("first", pa.int32()))})
+        t = pa.concat_tables(held).unify_dictionaries().combine_chunks()
+        (lang, langs), (source, sources), (term, terms) = ((x.indices.to_numpy().astype(np.int64), x.dictionary) for x in (t[c].combine_chunks() for c in ("lang", "source", "term")))
+        kept = set(zip(stems["lang"].to_pylist(), stems["stem"].to_pylist()))
+        name, at = np.unique(lang * len(terms) + term, return_inverse=True)
+        name_lang, name_term = name // len(terms), name % len(terms)
+        alive = np.array([(x, y[:longest_stem(len(y))]) in kept for x, y in zip(langs.take(pa.array(name_lang)).to_pylist(), terms.take(pa.array(name_term)).to_pylist())])
+        docs, total = np.zeros(len(name), dtype=np.int64), np.zeros(len(name), dtype=np.int64)
+        np.add.at(docs, at, t["docs"].to_numpy())
+        np.add.at(total, at, t["n"].to_numpy())
+        alive &= docs >= min_docs
+        rows = alive[at]
+        key, _, n = _sums(at[rows] * len(sources) + source[rows], t["n"].to_numpy()[rows])
+        at = key // len(sources)
+        return pa.table({"lang": langs.take(pa.array(name_lang[at])), "source": sources.take(pa.array(key % len(sources))), "term": terms.take(pa.array(name_term[at])),
+                         "n": n, "lang_n": total[at], "first": pa.array(np.diff(at, prepend=-1) > 0).cast(pa.int32())})
+    return run
 
 
 def frequent_prefixes(counts: DataFrame, min_docs: int) -> DataFrame:
@@ -117,13 +165,12 @@ def frequent_prefixes(counts: DataFrame, min_docs: int) -> DataFrame:
         w *= 2
 
 
-def frequent_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Counts ``(lang, source, term, n)`` of the terms that ``min_docs`` documents hold, and ``(lang, term, lang_n)``."""
-    stems = written(frequent_prefixes(counts, min_docs).withColumn("level", -F.col("level")))
-    rows = counts.filter("level < 0").withColumn("stem", F.expr("substring(term, 1, -level)")).join(stems, ["lang", "level", "stem"], "left_semi")
-    summed = written(rows.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
-    kept = written(summed.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs).drop("docs"))
-    return written(summed.drop("docs").join(kept, ["lang", "term"])), kept
+def frequent_terms(counts: DataFrame, min_docs: int, buckets: int, shares: int) -> DataFrame:
+    """Counts ``(lang, source, term, n, lang_n, first)`` of the terms that ``min_docs`` documents hold; ``first`` is 1 once a term and language."""
+    home = F.pmod(F.crc32("stem"), F.lit(buckets // shares)) * shares
+    stems = (frequent_prefixes(counts, min_docs).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+             .select("lang", "stem", (home + F.col("share")).cast("bigint").alias("n")))
+    return written(counts.filter("level = -1").select("n", "term").groupBy("n").cogroup(stems.groupBy("n")).applyInArrow(_cells(min_docs), CELLS_OF))
 
 
 def share(n: str, total: str, terms: str) -> Column:
@@ -183,7 +230,7 @@ def pair_divergence(counts: DataFrame, groups: DataFrame, block_sources: int = B
 
 
 def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP,
-                      block_sources: int = BLOCK_SOURCES, tile_rows: int = TILE_ROWS) -> DataFrame:
+                      block_sources: int = BLOCK_SOURCES, tile_rows: int = TILE_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """How the sources of each language differ in their terms: rows ``(lang, source, part, item, value, rank)``.
 
     Null text, language and source are read as ''. Terms are runs of letters A-Z, a-z and characters beyond ASCII, A-Z
@@ -198,14 +245,18 @@ def source_divergence(df: DataFrame, text_col: str = "text", lang_col: str = "la
     ``term`` rows, a language of one source no ``pair`` rows; an empty table gives none. Other columns take no part.
 
     One pass over the texts counts terms and their prefixes of 1, 2, 4, ... bytes per slice of rows, by documents. The prefixes
-    are then summed level by level: one is counted only if the prefix of half its length was kept, so rare terms drop out before
-    their rows are shuffled. A term's documents never outnumber its prefix's, so none is lost.
+    are then summed level by level: one is counted only if the prefix of half its length was kept. Last, complete terms are
+    summed in buckets, to which slices send them packed; only those whose longest prefix was kept are looked at. A term's
+    documents never outnumber its prefix's, so none is lost.
     """
     ready(df.sparkSession)
     rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
-    counts = written(rows.mapInArrow(_counts, COUNTS))
-    cells, kept = frequent_terms(counts, min_docs)
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
+    size = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    shares = min(SHARES, max(1, size // bucket_bytes))
+    buckets = max(1, size // bucket_bytes // shares) * shares
+    counts = written(rows.mapInArrow(_counts(buckets, shares), COUNTS))
+    cells = frequent_terms(counts, min_docs, buckets, shares)
+    langs = cells.groupBy("lang").agg(F.sum("first").alias("terms"), F.sum("n").alias("lang_total"))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     none = F.lit(0).cast("bigint")
     groups = (counts.filter("level = 0").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")

@@ -56,12 +56,12 @@ def planted(seed, docs, sources, vocabulary):
     return rows
 
 
-@pytest.mark.parametrize("seed,sources,block,tile", [(1, ["a", "B", None, "é", "zz"], 64, 1 << 19), (2, [f"s{k}" for k in range(23)], 5, 60), (3, ["x", "y"], 1, 10)])
-def test_matches_brute_force(make, seed, sources, block, tile):
+@pytest.mark.parametrize("seed,sources,block,tile,bucket", [(1, ["a", "B", None, "é", "zz"], 64, 1 << 19, 8 << 20), (2, [f"s{k}" for k in range(23)], 5, 60, 3000), (3, ["x", "y"], 1, 10, 300)])
+def test_matches_brute_force(make, seed, sources, block, tile, bucket):
     rows = planted(seed, 500, sources, 120)
     df = make(SCHEMA, [(*r, "x", 1, 1) for r in rows], parts=4)
     want = brute(rows)
-    assert got(df, block_sources=block, tile_rows=tile) == want and {w[2] for w in want} == {"pair", "term"}
+    assert got(df, block_sources=block, tile_rows=tile, bucket_bytes=bucket) == want and {w[2] for w in want} == {"pair", "term"}
 
 
 def test_defined_cases(make, spark):
@@ -82,7 +82,7 @@ def test_term_column():
 
 def test_rare_prefixes_are_not_extended(make):
     rows = [("common commons rare", "en", "s", None, None, None)] * 12 + [(f"seldom{k * 'x'}", "en", "s", None, None, None) for k in range(9)]
-    counts = make(SCHEMA, rows, parts=2).select("text", "lang", "source").mapInArrow(D._counts, D.COUNTS)
+    counts = make(SCHEMA, rows, parts=2).select("text", "lang", "source").mapInArrow(D._counts(4, 2), D.COUNTS)
     kept = {(r.level, bytes(r.stem).decode()) for r in D.frequent_prefixes(counts, 10).collect()}
     assert kept == {(1, "c"), (1, "r"), (2, "co"), (2, "ra"), (4, "comm"), (4, "rare")}
 
