@@ -16,7 +16,7 @@ import csv
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from labledger.schema import PO_SUMMARY_HEADERS
 from labledger.session import scratch_path
@@ -31,37 +31,114 @@ def _names(header: str) -> list[str]:
     return [c.strip() or f"_c{i}" for i, c in enumerate(next(csv.reader([header.lstrip("\ufeff")])))]
 
 
+def _place(block: Column, mid: Column) -> Column:
+    """A number that grows along a file: its block (in steps of 1024 bytes, up to a terabyte), then the row in the block's task."""
+    return F.shiftleft(F.floor(block / 1024).cast("bigint"), 33) + mid.bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def _text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return (spark.read.option("recursiveFileLookup", True).text(path)
                  .select("value", F.col("_metadata.file_path").alias("file"),
                          F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid")))
 
 
-def read_csv_by_header(spark: SparkSession, path: str | list[str], partitions: list[str] = (), multi_line: bool = True) -> DataFrame:
+# What a line does to the state "inside a quoted value" that it starts in.
+KEEPS, LEAVES_OUT, LEAVES_IN, SWAPS = 0, 1, 2, 3
+
+
+def quote_effect(value: Column) -> Column:
+    """KEEPS the state, or ends outside or inside whatever it was, or swaps it. Quotes inside unquoted values don't count."""
+    opens = r'(?s)(,|^)"([^"]|"")*$'  # a value that doesn't close
+    without = lambda x: F.regexp_replace(x, r'(?<![^,])"([^"]|"")*"(?=,|\r?$)', "")  # noqa: E731  # whole quoted values
+    from_out = without(value).rlike(opens)
+    closes = r'^([^"]|"")*"(?=,|\r?$)'
+    from_in = ~value.rlike(closes) | without(F.regexp_replace(value, closes, "")).rlike(opens)
+    return F.when(~value.contains('"'), KEEPS).when(from_out & from_in, LEAVES_IN).when(~from_out & ~from_in, LEAVES_OUT).when(from_out, SWAPS).otherwise(KEEPS)
+
+
+def _running(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The effect of the rows up to each one: ``fixed``, the state that the last row that sets one left (null without one), and
+    ``odd``, 1 if the state was swapped an odd number of times since. Rows say it by ``sets`` (0, 1 or null) and ``swap`` (0 or 1)."""
+    over = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("s", F.sum("swap").over(over))
+    last = summed.withColumn("last", F.last(F.when(F.col("sets").isNotNull(), F.struct(F.col("sets").alias("v"), "s")), ignorenulls=True).over(over))
+    return last.withColumn("fixed", F.col("last.v")).withColumn("odd", (F.col("s") - F.coalesce("last.s", F.lit(0))) % 2).drop("s", "last")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A small table, written so that the planner knows its size when it joins it."""
+    path = scratch_path(df.sparkSession, "exports", "blocks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """The CSV records ``(value, file, place)`` of the text lines ``(value, file, block, mid)`` of files in which quoted values span lines.
+
+    Which lines begin a record follows from the quotes before them. Every block of a file is summed up by itself (the
+    prefix of its lines' effects), the blocks' sums, one row each, are carried forward, and only the lines of records of
+    several lines are grouped, so a large file is read by as many tasks as it has blocks.
+    """
+    here, along = Window.partitionBy("file", "block").orderBy("mid"), Window.partitionBy("file").orderBy("block")
+    rows = (lines.withColumn("effect", quote_effect(F.col("value"))).withColumn("swap", (F.col("effect") == SWAPS).cast("int"))
+            .withColumn("sets", F.when(F.col("effect") == LEAVES_OUT, 0).when(F.col("effect") == LEAVES_IN, 1)))
+    inside = _running(rows, ["file", "block"], "mid")
+    ends = inside.groupBy("file", "block").agg(F.max_by(F.struct("fixed", "odd"), "mid").alias("e"))
+    ends = ends.select("file", "block", ((F.col("e.fixed") + F.col("e.odd")) % 2).alias("sets"), F.when(F.col("e.fixed").isNull(), F.col("e.odd")).otherwise(0).alias("swap"))
+    after = (F.coalesce("fixed", F.lit(0)) + F.col("odd")) % 2
+    start = _kept(_running(ends, ["file"], "block").select("file", "block", F.coalesce(F.lag(after).over(along), F.lit(0)).alias("start")))
+    was = F.lag(F.struct("fixed", "odd")).over(here)
+    state = (F.coalesce("was.fixed", "start") + F.coalesce("was.odd", F.lit(0))) % 2
+    placed = (inside.withColumn("was", was).join(start, ["file", "block"])
+              .select("value", "file", "block", "mid", "effect", state.alias("state"), _place(F.col("block"), F.col("mid")).alias("place")))
+    begins = F.when(F.col("state") == 0, F.col("place"))
+    earlier = placed.groupBy("file", "block").agg(F.max(begins).alias("b"))
+    earlier = _kept(earlier.select("file", "block", F.max("b").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("carry")))
+    own = F.max(begins).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    alone = (F.col("state") == 0) & F.col("effect").isin(KEEPS, LEAVES_OUT)
+    several = placed.withColumn("own", own).filter(~alone).join(earlier, ["file", "block"]).withColumn("record", F.coalesce("own", "carry"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n")
+    grouped = several.groupBy("file", "record").agg(joined.alias("value")).select("value", "file", F.col("record").alias("place"))
+    return placed.filter(alone).select("value", "file", "place").unionByName(grouped).filter(F.col("value") != "")
+
+
+def read_csv_by_header(spark: SparkSession, path: str | list[str], partitions: list[str] = ()) -> DataFrame:
     """All CSV files at ``path``, each by its own header line, as text; ``partitions`` name text columns that come from
     directory names. The files' header lines go through the driver, as its file listing does; files with the same header
-    are one scan. ``multi_line=False`` lets large files without line breaks inside values be split."""
-    heads = (_text_lines(spark, path).filter("block = 0").groupBy("file").agg(F.min_by("value", "mid").alias("header")).collect())
-    groups: dict[str, list[str]] = {}
+    are one scan. Large files are split: those without line breaks inside values by the CSV reader, the others by ``csv_records``."""
+    top = F.col("block") == 0
+    heads = (_text_lines(spark, path).groupBy("file")
+             .agg(F.min_by(F.when(top, F.col("value")), F.when(top, F.col("mid"))).alias("header"),
+                  F.max(quote_effect(F.col("value")) >= LEAVES_IN).alias("spans")).filter("header is not null").collect())
+    kinds: dict[tuple[str, bool], list[str]] = {}
     for r in heads:
-        groups.setdefault(r["header"], []).append(unquote(r["file"]))
-    if not groups:
+        kinds.setdefault((r["header"], bool(r["spans"])), []).append(unquote(r["file"]))
+    if not kinds:
         return spark.createDataFrame([], "file string, line_no bigint")
     parts = []
-    for header, files in sorted(groups.items()):
+    for (header, spans), files in sorted(kinds.items()):
         names = _names(header)
+        if spans:
+            records = csv_records(_text_lines(spark, sorted(files)))
+            first = _kept(records.groupBy("file").agg(F.min("place").alias("head")))
+            inner = ", ".join(f"c{i} string" for i in range(len(names)))
+            body = records.join(first, "file").filter("place > head").select(F.from_csv("value", inner, QUOTING).alias("r"), "file", "place")
+            folders = [F.url_decode(F.regexp_extract("file", f"/{p}=([^/]*)/", 1)).alias(p) for p in partitions]
+            parts.append(body.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], *folders, "file", F.col("place").alias("line_no")))
+            continue
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, *partitions])
-        reader = spark.read.schema(schema).options(header=True, multiLine=multi_line, **QUOTING)
+        reader = spark.read.schema(schema).options(header=True, **QUOTING)
         if isinstance(path, str):
             reader = reader.option("basePath", path)
-        read = reader.csv(path if len(groups) == 1 else sorted(files))
-        parts.append(read.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no")))
+        read = reader.csv(path if len(kinds) == 1 else sorted(files))
+        place = _place(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        parts.append(read.select("*", F.col("_metadata.file_path").alias("file"), place.alias("line_no")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def scan_line_items(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def scan_line_items(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with a header row; header names trimmed; every value text."""
-    return read_csv_by_header(spark, path, multi_line=multi_line)
+    return read_csv_by_header(spark, path)
 
 
 def detect_export_format(columns: list[str]) -> str:
@@ -114,9 +191,9 @@ def scan_po_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def scan_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def scan_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Every sheet at once; ``sheet`` comes from the directory name, as text."""
-    return read_csv_by_header(spark, path, partitions=["sheet"], multi_line=multi_line)
+    return read_csv_by_header(spark, path, partitions=["sheet"])
 
 
 def sheet_grant(sheet_col: str = "sheet"):

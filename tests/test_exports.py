@@ -156,6 +156,34 @@ def test_stream_import_resumes_and_replays(spark, tmp_path):
     assert sorted(r["item"] for r in store.read().collect()) == ["Item one", "Item two", "No number"]
 
 
+def test_large_quoted_files_are_read_by_many_tasks(spark, tmp_path):
+    import random
+    r = random.Random(3)
+    value = lambda: r.choice(["plain", "", 'deep 10"" tray', "two\nlines", "a,b", '\n\n""x""\n,', "1,2\n3", "é" * 9, '""', "x\n" * 40])
+    rows = "".join(",".join([str(i)] + [f'"{value()}"' if r.random() < 0.5 else r.choice(["u", "", '5" tube', "v w"]) for _ in range(3)]) + "\n" for i in range(3000))
+    put(f"{tmp_path}/in/a.csv", "Line,Item,Vendor,Notes\n" + rows)
+    put(f"{tmp_path}/in/b.csv", "Line,Item,Vendor,Notes\n" + "".join(f"{i},x,y,z\n" for i in range(9000, 9100)))
+    names = ["Line", "Item", "Vendor", "Notes"]
+    want = sorted((tuple(x) for x in spark.read.schema(", ".join(f"{n} string" for n in names)).options(header=True, multiLine=True, **ex.QUOTING).csv(f"{tmp_path}/in").collect()), key=str)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = ex.read_csv_by_header(spark, f"{tmp_path}/in")
+        assert sorted((tuple(x) for x in df.select(*names).collect()), key=str) == want
+        places = [(x["line_no"], int(x["Line"])) for x in df.filter("file like '%a.csv'").collect()]
+        assert [k for _, k in sorted(places)] == list(range(3000))  # line_no grows along the file
+        assert ex._text_lines(spark, f"{tmp_path}/in/a.csv").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("line,out,into", [("a,b", 0, 1), ('"a",b', 0, 1), ('a,"b', 1, 1), ('b"', 0, 0), ('b",c', 0, 0), ('5" tube,b', 0, 1), ('a,"b ""c"" d"', 0, 1), ('"",x', 0, 1), ('x",y,"z', 1, 1), ('",x', 1, 0)])
+def test_quote_effect(spark, line, out, into):
+    ends = {ex.KEEPS: (0, 1), ex.LEAVES_OUT: (0, 0), ex.LEAVES_IN: (1, 1), ex.SWAPS: (1, 0)}
+    got = spark.createDataFrame([(line,)], "v string").select(ex.quote_effect(F.col("v"))).first()[0]
+    assert ends[got] == (out, into)
+
+
 def test_stream_import_accounts_for_every_line(spark, tmp_path):
     store = OrderStore(spark, f"{tmp_path}/store")
     stored = spark.createDataFrame([("9", "Item nine", "REQ-010802-002"), (None, "No number", "OLD-1")], "po_no string, item string, req_id string")
