@@ -165,13 +165,14 @@ def percent_text(c, signed: bool = True) -> Column:
 UNKNOWN_LAB = "Unknown Lab"
 
 
-def owner_to_lab(email, admin_email: str, home_domain: str, home_lab: str) -> Column:
+def owner_to_lab(email, admin_email: str, home_domain: str | None, home_lab: str | None) -> Column:
     """Admin -> Admin; the home domain -> the home lab; otherwise the
-    first label of the domain, capitalised, + " Lab"; no domain -> Unknown Lab."""
+    first label of the domain, capitalised, + " Lab"; no domain -> Unknown Lab.
+    Without a home domain (None) no domain is special; ``owner_labs`` looks domains up in a table."""
     e = _c(email)
     dom = F.split_part(e, F.lit("@"), F.lit(2))
     first = F.split_part(dom, F.lit("."), F.lit(1))
-    return (F.when(e == F.lit(admin_email), F.lit("Admin"))
-             .when(e.endswith("@" + home_domain), F.lit(home_lab))
-             .when(~e.contains("@"), F.lit(UNKNOWN_LAB))
+    admin = F.when(e == F.lit(admin_email), F.lit("Admin"))
+    known = admin if home_domain is None else admin.when(e.endswith("@" + home_domain), F.lit(home_lab))
+    return (known.when(~e.contains("@"), F.lit(UNKNOWN_LAB))
              .otherwise(F.concat(F.initcap(first), F.lit(" Lab"))))

@@ -110,7 +110,7 @@ def import_dup_count(export: DataFrame, existing: DataFrame) -> DataFrame:
                     F.col("in_file_duplicates").cast("bigint").alias("in_file_duplicates"))
 
 
-def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
+def map_line_items(p: DataFrame, lab: str, keep: tuple = (), source: str = IMPORT_SOURCE) -> DataFrame:
     """P19 (line items) + P7-P12: export columns -> order columns (no id yet);
     ``keep`` columns are carried along unchanged."""
     qty, price, total = cl.amount_fallbacks("Quantity", "Unit Price ($)", "Line Total ($)")
@@ -125,7 +125,7 @@ def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
         nullif_blank(grant).alias("grant"),
         nullif_blank(project).alias("rf_project"),
         nullif_blank(cl.split_percent_text("Split %")).alias("split_pct"),
-        F.lit(IMPORT_SOURCE).alias("po_source"),
+        F.lit(source).alias("po_source"),
         nullif_blank(cl.po_key("PO #")).alias("po_no"),
         F.lit(None).cast("string").alias("notes"),
         F.col("Ordered By").alias("ordered_by"),
@@ -138,15 +138,15 @@ def map_line_items(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
         *keep)
 
 
-def _mapped_lines(export: DataFrame, existing: DataFrame | None, lab: str) -> DataFrame:
+def _mapped_lines(export: DataFrame, existing: DataFrame | None, lab: str, source: str = IMPORT_SOURCE) -> DataFrame:
     """Priced lines mapped to order columns, with the key columns and the
     stored-key flag (one left join against the deduplicated stored keys; none without ``existing``)."""
     p = prepared_line_items(export)
     if existing is None:
-        return map_line_items(p.withColumn("_stored", F.lit(False)), lab, keep=("k_po", "k_item", "item_clean", "_stored"))
+        return map_line_items(p.withColumn("_stored", F.lit(False)), lab, ("k_po", "k_item", "item_clean", "_stored"), source)
     flagged = p.join(stored_line_keys(existing, p).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
     flagged = flagged.withColumn("_stored", F.coalesce("_stored", F.lit(False)))
-    return map_line_items(flagged, lab, keep=("k_po", "k_item", "item_clean", "_stored"))
+    return map_line_items(flagged, lab, ("k_po", "k_item", "item_clean", "_stored"), source)
 
 
 def line_item_dispositions(export: DataFrame, existing: DataFrame | None, lab: str) -> DataFrame:
@@ -168,7 +168,7 @@ def unpriced_lines(export: DataFrame) -> DataFrame:
     return with_position(export).filter(~F.coalesce(F.col(price_column(export.columns)).try_cast("double") > 0, F.lit(False))).select("file", "line_no")
 
 
-def import_line_items(export: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
+def import_line_items(export: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE) -> DataFrame:
     """The order rows a line-item export adds (ids in file order).
 
     Lines whose grant or project is no number, or whose total exceeds the money type, are quarantined:
@@ -177,14 +177,14 @@ def import_line_items(export: DataFrame, existing: DataFrame, lab: str, as_of: s
     Candidates (named, not stored, not quarantined) keep the first line of
     each key by one ``min_by`` aggregation; no join back to the lines.
     """
-    mapped = _mapped_lines(export, existing, lab)
+    mapped = _mapped_lines(export, existing, lab, source)
     cand = mapped.filter(is_named() & ~F.col("_stored") & ~F.col("_bad")).withColumn("_own", own_line("k_po"))
     first = first_per_key(cand, ["k_po", "_own", "k_item"], ["file", "line_no"])
     return conform(request_ids(first, ["file", "line_no"], existing, as_of))
 
 
 # ---- PO summary ----------------------------------------------------------------
-def map_po_summary(p: DataFrame, lab: str) -> DataFrame:
+def map_po_summary(p: DataFrame, lab: str, source: str = IMPORT_SOURCE) -> DataFrame:
     """P19 (summary): columns of a PO summary -> order columns."""
     amount = F.coalesce(F.col("Total Amount").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
     return p.select(
@@ -192,7 +192,7 @@ def map_po_summary(p: DataFrame, lab: str) -> DataFrame:
         F.lit(SUMMARY_ITEM).alias("item"), F.lit(1.0).alias("qty"),
         amount.cast("decimal(18,4)").alias("unit_price"), amount.alias("total"),
         F.col("Supplier").alias("vendor"),
-        F.lit(IMPORT_SOURCE).alias("po_source"),
+        F.lit(source).alias("po_source"),
         F.col("k_po").alias("po_no"),
         F.col("PO Owner").alias("ordered_by"),
         F.lit(lab).alias("lab"))
@@ -209,12 +209,12 @@ def po_anti_join(summary: DataFrame, existing: DataFrame) -> DataFrame:
     return p.join(_stored_keys(stored, p, ["k_po"]), "k_po", "left_anti")
 
 
-def import_po_summary(summary: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
+def import_po_summary(summary: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE) -> DataFrame:
     """I2 (+J3): one order row per PO not stored yet; the first line of a PO by (file, line) wins, lines without a PO
     are all kept."""
     fresh = po_anti_join(summary, existing).withColumn("_own", own_line("k_po"))
     first = first_per_key(fresh.select("k_po", "_own", "file", "line_no", "Supplier", "Total Amount", "PO Owner"), ["k_po", "_own"], ["file", "line_no"])
-    return conform(request_ids(map_po_summary(first, lab), ["file", "line_no"], existing, as_of))
+    return conform(request_ids(map_po_summary(first, lab, source), ["file", "line_no"], existing, as_of))
 
 
 # ---- inventory -------------------------------------------------------------------
@@ -239,7 +239,7 @@ def origin_req_anti_join(inv: DataFrame, existing: DataFrame) -> DataFrame:
     return p.join(hit, "k_orig", "left").filter(blank | F.col("_s").isNull()).drop("_s")
 
 
-def map_inventory(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
+def map_inventory(p: DataFrame, lab: str, keep: tuple = (), source: str = IMPORT_SOURCE) -> DataFrame:
     """P19 (inventory) + P11, P12, P14; ``keep`` columns ride along."""
     qty = cl.parse_pack_qty("#")
     amount = F.coalesce(F.col("Amount").try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
@@ -249,31 +249,31 @@ def map_inventory(p: DataFrame, lab: str, keep: tuple = ()) -> DataFrame:
         F.substring("Item", 1, 200).alias("item"), qty.alias("qty"), amount.alias("unit_price"), total.alias("total"),
         F.col("Vendor").alias("vendor"),
         sheet_grant("sheet").alias("grant"),
-        F.lit(IMPORT_SOURCE).alias("po_source"),
+        F.lit(source).alias("po_source"),
         nullif_blank(cl.origin_note("Req#")).alias("notes"),
         F.lit(lab).alias("lab"),
         *keep)
 
 
-def import_inventory(inv: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
+def import_inventory(inv: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE) -> DataFrame:
     """Inventory rows not imported before (by original id), first row of an
     id wins inside the workbook (one ``min_by`` aggregation, no join back), rows with a blank id are all kept;
     ids in (sheet, file, line) order. Rows whose total exceeds the money type are quarantined."""
     passed = origin_req_anti_join(inv, existing)
     real = F.when(~cl.is_blank_id(F.col("orig")), F.col("k_orig"))
     mapped = map_inventory(passed.withColumn("_key", real).withColumn("_own", F.when(real.isNull(), F.struct("sheet", "file", "line_no"))),
-                           lab, keep=("_key", "_own")).filter(F.col("total").isNotNull())
+                           lab, ("_key", "_own"), source).filter(F.col("total").isNotNull())
     first = first_per_key(mapped, ["_key", "_own"], ["sheet", "file", "line_no"])
     return conform(request_ids(first, ["sheet", "file", "line_no"], existing, as_of))
 
 
-def import_export(export: DataFrame, existing: DataFrame, lab: str, as_of: str) -> DataFrame:
-    """The importer that the columns call for (an error if none does)."""
+def import_export(export: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE) -> DataFrame:
+    """The importer that the columns call for (an error if none does); ``source`` is the purchase source of its orders."""
     if "sheet" in export.columns and "Item" in export.columns:
-        return import_inventory(export, existing, lab, as_of)
+        return import_inventory(export, existing, lab, as_of, source)
     if detect_export_format(export.columns) == "line_items":
-        return import_line_items(export, existing, lab, as_of)
-    return import_po_summary(export, existing, lab, as_of)
+        return import_line_items(export, existing, lab, as_of, source)
+    return import_po_summary(export, existing, lab, as_of, source)
 
 
 def import_report(export: DataFrame, existing: DataFrame, lab: str) -> DataFrame:

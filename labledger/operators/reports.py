@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labledger.functions.clean import owner_to_lab
 from labledger.operators.filters import assigned, is_pending
 
 
@@ -43,6 +44,16 @@ def kpi_analytics(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+def owner_labs(df: DataFrame, email: str, labs: DataFrame, admin_email: str) -> DataFrame:
+    """P17 with a table ``labs(domain, lab)``: ``df`` with the ``lab`` of each owner. A domain in the table gives its lab (of several, the first
+    by name); others are named as ``owner_to_lab`` does. The planner broadcasts the table while it is small."""
+    domain = F.lower(F.split_part(email, F.lit("@"), F.lit(2)))
+    table = labs.groupBy(F.lower("domain").alias("_domain")).agg(F.min("lab").alias("_lab")).filter("_domain is not null")
+    plain = owner_to_lab(email, admin_email, None, None)
+    found = df.drop("lab").withColumn("_domain", domain).join(table, "_domain", "left")
+    return found.withColumn("lab", F.when(F.col(email) == admin_email, plain).otherwise(F.coalesce("_lab", plain))).drop("_domain", "_lab")
+
+
 def spend_by_grant(df: DataFrame) -> DataFrame:
     """A3: spend and order count per assigned grant, largest first."""
     return (df.filter(assigned("grant"))

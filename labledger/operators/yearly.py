@@ -142,9 +142,9 @@ def yearly_projection(df: DataFrame) -> DataFrame:
     return _projection(df, _year_facts(df))
 
 
-def projection_total(df: DataFrame) -> DataFrame:
-    """Spend of the current year (all grants) against the sum of the
-    projections rounded to cents, and the change in percent."""
+def projection_total(df: DataFrame, assigned_only: bool = False) -> DataFrame:
+    """Spend of the current year (all grants, or with ``assigned_only`` the assigned ones, as the projections have them)
+    against the sum of the projections rounded to cents, and the change in percent."""
     facts = _year_facts(df)
     if not facts:
         return df.sparkSession.createDataFrame(
@@ -153,7 +153,8 @@ def projection_total(df: DataFrame) -> DataFrame:
     proj = _projection(df, facts).agg(F.sum(F.round("projected", 2)).alias("total_projected"))
     # A date range (not year(date) = cy) so the filter reaches the parquet scan.
     this_year = F.col("date_ordered").between(F.lit(f"{cy:04d}-01-01").cast("date"), F.lit(f"{cy:04d}-12-31").cast("date"))
-    tot = df.filter(this_year).agg(F.lit(cy).alias("current_year"), dsum("total").alias("total_current"))
+    shown = this_year & assigned("grant") if assigned_only else this_year
+    tot = df.filter(shown).agg(F.lit(cy).alias("current_year"), dsum("total").alias("total_current"))
     j = tot.join(F.broadcast(proj), how="inner", on=F.lit(True))
     change = F.when(F.col("total_current") > 0,
                     (F.col("total_projected") - F.col("total_current")) / F.col("total_current") * 100).otherwise(0.0)

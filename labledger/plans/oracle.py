@@ -326,6 +326,9 @@ sql("owner_to_lab", """SELECT email, CASE WHEN email = 'admin@example.edu' THEN
   ELSE upper(substring(split_part(split_part(email, '@', 2), '.', 1), 1, 1)) || lower(substring(split_part(split_part(email, '@', 2), '.', 1), 2)) || ' Lab' END AS lab
 FROM (SELECT DISTINCT lower(replace(ordered_by, '#', '.')) || '@' ||
   CASE WHEN lab = 'AMERICA' THEN 'example.edu' ELSE lower(replace(lab, ' ', '')) || '.org' END AS email FROM order_lines)""")
+sql("owner_labs", """SELECT DISTINCT email, CASE WHEN lab <> 'EUROPE' THEN least(lab, 'Lab of ' || lab) ELSE 'Europe Lab' END AS lab FROM (
+  SELECT lab, lower(replace(ordered_by, '#', '.')) || '@' ||
+    CASE WHEN lab = 'AMERICA' THEN 'example.edu' ELSE lower(replace(lab, ' ', '')) || '.org' END AS email FROM order_lines)""")
 sql("column_subset", """SELECT req_id, item, vendor, CAST(total AS DOUBLE) AS total, po_no, date_ordered,
   CASE WHEN date_received IS NULL THEN 'Pending' ELSE 'Received' END AS alert FROM order_lines""")
 
@@ -386,6 +389,14 @@ sql("import_line_items", f"""SELECT {ORDER_COLS_SQL} FROM (
   FROM disp WHERE pre IS NULL AND line_no IN (SELECT line_no FROM firsts))""",
     STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS, MAPLI, DISP)
 
+sql("stream_import", "SELECT item, po_no, total FROM disp WHERE pre IS NULL AND line_no IN (SELECT line_no FROM firsts)",
+    STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS, MAPLI, DISP)
+sql("import_outcomes", """SELECT disposition, count(*) AS rows FROM (
+  SELECT CASE WHEN length(item_clean) < 3 THEN 'unnamed' WHEN bad THEN 'quarantined'
+    WHEN pre IS NULL AND line_no IN (SELECT line_no FROM firsts) THEN 'imported' ELSE 'duplicate' END AS disposition FROM disp
+  UNION ALL SELECT 'unpriced' FROM li WHERE NOT coalesce(TRY_CAST(price_raw AS DOUBLE) > 0, false)) GROUP BY disposition""",
+    STORED_SQL, LINE_ITEM_SQL, LIP, SKEYS, MAPLI, DISP)
+
 POSK = f"""posk AS (SELECT *, {POKEY('po_raw')} AS k_po FROM pos),
 spos AS (SELECT DISTINCT {POKEY('po_no')} AS k_po FROM stored WHERE po_no IS NOT NULL)"""
 sql("po_anti_join", """SELECT k_po, supplier_raw AS "Supplier" FROM posk WHERE k_po NOT IN (SELECT k_po FROM spos)""",
@@ -446,7 +457,7 @@ sql("scan_line_items", """SELECT po_raw AS "PO #", item_raw AS "Item", vendor_ra
 # ---- maintenance ---------------------------------------------------------------------------
 sql("enter_orders", """SELECT printf('REQ-010802-%03d', row_number() OVER (ORDER BY req_id)) AS req_id, item, qty,
   CAST(round(CAST(qty AS DECIMAL(18,4)) * CAST(unit_price AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS total, vendor
-  FROM order_lines WHERE date_ordered >= DATE '2001-07-01' AND qty > 2 AND unit_price > 0
+  FROM order_lines WHERE qty > 2 AND unit_price > 0
     AND trim(coalesce(item, '')) <> '' AND trim(coalesce(vendor, '')) <> ''""")
 sql("receive_all", """SELECT req_id, CASE WHEN date_received IS NULL THEN DATE '2001-08-02' ELSE date_received END AS date_received,
   CASE WHEN date_received IS NULL THEN 'clerk' ELSE received_by END AS received_by FROM order_lines""")
@@ -499,6 +510,11 @@ sql("minmax_invert", """SELECT req_id, coalesce(1 - CASE WHEN mx <> mn THEN (CAS
 sql("contamination_cut", """SELECT req_id, CAST(total AS DOUBLE) AS total FROM order_lines
   WHERE CAST(total AS DOUBLE) < (SELECT quantile_cont(CAST(total AS DOUBLE), 0.1) FROM order_lines)""")
 
+sql("contamination_cut_sketch", """SELECT lab, count(*) AS n, true AS within FROM (
+  SELECT lab, total FROM order_lines UNION ALL SELECT NULL, total FROM order_lines) WHERE total IS NOT NULL GROUP BY lab""")
+sql("distinct_vendors_sketch", """SELECT lab, count(DISTINCT vendor) AS vendors, true AS within FROM (
+  SELECT lab, vendor FROM order_lines UNION ALL SELECT NULL, vendor FROM order_lines) GROUP BY lab""")
+
 # ---- single predicates and small pieces -----------------------------------------------------
 sql("vendor_match", "SELECT req_id, vendor FROM order_lines WHERE coalesce(regexp_matches(vendor, 'supplier#00000001[0-9]', 'i'), false)")
 sql("grant_match", """SELECT req_id, "grant" FROM order_lines WHERE coalesce(regexp_matches("grant", '^(auto|mach)', 'i'), false)""")

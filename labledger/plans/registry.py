@@ -192,6 +192,7 @@ def q_projection_total(spark, d):
 
 # ---- forecasts -------------------------------------------------------------
 from labledger.operators import forecast as fc  # noqa: E402
+from labledger.operators import sketches as sk  # noqa: E402
 from labledger.operators import sourcing as src  # noqa: E402
 
 
@@ -432,6 +433,15 @@ def q_owner_lab(spark, d):
     return e.select("email", cl.owner_to_lab("email", ADMIN_EMAIL, HOME_DOMAIN, HOME_LAB).alias("lab"))
 
 
+@register("owner_labs")
+def q_owner_labs(spark, d):
+    """Owners looked up in a table of domains (two rows for each, and none for one of the labs)."""
+    t = T(spark, d)
+    pairs = t.select(F.split_part(owner_email(), F.lit("@"), F.lit(2)).alias("domain"), "lab").filter(F.col("lab") != "EUROPE").distinct()
+    pairs = pairs.unionByName(pairs.withColumn("lab", F.concat(F.lit("Lab of "), "lab")))
+    return rep.owner_labs(t.select(owner_email().alias("email")).distinct(), "email", pairs, ADMIN_EMAIL)
+
+
 @register("column_subset")
 def q_subset(spark, d):
     return T(spark, d).select("req_id", "item", "vendor", F.col("total").cast("double").alias("total"),
@@ -533,10 +543,9 @@ def q_append(spark, d):
 
 @register("enter_orders")
 def q_enter_orders(spark, d):
-    """The last month's orders entered anew, some with a quantity of 0."""
+    """All orders entered anew, some with a quantity of 0."""
     t = T(spark, d)
-    entries = (t.filter(F.col("date_ordered") >= F.lit("2001-07-01").cast("date")).withColumn("entry", F.col("req_id"))
-               .withColumn("qty", F.when(F.col("qty") <= 2, F.lit(0.0)).otherwise(F.col("qty"))))
+    entries = (t.withColumn("entry", F.col("req_id")).withColumn("qty", F.when(F.col("qty") <= 2, F.lit(0.0)).otherwise(F.col("qty"))))
     return mt.enter_orders(entries, t, ["entry"], fx.AS_OF)[0].select("req_id", "item", "qty", "total", "vendor")
 
 
@@ -707,6 +716,27 @@ def q_contamination(spark, d):
     return flagged
 
 
+@register("contamination_cut_sketch")
+def q_contamination_sketch(spark, d):
+    """Each lab's and the whole table's cut from a quantile sketch, and whether its exact rank is within three times the bound."""
+    t = T(spark, d).select("lab", F.col("total").cast("double").alias("total"))
+    cuts = sk.contamination_cut_sketch(t, "total", 0.1).withColumnRenamed("lab", "_lab")
+    both = t.unionByName(t.withColumn("lab", F.lit(None).cast("string"))).join(cuts, F.col("lab").eqNullSafe(F.col("_lab")))
+    off = 3 * sk.rank_error() * F.col("n")
+    return (both.groupBy("lab", "n").agg(F.count_if(F.col("total") < F.col("cut")).alias("below"), F.count_if(F.col("total") <= F.col("cut")).alias("upto"))
+            .select("lab", "n", ((F.col("below") <= 0.1 * F.col("n") + off) & (F.col("upto") >= 0.1 * F.col("n") - off)).alias("within")))
+
+
+@register("distinct_vendors_sketch")
+def q_distinct_vendors(spark, d):
+    """Distinct vendors of each lab and of all: the exact number, and whether the sketches' estimate is within four standard errors."""
+    t = T(spark, d)
+    est = sk.distinct_vendors(sk.vendor_sketches(t)).select(F.col("lab").alias("_lab"), F.col("vendors").alias("estimate"))
+    exact = t.unionByName(t.withColumn("lab", F.lit(None).cast("string"))).groupBy("lab").agg(F.count_distinct("vendor").alias("vendors"))
+    return (exact.join(est, F.col("lab").eqNullSafe(F.col("_lab")))
+            .select("lab", "vendors", (F.abs(F.col("estimate") - F.col("vendors")) <= 4 * sk.distinct_error() * F.col("vendors") + 1).alias("within")))
+
+
 @register("anomalies")
 def q_anomalies(spark, d):
     return an.anomalies(T(spark, d))
@@ -748,7 +778,16 @@ def q_stream_import(spark, d):
     store = OrderStore(spark)
     store.write(STORED(spark, d))
     sj.stream_import(spark, export_files(spark, d).line_items, store, fx.AS_OF)
-    return store.read().filter(F.col("req_id").startswith("REQ-")).select("req_id", "item", "po_no", "total")
+    return store.read().filter(F.col("req_id").startswith("REQ-")).select("item", "po_no", "total")
+
+
+@register("import_outcomes")
+def q_import_outcomes(spark, d):
+    """What became of every line that the stream read."""
+    store, checkpoint = OrderStore(spark), scratch_path(spark, "stream", "import_ckpt")
+    store.write(STORED(spark, d))
+    sj.stream_import(spark, export_files(spark, d).line_items, store, fx.AS_OF, checkpoint=checkpoint)
+    return sj.import_outcomes(spark, checkpoint).groupBy("disposition").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # ---- single predicates and small pieces used inside the pipelines ----------------------
