@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import string
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labledger.llm import bpe, divergence, embed_dedup, exact_dedup, line_dedup, merkle, mixing, quality, setsketch, substring, token_count, urlfilter, warc
 
-#: Where the vocabulary files are; see public_tokenizers.path.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-WORD_BPE, BYTE_BPE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The vocabulary files.
+WORD_BPE, BYTE_BPE = (str(public_tokenizers.path(name)) for name in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
