@@ -72,8 +72,9 @@ def prepared_line_items(export: DataFrame) -> DataFrame:
         F.substring(item_clean, 1, KEY_ITEM_CHARS).alias("k_item"))
 
 
-def stored_line_keys(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    stored = existing.select(cl.po_key("po_no").alias("k_po"),
+def stored_line_keys(existing: DataFrame, batch: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The batch's keys that are stored: in ``keys`` (a table ``(k_po, k_item)``) if given, else in ``existing``."""
+    stored = keys if keys is not None else existing.select(cl.po_key("po_no").alias("k_po"),
                              F.substring(F.coalesce("item", F.lit("")), 1, KEY_ITEM_CHARS).alias("k_item"))
     return _stored_keys(stored, batch, ["k_po", "k_item"])
 
@@ -83,10 +84,10 @@ def is_named() -> Column:
     return F.length("item_clean") >= 3
 
 
-def import_anti_join(export: DataFrame, existing: DataFrame) -> DataFrame:
-    """Named lines whose (PO, first 30 chars of item) is not stored yet."""
+def import_anti_join(export: DataFrame, existing: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Named lines whose (PO, first 30 chars of item) is not stored yet. ``keys``: see ``stored_line_keys``."""
     p = prepared_line_items(export).filter(is_named())
-    return p.join(stored_line_keys(existing, p), ["k_po", "k_item"], "left_anti")
+    return p.join(stored_line_keys(existing, p, keys), ["k_po", "k_item"], "left_anti")
 
 
 def import_dup_count(export: DataFrame, existing: DataFrame) -> DataFrame:
@@ -138,13 +139,13 @@ def map_line_items(p: DataFrame, lab: str, keep: tuple = (), source: str = IMPOR
         *keep)
 
 
-def _mapped_lines(export: DataFrame, existing: DataFrame | None, lab: str, source: str = IMPORT_SOURCE) -> DataFrame:
+def _mapped_lines(export: DataFrame, existing: DataFrame | None, lab: str, source: str = IMPORT_SOURCE, keys: DataFrame | None = None) -> DataFrame:
     """Priced lines mapped to order columns, with the key columns and the
     stored-key flag (one left join against the deduplicated stored keys; none without ``existing``)."""
     p = prepared_line_items(export)
     if existing is None:
         return map_line_items(p.withColumn("_stored", F.lit(False)), lab, ("k_po", "k_item", "item_clean", "_stored"), source)
-    flagged = p.join(stored_line_keys(existing, p).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
+    flagged = p.join(stored_line_keys(existing, p, keys).withColumn("_stored", F.lit(True)), ["k_po", "k_item"], "left")
     flagged = flagged.withColumn("_stored", F.coalesce("_stored", F.lit(False)))
     return map_line_items(flagged, lab, ("k_po", "k_item", "item_clean", "_stored"), source)
 
@@ -168,16 +169,17 @@ def unpriced_lines(export: DataFrame) -> DataFrame:
     return with_position(export).filter(~F.coalesce(F.col(price_column(export.columns)).try_cast("double") > 0, F.lit(False))).select("file", "line_no")
 
 
-def import_line_items(export: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE) -> DataFrame:
+def import_line_items(export: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE,
+                      keys: DataFrame | None = None) -> DataFrame:
     """The order rows a line-item export adds (ids in file order).
 
     Lines whose grant or project is no number, or whose total exceeds the money type, are quarantined:
     ``line_item_dispositions`` returns them and ``import_report`` counts them.
 
     Candidates (named, not stored, not quarantined) keep the first line of
-    each key by one ``min_by`` aggregation; no join back to the lines.
+    each key by one ``min_by`` aggregation; no join back to the lines. ``keys``: see ``stored_line_keys``.
     """
-    mapped = _mapped_lines(export, existing, lab, source)
+    mapped = _mapped_lines(export, existing, lab, source, keys)
     cand = mapped.filter(is_named() & ~F.col("_stored") & ~F.col("_bad")).withColumn("_own", own_line("k_po"))
     first = first_per_key(cand, ["k_po", "_own", "k_item"], ["file", "line_no"])
     return conform(request_ids(first, ["file", "line_no"], existing, as_of))
@@ -202,24 +204,26 @@ def prepared_po_summary(summary: DataFrame) -> DataFrame:
     return with_position(with_optional(summary, PO_SUMMARY_HEADERS)).withColumn("k_po", cl.po_key("PO Number"))
 
 
-def po_anti_join(summary: DataFrame, existing: DataFrame) -> DataFrame:
-    """Summary rows whose PO is not stored."""
+def po_anti_join(summary: DataFrame, existing: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Summary rows whose PO is not stored: in ``keys`` (a table ``(k_po)``) if given, else in ``existing``."""
     p = prepared_po_summary(summary)
-    stored = existing.select(cl.po_key("po_no").alias("k_po")).filter(F.col("k_po").isNotNull())
+    stored = keys if keys is not None else existing.select(cl.po_key("po_no").alias("k_po")).filter(F.col("k_po").isNotNull())
     return p.join(_stored_keys(stored, p, ["k_po"]), "k_po", "left_anti")
 
 
-def import_po_summary(summary: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE) -> DataFrame:
+def import_po_summary(summary: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE,
+                      keys: DataFrame | None = None) -> DataFrame:
     """I2 (+J3): one order row per PO not stored yet; the first line of a PO by (file, line) wins, lines without a PO
-    are all kept."""
-    fresh = po_anti_join(summary, existing).withColumn("_own", own_line("k_po"))
+    are all kept. ``keys``: see ``po_anti_join``."""
+    fresh = po_anti_join(summary, existing, keys).withColumn("_own", own_line("k_po"))
     first = first_per_key(fresh.select("k_po", "_own", "file", "line_no", "Supplier", "Total Amount", "PO Owner"), ["k_po", "_own"], ["file", "line_no"])
     return conform(request_ids(map_po_summary(first, lab, source), ["file", "line_no"], existing, as_of))
 
 
 # ---- inventory -------------------------------------------------------------------
-def stored_origin_ids(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    stored = existing.select(cl.extract_origin_req("notes").alias("k_orig")).filter(F.col("k_orig").isNotNull())
+def stored_origin_ids(existing: DataFrame, batch: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The batch's original ids that are stored: in ``keys`` (a table ``(k_orig)``) if given, else in the notes of ``existing``."""
+    stored = keys if keys is not None else existing.select(cl.extract_origin_req("notes").alias("k_orig")).filter(F.col("k_orig").isNotNull())
     return _stored_keys(stored, batch, ["k_orig"])
 
 
@@ -230,12 +234,12 @@ def prepared_inventory(inv: DataFrame) -> DataFrame:
     return named.select("*", cl.origin_id("Req#").alias("orig"), cl.origin_key("Req#").alias("k_orig"))
 
 
-def origin_req_anti_join(inv: DataFrame, existing: DataFrame) -> DataFrame:
+def origin_req_anti_join(inv: DataFrame, existing: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Inventory rows whose original id is not in any stored note; blank,
     "*" and "nan" ids always pass."""
     p = prepared_inventory(inv)
     blank = cl.is_blank_id(F.col("orig"))
-    hit = stored_origin_ids(existing, p).withColumn("_s", F.lit(True))
+    hit = stored_origin_ids(existing, p, keys).withColumn("_s", F.lit(True))
     return p.join(hit, "k_orig", "left").filter(blank | F.col("_s").isNull()).drop("_s")
 
 
@@ -255,11 +259,12 @@ def map_inventory(p: DataFrame, lab: str, keep: tuple = (), source: str = IMPORT
         *keep)
 
 
-def import_inventory(inv: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE) -> DataFrame:
+def import_inventory(inv: DataFrame, existing: DataFrame, lab: str, as_of: str, source: str = IMPORT_SOURCE,
+                     keys: DataFrame | None = None) -> DataFrame:
     """Inventory rows not imported before (by original id), first row of an
     id wins inside the workbook (one ``min_by`` aggregation, no join back), rows with a blank id are all kept;
-    ids in (sheet, file, line) order. Rows whose total exceeds the money type are quarantined."""
-    passed = origin_req_anti_join(inv, existing)
+    ids in (sheet, file, line) order. Rows whose total exceeds the money type are quarantined. ``keys``: see ``stored_origin_ids``."""
+    passed = origin_req_anti_join(inv, existing, keys)
     real = F.when(~cl.is_blank_id(F.col("orig")), F.col("k_orig"))
     mapped = map_inventory(passed.withColumn("_key", real).withColumn("_own", F.when(real.isNull(), F.struct("sheet", "file", "line_no"))),
                            lab, ("_key", "_own"), source).filter(F.col("total").isNotNull())

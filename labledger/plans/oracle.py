@@ -543,3 +543,7 @@ sql("_report_inventory", f"""SELECT 'inventory' AS export, 'imported' AS disposi
   UNION ALL SELECT 'inventory', 'unnamed', (SELECT count(*) FROM inv) - (SELECT count(*) FROM invp)
   UNION ALL SELECT 'inventory', 'duplicate', (SELECT count(*) FROM invp) - (SELECT count(*) FROM ({ORACLE['import_inventory']}))""", STORED_SQL, INVENTORY_SQL, INVP)
 ORACLE["import_report"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLE.pop('_report_' + n)}) WHERE rows > 0" for n in ("lines", "summary", "inventory"))
+# The same rows with stored keys laid out by key, and with stored rows reduced by a bit set.
+for _name in ("import_line_items", "import_po_summary", "import_inventory"):
+    ORACLE[f"{_name}_keyed"] = ORACLE[_name]
+ORACLE["import_anti_join_prefiltered"] = ORACLE["import_anti_join"]

@@ -286,6 +286,7 @@ from labledger.schema import ORDER_COLUMNS, conform  # noqa: E402
 from labledger.sources import exports as ex  # noqa: E402
 from labledger.sources import fixtures as fx  # noqa: E402
 from labledger.sources.fixture_files import export_files  # noqa: E402
+from labledger.sources.keys import OrderKeys, may_match, order_keys  # noqa: E402
 from labledger.sources.store import OrderStore  # noqa: E402
 
 
@@ -534,6 +535,43 @@ def q_import_inventory(spark, d):
     return ing.import_inventory(INVENTORY(spark, d), STORED(spark, d), "Admin", fx.AS_OF)
 
 
+def KEYED(spark, d):
+    """The stored orders in two versions, and their key tables, refreshed after each."""
+    store, orders = OrderStore(spark), STORED(spark, d)
+    late = F.coalesce(F.col("date_ordered") >= F.lit("2000-01-01").cast("date"), F.lit(False))
+    store.write(orders.filter(~late))
+    keys = OrderKeys(store).refresh()
+    store.append(orders.filter(late))
+    return store.read(), keys.refresh()
+
+
+@register("import_line_items_keyed")
+def q_import_lines_keyed(spark, d):
+    """I1 with the stored keys from tables laid out by key."""
+    stored, keys = KEYED(spark, d)
+    return ing.import_line_items(LINES(spark, d), stored, "Admin", fx.AS_OF, keys=keys.table("line"))
+
+
+@register("import_po_summary_keyed")
+def q_import_po_keyed(spark, d):
+    stored, keys = KEYED(spark, d)
+    return ing.import_po_summary(SUMMARY(spark, d), stored, "Admin", fx.AS_OF, keys=keys.table("po"))
+
+
+@register("import_inventory_keyed")
+def q_import_inventory_keyed(spark, d):
+    stored, keys = KEYED(spark, d)
+    return ing.import_inventory(INVENTORY(spark, d), stored, "Admin", fx.AS_OF, keys=keys.table("origin"))
+
+
+@register("import_anti_join_prefiltered")
+def q_import_anti_prefiltered(spark, d):
+    """J1 with the stored rows reduced by a bit set of the export's keys before they are shuffled."""
+    lines = NUMBERED(spark, d)
+    stored = may_match(order_keys(STORED(spark, d), "line"), ing.prepared_line_items(lines), ["k_po", "k_item"])
+    return ing.import_anti_join(lines, None, stored).select("line_no", "k_po", "k_item")
+
+
 # ---- maintenance -------------------------------------------------------------------
 @register("append_orders")
 def q_append(spark, d):
