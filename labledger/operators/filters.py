@@ -96,8 +96,8 @@ def order_search_counts(df: DataFrame, **kw) -> DataFrame:
 
 
 def priced_lines(df: DataFrame, price_col: str) -> DataFrame:
-    """price present and positive."""
-    return df.filter(F.col(price_col).isNotNull() & (F.col(price_col) > 0))
+    """price (a number or its text) present and positive; text that is no number counts as none."""
+    return df.filter(F.coalesce(F.col(price_col).try_cast("double") > 0, F.lit(False)))
 
 
 def named_lines(df: DataFrame, col: str = "item", min_len: int = 3) -> DataFrame:

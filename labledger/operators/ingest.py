@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labledger.functions import clean as cl
+from labledger.operators.filters import priced_lines
 from labledger.operators.numbering import request_ids
 from labledger.schema import INVENTORY_HEADERS, LINE_ITEM_HEADERS, PO_SUMMARY_HEADERS, conform
 from labledger.sources.exports import detect_export_format, sheet_grant
@@ -63,7 +64,7 @@ def prepared_line_items(export: DataFrame) -> DataFrame:
     """F7 + P6 + key columns for a line-item export (headers already trimmed)."""
     price = price_column(export.columns)
     export = with_position(with_optional(export, LINE_ITEM_HEADERS))
-    priced = export.filter(F.coalesce(F.col(price).try_cast("double") > 0, F.lit(False)))
+    priced = priced_lines(export, price)
     item_clean = cl.clean_item_name("Item")
     return priced.select(
         "*",

@@ -505,6 +505,10 @@ _st = ", ".join(f"CAST(sum(CAST({c} AS DECIMAL(24,6))) AS DOUBLE) AS s_{c}, "
 sql("standardize", f"""SELECT req_id, {', '.join(_z)} FROM
   (SELECT * FROM order_lines WHERE total > 0 AND qty IS NOT NULL AND isfinite(qty) AND unit_price IS NOT NULL) f,
   (SELECT count(*) AS n, {_st} FROM order_lines WHERE total > 0 AND qty IS NOT NULL AND isfinite(qty) AND unit_price IS NOT NULL) st""")
+sql("feature_moments", " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, n, round(s_{c} / n, 6) AS mean, round(sqrt(q_{c} / n - (s_{c} / n) * (s_{c} / n)), 6) AS sd FROM st"""
+    for c in ["qty", "unit_price", "total"]),
+    f"st AS (SELECT count(*) AS n, {_st} FROM order_lines WHERE qty IS NOT NULL AND isfinite(qty) AND unit_price IS NOT NULL AND total IS NOT NULL)")
 sql("minmax_invert", """SELECT req_id, coalesce(1 - CASE WHEN mx <> mn THEN (CAST(total AS DOUBLE) - CAST(mn AS DOUBLE))
   / CAST(mx - mn AS DOUBLE) END, 0.0) AS inv FROM order_lines, (SELECT min(total) AS mn, max(total) AS mx FROM order_lines)""")
 sql("contamination_cut", """SELECT req_id, CAST(total AS DOUBLE) AS total FROM order_lines

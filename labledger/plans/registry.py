@@ -788,6 +788,28 @@ def q_fit_model(spark, d):
     return spark.read.parquet(f"{path}/score_range")
 
 
+def STATE(spark, d):
+    """The forest state of the orders, merged from those of two parts."""
+    t = T(spark, d)
+    late = F.coalesce(F.col("date_ordered") >= F.lit("2000-01-01").cast("date"), F.lit(False))
+    return an.forest_state(t.filter(~late)).merge(an.forest_state(t.filter(late)))
+
+
+@register("feature_moments")
+def q_feature_moments(spark, d):
+    """Means and deviations of the forest's features from merged moments."""
+    scaler = an.scaler_of(STATE(spark, d).moments)
+    rows = [(c, scaler["n"], *(round(x, 6) for x in scaler[c])) for c in an.FEATURES]
+    return spark.createDataFrame(rows, "feature string, n bigint, mean double, sd double")
+
+
+@register("refit_anomaly_model")
+def q_refit_model(spark, d):
+    """M5 from merged states, without a pass over the old rows."""
+    path = an.save_model(spark, an.fit_from_state(STATE(spark, d)))
+    return spark.read.parquet(f"{path}/score_range")
+
+
 @register("score_new_orders")
 def q_score_new(spark, d):
     t = T(spark, d)
@@ -848,8 +870,7 @@ def q_source_equals(spark, d):
 def q_priced(spark, d):
     lines = LINES(spark, d)
     col = ing.price_column(lines.columns)
-    return flt.priced_lines(lines.withColumn("_p", F.col(col).try_cast("double")), "_p").select(
-        F.col("Line").cast("bigint").alias("line_no"), F.col("_p").alias("price"))
+    return flt.priced_lines(lines, col).select(F.col("Line").cast("bigint").alias("line_no"), F.col(col).try_cast("double").alias("price"))
 
 
 @register("named_lines")

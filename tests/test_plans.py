@@ -5,7 +5,7 @@ import pytest
 from conftest import SMALL
 from labledger.plans.registry import REGISTRY
 
-PYTHON_OK = {"anomalies", "fit_anomaly_model", "score_new_orders", "stream_score_orders"}
+PYTHON_OK = {"anomalies", "fit_anomaly_model", "refit_anomaly_model", "score_new_orders", "stream_score_orders"}
 SKIP = {"stream_import", "delete_all", "write_snapshot", "verify_after_write", "export_csv", "detect_export_format"}
 
 
