@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,21 +38,24 @@ def tempered(cell: DataFrame, dim: str, power: float = 0.5) -> DataFrame:
 
 
 def _fit(state: DataFrame, dim: str, target: DataFrame, total: float) -> DataFrame:
-    """Scale the weights of each value of a dimension to its target; values without a target lose all weight."""
+    """Scale the weights of each value of a dimension to its target; values without a target lose all weight. ``off`` takes
+    up how far, relative to its target, the sum of a value with weight was from it."""
     goal = target.select(F.col(dim).alias("d"), F.col("share").alias("s"))
     sums = state.groupBy(dim).agg(F.sum("weight").alias("have"))
     factor = (sums.join(goal, sums[dim].eqNullSafe(goal["d"]), "left")
               .select(F.col(dim).alias("d"), F.when(F.col("have") > 0, F.coalesce("s", F.lit(0.0)) * total / F.col("have")).otherwise(0.0).alias("factor")))
     return (state.join(factor, state[dim].eqNullSafe(factor["d"]), "left")
-            .withColumn("weight", F.col("weight") * F.col("factor")).drop("d", "factor"))
+            .withColumns({"weight": F.col("weight") * F.col("factor"),
+                          "off": F.greatest("off", F.when((F.col("weight") > 0) & (F.col("factor") > 0), F.abs(1 / F.col("factor") - 1)))}).drop("d", "factor"))
 
 
 def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
-    """Iterative proportional fitting: ``cell`` with ``weight``, whose sums by each dimension follow its target shares.
+    """Iterative proportional fitting: ``cell`` with ``weight``, whose sums by each dimension follow its target shares, and ``off``.
 
     Each round scales the weights to every dimension's shares in turn, by an aggregation of the cells and a join, and is
-    written. It ends when no cell's weight moves by more than ``tolerance`` of the total in a round, or after ``rounds``
-    (targets that the empty cells make impossible never settle). A value without target rows gets weight 0; shares
+    written. It ends when the sum of every value, however light, is found within ``tolerance`` of its own target before it is
+    scaled, or after ``rounds`` with a warning (targets that the empty cells make impossible never settle). ``off``: the largest
+    relative distance that the last round found for the cell's values. A value without target rows gets weight 0; shares
     needn't sum to 1. Cells without tokens get weight 0; an empty table gives an empty one.
     """
     total = cell.agg(F.sum("tokens")).first()[0] or 0.0
@@ -59,16 +63,18 @@ def rake(cell: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, toler
     for dim, target in targets.items():
         whole = target.agg(F.sum("share")).first()[0] or 1.0
         goals[dim] = target.select(dim, (F.col("share") / whole).alias("share"))
-    state = cell.withColumn("weight", F.col("tokens"))
+    state, off = cell.withColumns({"weight": F.col("tokens"), "off": F.lit(0.0)}), 0.0
     for _ in range(rounds if total else 0):
-        fitted = state.withColumn("before", F.col("weight"))
+        fitted = state.withColumn("off", F.lit(0.0))
         for dim, target in goals.items():
             fitted = _fit(fitted, dim, target, total)
-        fitted = written(fitted)
-        moved = fitted.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0] or 0.0
-        state = fitted.drop("before")
-        if moved <= tolerance * total:
+        state = written(fitted)
+        off = state.agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
             break
+    else:
+        if off > tolerance:
+            warnings.warn(f"the targets weren't met after {rounds} rounds; sums are up to {off:.2g} of their target off", stacklevel=2)
     return state
 
 

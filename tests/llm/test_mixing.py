@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from labledger.llm import mixing as M
+from labledger.llm.queries import op5_mixing
 from llm_fixtures import make  # noqa: F401
 
 SCHEMA = "doc_id bigint, source string, lang string, topic string, n_tokens bigint, probability string"
@@ -49,6 +50,63 @@ def test_rake_matches_brute_force(make, spark):
         assert max(scale) == pytest.approx(min(scale), rel=1e-6)
 
 
+def test_light_values_meet_their_targets_with_the_defaults(make, spark):
+    """A third of the tokens in one source, 300 light ones beside it: each within the tolerance of its own target."""
+    r = random.Random(5)
+    data = [(i, "hot" if i % 3 == 0 else f"s{r.randrange(300)}", r.choice("eeeefd"), r.choice("pqqqr"), r.choice([5, 100, 900]), "x") for i in range(9000)]
+    dims = ["source", "lang", "topic"]
+    raked = M.mix_sources(make(SCHEMA, data), dims).select(*dims, "weight_factor", "n_tokens").collect()
+    total = sum(x[4] for x in data)
+    for k, dim in enumerate(dims):
+        tokens, weight = defaultdict(float), defaultdict(float)
+        for x in raked:
+            tokens[x[k]] += x.n_tokens
+            weight[x[k]] += x.n_tokens * x.weight_factor
+        roots = sum(t ** 0.5 for t in tokens.values())
+        assert all(weight[v] == pytest.approx(total * tokens[v] ** 0.5 / roots, rel=2e-4) for v in tokens)
+
+
+def test_registered_query_matches_brute_force(spark):
+    """Tempered targets, topics, probabilities and draws of all documents."""
+    from llm_fixtures import SMALL
+    out = op5_mixing(spark, SMALL).collect()
+    data = [(x.doc_id, x.source, x.lang, x.topic, x.n_tokens, None) for x in out]
+    goals = []
+    for k in (1, 2, 3):
+        tokens = defaultdict(float)
+        for x in data:
+            tokens[x[k]] += x[4]
+        roots = sum(t ** 0.5 for t in tokens.values())
+        goals.append({v: t ** 0.5 / roots for v, t in tokens.items()})
+    cell, want = brute(data, goals)
+    ratio = {c: want[c] / cell[c] if cell[c] else 0.0 for c in cell}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the scale whose expected tokens are half of all
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1.0, mid * ratio[c]) * cell[c] for c in cell) < 0.5 * sum(cell.values()) else (low, mid)
+    for x in out:
+        c = (x.source, x.lang, x.topic)
+        assert x.weight_factor == pytest.approx(ratio[c], rel=1e-3) and x.probability == pytest.approx(min(1.0, low * ratio[c]), rel=2e-3)
+    expected, spread = sum(x.probability for x in out), sum(x.probability * (1 - x.probability) for x in out) ** 0.5
+    assert abs(sum(x.sampled for x in out) - expected) < 4 * spread + 1
+
+
+def test_impossible_targets_are_told(make, spark):
+    cell = M.cells(make(SCHEMA, [(1, "a", "e", "p", 10, None), (2, "b", "f", "p", 10, None)]), ["source", "lang"])
+    goals = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "source string, share double"),
+             "lang": spark.createDataFrame([("e", 0.2), ("f", 0.8)], "lang string, share double")}
+    with pytest.warns(UserWarning, match="targets"):
+        raked = M.rake(cell, goals, rounds=3).collect()
+    assert all(x.off > 0.1 for x in raked)
+
+
+def test_very_long_text_and_ties(make, spark):
+    text = "word | " * 300_000
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string").select("doc_id", M.topic().alias("topic"), M.word_count().alias("n_tokens"))
+    out = M.mix_sources(df, ["topic"], keep=1.0).collect()
+    assert [(x.topic, x.n_tokens, x.sampled) for x in out] == [("table", 600_000, True)] * 2
+
+
 def test_sample_follows_the_targets(make):
     r = random.Random(2)
     data = [(i, "big" if r.random() < 0.8 else "small", "e", "p", 10, None) for i in range(6000)]
