@@ -124,7 +124,8 @@ def concentration(sites: DataFrame, mean: Column) -> float:
 
 
 def site_posteriors(df: DataFrame, probability: str = "p") -> tuple[DataFrame, float]:
-    """Shrunken means of a probability: rows ``(host, path, host_posterior, path_posterior)`` and the global mean.
+    """Shrunken means of a probability: rows ``(host, path, host_posterior, path_posterior, ...)`` and the global mean.
+    The other columns are the sums and prior strengths that ``without_own`` takes.
 
     Sums by (host, path) are aggregated once; hosts are summed from them. A host's mean is drawn towards the global
     one and a path's towards its host's, by a prior worth as many documents as ``concentration`` finds at that level. Null
@@ -134,11 +135,19 @@ def site_posteriors(df: DataFrame, probability: str = "p") -> tuple[DataFrame, f
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
     overall = float(total[1] / total[0]) if total[0] else 0.5
     k = concentration(hosts, F.lit(overall))
-    hosts = hosts.withColumn("host_posterior", (F.col("s") + k * overall) / (F.col("n") + k)).select(F.col("host").alias("h"), "host_posterior")
+    hosts = hosts.withColumn("host_posterior", (F.col("s") + k * overall) / (F.col("n") + k)).select(
+        F.col("host").alias("h"), "host_posterior", F.col("n").alias("host_n"), F.col("s").alias("host_s"), F.lit(k).alias("host_k"))
     both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     both = written(both)
     k = concentration(both, F.col("host_posterior"))
-    return both.select("host", "path", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), overall
+    return both.select("host", "path", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"),
+                       "host_n", "host_s", "host_k", F.col("n").alias("path_n"), F.col("s").alias("path_s"), F.lit(k).alias("path_k")), overall
+
+
+def without_own(p: Column, overall: float) -> tuple[Column, Column]:
+    """Host and path posterior as they are without a document whose probability is ``p``, from its site's columns."""
+    host = (F.col("host_s") - p + F.col("host_k") * overall) / (F.col("host_n") - 1 + F.col("host_k"))
+    return host, (F.col("path_s") - p + F.col("path_k") * host) / (F.col("path_n") - 1 + F.col("path_k"))
 
 
 def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None,
@@ -148,10 +157,11 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     ``evidence``: log-odds of a ridge logistic regression on features of the whole text, fitted on at most
     ``labelled_rows`` labelled rows, those with the lowest hash of their id (ids with several labels count by their mean), drawn towards the labels' overall log-odds in texts of few words. ``score``
-    adds by how much the log-odds of the path's shrunken mean probability differ from the global one (``site_posteriors``),
-    so sparse sites change little. ``kept``: score >= threshold.
+    adds by how much the log-odds of the path's shrunken mean probability differ from the global one, so sparse sites change
+    little. Both posteriors leave the document itself out (``without_own``): its evidence counts once, and a site's only
+    document gets the prior. ``kept``: score >= threshold.
 
-    ``host`` and ``path`` default to the columns source and lang. Null, empty and wordless texts have no evidence of their own but the prior; null ids are
+    ``host`` and ``path`` default to the columns source and lang (``documents`` has no URL). Null, empty and wordless texts have no evidence of their own but the prior; null ids are
     scored like others; repeated rows score alike. Without labels of both kinds the evidence is 0 and all rows are kept.
     Only fixed-size feature rows are shuffled; a site may hold any share of the rows, its sums are formed before the shuffle.
     """
@@ -178,6 +188,8 @@ def classify_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sites, overall = site_posteriors(scored)
     sites = written(sites.withColumnsRenamed({"host": "h", "path": "q"}))
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
+    host_posterior, path_posterior = without_own(F.col("p"), overall)
+    joined = joined.withColumns({"host_posterior": host_posterior, "path_posterior": path_posterior})
     log_odds = F.col("evidence") + _logit(F.col("path_posterior")) - _logit(F.lit(overall))
     return (joined.withColumn("score", 1 / (1 + F.exp(-log_odds)))
             .select(F.col("id").alias(id_col), "evidence", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold - 1e-12).alias("kept")))

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from labledger.llm import quality as Q
+from labledger.llm.queries import op2_quality_classifier
 from llm_fixtures import SMALL, make  # noqa: F401
 
 SCHEMA = "doc_id bigint, text string, source string, lang string, score string"
@@ -80,6 +81,34 @@ def test_posteriors_match_brute_force(make, seed):
         assert got[k] == pytest.approx(v, rel=1e-9)
 
 
+def test_registered_query_leaves_each_document_out_of_its_site(spark):
+    """Posteriors, score and decision of every document from plain sums over the others."""
+    docs = {r.doc_id: (r.source, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    out = op2_quality_classifier(spark, SMALL).collect()
+    assert sorted(x.doc_id for x in out) == sorted(docs)
+    p = {x.doc_id: 1 / (1 + np.exp(-x.evidence)) for x in out}
+    rows = [(*docs[x.doc_id], p[x.doc_id]) for x in out]
+    sites, mu = brute_sites(rows)
+    host_n, host_s, path_n, path_s = {}, {}, {}, {}
+    for h, q, v in rows:
+        host_n[h], host_s[h] = host_n.get(h, 0) + 1, host_s.get(h, 0.0) + v
+        path_n[h, q], path_s[h, q] = path_n.get((h, q), 0) + 1, path_s.get((h, q), 0.0) + v
+    # Strengths by solving for them in the whole posteriors: (s + k m) / (n + k) = posterior.
+    solve = lambda s, n, m, post: (s - n * post) / (post - m)
+    h = max(host_n, key=lambda v: abs(host_s[v] / host_n[v] - mu))
+    hk = solve(host_s[h], host_n[h], mu, next(a for k, (a, _) in sites.items() if k[0] == h))
+    s = max(sites, key=lambda v: abs(path_s[v] / path_n[v] - sites[v][0]))
+    pk = solve(path_s[s], path_n[s], *sites[s])
+    logit = lambda v: np.log(min(max(v, 1e-6), 1 - 1e-6) / (1 - min(max(v, 1e-6), 1 - 1e-6)))
+    for x in out:
+        site, own = docs[x.doc_id], p[x.doc_id]
+        host = (host_s[site[0]] - own + hk * mu) / (host_n[site[0]] - 1 + hk)
+        path = (path_s[site] - own + pk * host) / (path_n[site] - 1 + pk)
+        score = 1 / (1 + np.exp(-(x.evidence + logit(path) - logit(mu))))
+        assert (x.host_posterior, x.path_posterior, x.score) == pytest.approx((host, path, score), rel=1e-5)
+        assert x.kept == (x.score >= 0.5 - 1e-12)
+
+
 def test_sparse_sites_shrink_towards_their_host(make):
     rows = [("good", "p", 0.95)] * 300 + [("bad", "p", 0.1)] * 300 + [("bad", "new", 0.9)] + [("lone", "p", 0.1)]
     sites, overall = Q.site_posteriors(make("host string, path string, p double", rows))
