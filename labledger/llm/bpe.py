@@ -17,7 +17,8 @@ from labledger.llm.common import ready
 from labledger.llm.hashing import string_column
 from labledger.llm.setsketch import slices
 
-CACHED_RUNS, CACHED_PIECES = 150_000, 50_000  # of each of the two generations of a worker's caches
+CACHED_RUNS, CACHED_PIECES = 150_000, 200_000  # of each of the two generations of a worker's caches
+CACHED_LENGTH = 64  # characters of the longest run or pre-token that is held, so the caches' bytes are bounded too
 SLICE_BYTES = 1 << 20   # of text encoded before its ids are handed on
 
 
@@ -41,13 +42,15 @@ def runs(text: str) -> list[str]:
 
 
 class Cache(dict):
-    """Results of ``make`` by key, in two generations of bounded size."""
+    """Results of ``make`` by key, in two generations of bounded size; those of keys above ``longest`` aren't held."""
 
-    def __init__(self, make: Callable | None, size: int):
+    def __init__(self, make: Callable | None, size: int, longest: int | None = None):
         super().__init__()
-        self.make, self.size, self.older = make, size, {}
+        self.make, self.size, self.older, self.longest = make, size, {}, longest
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         value = self.older.get(key)
         value = self[key] = self.make(key) if value is None else value
         return value
@@ -104,45 +107,47 @@ class Vocabulary:
         self.strings = [""] * size
         for s, i in [*self.ids.items(), *self.special.items()]:
             self.strings[i] = s
-        self.chunks, self.pieces = Cache(self.chunk, CACHED_RUNS), Cache(self.piece, CACHED_PIECES)
+        self.chunks, self.pieces = Cache(self.chunk, CACHED_RUNS, CACHED_LENGTH), Cache(self.piece, CACHED_PIECES, CACHED_LENGTH)
 
     def normalise(self, text: str) -> str:
         # Lower case is taken character by character, so a final sigma has no form of its own.
+        if text.isascii():
+            return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges: the pair of lowest rank first, of equal rank the leftmost.
 
         The symbols form a doubly linked list. A queue entry holds a rank and a place in one integer; it is stale if
-        that place no longer begins a pair of that rank.
+        that place no longer begins a pair of that rank (``ranks``: of the pair that begins at each place now).
         """
-        n = len(symbols)
         rank_of, merged = self.rank_of, self.merged
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = []
-        for i in range(n - 1):
-            rank = rank_of(symbols[i] << 32 | symbols[i + 1])
-            if rank is not None:
-                queue.append(rank << 32 | i)
+        ranks = [rank_of(a << 32 | b, -1) for a, b in zip(symbols, symbols[1:])]
+        queue = [rank << 32 | i for i, rank in enumerate(ranks) if rank >= 0]
+        if not queue:
+            return symbols
         heapq.heapify(queue)
+        n = len(symbols)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        ranks.append(-1)
         while queue:
             entry = heapq.heappop(queue)
-            i, rank = entry & 0xFFFFFFFF, entry >> 32
-            j = after[i]
-            if j < 0 or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
+            i = entry & 0xFFFFFFFF
+            if ranks[i] != entry >> 32:
                 continue
-            new = symbols[i] = merged[rank]
-            symbols[j] = -1
+            j = after[i]
+            new = symbols[i] = merged[ranks[i]]
+            symbols[j] = ranks[i] = ranks[j] = -1
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                rank = rank_of(new << 32 | symbols[k])
-                if rank is not None:
+                rank = ranks[i] = rank_of(new << 32 | symbols[k], -1)
+                if rank >= 0:
                     heapq.heappush(queue, rank << 32 | i)
             k = before[i]
             if k >= 0:
-                rank = rank_of(symbols[k] << 32 | new)
-                if rank is not None:
+                rank = ranks[k] = rank_of(symbols[k] << 32 | new, -1)
+                if rank >= 0:
                     heapq.heappush(queue, rank << 32 | k)
         return [s for s in symbols if s >= 0]
 

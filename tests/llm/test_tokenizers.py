@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from labledger.llm import bpe, token_count
+from labledger.llm import bpe, queries, token_count
 from labledger.llm.queries import BYTE_BPE, WORD_BPE
 from llm_fixtures import make  # noqa: F401
 
@@ -87,3 +87,26 @@ def test_synchronous_merging_of_repeated_pairs():
     words = ["".join(r.choice("aab-!") for _ in range(r.randint(1, 40))) for _ in range(800)] + ["a" * k for k in range(1, 60)] + ["-" * k for k in range(1, 200)]
     words = [w for w in words if len(set(w) & set("ab")) == 0 or not set(w) & set("-!")]  # one pre-token each
     assert m.counts(words).tolist() == [len(e.ids) for e in t.encode_batch(words, add_special_tokens=False)]
+
+
+def test_long_runs_are_not_held():
+    c = bpe.Cache(len, 10, longest=4)
+    assert [c[k] for k in ("abcd", "abcde", "abcde")] == [4, 5, 5] and dict(c) == {"abcd": 4}
+
+
+def test_registered_queries_match_the_library_on_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    words, pieces = tokenizers.Tokenizer.from_file(WORD_BPE), tokenizers.Tokenizer.from_file(BYTE_BPE)
+    for t in (words, pieces):
+        t.no_truncation()
+        t.no_padding()
+    coded = {r.doc_id: r for r in queries.op6_bpe_roundtrip(spark, sf).collect()}
+    counted = {r.doc_id: r for r in queries.op9_token_counts(spark, sf).collect()}
+    assert set(coded) == set(counted) == set(texts)
+    for i, x in texts.items():
+        ids = words.encode(x, add_special_tokens=False).ids
+        decoded = hashlib.sha256(words.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (coded[i].n_tokens, coded[i].ids_sha256, coded[i].decoded_sha256) == (len(ids), hex_of(ids), decoded)
+        n = len(pieces.encode(x, add_special_tokens=False).ids)
+        assert (counted[i].n_bytes, counted[i].n_tokens, counted[i].over_limit) == (len(x.encode()), n, n > 1024)
