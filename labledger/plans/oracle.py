@@ -459,6 +459,15 @@ sql("enter_orders", """SELECT printf('REQ-010802-%03d', row_number() OVER (ORDER
   CAST(round(CAST(qty AS DECIMAL(18,4)) * CAST(unit_price AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS total, vendor
   FROM order_lines WHERE qty > 2 AND unit_price > 0
     AND trim(coalesce(item, '')) <> '' AND trim(coalesce(vendor, '')) <> ''""")
+sql("store_entries", """SELECT CASE WHEN reason IS NULL THEN printf('REQ-010802-%03d', row_number() OVER (PARTITION BY reason IS NULL ORDER BY req_id)) END AS req_id,
+  item, qty, reason FROM (SELECT req_id, item, CASE WHEN qty <= 2 THEN 0 ELSE qty END AS qty, CASE
+  WHEN item IS NULL OR trim(item) = '' THEN 'Item name is required'
+  WHEN coalesce(qty <= 2, true) THEN 'Quantity must be greater than 0'
+  WHEN coalesce(unit_price <= 0, true) THEN 'Price must be greater than 0'
+  WHEN vendor IS NULL OR trim(vendor) = '' THEN 'Vendor name is required' END AS reason FROM order_lines)""")
+sql("adopt_orders", """SELECT req_id, item, NULL AS reason FROM order_lines WHERE date_ordered < DATE '1996-01-01'
+  UNION ALL SELECT req_id, item, CASE WHEN date_ordered < DATE '1996-01-01' THEN 'Known id' WHEN qty <= 2 THEN 'Repeated id' END
+  FROM (SELECT * FROM order_lines UNION ALL SELECT * FROM order_lines WHERE qty <= 2)""")
 sql("receive_all", """SELECT req_id, CASE WHEN date_received IS NULL THEN DATE '2001-08-02' ELSE date_received END AS date_received,
   CASE WHEN date_received IS NULL THEN 'clerk' ELSE received_by END AS received_by FROM order_lines""")
 sql("recalculate_totals", """SELECT req_id, CAST(CAST(coalesce(qty, 1.0) AS DECIMAL(18,4)) * coalesce(unit_price, CAST(0 AS DECIMAL(18,4)))

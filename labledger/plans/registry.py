@@ -587,6 +587,28 @@ def q_enter_orders(spark, d):
     return mt.enter_orders(entries, t, ["entry"], fx.AS_OF)[0].select("req_id", "item", "qty", "total", "vendor")
 
 
+@register("store_entries")
+def q_store_entries(spark, d):
+    """All orders entered anew into a store that holds the table, some with a quantity of 0: new rows and rejects."""
+    t = T(spark, d)
+    store = OrderStore(spark)
+    store.write(t)
+    rejected = mt.store_entries(store, t.withColumn("qty", F.when(F.col("qty") <= 2, F.lit(0.0)).otherwise(F.col("qty"))).withColumn("entry", F.col("req_id")), ["entry"], fx.AS_OF)
+    return (store.read(since=1).select("req_id", "item", "qty", F.lit(None).cast("string").alias("reason"))
+            .unionByName(rejected.select(F.lit(None).cast("string").alias("req_id"), "item", "qty", "reason")))
+
+
+@register("adopt_orders")
+def q_adopt_orders(spark, d):
+    """The orders as another table, small ones twice, brought into a store of those before 1996: its rows and the rejects."""
+    t = T(spark, d)
+    store = OrderStore(spark)
+    store.write(t.filter("date_ordered < date'1996-01-01'"))
+    rejected = mt.adopt_orders(store, t.unionByName(t.filter("qty <= 2")))
+    return (store.read().select("req_id", "item", F.lit(None).cast("string").alias("reason"))
+            .unionByName(rejected.select("req_id", "item", "reason")))
+
+
 @register("receive_all")
 def q_receive_all(spark, d):
     return mt.receive_all(T(spark, d), fx.AS_OF, "clerk").select("req_id", "date_received", "received_by")

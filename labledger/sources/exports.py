@@ -153,41 +153,41 @@ def detect_export_format(columns: list[str]) -> str:
                      "or PO Number, Supplier, Total Amount")
 
 
+def _after_preamble(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The text lines of summary files from the header on; ``heads`` marks the header. Only a file's first line number is
+    looked up: one row per file, written so that the planner knows its size and broadcasts it while it is small."""
+    lines = _text_lines(spark, path)
+    first = _kept(lines.filter("block = 0").groupBy("file").agg(F.min("mid").alias("first")))
+    pos = F.when(F.col("block") == 0, F.col("mid") - F.col("first"))
+    return (lines.join(first, "file").withColumn("pos", F.coalesce(pos, F.lit(PREAMBLE_LINES + 1))).filter(F.col("pos") >= PREAMBLE_LINES)
+            .select("value", "file", "block", "mid", (F.col("pos") == PREAMBLE_LINES).alias("heads")))
+
+
 def scan_po_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Skip the nine preamble lines of every file, take its header and parse the remaining lines by it.
 
-    Files go through the CSV reader, as values may span lines, and the rows after the header are taken. A file in which
-    that reader doesn't find the header (a quote left open before it) is parsed line by line.
-
-    Only a file's first line number is looked up: one row per file, written so that the planner knows its size and
-    broadcasts it while it is small."""
-    lines = _text_lines(spark, path)
-    firsts = scratch_path(spark, "exports", "firsts")
-    lines.filter("block = 0").groupBy("file").agg(F.min("mid").alias("first")).write.parquet(firsts)
-    first = spark.read.schema("file string, first bigint").parquet(firsts)
-    placed = lines.join(first, "file").withColumn("pos", F.when(F.col("block") == 0, F.col("mid") - F.col("first")))
-    headers: dict[str, list[str]] = {}
-    for r in placed.filter(F.col("pos") == PREAMBLE_LINES).select("file", "value").collect():
-        headers.setdefault(r["value"], []).append(r["file"])
-    body = placed.filter((F.coalesce("pos", F.lit(PREAMBLE_LINES + 1)) > PREAMBLE_LINES) & (F.col("value") != ""))
+    The preamble counts as lines of text, so quotes in it open nothing. Values may span lines after it. Files are split into
+    blocks as those of ``read_csv_by_header`` are: lines are parsed where they are read, but for files with values over several
+    lines, whose records come from ``csv_records``. A file that ends within its preamble has no rows."""
+    lines = _after_preamble(spark, path)
+    heads = (lines.groupBy("file").agg(F.max(F.when(F.col("heads"), F.col("value"))).alias("header"),
+                                       F.max(~F.col("heads") & (quote_effect(F.col("value")) >= LEAVES_IN)).alias("spans"))
+             .filter("header is not null").collect())
+    kinds: dict[tuple[str, bool], list[str]] = {}
+    for r in heads:
+        kinds.setdefault((r["header"], bool(r["spans"])), []).append(unquote(r["file"]))
+    if not kinds:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in PO_SUMMARY_HEADERS) + ", file string, line_no bigint")
     parts = []
-    for header, files in sorted(headers.items()):
+    for (header, spans), files in sorted(kinds.items()):
         names = _names(header)
         detect_export_format(names)
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        read = (spark.read.schema(schema).options(multiLine=True, **QUOTING).csv(sorted(unquote(f) for f in files))
-                .select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("mid")))
-        is_header = reduce(lambda a, b: a & b, [F.col(f"c{i}").eqNullSafe(F.lit(c or None)) for i, c in enumerate(next(csv.reader([header])))])
-        starts = scratch_path(spark, "exports", "starts")
-        read.filter(is_header).groupBy("file").agg(F.min("mid").alias("start")).write.parquet(starts)
-        start = spark.read.schema("file string, start bigint").parquet(starts)
-        parsed = [read.join(start, "file").filter("mid > start").drop("start")]
-        if left := sorted(set(files) - {r["file"] for r in start.select("file").collect()}):
-            parsed.append(body.filter(F.col("file").isin(left)).select(F.from_csv("value", schema, QUOTING).alias("r"), "file", "mid")
-                          .select("r.*", "file", "mid"))
-        parts += [x.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "file", F.col("mid").alias("line_no")) for x in parsed]
-    if not parts:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in PO_SUMMARY_HEADERS) + ", file string, line_no bigint")
+        own = (lines if len(kinds) == 1 else _after_preamble(spark, sorted(files))).filter(~F.col("heads"))
+        records = (csv_records(own) if spans else
+                   own.filter(F.col("value") != "").select("value", "file", _place(F.col("block"), F.col("mid")).alias("place")))
+        inner = ", ".join(f"c{i} string" for i in range(len(names)))
+        parsed = records.select(F.from_csv("value", inner, QUOTING).alias("r"), "file", "place")
+        parts.append(parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "file", F.col("place").alias("line_no")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

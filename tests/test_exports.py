@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from labledger.functions import clean as cl
 from labledger.operators import forecast as fc
 from labledger.operators import ingest as ing
+from labledger.operators import maintenance as mt
 from labledger.operators import sourcing as src
 from labledger.operators import yearly as yr
 from labledger.schema import ORDER, empty_orders
@@ -94,6 +95,46 @@ def test_po_summary_values_may_span_lines(spark, tmp_path):
     assert sorted((r["po_no"], float(r["total"])) for r in rows) == [("1", 10.0), ("2", 20.0), ("3", 30.0)]
 
 
+def test_large_po_summaries_are_read_by_many_tasks(spark, tmp_path):
+    pre = 'Report,"open\n' + "".join(f"line {i}\n" for i in range(8))
+    head = "PO Number,Supplier,Total Amount,PO Owner\n"
+    spans = "".join(f'{i},"Two\nlines, {i}",{i},"x ""y"""\n' if i % 3 else f"{i},Plain,{i},z\n" for i in range(1, 2001))
+    plain = "".join(f'{i},"Plain, {i}",{i},z\n' for i in range(2001, 3001))
+    put(f"{tmp_path}/po/a.csv", pre + head + spans)
+    put(f"{tmp_path}/po/b.csv", pre + head + plain)
+    put(f"{tmp_path}/po/c.csv", pre.replace("line 7\n", "line 7"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = ex.scan_po_summary(spark, f"{tmp_path}/po")
+        rows = sorted(df.collect(), key=lambda r: (r["file"], r["line_no"]))
+        assert [(r["PO Number"], r["Total Amount"]) for r in rows] == [(str(i), str(i)) for i in range(1, 3001)]
+        assert rows[0]["Supplier"] == "Two\nlines, 1" and rows[0]["PO Owner"] == 'x "y"' and rows[-1]["Supplier"] == "Plain, 3000"
+        assert ex._after_preamble(spark, f"{tmp_path}/po").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_entries_and_tables_go_down_to_the_store(spark, orders_df, tmp_path):
+    store = OrderStore(spark, f"{tmp_path}/store")
+    store.write(orders_df([{"req_id": "REQ-010802-002", "item": "a", "lab": "L"}]))
+    entry = lambda item, qty: {"item": item, "qty": qty, "unit_price": 2, "vendor": "V", "lab": "L"}
+    entries = orders_df([entry("b", 1), entry("c", 0), entry("d", 3), entry(None, 1)])
+    rejected = mt.store_entries(store, entries, ["item"], AS_OF)
+    assert sorted((r["item"] or "", r["reason"]) for r in rejected.collect()) == [("", "Item name is required"), ("c", "Quantity must be greater than 0")]
+    assert sorted((r["req_id"], r["item"], float(r["total"] or 0)) for r in store.read().collect()) == [
+        ("REQ-010802-001", "b", 2.0), ("REQ-010802-002", "a", 0.0), ("REQ-010802-003", "d", 6.0)]
+    versions = store.versions().count()
+    assert mt.store_entries(store, entries.filter("qty = 0"), ["item"], AS_OF).count() == 1 and store.versions().count() == versions
+    put(f"{tmp_path}/old/x.csv", "REQ#,ITEM,LAB\nREQ-010802-001,again,L\nOLD-1,x,L\nOLD-2,y,L\nOLD-2,z,L\n,none,L\n")
+    old = scan_order_csv(spark, f"{tmp_path}/old")
+    want = [("again", "Known id"), ("none", "No id"), ("y", "Repeated id"), ("z", "Repeated id")]
+    assert sorted((r["item"], r["reason"]) for r in mt.adopt_orders(store, old).collect()) == want
+    assert sorted((r["item"], r["reason"]) for r in mt.adopt_orders(store, old).collect()) == sorted([*want, ("x", "Known id")])
+    assert sorted(r["item"] for r in store.read().collect()) == ["a", "b", "d", "x"] and store.versions().count() == versions + 1
+    assert mt.adopt_orders(store, empty_orders(spark)).count() == 0
+
+
 def test_inventory_sheets(spark, tmp_path):
     put(f"{tmp_path}/inv/sheet=0012/x.csv", "Req#,Item,#,Amount\n,Blank one,2 EA,3\n12\t,Tabbed id,1,1\n")
     put(f"{tmp_path}/inv/sheet=0034/x.csv", "Item,Req#,Amount,#,Vendor\nBlank two,,4,1,V\nFresh,13,5,1,V\nFresh again,13.0,5,1,V\nab,14,1,1,V\n")
