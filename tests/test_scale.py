@@ -23,3 +23,11 @@ def test_wide_tables_get_partitions_by_rows(spark, monkeypatch):
     assert tables.partitions_for(spark, 1000) == 100
     assert tables.dealt_by_rows(df, 1000, "id").rdd.getNumPartitions() == 100
     assert tables.dealt_by_rows(df, 10, "id") is df
+
+
+def test_an_export_is_written_when_asked_for(spark):
+    files = ExportFiles(spark, SMALL)
+    assert set(vars(files)) == {"spark", "sf_dir"}
+    path = files.inventory
+    assert files.inventory == path and set(vars(files)) == {"spark", "sf_dir", "inventory"}
+    assert os.path.isdir(path.removeprefix("file:"))
