@@ -31,3 +31,64 @@ def test_an_export_is_written_when_asked_for(spark):
     path = files.inventory
     assert files.inventory == path and set(vars(files)) == {"spark", "sf_dir", "inventory"}
     assert os.path.isdir(path.removeprefix("file:"))
+
+
+def test_rows_with_blank_ids_are_not_dealt_to_one_task(spark, orders_df):
+    rows = [("S", "*" if i % 4 else None, f"item {i}", "f.csv", i) for i in range(4000)] + [("S", "17.0", "known", "f.csv", 9000), ("S", "18", "new", "f.csv", 9001)]
+    inv = spark.createDataFrame(rows, "sheet string, `Req#` string, Item string, file string, line_no bigint")
+    stored = orders_df([{"notes": "Original Req#: 17."}, {"notes": "Original Req#: *."}])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = ing.origin_req_anti_join(inv, stored)
+        assert got.count() == 4001 and got.filter("Item = 'known'").isEmpty()
+        most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    assert most < 1500
+
+
+def test_dispositions_shuffle_the_lines_once(spark):
+    rows = [("7", "tube", "1", "f", i) for i in range(3)] + [(None, "tube", "1", "f", 10 + i) for i in range(2)] + [("7", "ab", "1", "f", 20), ("8", "tube", "1", "f", 30)]
+    export = spark.createDataFrame(rows, "`PO #` string, Item string, `Unit Price ($)` string, file string, line_no bigint")
+    export = export.withColumn("Grant", F.when(F.col("line_no") == 0, "abc"))
+    judged = ing.line_item_dispositions(export, None, "L")
+    got = {r["line_no"]: r["disposition"] for r in judged.collect()}
+    assert got == {0: "quarantined", 1: "imported", 2: "duplicate", 10: "imported", 11: "imported", 20: "unnamed", 30: "imported"}
+    plan = judged._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_orders_to_score_arrive_in_files_by_rows(spark, monkeypatch):
+    seen = {}
+    real = sj.stream_score_orders
+
+    def watch(spark, source_dir, model, **kw):
+        seen["files"], seen["batch"] = len(spark.read.parquet(source_dir).inputFiles()), kw["max_files_per_trigger"]
+        return real(spark, source_dir, model, **kw)
+
+    monkeypatch.setattr(sj, "stream_score_orders", watch)
+    REGISTRY["stream_score_orders"](spark, SMALL)
+    assert seen["files"] == 4 * seen["batch"] == 8
+
+
+def test_walk_by_steps_gives_the_scores_of_a_plain_walk(spark, orders_df):
+    rng = np.random.default_rng(3)
+    df = orders_df([{"req_id": f"R{i}", "qty": int(q), "unit_price": round(p, 2), "total": round(q * p, 2)}
+                    for i, (q, p) in enumerate(zip(rng.integers(1, 50, 300), rng.uniform(1, 90, 300)))])
+    model = an.fit_forest(df, n_trees=7, max_samples=64)
+    feat, thr, left, right, pathv = model.arrays()
+    denom = float(an.average_path_length([model.psi])[0]) * model.n_trees
+    got = {r["req_id"]: r["score"] for r in an.score_samples(df, model).collect()}
+    for r in an.standardize(an.finite_features(df), model.scaler).collect():
+        total = 0.0
+        for t in range(7):
+            node = 0
+            while feat[t, node] >= 0:
+                node = left[t, node] if r[an.FEATURES[feat[t, node]]] <= thr[t, node] else right[t, node]
+            total += pathv[t, node]
+        assert got[r["req_id"]] == -np.exp2(-total / denom)
+    leaf = feat < 0
+    assert np.isinf(model.steps()[1][leaf]).all()
