@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from labledger.operators import anomaly as an
 from labledger.operators import ingest as ing
+from labledger.operators import maintenance as mt
+from labledger.operators.numbering import request_ids
 from labledger.plans.registry import REGISTRY
+from labledger.sources import fixtures as fx
+from labledger.sources import keys as ky
 from labledger.sources import tables
 from labledger.sources.fixture_files import ExportFiles
+from labledger.sources.store import OrderStore
 from labledger.streaming import jobs as sj
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,3 +97,78 @@ def test_walk_by_steps_gives_the_scores_of_a_plain_walk(spark, orders_df):
         assert got[r["req_id"]] == -np.exp2(-total / denom)
     leaf = feat < 0
     assert np.isinf(model.steps()[1][leaf]).all()
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def lines_and_orders(spark, orders_df):
+    """Lines with a hot key, without a PO and unnamed; orders that hold some of their keys several times."""
+    rows = [(None if i % 9 == 0 else "7.0" if i % 3 == 0 else str(i), "ab" if i % 11 == 0 else f"item {0 if i % 3 == 0 else i}", "1", "abc" if i % 13 == 0 else "5", "6", "f", i) for i in range(400)]
+    export = spark.createDataFrame(rows, "`PO #` string, Item string, `Unit Price ($)` string, Grant string, `RF Project` string, file string, line_no bigint")
+    return export, orders_df([{"po_no": None if i % 5 == 0 else str(i // 2 * 2), "item": f"item {i // 2 * 2}", "notes": f"Original Req#: {i}.", "lab": "L"} for i in range(150)])
+
+
+def test_large_imports_give_the_rows_of_small_ones(spark, orders_df, monkeypatch):
+    export, orders = lines_and_orders(spark, orders_df)
+    summary = export.select(F.col("PO #").alias("PO Number"), F.col("Item").alias("Supplier"), F.lit("3").alias("Total Amount"), F.lit("x").alias("PO Owner"), "file", "line_no")
+    inv = export.select(F.lit("S").alias("sheet"), F.col("PO #").alias("Req#"), "Item", F.lit("2").alias("#"), F.lit("1").alias("Amount"), "file", "line_no")
+    store = OrderStore(spark)
+    store.write(orders)
+    held = ky.OrderKeys(store).refresh()
+
+    def results():
+        return [rows_of(f) for f in (
+            ing.import_line_items(export, orders, "L", "2001-08-02"), ing.import_line_items(export, orders, "L", "2001-08-02", keys=held.table("line")),
+            ing.import_anti_join(export, None, ky.order_keys(orders, "line"), laid_out=False), ing.import_anti_join(export, orders), ing.import_dup_count(export, orders),
+            ing.import_po_summary(summary, orders, "L", "2001-08-02"), ing.import_po_summary(summary, orders, "L", "2001-08-02", keys=held.table("po")),
+            ing.import_inventory(inv, orders, "L", "2001-08-02"), ing.import_inventory(inv, orders, "L", "2001-08-02", keys=held.table("origin")),
+            ing.line_item_dispositions(export, orders, "L"), ing.import_report(summary, orders, "L"))]
+
+    small = results()
+    assert small[0] == small[1] and small[2] == small[3] and small[5] == small[6] and all(small)
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 20)
+    assert results() == small
+
+
+def test_large_batches_are_joined_and_numbered_in_partitions_by_rows(spark, orders_df, monkeypatch):
+    export, orders = lines_and_orders(spark, orders_df)
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 20)
+    fresh = ing.import_anti_join(export, orders)
+    plan = fresh._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "hashpartitioning(k_po" in plan and ", 20)" in plan and "LeftSemi" not in plan
+    batch = spark.range(100).select("id", F.lit("a").alias("item"))
+    got = request_ids(batch, ["id"], orders, "2001-08-02", rows=400)
+    assert got.rdd.getNumPartitions() == 20 and [r["req_id"] for r in got.orderBy("id").collect()] == [f"REQ-010802-{i:03d}" for i in range(1, 101)]
+
+
+def test_adoption_moves_whole_rows_once(spark, orders_df, monkeypatch):
+    rows = [{"req_id": None if i % 17 == 0 else " " if i % 19 == 0 else f"R{i % 90}", "item": f"item {i}", "lab": "L"} for i in range(120)]
+    rows = [{**r, "req_id": r["req_id"] or ""} for r in rows]
+    known = [{"req_id": f"R{i}", "item": "known", "lab": "L"} for i in range(0, 90, 4)]
+
+    def adopted(n):
+        monkeypatch.setattr(tables, "ROWS_PER_TASK", n)
+        store = OrderStore(spark)
+        store.write(orders_df(known))
+        rejected = mt.adopt_orders(store, orders_df(rows))
+        again = mt.adopt_orders(store, orders_df(rows))
+        assert again.count() == len(rows) and store.versions().count() == 2
+        return rows_of(store.read(1)), rows_of(rejected)
+
+    ids, kept = [r["req_id"].strip() for r in rows], {r["req_id"] for r in known}
+    fresh = [i for i in ids if i and i not in kept and ids.count(i) == 1]
+    few, many = adopted(400_000), adopted(10)
+    assert few == many and len(few[0]) == len(fresh) and len(few[1]) == len(rows) - len(fresh)
+    refused = mt.refused_ids(orders_df(rows).filter("trim(req_id) != ''"), orders_df(known), len(rows))
+    assert {r["r"]: r["reason"] for r in refused.collect()} == {i: mt.KNOWN_ID if i in kept else mt.REPEATED_ID for i in ids if i and (i in kept or ids.count(i) > 1)}
+    assert "refused_ids" in refused.inputFiles()[0]
+
+
+def test_lines_meet_orders_without_times_and_flags(spark):
+    plan = fx.order_lines(spark, SMALL)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    dealt = [x for x in plan.splitlines() if "Project" in x and "l_orderkey" in x and "l_partkey" in x]
+    assert dealt and all("l_shipdate" not in x.split("[")[1].split(" AS ")[0] for x in dealt[:1])
+    got = fx.order_lines(spark, SMALL)
+    assert got.filter("split_pct is not null and not split_pct rlike '^[0-9]+%$'").isEmpty() and not got.filter("date_received >= date_ordered").isEmpty()
