@@ -1,6 +1,7 @@
 """Work per task and bytes moved follow the rows: partition counts, rows without a key, exports on demand."""
 
 import os
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 from labledger.operators import anomaly as an
 from labledger.operators import ingest as ing
 from labledger.operators import maintenance as mt
-from labledger.operators.numbering import request_ids
+from labledger.operators.numbering import index_in_place, request_ids
+from labledger.plans import registry
 from labledger.plans.registry import REGISTRY
 from labledger.sources import keys as ky
+from labledger.sources import store as st
 from labledger.sources import tables
 from labledger.sources.fixture_files import ExportFiles
 from labledger.sources.store import OrderStore
@@ -163,3 +166,91 @@ def test_adoption_moves_whole_rows_once(spark, orders_df, monkeypatch):
     refused = mt.refused_ids(orders_df(rows).filter("trim(req_id) != ''"), orders_df(known), len(rows))
     assert {r["r"]: r["reason"] for r in refused.collect()} == {i: mt.KNOWN_ID if i in kept else mt.REPEATED_ID for i in ids if i and (i in kept or ids.count(i) > 1)}
     assert "refused_ids" in refused.inputFiles()[0]
+
+
+def shuffle_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in held.mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def left_over(spark, before, most=20_000):
+    """Bytes of the shuffle files that came since; those of ended queries may take a moment to go."""
+    until = time.time() + 10
+    while (left := sum(os.path.getsize(f) for f in shuffle_files(spark) - before if os.path.exists(f))) > most and time.time() < until:
+        time.sleep(0.2)
+    return left
+
+
+def kept_copies(spark):
+    return {d for d in os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if d.startswith("rdd-")}
+
+
+def test_exports_leave_no_shuffle_files_and_no_sorted_copy(spark):
+    st.order_table(spark, SMALL)
+    files, copies = shuffle_files(spark), kept_copies(spark)
+    export = ExportFiles(spark, SMALL).write()
+    assert left_over(spark, files) < 20_000 and kept_copies(spark) == copies  # 6005 lines are some 600,000
+    lines = sorted(f for f in os.listdir(export.line_items.removeprefix("file:")) if f.startswith("part-"))
+    numbers = [int(r["Line"]) for f in lines for r in spark.read.csv(f"{export.line_items}/{f}", header=True).collect()]
+    assert numbers == list(range(1, st.order_table(spark, SMALL).count() + 1))
+
+
+def test_snapshots_and_numbering_leave_no_shuffle_files(spark, orders_df):
+    rows = spark.range(3000).select(F.concat(F.lit("R"), "id").alias("req_id"), F.sha2(F.col("id").cast("string"), 256).alias("item"), F.lit("L").alias("lab"))
+    files = shuffle_files(spark)
+    OrderStore(spark).write(rows.repartition(5, "req_id"))
+    assert left_over(spark, files) < 20_000
+    numbered = request_ids(rows.drop("req_id"), ["item"], orders_df([]), "2001-08-02")
+    assert left_over(spark, files) < 20_000 and numbered.count() == 3000
+
+
+def test_rows_are_numbered_in_place_by_ranges_of_keys(spark):
+    keys = [None] * 30 + ["hot"] * 300 + [f"k{i * 37 % 500}" for i in range(500)] + ["\u00e9", "\U0001f600", "\uffee", ""]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(7)
+    for n in (1, 2, 13, 40):
+        rows = index_in_place(df, "k", "i", partitions=n).withColumn("p", F.spark_partition_id()).orderBy("i").collect()
+        assert [r["i"] for r in rows] == list(range(1, len(keys) + 1))
+        assert [r["k"] for r in rows] == sorted(keys, key=lambda k: (k is not None, (k or "").encode()))
+        assert [r["p"] for r in rows] == sorted(r["p"] for r in rows) and n // 2 <= len({r["p"] for r in rows}) <= n
+    assert index_in_place(df.filter("k = 'none'"), "k", "i").count() == 0
+
+
+def test_suffixes_go_on_after_those_in_use(spark, orders_df):
+    batch = spark.range(3).withColumnRenamed("id", "n")
+    taken = lambda *n: orders_df([{"req_id": f"REQ-010802-{i:03d}"} for i in n])
+    ids = lambda t: [r["req_id"][-3:] for r in request_ids(batch, ["n"], t, "2001-08-02").orderBy("n").collect()]
+    assert ids(taken(1, 2)) == ["003", "004", "005"] and ids(taken(2, 3)) == ["001", "004", "005"] and ids(taken()) == ["001", "002", "003"]
+    plan = request_ids(batch, ["n"], taken(1, 2), "2001-08-02")._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
+def test_large_tables_are_written_densely(spark, monkeypatch, orders_df):
+    monkeypatch.setattr(st, "LARGE_ROWS", 100)
+    for rows, codec in ((99, "snappy"), (100, "zstd")):
+        store = OrderStore(spark, rows=rows)
+        store.write(orders_df([{"lab": "L"}]))
+        assert all(codec in f for f in store.read().inputFiles())
+
+
+def test_a_large_table_is_cut_into_files_to_score_without_a_shuffle(spark, monkeypatch):
+    seen = {}
+
+    def watch(spark, source_dir, model, **kw):
+        seen["files"], seen["batch"] = spark.read.parquet(source_dir), kw["max_files_per_trigger"]
+        return source_dir
+
+    monkeypatch.setattr(sj, "stream_score_orders", watch)
+    monkeypatch.setattr(registry, "LARGE_ROWS", 1000)
+    REGISTRY["stream_score_orders"](spark, SMALL)
+    names = seen["files"].inputFiles()
+    assert -(-len(names) // seen["batch"]) == 4 and seen["files"].count() == st.order_table(spark, SMALL).count()
+    # As they lie: files of the same task follow each other (c000, c001), which a shuffle into one file a task doesn't give.
+    assert any("-c001." in n for n in names)
+
+
+def test_a_report_shuffles_flags_not_texts(spark, orders_df):
+    export, orders = lines_and_orders(spark, orders_df)
+    judged = ing.line_item_dispositions(export.withColumn("Line Total ($)", F.lit("3")), orders, "L").groupBy("disposition").count()
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join LeftOuter"):].split("\n")[1]
+    assert " AS _bad" in joined and " AS _named" in joined and "item_clean" not in joined
