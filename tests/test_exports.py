@@ -14,6 +14,7 @@ from labledger.operators import sourcing as src
 from labledger.operators import yearly as yr
 from labledger.schema import ORDER, empty_orders
 from labledger.sources import exports as ex
+from labledger.sources.fixture_files import ExportFiles
 from labledger.sources.store import OrderStore, export_csv, scan_order_csv
 from labledger.streaming import jobs as sj
 
@@ -292,3 +293,27 @@ def test_order_entry(spark, orders_df):
     accepted, rejected = mt.enter_orders(entries, existing, ["item"], AS_OF)
     assert [(r["req_id"], r["item"], float(r["total"])) for r in accepted.collect()] == [("REQ-010802-002", "Gloves", 2.51)]
     assert sorted(r["reason"] for r in rejected.collect()) == ["Item name is required", "Quantity must be greater than 0", "Total is out of range", "Vendor name is required"]
+
+
+def test_a_stream_has_partitions_for_its_rows_not_the_sessions(spark, tmp_path, orders_df, monkeypatch):
+    store = OrderStore(spark)
+    store.write(orders_df([{"po_no": "1", "item": "known thing", "lab": "L"}]))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("PO #,Item,Unit Price ($),Grant,RF Project\n1,known thing,2,5,6\n2,new thing,2,5,6\n2,new thing,3,5,6\n")
+    monkeypatch.setattr(sj, "stream_partitions", lambda *_: 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    sj.stream_import(spark, f"{tmp_path}/in", store, AS_OF, checkpoint=f"{tmp_path}/ckpt")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    states = [d for d in os.listdir(tmp_path / "ckpt/import_ckpt/state/0") if d.isdigit()]
+    assert sorted(states) == ["0", "1", "2"] and store.read().count() == 2
+    monkeypatch.undo()
+    assert sj.stream_partitions(spark, store) == min(int(before), spark.sparkContext.defaultParallelism)
+
+
+def test_a_small_export_is_not_cut_up_by_the_sessions_partitions(spark, monkeypatch):
+    from labledger.sources import tables
+
+    set_for = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tables.files_for(spark, n) for n in (0, 6005, 250_000, 10**6 * set_for)] == [1, 1, 3, 10**6 * set_for // tables.ROWS_PER_TASK + (10**6 * set_for % tables.ROWS_PER_TASK > 0)]
+    path = ExportFiles(spark, "/root/testdata/sf0.001").line_items
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]) == 1
