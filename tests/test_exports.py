@@ -317,3 +317,16 @@ def test_a_small_export_is_not_cut_up_by_the_sessions_partitions(spark, monkeypa
     assert [tables.files_for(spark, n) for n in (0, 6005, 250_000, 10**6 * set_for)] == [1, 1, 3, 10**6 * set_for // tables.ROWS_PER_TASK + (10**6 * set_for % tables.ROWS_PER_TASK > 0)]
     path = ExportFiles(spark, "/root/testdata/sf0.001").line_items
     assert len([f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]) == 1
+
+
+def test_headers_are_found_without_sorting_the_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('b,c\n1,2\n3,4\n')
+    (tmp_path / "b.csv").write_text('b,c\n1,"2\n3",4\n')
+    (tmp_path / "c.csv").write_text("")
+    heads = ex._heads(ex._text_lines(spark, str(tmp_path)))
+    assert "SortAggregate" not in heads._jdf.queryExecution().toString()
+    assert {r["file"][-5:]: (r["header"], r["spans"]) for r in heads.collect()} == {"a.csv": ("b,c", False), "b.csv": ("b,c", True)}
+    lines = ex._text_lines(spark, str(tmp_path)).withColumn("heads", F.col("value") == "b,c")
+    summary = ex._summary_heads(lines)
+    assert "SortAggregate" not in summary._jdf.queryExecution().toString()
+    assert {r["file"][-5:]: (r["header"], r["spans"]) for r in summary.collect()} == {"a.csv": ("b,c", False), "b.csv": ("b,c", True)}
